@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from seqloom.llm import mixing, url_filter
+from seqloom.llm import mixing, near_dedup, url_filter
 
 
 def queries() -> dict:
     return {
         "op3_mix_sources": mixing.op3_mix_sources,
+        "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
         "op9_url_filter": url_filter.op9_url_filter,
     }
 
@@ -15,5 +16,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_mix_sources": mixing.OP3_SQL,
+        "op5_minhash_near_dedup": near_dedup.OP5_SQL,
         "op9_url_filter": url_filter.OP9_SQL,
     }
