@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from seqloom.llm import mixing, near_dedup, url_filter
+from seqloom.llm import mixing, near_dedup, secrets, url_filter
 
 
 def queries() -> dict:
     return {
+        "op2_secret_scan": secrets.op2_secret_scan,
         "op3_mix_sources": mixing.op3_mix_sources,
         "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
         "op9_url_filter": url_filter.op9_url_filter,
