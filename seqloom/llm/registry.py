@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from seqloom.llm import mixing, near_dedup, secrets, url_filter
+from seqloom.llm import decontaminate, mixing, near_dedup, secrets, token_shards, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_token_shards": token_shards.op1_token_shards,
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_mix_sources": mixing.op3_mix_sources,
+        "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
         "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
         "op9_url_filter": url_filter.op9_url_filter,
     }
@@ -17,6 +19,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_mix_sources": mixing.OP3_SQL,
+        "op4_benchmark_decontamination": decontaminate.OP4_SQL,
         "op5_minhash_near_dedup": near_dedup.OP5_SQL,
         "op9_url_filter": url_filter.OP9_SQL,
     }
