@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.llm import decontaminate, mixing, near_dedup, secrets, token_shards, url_filter
+from seqloom.llm import decontaminate, html_text, mixing, near_dedup, secrets, token_shards, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_mix_sources": mixing.op3_mix_sources,
         "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
         "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
+        "op6_html_extraction": html_text.op6_html_extraction,
         "op9_url_filter": url_filter.op9_url_filter,
     }
 
