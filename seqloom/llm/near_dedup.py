@@ -5,17 +5,19 @@
 2. One permutation serves all ``bands * rows`` bins: a set's sorted hashes fall into equal
    ranges and each range keeps its least value. Empty bins borrow from a bin chosen by a
    hash of (bin, attempt) until one is filled, which keeps the estimate unbiased.
-3. ``rows`` bins form a band key. With 36 bands of 3 rows a pair at the threshold 0.75
-   misses all bands with probability (1 - 0.75**3)**36 = 3e-9.
-4. A bucket yields star-shaped edges only: each member meets the bucket's two centres (its
-   least and its greatest member by a hash), so a bucket of n members gives at most 2n
-   candidates. Pairs whose set sizes alone rule the threshold out are dropped, exactly.
+3. ``rows`` bins form a band key. With 28 bands of 3 rows a pair at the threshold 0.75
+   misses all bands with probability (1 - 0.75**3)**28 = 2e-7.
+4. Buckets of one member are dropped at once. Any other yields star-shaped edges only: each
+   member meets the bucket's two centres (its least and greatest member by a hash), so a
+   bucket of n members gives at most 2n candidates. Pairs whose set sizes alone rule the
+   threshold out are dropped, exactly.
 5. Every candidate is confirmed on the full sets: 100 * |A and B| >= 75 * |A or B|.
 6. Components take the smallest id by neighbour minima and pointer jumping; each round is
    a reliable checkpoint in the shared folder. Nothing is collected but counts.
 7. A star can miss two similar members whose centre resembles neither. So buckets that
-   still hold more than one component give new stars, with other centres in each band and
-   only between components, until a round confirms no further link.
+   still hold more than one component give new stars, with other centres and only between
+   components, until a turn confirms no further link. In the first turns each member keeps
+   one edge only, which joins large groups at the cost of one comparison a member.
 
 Hot buckets and components are never gathered in one task: centres and minima come from
 partially aggregated groups, rows come back to them by joins whose skewed keys are split.
@@ -40,7 +42,9 @@ from pyspark.sql import functions as F
 from seqloom.llm.shingles import WIDTH, common, mixed, shingle_set
 from seqloom.runtime import checkpointed, materialized
 
-BANDS, ROWS, PERCENT = 36, 3, 75
+BANDS, ROWS, PERCENT = 28, 3, 75
+#: Turns in which each member keeps one edge only; ids broadcast for a semi join, at most.
+FIRST_TURNS, MAX_BROADCAST_IDS = 2, 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,37 +103,50 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int,
     return narrow.mapInPandas(run, "id long, n long, fp binary, keys array<long>")
 
 
-def candidates(reps: DataFrame, percent: int, spread: bool) -> DataFrame:
-    """Distinct pairs (a < b) of representatives that share a bucket with one of its centres.
+def shared_buckets(reps: DataFrame) -> DataFrame:
+    """(key, id) of every bucket with more than one member; ``reps`` has (id, keys)."""
+    entries = reps.select("id", F.explode("keys").alias("key"))
+    several = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
+    return entries.join(several, "key")
 
-    ``reps`` has (id, n, keys, component); pairs inside a component are skipped. The first
-    round ranks by component alone, so that a group meets the same centre in all its
-    buckets; later rounds (``spread``) rank anew in each band.
+
+def candidates(members: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Distinct pairs (a < b) of members that share a bucket with one of its centres.
+
+    ``members`` has (key, id, n, component); pairs inside a component are skipped. The
+    centres of a bucket are the least and the greatest by a hash. In the first turns the hash
+    is the same in all buckets and each member keeps the one edge to its least centre, so
+    that a large group meets one document; later turns rank anew in each bucket and keep all.
     """
-    entries = reps.select("id", "n", "component", F.posexplode("keys").alias("band", "key"))
-    rank = F.xxhash64("component", "band") if spread else F.xxhash64("component")
+    rank = F.xxhash64("component", F.lit(turn)) if turn < FIRST_TURNS else F.xxhash64("component", "key", F.lit(turn))
     who = F.struct(rank.alias("h"), "component", "id", "n")
     centres = (
-        entries.groupBy("key")
+        members.groupBy("key")
         .agg(F.min(who).alias("lo"), F.max(who).alias("hi"))
         .where(F.col("lo.component") != F.col("hi.component"))
         .select("key", F.array("lo", "hi").alias("both"))
     )
-    edges = entries.join(centres, "key").select("id", "n", "component", F.explode("both").alias("c")).where(F.col("component") != F.col("c.component"))
-    close = 100 * F.least("n", F.col("c.n")) >= percent * F.greatest("n", F.col("c.n"))
-    return edges.where(close).select(F.least("id", F.col("c.id")).alias("a"), F.greatest("id", F.col("c.id")).alias("b")).distinct()
+    edges = members.join(centres, "key").select("id", "n", "component", F.explode("both").alias("c")).where(F.col("component") != F.col("c.component"))
+    edges = edges.where(100 * F.least("n", F.col("c.n")) >= percent * F.greatest("n", F.col("c.n")))
+    if turn < FIRST_TURNS:
+        edges = edges.groupBy("id").agg(F.min("c").alias("c"))
+    return edges.select(F.least("id", F.col("c.id")).alias("a"), F.greatest("id", F.col("c.id")).alias("b")).distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
-    """Pairs that reach the threshold on full sets; sets are made once for each document in a pair."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, s): the whole set of each document in ``ids``. Ids are broadcast up to a checked number."""
+    few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "s": [shingle_set(t, width).tobytes() for t in pdf["text"]]})
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    made = materialized(texts.mapInPandas(sets, "id long, s binary"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInPandas(sets, "id long, s binary")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs that reach the threshold on full sets."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -140,8 +157,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, per
                 keep.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
             yield pdf.loc[keep, ["a", "b"]]
 
-    left = made.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-    right = made.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInPandas(check, "a long, b long")
 
 
@@ -177,19 +194,21 @@ def near_duplicates(
     # sets seen under one id (rows that repeat it) and ids that share a set
     groups = checkpointed(named.groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies")))
     reps = groups.select(F.col("rep").alias("id"), "n", "keys")
-    tried = links = None
-    state, rounds = None, 0
+    members = materialized(shared_buckets(reps.select("id", "keys")).join(reps.select("id", "n").distinct(), "id"))
+    sets = materialized(full_sets(docs, members.select("id").distinct(), id_col, text_col, width))
+    tried = links = state = None
+    turn = 0
     while True:
-        known = reps.withColumn("component", F.col("id")) if state is None else reps.join(state, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        pairs = candidates(known, percent, spread=rounds > 0)
+        known = members.withColumn("component", F.col("id")) if state is None else members.join(state, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        pairs = candidates(known, percent, turn)
         pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = checkpointed(confirmed(pairs, docs, id_col, text_col, percent, width))
+        found = checkpointed(confirmed(pairs, sets, percent))
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
-        rounds += 1
+        turn += 1
         if found.limit(1).count():
             state = components(links)
-        elif rounds > 1:
+        elif turn > FIRST_TURNS:
             break
     # an id with more than one set links the groups of these sets
     spread = named.select("id", "fp").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id")
