@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.llm import decontaminate, flac, html_text, mixing, near_dedup, secrets, token_shards, url_filter
+from seqloom.llm import decontaminate, flac, html_text, mixing, near_dedup, secrets, token_shards, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
         "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
         "op6_html_extraction": html_text.op6_html_extraction,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_flac_media": flac.op8_flac_media,
         "op9_url_filter": url_filter.op9_url_filter,
     }
