@@ -13,11 +13,11 @@
    threshold out are dropped, exactly.
 5. Every candidate is confirmed on the full sets: 100 * |A and B| >= 75 * |A or B|.
 6. Components take the smallest id by neighbour minima and pointer jumping; each round is
-   a reliable checkpoint in the shared folder. Nothing is collected but counts.
-7. A star can miss two similar members whose centre resembles neither. So buckets that
-   still hold more than one component give new stars, with other centres and only between
-   components, until a turn confirms no further link. In the first turns each member keeps
-   one edge only, which joins large groups at the cost of one comparison a member.
+   a table in the shared folder. Nothing is collected but counts.
+7. A star can miss two similar members whose centre resembles neither. So the work goes in
+   turns: each gives every bucket that still holds more than one component new centres,
+   and compares pairs between components that weren't compared before, until two turns
+   in a row confirm no further link.
 
 Hot buckets and components are never gathered in one task: centres and minima come from
 partially aggregated groups, rows come back to them by joins whose skewed keys are split.
@@ -37,14 +37,19 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.llm.shingles import WIDTH, common, mixed, shingle_set
-from seqloom.runtime import checkpointed, materialized
+from seqloom.runtime import materialized
 
 BANDS, ROWS, PERCENT = 28, 3, 75
-#: Turns in which each member keeps one edge only; ids broadcast for a semi join, at most.
-FIRST_TURNS, MAX_BROADCAST_IDS = 2, 1_000_000
+#: Ids that are broadcast for a semi join, at most; more are joined by a shuffle.
+MAX_BROADCAST_IDS = 1_000_000
+#: Hashes that choose centres (two each) in a turn; turns without a link that end the search.
+RANKS, IDLE_TURNS = 3, 2
+#: Pairs that make a centre hot; hot centres and bytes of their sets sent to executors, at most.
+HOT_PAIRS, HOT_CENTRES, HOT_BYTES = 40, 20_000, 32 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,27 +115,28 @@ def shared_buckets(reps: DataFrame) -> DataFrame:
     return entries.join(several, "key")
 
 
-def candidates(members: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Distinct pairs (a < b) of members that share a bucket with one of its centres.
+def candidates(members: DataFrame, tried: DataFrame | None, percent: int, turn: int) -> DataFrame:
+    """Distinct (id, centre) pairs of members that share a bucket with one of its centres.
 
-    ``members`` has (key, id, n, component); pairs inside a component are skipped. The
-    centres of a bucket are the least and the greatest by a hash. In the first turns the hash
-    is the same in all buckets and each member keeps the one edge to its least centre, so
-    that a large group meets one document; later turns rank anew in each bucket and keep all.
+    ``members`` has (key, id, n, component); pairs inside a component and pairs ``tried``
+    before are skipped. The centres of a bucket are its least and greatest members by ``RANKS``
+    hashes of id and turn, so that the buckets of one large group have few centres between
+    them. In the first turn each member keeps the edges to its least and greatest centre only.
     """
-    rank = F.xxhash64("component", F.lit(turn)) if turn < FIRST_TURNS else F.xxhash64("component", "key", F.lit(turn))
-    who = F.struct(rank.alias("h"), "component", "id", "n")
+    ranks = 1 if turn == 0 else RANKS
+    who = [F.struct(F.xxhash64("id", F.lit(turn * RANKS + k)).alias("h"), "component", "id", "n") for k in range(ranks)]
     centres = (
         members.groupBy("key")
-        .agg(F.min(who).alias("lo"), F.max(who).alias("hi"))
-        .where(F.col("lo.component") != F.col("hi.component"))
-        .select("key", F.array("lo", "hi").alias("both"))
+        .agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.array(*[f(w) for w in who for f in (F.min, F.max)]).alias("all"))
+        .where("c0 <> c1")
+        .select("key", "all")
     )
-    edges = members.join(centres, "key").select("id", "n", "component", F.explode("both").alias("c")).where(F.col("component") != F.col("c.component"))
+    edges = members.join(centres, "key").select("id", "n", "component", F.explode("all").alias("c")).where(F.col("component") != F.col("c.component"))
     edges = edges.where(100 * F.least("n", F.col("c.n")) >= percent * F.greatest("n", F.col("c.n")))
-    if turn < FIRST_TURNS:
-        edges = edges.groupBy("id").agg(F.min("c").alias("c"))
-    return edges.select(F.least("id", F.col("c.id")).alias("a"), F.greatest("id", F.col("c.id")).alias("b")).distinct()
+    if turn == 0:
+        edges = edges.groupBy("id").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).select("id", F.explode(F.array("lo", "hi")).alias("c"))
+    pairs = edges.select("id", F.col("c.id").alias("centre")).distinct()
+    return pairs if tried is None else pairs.join(tried, ["id", "centre"], "left_anti")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -145,37 +151,75 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width
     return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInPandas(sets, "id long, s binary")
 
 
+def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    both = common(p, q)
+    return both > 0 and 100 * both >= percent * (len(p) + len(q) - both)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs that reach the threshold on full sets."""
+    """(a, b) of the pairs (id, centre) that reach the threshold on full sets.
+
+    Centres of many pairs would be sent along with each of them. There are few of these (at
+    most one for ``HOT_PAIRS`` pairs); up to ``HOT_CENTRES`` of them, and up to ``HOT_BYTES``
+    of sets, go to every executor once, and their members' sets are read in place. All other
+    pairs are joined by a shuffle.
+    """
+    hot = pairs.groupBy("centre").count().where(F.col("count") >= HOT_PAIRS).orderBy(F.col("count").desc(), "centre").limit(HOT_CENTRES).select(F.col("centre").alias("id"))
+    held = sets.join(F.broadcast(hot), "id").select("id", "s", F.length("s").alias("size"))
+    held = held.withColumn("upto", F.sum("size").over(W.orderBy("size", "id").rowsBetween(W.unboundedPreceding, W.currentRow))).where(F.col("upto") <= HOT_BYTES).select("id", "s").collect()
+    shared: dict[int, list[bytes]] = {}
+    for r in held:
+        shared.setdefault(r["id"], []).append(bytes(r["s"]))
+    spark = pairs.sparkSession
+    sent = spark.sparkContext.broadcast(shared)
+    hot_ids = spark.createDataFrame([(i,) for i in shared], "centre long")
+
+    def near_hot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = {i: [np.frombuffer(x, np.uint64) for x in xs] for i, xs in sent.value.items()}
+        for pdf in batches:
+            rows = []
+            for i, x, centres in zip(pdf["id"], pdf["s"], pdf["centres"], strict=True):
+                p = np.frombuffer(x, np.uint64)
+                rows += [(i, c) for c in centres if any(_linked(p, q, percent) for q in of[c])]
+            yield pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def near_cold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = []
-            for x, y in zip(pdf["sa"], pdf["sb"], strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = common(p, q)
-                keep.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
+            keep = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(pdf["sa"], pdf["sb"], strict=True)]
             yield pdf.loc[keep, ["a", "b"]]
 
+    # a member has at most two centres a bucket, so its list is short
+    lists = pairs.join(F.broadcast(hot_ids), "centre").groupBy("id").agg(F.collect_list("centre").alias("centres"))
+    by_hot = sets.join(lists, "id").mapInPandas(near_hot, "a long, b long")
+    cold = pairs.join(F.broadcast(hot_ids), "centre", "left_anti").select(F.col("id").alias("a"), F.col("centre").alias("b"))
     left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInPandas(check, "a long, b long")
+    by_cold = cold.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInPandas(near_cold, "a long, b long")
+    return by_hot.unionByName(by_cold)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in ``links`` (a, b): the least id reachable."""
-    both = checkpointed(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.a", "x.b").distinct())
-    state = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
+    both = materialized(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.a", "x.b").distinct())
+    state = materialized(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component"), F.lit(True).alias("moved")))
     while True:
-        # each node tells its neighbours its label; the least one wins
-        told = both.join(state.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("m"))
-        stepped = state.join(told.select(F.col("a").alias("id"), "m"), "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("c"))
-        jump = state.select(F.col("id").alias("c"), F.col("component").alias("j"))
-        new = checkpointed(stepped.join(jump, "c", "left").select("id", "old", F.least("c", F.coalesce("j", "c")).alias("component")))
-        changed = new.where(F.col("old") != F.col("component")).limit(1).count()
-        state = new.select("id", "component")
-        if not changed:
-            return state
+        # each node tells its neighbours its label; the least one wins, and is followed to its own label
+        labels = state.select("id", "component")
+        told = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("m"))
+        stepped = labels.join(told.select(F.col("a").alias("id"), "m"), "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("c"))
+        jump = labels.select(F.col("id").alias("c"), F.col("component").alias("j"))
+        new = stepped.join(jump, "c", "left").select("id", "old", F.least("c", F.coalesce("j", "c")).alias("component"))
+        state = materialized(new.select("id", "component", (F.col("old") != F.col("component")).alias("moved")))
+        if state.where("moved").limit(1).count() == 0:
+            return state.select("id", "component")
+
+
+def merged(state: DataFrame, links: DataFrame) -> DataFrame:
+    """``state`` (id, component) after ``links`` (a, b) between its ids: only the components' own graph is searched."""
+    of = lambda c: state.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    between = links.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    moved = components(between).select(F.col("id").alias("component"), F.col("component").alias("to"))
+    return materialized(state.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")))
 
 
 def near_duplicates(
@@ -192,28 +236,28 @@ def near_duplicates(
     sketch = materialized(sketches(docs, id_col, text_col, bands, rows, width))
     named = sketch.where(F.col("fp").isNotNull() & F.col("id").isNotNull())
     # sets seen under one id (rows that repeat it) and ids that share a set
-    groups = checkpointed(named.groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies")))
+    groups = materialized(named.groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies")))
     reps = groups.select(F.col("rep").alias("id"), "n", "keys")
-    members = materialized(shared_buckets(reps.select("id", "keys")).join(reps.select("id", "n").distinct(), "id"))
-    sets = materialized(full_sets(docs, members.select("id").distinct(), id_col, text_col, width))
-    tried = links = state = None
-    turn = 0
-    while True:
-        known = members.withColumn("component", F.col("id")) if state is None else members.join(state, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        pairs = candidates(known, percent, turn)
-        pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = checkpointed(confirmed(pairs, sets, percent))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        turn += 1
-        if found.limit(1).count():
-            state = components(links)
-        elif turn > FIRST_TURNS:
-            break
+    buckets = materialized(shared_buckets(reps.select("id", "keys")))
+    sizes = materialized(reps.select("id", "n").join(buckets.select("id").distinct(), "id", "left_semi"))
+    sets = materialized(full_sets(docs, sizes.select("id").distinct(), id_col, text_col, width))
     # an id with more than one set links the groups of these sets
     spread = named.select("id", "fp").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id")
-    ties = named.join(spread, "id", "left_semi").join(groups.select("fp", "rep"), "fp").where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    state = components(links.unionByName(ties))
+    ties = materialized(named.join(spread, "id", "left_semi").join(groups.select("fp", "rep"), "fp").where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    ids = sizes.select("id").unionByName(ties.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+    state = materialized(ids.select("id", F.col("id").alias("component")))
+    if ties.limit(1).count():
+        state = merged(state, ties)
+    tried, turn, idle = None, 0, 0
+    while idle < IDLE_TURNS:
+        pairs = materialized(candidates(buckets.join(sizes.join(state, "id"), "id"), tried, percent, turn))
+        links = materialized(confirmed(pairs, sets, percent))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        turn += 1
+        if links.limit(1).count():
+            state, idle = merged(state, links), 0
+        else:
+            idle += 1
     # a copy's own id counts too: it may be reached under another set
     of_fp = groups.select("fp", "rep").join(state.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
     joined = sketch.select("id", "n", "fp").join(of_fp, "fp", "left")
