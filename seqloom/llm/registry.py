@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from seqloom.llm import decontaminate, flac, html_text, mixing, near_dedup, secrets, token_shards, toxicity, url_filter
+from seqloom.llm import decontaminate, flac, html_text, lm_score, mixing, near_dedup, secrets, token_shards, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op10_lm_score": lm_score.op10_lm_score,
         "op1_token_shards": token_shards.op1_token_shards,
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_mix_sources": mixing.op3_mix_sources,
