@@ -161,8 +161,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Centres of many pairs would be sent along with each of them. There are few of these (at
     most one for ``HOT_PAIRS`` pairs); up to ``HOT_CENTRES`` of them, and up to ``HOT_BYTES``
-    of sets, go to every executor once, and their members' sets are read in place. All other
-    pairs are joined by a shuffle.
+    of sets, go to every executor once, where each member's set meets the list of its centres.
+    All other pairs are joined by a shuffle.
     """
     hot = pairs.groupBy("centre").count().where(F.col("count") >= HOT_PAIRS).orderBy(F.col("count").desc(), "centre").limit(HOT_CENTRES).select(F.col("centre").alias("id"))
     held = sets.join(F.broadcast(hot), "id").select("id", "s", F.length("s").alias("size"))
@@ -180,7 +180,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             rows = []
             for i, x, centres in zip(pdf["id"], pdf["s"], pdf["centres"], strict=True):
                 p = np.frombuffer(x, np.uint64)
-                rows += [(i, c) for c in centres if any(_linked(p, q, percent) for q in of[c])]
+                rows += [(i, c) for c in centres if any(_linked(p, q, percent) for q in of.get(c, ()))]
             yield pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
 
     def near_cold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,7 +189,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pdf.loc[keep, ["a", "b"]]
 
     # a member has at most two centres a bucket, so its list is short
-    lists = pairs.join(F.broadcast(hot_ids), "centre").groupBy("id").agg(F.collect_list("centre").alias("centres"))
+    lists = pairs.groupBy("id").agg(F.collect_list("centre").alias("centres"))
     by_hot = sets.join(lists, "id").mapInPandas(near_hot, "a long, b long")
     cold = pairs.join(F.broadcast(hot_ids), "centre", "left_anti").select(F.col("id").alias("a"), F.col("centre").alias("b"))
     left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
