@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqloom.functions.arrays import even_subsample, finite, fitted, missing_to_null, normalised, resampled, slopes
 
@@ -41,13 +42,13 @@ def energy_arrays(df: DataFrame, keys: list[str]) -> DataFrame:
     return energy_curve(df, keys).groupBy(*keys).agg(packed.alias("p")).where(F.size("p") >= 2).select(*keys, *[F.col(f"p.{c}").alias(c) for c in "xef"])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def interp(grid: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
     """Values at the grid's points; NaN outside the abscissas' range."""
     return pd.Series([np.interp(g, a, b, left=np.nan, right=np.nan) if len(a) else np.full(len(g), np.nan) for g, a, b in zip(grid, x, y, strict=True)])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def interp_clamped(grid: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
     """Values at the grid's points; the end values outside the abscissas' range."""
     return pd.Series([np.interp(g, a, b) if len(a) else np.full(len(g), np.nan) for g, a, b in zip(grid, x, y, strict=True)])

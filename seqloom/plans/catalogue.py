@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seqloom.plans import trace_queries
+from seqloom.plans import align_queries, trace_queries
 
-MODULES = [trace_queries]
+MODULES = [trace_queries, align_queries]
 
 
 def queries() -> dict:
