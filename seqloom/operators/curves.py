@@ -127,7 +127,7 @@ def arc_length_percentiles(df: DataFrame, keys: list[str], n_grid: int = 200, y:
     steps = steps.withColumn("step", F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0)))
     steps = steps.withColumn("s", F.sum("step").over(w.rowsBetween(*UP_TO_HERE)))
     rows = steps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rn", "s", F.col(y).alias("y")))).alias("p"), F.max("s").alias("whole")).where((F.size("p") >= 2) & (F.col("whole") > 0))
-    share = F.transform(F.col("p.s"), lambda s: 100.0 * s / F.col("whole"))
+    share = F.transform(F.col("p.s"), lambda s: 100.0 * (s / F.col("whole")))
     return rows.select(*keys, share.alias("s"), F.col("p.y").alias("y"), grid_between(F.lit(0.0), F.lit(100.0), n_grid).alias("grid")).select(*keys, interp("grid", "s", "y").alias("v"))
 
 
@@ -204,12 +204,13 @@ def rotation_curves(df: DataFrame, keys: list[str], n_grid: int = 200, margin: f
         rot, z = pdf["rot"].to_numpy(float), pdf["z"].to_numpy(float)
         ok = np.isfinite(rot) & np.isfinite(z)
         out = pdf.iloc[:1][keys].copy()
+        none = out.iloc[:0].assign(v=pd.Series([], dtype=object))
         if ok.sum() < 2:
-            return out.iloc[:0].assign(v=[])
+            return none
         lo, hi = float(np.nanmin(rot)), float(np.nanmax(rot))
         lo, hi = lo - margin * (hi - lo), hi + margin * (hi - lo)
         v = np.interp(np.linspace(lo, hi if hi > lo else lo + 1e-9, n_grid), rot[ok], z[ok])
-        return out.assign(v=[v]) if np.nanstd(v) >= 1e-12 else out.iloc[:0].assign(v=[])
+        return out.assign(v=[v]) if np.nanstd(v) >= 1e-12 else none
 
     return df.groupBy(*keys).applyInPandas(one, schema)
 
@@ -241,7 +242,7 @@ def rotation_arc_length(df: DataFrame, keys: list[str], n_grid: int = 200) -> Da
     steps = ok.withColumn("rn", F.row_number().over(w)).withColumn("step", F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0)))
     steps = steps.withColumn("s", F.sum("step").over(w.rowsBetween(*UP_TO_HERE)))
     rows = steps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rn", "s", "z"))).alias("p"), F.max("s").alias("whole")).where((F.size("p") >= 2) & (F.col("whole") > 0))
-    share = F.transform(F.col("p.s"), lambda s: 100.0 * s / F.col("whole"))
+    share = F.transform(F.col("p.s"), lambda s: 100.0 * (s / F.col("whole")))
     return rows.select(*keys, share.alias("s"), F.col("p.z").alias("y"), grid_between(F.lit(0.0), F.lit(100.0), n_grid).alias("grid")).select(*keys, interp("grid", "s", "y").alias("v"))
 
 

@@ -157,9 +157,9 @@ def merged_replicates(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.format_string("%.6f", F.avg("accuracy")).alias("accuracy"), F.bround(F.avg("correct")).cast("long").alias("correct"), *first)
 
 
-def rolled_up(df: DataFrame, group: list[str], index: int, order: str, means: list[str], total: str, firsts: list[str]) -> DataFrame:
+def rolled_up(df: DataFrame, group: list[str], index: int, order: list[str], means: list[str], total: str, firsts: list[str]) -> DataFrame:
     """One row per group: the row at ``index`` (or the last), or with a negative index means, a sum, and the first row's counts."""
-    w = W.partitionBy(*group).orderBy(order)
+    w = W.partitionBy(*group).orderBy(*order)
     rows = df.withColumn("__rn", F.row_number().over(w) - 1).withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*group)))
     if index >= 0:
         return rows.where(F.col("__rn") == F.least(F.lit(index), F.col("__n") - 1)).select(*group, *means, total, *firsts)

@@ -111,10 +111,10 @@ turns AS (SELECT bead % 10 AS exp_id, bead, frame, rot - 15.0::DOUBLE AS rot, z
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     for c in columns or [f.name for f in df.schema.fields if f.dataType.simpleString() == "double"]:
-        df = df.withColumn(c, F.round(c, digits))
+        df = df.withColumn(c, F.round(c, digits) + F.lit(0.0))  # no negative zero
     return df
 
 
 def long(df: DataFrame, keys: list[str], v: str = "v", digits: int = 6) -> DataFrame:
     """An array column as (keys, pos, v), rounded; NaN as NULL."""
-    return df.select(*keys, F.posexplode(v).alias("pos", "v")).withColumn("v", F.round(F.nanvl("v", F.lit(None).cast("double")), digits))
+    return df.select(*keys, F.posexplode(v).alias("pos", "v")).withColumn("v", F.round(F.nanvl("v", F.lit(None).cast("double")), digits) + F.lit(0.0))
