@@ -207,27 +207,32 @@ def umap(x: np.ndarray, k: int = 2, n_neighbors: int = 15, min_dist: float = 0.1
     return y
 
 
-def dtw(a: np.ndarray, b: np.ndarray) -> float:
-    """Dynamic-time-warping distance by absolute differences, a row of the table at a time."""
+def dtw_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dynamic-time-warping distances by absolute differences of many pairs of rows at once."""
     a, b = clean(a), clean(b)
-    prev = np.concatenate([[0.0], np.full(len(b), np.inf)])
-    for v in a:
-        cost = np.abs(v - b)
-        step = cost + np.minimum(prev[1:], prev[:-1])
-        row = np.empty(len(b) + 1)
-        row[0] = np.inf
-        for j in range(len(b)):
-            row[j + 1] = min(step[j], cost[j] + row[j])
+    prev = np.full((len(a), b.shape[1] + 1), np.inf)
+    prev[:, 0] = 0.0
+    for i in range(a.shape[1]):
+        cost = np.abs(a[:, i : i + 1] - b)
+        reach = np.minimum(prev[:, 1:], prev[:, :-1])
+        row = np.full_like(prev, np.inf)
+        for j in range(b.shape[1]):
+            row[:, j + 1] = cost[:, j] + np.minimum(reach[:, j], row[:, j])
         prev = row
-    return float(prev[-1])
+    return prev[:, -1]
+
+
+def dtw(a: np.ndarray, b: np.ndarray) -> float:
+    return float(dtw_pairs(np.asarray(a, float)[None, :], np.asarray(b, float)[None, :])[0])
 
 
 def dtw_distances(x: np.ndarray) -> np.ndarray:
     n = len(x)
+    i, j = np.triu_indices(n, 1)
     d = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i + 1, n):
-            d[i, j] = d[j, i] = dtw(x[i], x[j])
+    for at in range(0, len(i), 4096):
+        p, q = i[at : at + 4096], j[at : at + 4096]
+        d[p, q] = d[q, p] = dtw_pairs(x[p], x[q])
     return d
 
 

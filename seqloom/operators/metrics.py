@@ -110,18 +110,18 @@ def packed_metrics(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     return c.join(extra).join(agreement(df, y, p))
 
 
-def silhouette(points: DataFrame, id_col: str = "id", v: str = "v", label: str = "label") -> DataFrame:
-    """Mean silhouette by Euclidean distance over one bounded group of points.
+def silhouette(points: DataFrame, group: list[str], id_col: str = "id", v: str = "v", label: str = "label") -> DataFrame:
+    """Mean silhouette of each group by Euclidean distance.
 
-    All distances between the points are needed by definition; the group is one region's beads.
+    It needs the distances between a group's points by definition; a group is one region's beads.
     """
-    a = points.select(F.col(id_col).alias("i"), F.col(v).alias("a"), F.col(label).alias("li"))
-    b = points.select(F.col(id_col).alias("j"), F.col(v).alias("b"), F.col(label).alias("lj"))
+    a = points.select(*group, F.col(id_col).alias("i"), F.col(v).alias("a"), F.col(label).alias("li"))
+    b = points.select(*group, F.col(id_col).alias("j"), F.col(v).alias("b"), F.col(label).alias("lj"))
     gap = F.aggregate(F.zip_with("a", "b", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    mean = a.join(F.broadcast(b), F.col("i") != F.col("j")).groupBy("i", "li", "lj").agg(F.avg(F.sqrt(gap)).alias("m"))
-    per = mean.groupBy("i", "li").agg(F.max(F.when(F.col("li") == F.col("lj"), F.col("m"))).alias("own"), F.min(F.when(F.col("li") != F.col("lj"), F.col("m"))).alias("other"))
+    mean = a.join(b, group).where(F.col("i") != F.col("j")).groupBy(*group, "i", "li", "lj").agg(F.avg(F.sqrt(gap)).alias("m"))
+    per = mean.groupBy(*group, "i", "li").agg(F.max(F.when(F.col("li") == F.col("lj"), F.col("m"))).alias("own"), F.min(F.when(F.col("li") != F.col("lj"), F.col("m"))).alias("other"))
     s = F.when(F.col("own").isNull(), F.lit(0.0)).otherwise(share(F.col("other") - F.col("own"), F.greatest("own", "other")))
-    return per.agg(F.avg(s).alias("silhouette"))
+    return per.groupBy(*group).agg(F.avg(s).alias("silhouette"))
 
 
 def votes(df: DataFrame, keys: list[str], members: int, p: str = "p") -> DataFrame:

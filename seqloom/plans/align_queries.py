@@ -15,7 +15,7 @@ _SCR = "WITH " + SCRIPT
 
 def _interval_rows(s, d):
     """Orders of a customer as interval rows: hours since 1 January of the year as dt, price as position."""
-    o = table(s, d, "orders").where("o_custkey % 5 = 0")
+    o = table(s, d, "orders")
     seq = F.row_number().over(op.W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
     return o.select(
         F.col("o_custkey").alias("bead"), seq.alias("seq"), (F.when(seq == 0, F.col("o_custkey") % 2) .otherwise(F.col("o_orderkey") % 11)).cast("double").alias("dt"), (F.col("o_orderkey") % 97 / 10.0).alias("pos"),
@@ -29,7 +29,7 @@ def _rotation_script(s, d):
 
 def _commands(s, d):
     """Command scripts written from a customer's orders."""
-    o = table(s, d, "orders").where("o_custkey % 5 = 0")
+    o = table(s, d, "orders")
     k = F.col("o_orderkey")
     verb = F.when(k % 3 == 0, F.concat(F.lit("move magpos "), (k % 7).cast("string"), F.lit(" speed 0.5"))).when(k % 3 == 1, F.concat(F.lit("idle "), (k % 13).cast("string"))).otherwise(F.concat(F.lit(" move  magrot "), (k % 50).cast("string"), F.lit(" speed 4 ")))
     packed = F.array_sort(F.collect_list(F.struct(k.alias("k"), verb.alias("v"))))
@@ -61,7 +61,7 @@ QUERIES = {
     "script_events": (lambda s, d: rounded(script(s, d)), _SCR + " SELECT bead, seq, round(t0, 6) AS t0, round(t1, 6) AS t1, round(mag_pos, 6) AS mag_pos, round(mag_speed, 6) AS mag_speed, round(mag_rot, 6) AS mag_rot, round(rot_speed, 6) AS rot_speed FROM script"),
     "interval_script": (
         lambda s, d: rounded(op.parse_interval_script(_interval_rows(s, d), B)),
-        """WITH r AS (SELECT o_custkey AS bead, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq FROM orders WHERE o_custkey % 5 = 0),
+        """WITH r AS (SELECT o_custkey AS bead, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq FROM orders),
 i AS (SELECT bead, seq, CAST(CASE WHEN seq = 0 THEN bead % 2 ELSE k % 11 END AS DOUBLE) AS dt, (k % 97) / 10.0::DOUBLE AS pos, CASE WHEN k % 3 = 0 THEN 0.0::DOUBLE ELSE 0.7::DOUBLE END AS speed FROM r),
 p AS (SELECT *, abs(first_value(dt) OVER w) <= 1e-8 AS abso, greatest(dt, 0) AS len, lag(pos, 1, 0.0::DOUBLE) OVER w AS was, coalesce(sum(greatest(dt, 0)) OVER (PARTITION BY bead ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cur FROM i WINDOW w AS (PARTITION BY bead ORDER BY seq)),
 t AS (SELECT *, CASE WHEN abso THEN dt ELSE cur END AS t0, CASE WHEN speed > 0 THEN abs(pos - was) / speed ELSE 0 END AS tr FROM p)
@@ -130,9 +130,9 @@ FROM placed p JOIN r ON r.bead = p.bead AND p.t BETWEEN r.t0 AND r.t1 GROUP BY 1
     "labelled_mask": (
         lambda s, d: op.labelled_mask(
             trace(s, d).select("exp_id", "bead").distinct(),
-            table(s, d, "labels").where("doc_id % 10 < 7").select((F.col("doc_id") % 10).alias("exp_id"), (F.col("doc_id") % 150).alias("bead"), F.col("quality").alias("rank")),
+            table(s, d, "labels").select((F.col("doc_id") % 7).alias("exp_id"), (F.col("doc_id") % 150).alias("bead"), F.col("quality").alias("rank")),
         ).select("exp_id", "bead", "is_good"),
-        "WITH " + TRACE + """, l AS (SELECT doc_id % 10 AS exp_id, doc_id % 150 AS bead, quality AS rnk FROM labels WHERE doc_id % 10 < 7), f AS (SELECT exp_id, min(rnk) AS rnk FROM l GROUP BY 1),
+        "WITH " + TRACE + """, l AS (SELECT doc_id % 7 AS exp_id, doc_id % 150 AS bead, quality AS rnk FROM labels), f AS (SELECT exp_id, min(rnk) AS rnk FROM l GROUP BY 1),
 g AS (SELECT DISTINCT l.exp_id, l.bead FROM l JOIN f USING (exp_id, rnk))
 SELECT DISTINCT t.exp_id, t.bead, g.bead IS NOT NULL OR f.exp_id IS NULL AS is_good FROM trace t LEFT JOIN g ON g.exp_id = t.exp_id AND g.bead = t.bead LEFT JOIN f ON f.exp_id = t.exp_id""",
     ),

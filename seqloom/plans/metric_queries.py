@@ -57,8 +57,15 @@ b AS (SELECT cluster, accuracy FROM g ORDER BY accuracy DESC, cluster LIMIT 1)""
 
 
 def _sil(s, d):
-    pts = table(s, d, "embeddings").where("vec_id < 300").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
-    return rounded(op.silhouette(pts))
+    pts = table(s, d, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("grp"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"), (F.col("label") % 3).alias("label"))
+    return rounded(op.silhouette(pts, ["grp"]))
+
+
+def _member_votes(s, d, classes):
+    """Three members' predictions of each order."""
+    o = table(s, d, "orders")
+    p = F.array(F.col("o_orderkey") % classes, F.col("o_custkey") % classes, F.floor(F.col("o_totalprice")) % classes)
+    return o.select(F.col("o_orderkey").alias("bead"), F.explode(p).alias("p")).withColumn("p", F.col("p").cast("int"))
 
 
 def _imputed(s, d):
@@ -91,16 +98,16 @@ SELECT DISTINCT m.p AS cluster, m.cls AS class, round(b.acc, 6) AS accuracy FROM
     ),
     "silhouette": (
         _sil,
-        """WITH e AS (SELECT vec_id AS id, label, embedding FROM embeddings WHERE vec_id < 300), m AS (SELECT a.id AS i, a.label AS li, b.label AS lj, avg(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))))) AS m FROM e a JOIN e b ON a.id <> b.id GROUP BY 1, 2, 3),
-p AS (SELECT i, max(CASE WHEN li = lj THEN m END) AS own, min(CASE WHEN li <> lj THEN m END) AS oth FROM m GROUP BY i) SELECT round(avg(CASE WHEN own IS NULL THEN 0 ELSE (oth - own) / greatest(own, oth) END), 6) AS silhouette FROM p""",
+        """WITH e AS (SELECT vec_id // 50 AS grp, vec_id AS id, label % 3 AS label, embedding FROM embeddings), m AS (SELECT a.grp, a.id AS i, a.label AS li, b.label AS lj, avg(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))))) AS m FROM e a JOIN e b ON a.grp = b.grp AND a.id <> b.id GROUP BY 1, 2, 3, 4),
+p AS (SELECT grp, i, max(CASE WHEN li = lj THEN m END) AS own, min(CASE WHEN li <> lj THEN m END) AS oth FROM m GROUP BY grp, i) SELECT grp, round(avg(CASE WHEN own IS NULL THEN 0 ELSE (oth - own) / greatest(own, oth) END), 6) AS silhouette FROM p GROUP BY grp""",
     ),
     "ensemble_votes": (
-        lambda s, d: op.votes(table(s, d, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("bead"), (F.col("l_partkey") % 2).cast("int").alias("p")), ["bead"], 3),
-        "WITH v AS (SELECT l_orderkey AS bead, l_partkey % 2 AS p FROM lineitem WHERE l_linenumber <= 3) SELECT bead, CASE WHEN sum(p) >= 2 THEN 1 ELSE 0 END AS vote FROM v GROUP BY bead HAVING count(*) = 3",
+        lambda s, d: op.votes(_member_votes(s, d, 2), ["bead"], 3),
+        "SELECT o_orderkey AS bead, CASE WHEN o_orderkey % 2 + o_custkey % 2 + CAST(floor(o_totalprice) AS BIGINT) % 2 >= 2 THEN 1 ELSE 0 END AS vote FROM orders",
     ),
     "ensemble_votes_classes": (
-        lambda s, d: op.votes(table(s, d, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("bead"), (F.col("l_partkey") % 3).cast("int").alias("p")), ["bead"], 3),
-        """WITH v AS (SELECT l_orderkey AS bead, l_partkey % 3 AS p FROM lineitem WHERE l_linenumber <= 3), n AS (SELECT bead, p, count(*) AS c FROM v GROUP BY 1, 2),
+        lambda s, d: op.votes(_member_votes(s, d, 3), ["bead"], 3),
+        """WITH v AS (SELECT o_orderkey AS bead, unnest([o_orderkey % 3, o_custkey % 3, CAST(floor(o_totalprice) AS BIGINT) % 3]) AS p FROM orders), n AS (SELECT bead, p, count(*) AS c FROM v GROUP BY 1, 2),
 r AS (SELECT bead, p, c, row_number() OVER (PARTITION BY bead ORDER BY c DESC, p) AS k, sum(c) OVER (PARTITION BY bead) AS m, max(p) OVER (PARTITION BY bead) AS top, sum(c * p) OVER (PARTITION BY bead) AS s FROM n)
 SELECT bead, CAST(CASE WHEN top <= 1 THEN CASE WHEN s >= 2 THEN 1 ELSE 0 END ELSE p END AS INT) AS vote FROM r WHERE k = 1 AND m = 3""",
     ),

@@ -138,8 +138,8 @@ SELECT bead, piece, frame, round(t - CASE WHEN t9 - t0 < 400000.0 THEN 0 ELSE mi
         "WITH " + HOLED + " SELECT round(avg(z), 6) AS mean, round(stddev_pop(z), 6) AS std FROM holed",
     ),
     "stat_matched": (
-        lambda s, d: rounded(op.matched_to(trace(s, d).where("exp_id < 5"), op.training_stats(trace(s, d).where("exp_id >= 5"))).select("bead", "frame", "z")),
-        "WITH " + TRACE + ", a AS (SELECT avg(z) AS m0, stddev_pop(z) AS s0 FROM trace WHERE exp_id < 5), b AS (SELECT avg(z) AS m1, stddev_pop(z) AS s1 FROM trace WHERE exp_id >= 5) SELECT bead, frame, round((z - m0) / s0 * s1 + m1, 6) AS z FROM trace, a, b WHERE exp_id < 5",
+        lambda s, d: rounded(op.matched_to(trace(s, d), op.training_stats(trace(s, d).where("event_type = 'view'"))).select("bead", "frame", "z")),
+        "WITH " + TRACE + ", a AS (SELECT avg(z) AS m0, stddev_pop(z) AS s0 FROM trace), b AS (SELECT avg(z) AS m1, stddev_pop(z) AS s1 FROM trace WHERE event_type = 'view') SELECT bead, frame, round((z - m0) / s0 * s1 + m1, 6) AS z FROM trace, a, b",
     ),
     "long_panel": (
         lambda s, d: rounded(op.exploded(op.as_arrays(trace(s, d), B, "z"), B)),
