@@ -137,7 +137,7 @@ def judge_urls(
         hits = tried.join(F.broadcast(listed), "key", "left")
     else:
         hits = tried.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(salts))).join(
-            listed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long")), ["key", "__salt"], "left"
+            listed.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["key", "__salt"], "left"
         )
     fits = F.col("r_host").isNotNull() & ((F.col("host") == F.col("r_host")) | F.col("host").endswith(F.concat(F.lit("."), "r_host"))) & F.col("path").startswith(F.col("r_path"))
     best = F.max(F.when(fits, F.struct(F.length("r_host").alias("a"), F.length("r_path").alias("b"), F.col("key"), F.col("r_verdict")))).alias("best")
