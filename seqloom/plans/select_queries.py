@@ -29,7 +29,7 @@ def _path_parts(s, d):
 
 def _bead_keys(s, d):
     k = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Bead_"), F.col("p_partkey").cast("string"), F.lit("_z"))).otherwise(F.col("p_name"))
-    return table(s, d, "part").select("p_partkey", op.bead_index(k).alias("bead"))
+    return table(s, d, "part").select("p_partkey", F.coalesce(op.bead_index(k), F.lit(-1)).alias("bead"))
 
 
 def _truth(s, d):
@@ -126,7 +126,7 @@ def _evaluated(s, d):
 
 QUERIES = {
     "path_parts": (_path_parts, "WITH " + _PATHS + " SELECT c_custkey, split_part(path, '/', 1) AS source, split_part(path, '/', 3) AS experiment_id, len(list_filter(string_split(path, '/'), lambda x: x = 'test' OR starts_with(x, 'test_'))) > 0 AS is_test, translate(path, '/ ', '__') AS safe FROM paths"),
-    "bead_keys": (_bead_keys, "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS INT) - 1 END AS bead FROM part"),
+    "bead_keys": (_bead_keys, "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS INT) - 1 ELSE -1 END AS bead FROM part"),
     "truth_classes": (
         _truth,
         """SELECT p_partkey, 'good_bad' AS scheme, CASE WHEN p_partkey % 4 = 3 THEN 1 ELSE 0 END AS truth, 0 AS default_class FROM part WHERE p_partkey % 4 IN (2, 3)

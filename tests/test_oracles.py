@@ -24,7 +24,7 @@ def plain(df: pd.DataFrame) -> list:
     def one(v):
         if v is None or v is pd.NA or v != v:
             return None
-        return f"{float(v) + 0.0:.5f}" if isinstance(v, float) else str(v)
+        return f"{float(v) + 0.0:.5f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
     columns = sorted(df.columns)
     return sorted(([one(v) for v in row] for row in df[columns].astype(object).itertuples(index=False)), key=str)
