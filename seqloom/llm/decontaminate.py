@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.near_dedup import signature
 from seqloom.llm.shingles import WIDTH, common, shingle_hashes, words
+from seqloom.runtime import frugal
 
 BINS, PERCENT, BLOCK_CHARS = 128, 75, 64_000_000
 
@@ -125,6 +126,7 @@ def find_contamination(
     for ids, texts in _blocks(benchmark, item_col, item_text_col, block_chars):
         held = spark.sparkContext.broadcast((ids, texts))
 
+        @frugal
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             index = ItemIndex(*held.value, bins, percent, width)
             for pdf in batches:
@@ -157,6 +159,7 @@ def decontaminate(
     for ids, texts in _blocks(benchmark, item_col, item_text_col, block_chars):
         held = spark.sparkContext.broadcast((ids, texts))
 
+        @frugal
         def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(*held.value, bins, percent, width)
             for batch in batches:

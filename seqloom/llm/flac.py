@@ -36,6 +36,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.runtime import frugal
+
 BLOCK, RATE = 192, 8000
 #: Coefficients of the fixed predictors: sample i is foretold from those before it, nearest first.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
@@ -532,6 +534,7 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 def with_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): each text's stream."""
 
+    @frugal
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             made = [payload_of(t) for t in pdf["text"]]
@@ -543,6 +546,7 @@ def with_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 def pcm_blocks(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media", block_samples: int = 65_536) -> DataFrame:
     """(id, block, sample_offset, n_samples, pcm): decoded samples as unsigned bytes, in seekable blocks; a null stream has none."""
 
+    @frugal
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf = pdf[pdf["media"].notna()]
@@ -568,6 +572,7 @@ def features(payload: bytes, media: bytes) -> str:
 def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
 
+    @frugal
     def read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             media = pdf["media"].tolist()

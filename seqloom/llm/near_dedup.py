@@ -41,7 +41,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.llm.shingles import WIDTH, common, mixed, shingle_set
-from seqloom.runtime import materialized
+from seqloom.runtime import frugal, materialized
 
 BANDS, ROWS, PERCENT = 28, 3, 75
 #: Ids that are broadcast for a semi join, at most; more are joined by a shuffle.
@@ -94,6 +94,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, width: int) -> DataFrame:
     """(id, n, fp, keys): set size, fingerprint, band keys; keys are null without shingles."""
 
+    @frugal
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             n, fp, keys = [], [], []
@@ -143,6 +144,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width
     """(id, s): the whole set of each document in ``ids``. Ids are broadcast up to a checked number."""
     few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
 
+    @frugal
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "s": [shingle_set(t, width).tobytes() for t in pdf["text"]]})
@@ -174,6 +176,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sent = spark.sparkContext.broadcast(shared)
     hot_ids = spark.createDataFrame([(i,) for i in shared], "centre long")
 
+    @frugal
     def near_hot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = {i: [np.frombuffer(x, np.uint64) for x in xs] for i, xs in sent.value.items()}
         for pdf in batches:
@@ -183,6 +186,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 rows += [(i, c) for c in centres if any(_linked(p, q, percent) for q in of.get(c, ()))]
             yield pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
 
+    @frugal
     def near_cold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(pdf["sa"], pdf["sb"], strict=True)]

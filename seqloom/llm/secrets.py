@@ -33,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.runtime import frugal
+
 KINDS = ("assign", "access", "hex", "literal")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -194,6 +196,7 @@ def written(spans: list[tuple[int, int, str]]) -> str:
 def scan_secrets(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Columns ``keep`` (all by default) with ``secrets``: an array of (kind, start, end, value), base spans and added ones; ``secret_base``: base spans as text."""
 
+    @frugal
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found, base_text = [], []

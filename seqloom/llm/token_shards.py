@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.llm.shingles import mixed
-from seqloom.runtime import shared_dir
+from seqloom.runtime import frugal, shared_dir
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256
@@ -94,6 +94,7 @@ _SCHEMA = pa.schema([("pid", pa.int64()), ("idx", pa.int64()), ("id", pa.int64()
 def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, seq_len: int, end: int) -> DataFrame:
     """One row per sequence; (pid, idx) is its place in the input."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, at, pid = load_tokenizer(tokenizer), 0, TaskContext.get().partitionId()
         for batch in batches:
@@ -170,6 +171,7 @@ def training_order(
 def shard_blobs(ordered: DataFrame) -> DataFrame:
     """One row per shard: its records one after another. ``ordered`` comes from ``training_order``."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, first, parts = None, 0, []
 

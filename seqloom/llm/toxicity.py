@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.runtime import materialized
+from seqloom.runtime import frugal, materialized
 
 #: Starting lexicon, whole words.
 INSULTS = "idiot moron imbecile stupid scum loser worthless pathetic disgusting trash vermin pig bastard bitch cretin halfwit degenerate filth idiota estúpido estúpida imbécil basura asqueroso crétin débile ordure connard salope dégoûtant dummkopf vollidiot abschaum widerlich trottel arschloch".split()
@@ -234,18 +234,27 @@ def learn(sample: DataFrame) -> Grammar:
     if toxic < 3 or toxic == total:
         return default_grammar()
 
+    @frugal
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, a = Counter(), Counter()
+
+        def parts() -> Iterator[pd.DataFrame]:
+            keys = list(n)
+            for at in range(0, len(keys), 20_000):
+                part = keys[at : at + 20_000]
+                yield pd.DataFrame({"stem": [s for s, _ in part], "k": [k for _, k in part], "n": [n[f] for f in part], "a": [a[f] for f in part]})
+            n.clear()
+            a.clear()
+
         for pdf in batches:
             for text, y in zip(pdf["text"], pdf["y"], strict=True):
                 found = stems_of(text)
                 n.update(found)
                 if y:
                     a.update(found)
-        found = list(n)
-        for at in range(0, len(found), 20_000):
-            part = found[at : at + 20_000]
-            yield pd.DataFrame({"stem": [s for s, _ in part], "k": [k for _, k in part], "n": [n[f] for f in part], "a": [a[f] for f in part]})
+                if len(n) > 100_000:  # partial counts are summed below
+                    yield from parts()
+        yield from parts()
 
     counts = sample.select("text", "y").mapInPandas(count, "stem string, k long, n long, a long").groupBy("stem", "k").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
     share = toxic / total
@@ -256,6 +265,7 @@ def learn(sample: DataFrame) -> Grammar:
     features = [(r["stem"], int(r["k"])) for r in top]
     at = {f: i for i, f in enumerate(features)}
 
+    @frugal
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [[at[f] for f in stems_of(t) if f in at] for t in pdf["text"]]
@@ -269,6 +279,7 @@ def learn(sample: DataFrame) -> Grammar:
     found = choose_stems(holders, {i for i, r in enumerate(rows) if r["y"]}, total)
     grammar = Grammar({f"{w}$": 1.0 for w in INSULTS} | found, frozenset(THREATS), _FIXED.copy())
 
+    @frugal
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(grammar)
         for pdf in batches:
@@ -285,6 +296,7 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, *, text_col: str = "text",
     base = docs.select(*[F.col(f"`{c}`") for c in names])
     at = names.index(text_col)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(grammar)
         for batch in batches:
@@ -306,6 +318,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     grammar = learned(spark, docs, sf_dir)
     narrow = docs.select("doc_id", "text")
 
+    @frugal
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(grammar)
         for pdf in batches:

@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.runtime import frugal
+
 _SALTS = np.array([0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31], dtype=np.uint32)
 _UPPER = {c: c + 32 for c in range(65, 91)}
 _WORDS = [f"w{i}" for i in range(8)]
@@ -68,6 +70,7 @@ def build_filter(keys: DataFrame, n_keys: int, max_filter_mb: int = 64) -> np.nd
     """The filter over column ``key``: 16 bits a key up to ``max_filter_mb``, at most one row a block reaches the driver."""
     n_blocks = int(min(max(1, -(-n_keys * 16 // 256)), max_filter_mb * 2**20 // 32))
 
+    @frugal
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             block, bits = _place(_hashes(pdf["key"].tolist()), n_blocks)
@@ -108,6 +111,7 @@ def judge_urls(
     lengths = sorted(r[0] for r in listed.select(F.length("r_path")).distinct().collect())
     held = spark.sparkContext.broadcast(build_filter(listed, n_rules, max_filter_mb))
 
+    @frugal
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = held.value
         for pdf in batches:
