@@ -63,7 +63,12 @@ UNLIKELY = frozenset(
 LIKELY = frozenset("article articlebody content entry main post story maincontent".split())
 
 
-def _unlikely(attrs: str) -> bool:
+#: Words that rule an element out even if another word marks the article; those that rule out an article element.
+STRONG = frozenset("comment comments commentlist ad ads advert advertisement sponsored related share sharing social footer newsletter promo breadcrumb breadcrumbs pagination".split())
+STRONGEST = frozenset("comment comments commentlist ad ads advert advertisement sponsored".split())
+
+
+def _unlikely(attrs: str, name: str = "div") -> bool:
     """Whether class, id, role or a hiding attribute rules an element out."""
     for m in _ATTR.finditer(attrs):
         key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
@@ -77,8 +82,13 @@ def _unlikely(attrs: str) -> bool:
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
                 return True
         elif key in ("class", "id", "role"):
-            words = _WORD.findall(_CAMEL.sub(" ", value).lower())
-            if any(w in UNLIKELY for w in words) and not (key != "role" and any(w in LIKELY for w in words) and not any(w in ("comment", "comments", "ad", "ads", "sidebar") for w in words)):
+            words = set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
+            bad = words & UNLIKELY
+            if bad and name in ("article", "main"):
+                bad &= STRONGEST
+            elif bad and words & LIKELY and key != "role":
+                bad &= STRONG
+            if bad:
                 return True
     return False
 
@@ -166,9 +176,7 @@ class _Page:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(source, at)
                 at = end.end() if end else size
                 continue
-            drop = name in CUT or (name == "header" and "article" not in names) or (attrs and name not in ("html", "body", "article", "main") and _unlikely(attrs))
-            if name in ("article", "main") and attrs and _unlikely(attrs):
-                drop = True
+            drop = name in CUT or (name == "header" and "article" not in names) or (attrs and name not in ("html", "body") and _unlikely(attrs, name))
             if attrs.endswith("/") and not block:
                 continue
             if drop or cut:

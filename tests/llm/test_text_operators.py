@@ -80,6 +80,13 @@ def test_extraction_prefers_article_and_keeps_all_of_it():
     assert text.split("\n") == ["T", *[f"Paragraph {i}, with text." for i in range(300)], "x"]
 
 
+def test_classes_that_mark_an_article_and_more():
+    page = '<body><div class="content with-sidebar"><p>Kept, kept, kept.</p><div class="post-comments"><p>no, no</p></div><div class="entry-footer">no</div></div><aside>no</aside></body>'
+    assert html_text.extract(page) == "Kept, kept, kept."
+    page = '<article class="post tag-social"><p>Kept.</p></article><article class="comment"><p>Long, long, long, long remark.</p></article>'
+    assert html_text.extract(page) == "Kept."
+
+
 def test_extract_pages_columns(spark):
     df = spark.createDataFrame([(1, None, "u", 9), (2, PAGE, None, 8)], "page_id long, html string, url string, n_chars int")
     rows = {r["page_id"]: r for r in html_text.extract_pages(df).collect()}
