@@ -17,7 +17,8 @@ Learning uses labelled rows whose crc32(id) mod 5 is not 0, at most ``sample_row
 (the least by a hash of the id; 8,000 by default, a documented bound). Word stems (prefixes of
 3 to 10 letters, or whole words) enter the lexicon one after another by likelihood ratio:
 how much likelier a toxic document is to hold one, two or three different words with that
-stem, counted on documents that earlier stems don't explain. Fixed lists of common insults,
+stem, counted on documents that earlier stems don't explain. Stems that only come with chosen
+ones join them if nearly all their holders are toxic. Fixed lists of common insults,
 threats, targets, negations and speech verbs start it off. Labels, language, source and id
 are never inputs of a score.
 
@@ -175,7 +176,7 @@ def likelihood_ratio(a: np.ndarray, n: np.ndarray, total_a: float, total: float)
     return np.where(a > n * share, g, 0.0)
 
 
-def choose_stems(holders: dict[tuple[str, int], set[int]], toxic: set[int], total: int, least: float = 22.0, most: int = 200) -> dict[str, float]:
+def choose_stems(holders: dict[tuple[str, int], set[int]], toxic: set[int], total: int, least: float = 16.0, most: int = 200) -> dict[str, float]:
     """Stems in order of their likelihood ratio on documents that earlier ones don't explain, with weights."""
     left_total, gone = total, set()
     chosen: dict[str, float] = {}
@@ -196,7 +197,30 @@ def choose_stems(holders: dict[tuple[str, int], set[int]], toxic: set[int], tota
         gone |= explained
         left_total -= len(explained)
         live = {k: rest for k, v in live.items() if (rest := v - explained) and k[0] != stem}
-    return chosen
+    return chosen | companions(holders, toxic, total, chosen)
+
+
+def companions(holders: dict[tuple[str, int], set[int]], toxic: set[int], total: int, chosen: dict[str, float], purity: float = 0.9, least: float = 60.0) -> dict[str, float]:
+    """Stems that always come with chosen ones: nearly all their holders are toxic, and they take many endings.
+
+    Copies of one document give its words pure holders too, but each such stem only one ending.
+    """
+    endings: dict[str, set[str]] = defaultdict(set)
+    for stem, _ in holders:
+        if not stem.endswith("$"):
+            endings[stem[:-1]].add(stem)
+    keys = [k for k in holders if len(endings.get(k[0], ())) >= 4]
+    n = np.array([len(holders[k]) for k in keys], float)
+    a = np.array([len(holders[k] & toxic) for k in keys], float)
+    g = likelihood_ratio(a, n, len(toxic), total)
+    found: dict[str, float] = {}
+    for i in sorted(range(len(keys)), key=lambda i: (-round(g[i], 6), keys[i][1], -len(keys[i][0]))):
+        stem = keys[i][0]
+        if g[i] < least or a[i] < purity * n[i]:
+            continue
+        if not any(stem.startswith(c.rstrip("$")) or c.startswith(stem) for c in [*chosen, *found]):
+            found[stem] = 1.0
+    return found
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 0.3, steps: int = 40) -> np.ndarray:
