@@ -169,8 +169,8 @@ def relative_regions(script: DataFrame, keys: list[str], speed: float = 0.3, all
     return script.groupBy(*keys).applyInPandas(runs, schema)
 
 
-def clipped(frames: DataFrame, regions: DataFrame, keys: list[str], bucket: float | None = None) -> DataFrame:
-    """(keys, region_id, rn, ...): samples of each closed interval, numbered from 0.
+def clipped(frames: DataFrame, regions: DataFrame, keys: list[str], bucket: float | None = None, within: list[str] | None = None) -> DataFrame:
+    """(keys, region_id, rn, ...): samples of each closed interval, numbered from 0 within ``within`` (the keys by default).
 
     With ``bucket`` seconds, both sides meet by time bucket first: for long traces under few keys.
     """
@@ -183,18 +183,31 @@ def clipped(frames: DataFrame, regions: DataFrame, keys: list[str], bucket: floa
         r = r.where("r0 <= r1").withColumn("__slot", F.explode(F.sequence(slot("r0"), slot("r1"))))
         on.append(F.col("f.__slot") == F.col("r.__slot"))
     joined = f.alias("f").join(r.alias("r"), [*on, F.col("t").between(F.col("r0"), F.col("r1"))])
-    rn = F.row_number().over(W.partitionBy(*[F.col(f"f.{k}") for k in keys], "region_id").orderBy("t", "frame")) - 1
+    rn = F.row_number().over(W.partitionBy(*[F.col(f"f.{k}") for k in (within or keys)], "region_id").orderBy("t", "frame")) - 1
     return joined.select("f.*", "region_id", rn.alias("rn")).drop("__slot")
 
 
-def extensions(frames: DataFrame, script: DataFrame, keys: list[str], kind: str = "force", equation: str = "default", **options) -> DataFrame:
+def extensions(frames: DataFrame, script: DataFrame, keys: list[str], kind: str = "force", equation: str = "default", within: list[str] | None = None, **options) -> DataFrame:
     """Samples of each region with position, rotation and force; a trace without regions is one whole region."""
     placed = actuator_at(actuator_at(frames, script, keys, "mag_pos"), script, keys, "mag_rot")
     placed = placed.withColumn("force", force_of(F.coalesce("mag_pos", F.lit(0.0)), equation))
     regions = force_regions(script, keys, **options) if kind == "force" else rotation_regions(script, keys, **options)
     spans = frames.groupBy(*keys).agg(F.min("t").alias("a"), F.max("t").alias("b"))
     whole = spans.join(regions.select(*keys).distinct(), keys, "left_anti").select(*keys, F.lit(0).cast("bigint").alias("region_id"), F.col("a").alias("t0"), F.col("b").alias("t1"))
-    return clipped(placed, regions.withColumn("region_id", F.col("region_id").cast("bigint")).unionByName(whole), keys)
+    return clipped(placed, regions.withColumn("region_id", F.col("region_id").cast("bigint")).unionByName(whole), keys, within=within)
+
+
+def common_length(df: DataFrame, keys: list[str], columns: list[str], order: str = "frame") -> DataFrame:
+    """Rows up to the shortest of the columns: the least count of known values among them."""
+    w = W.partitionBy(*keys)
+    shortest = F.least(*[F.count(c).over(w) for c in columns]) if len(columns) > 1 else F.count(columns[0]).over(w)
+    rows = df.withColumn("__n", shortest).withColumn("__rn", F.row_number().over(w.orderBy(order)))
+    return rows.where(F.col("__rn") <= F.col("__n")).drop("__n", "__rn")
+
+
+def preferred(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``first``; where a key has none there, those of ``second``."""
+    return first.unionByName(second.join(first.select(*keys).distinct(), keys, "left_anti"))
 
 
 def regions_in_range(frames: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:

@@ -58,9 +58,17 @@ def blocks(data: bytes, permissive: bool = False) -> Iterator[np.ndarray]:
         yield block
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of a file, or of all block files below a folder."""
+    reader = spark.read.format("binaryFile")
+    if not path.endswith(".npy"):
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.npy")
+    return reader.load(path).select("path", "content")
+
+
 def read_blocks(spark: SparkSession, path: str, *, pixel_units: bool = False, permissive: bool = False) -> DataFrame:
     """(path, frame, bead, axis, v) of every sample; values times the axis scale unless in pixel units."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = _files(spark, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -82,7 +90,7 @@ def read_blocks(spark: SparkSession, path: str, *, pixel_units: bool = False, pe
 
 def read_shapes(spark: SparkSession, path: str) -> DataFrame:
     """(path, frames, first_block_frames, beads, blocks) from the headers only."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = _files(spark, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 MISSING = "-1.#IND000"
 
 
-def lines(spark: SparkSession, path: str, numbered: bool = True) -> DataFrame:
-    """(path, line, value) of text files, lines numbered in file order.
+def lines(spark: SparkSession, path: str, numbered: bool = True, name: str | None = None) -> DataFrame:
+    """(path, line, value) of text files, lines numbered in file order; with ``name``, of all files of that name below a folder.
 
     Numbering reads a file as one row. Large sample files are read with ``numbered=False``: they
     are split over tasks, ``line`` is null, and their time column gives the order.
     """
+    below = {"recursiveFileLookup": True, "pathGlobFilter": name} if name else {}
     if numbered:
-        raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+        raw = spark.read.text(path, wholetext=True, **below).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
     else:
-        raw = spark.read.text(path).select(F.input_file_name().alias("path"), F.lit(None).cast("int").alias("line"), "value")
+        raw = spark.read.text(path, **below).select(F.input_file_name().alias("path"), F.lit(None).cast("int").alias("line"), "value")
     return raw.where(F.length(F.trim("value")) > 0)
 
 
