@@ -121,7 +121,7 @@ def force_regions(
     if min_distance > 0:
         rows = rows.where(F.abs(F.col("mag_pos") - F.col("prev")) >= min_distance)
     end = F.col("t1") if use_move_duration else F.coalesce("next", "t1")
-    number = F.row_number().over(w) - 1
+    number = F.row_number().over(w).cast("long") - 1
     return rows.select(*keys, number.alias("region_id"), "t0", end.alias("t1"))
 
 
@@ -183,7 +183,7 @@ def clipped(frames: DataFrame, regions: DataFrame, keys: list[str], bucket: floa
         r = r.where("r0 <= r1").withColumn("__slot", F.explode(F.sequence(slot("r0"), slot("r1"))))
         on.append(F.col("f.__slot") == F.col("r.__slot"))
     joined = f.alias("f").join(r.alias("r"), [*on, F.col("t").between(F.col("r0"), F.col("r1"))])
-    rn = F.row_number().over(W.partitionBy(*[F.col(f"f.{k}") for k in (within or keys)], "region_id").orderBy("t", "frame")) - 1
+    rn = F.row_number().over(W.partitionBy(*[F.col(f"f.{k}") for k in (within or keys)], "region_id").orderBy("t", "frame")).cast("long") - 1
     return joined.select("f.*", "region_id", rn.alias("rn")).drop("__slot")
 
 

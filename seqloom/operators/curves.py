@@ -27,7 +27,7 @@ def energy_curve(df: DataFrame, keys: list[str]) -> DataFrame:
     w = W.partitionBy(*keys).orderBy("x", "frame")
     dx = F.col("x") - F.lag("x").over(w)
     area = F.when(dx != 0, 0.5 * (F.col("f") + F.lag("f").over(w)) * dx).otherwise(F.lit(0.0))
-    stepped = known(df).withColumn("rn", F.row_number().over(w) - 1).withColumn("area", F.coalesce(area, F.lit(0.0)))
+    stepped = known(df).withColumn("rn", F.row_number().over(w).cast("long") - 1).withColumn("area", F.coalesce(area, F.lit(0.0)))
     return stepped.withColumn("e", F.sum("area").over(w.rowsBetween(*UP_TO_HERE))).drop("area")
 
 

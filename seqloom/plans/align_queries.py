@@ -16,7 +16,7 @@ _SCR = "WITH " + SCRIPT
 def _interval_rows(s, d):
     """Orders of a customer as interval rows: hours since 1 January of the year as dt, price as position."""
     o = table(s, d, "orders")
-    seq = F.row_number().over(op.W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    seq = F.row_number().over(op.W.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long") - 1
     return o.select(
         F.col("o_custkey").alias("bead"), seq.alias("seq"), (F.when(seq == 0, F.col("o_custkey") % 2) .otherwise(F.col("o_orderkey") % 11)).cast("double").alias("dt"), (F.col("o_orderkey") % 97 / 10.0).alias("pos"),
         F.when(F.col("o_orderkey") % 3 == 0, 0.0).otherwise(0.7).alias("speed"), F.lit(0.0).alias("rot"), F.lit(1.0).alias("rot_speed"),

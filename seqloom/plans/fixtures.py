@@ -16,7 +16,7 @@ def trace(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     t = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") / 1e6
     frame = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return e.select((F.col("user_id") % 10).alias("exp_id"), F.col("user_id").alias("bead"), frame.alias("frame"), t.alias("t"), F.col("value").alias("z"), "event_type", "event_id")
+    return e.select((F.col("user_id") % 10).alias("exp_id"), F.col("user_id").alias("bead"), frame.cast("long").alias("frame"), t.alias("t"), F.col("value").alias("z"), "event_type", "event_id")
 
 
 TRACE = """trace AS (SELECT user_id % 10 AS exp_id, user_id AS bead, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame,
@@ -51,7 +51,7 @@ def script(spark: SparkSession, d: str) -> DataFrame:
     moves = e.select(
         F.col("user_id").alias("bead"), "event_id", t.alias("t0"), (k / 10.0).alias("mag_pos"), F.when(k % 2 == 0, 0.3).otherwise(0.5).alias("mag_speed"), F.greatest(k - 60, F.lit(0)).cast("double").alias("mag_rot"), F.lit(1.0).alias("rot_speed")
     )
-    moves = moves.withColumn("seq", F.row_number().over(w) - 1)
+    moves = moves.withColumn("seq", (F.row_number().over(w) - 1).cast("long"))
     travel = 3600.0 * F.abs(F.col("mag_pos") - F.lag("mag_pos", 1, 0.0).over(w)) / F.col("mag_speed")
     return moves.withColumn("t1", F.col("t0") + travel).select("bead", "seq", "t0", "t1", "mag_pos", "mag_speed", "mag_rot", "rot_speed")
 

@@ -105,11 +105,11 @@ SELECT feature, round(ks_stat, 6) AS ks_stat, round(wasserstein, 6) AS wasserste
     ),
     "resampled_traces": (
         lambda s, d: long(op.resampled_traces(trace(s, d), B, 32), B, "z"),
-        "WITH " + TRACE + ", " + _ARR + """, p AS (SELECT bead, z, n, i AS pos, i * (n - 1) / 31.0::DOUBLE AS p FROM arr, range(32) r(i))
+        "WITH " + TRACE + ", " + _ARR + """, p AS (SELECT bead, z, n, CAST(i AS INT) AS pos, i * (n - 1) / 31.0::DOUBLE AS p FROM arr, range(32) r(i))
 SELECT bead, pos, round(z[CAST(least(floor(p), n - 1) AS INT) + 1] + (z[CAST(least(floor(p) + 1, n - 1) AS INT) + 1] - z[CAST(least(floor(p), n - 1) AS INT) + 1]) * (p - floor(p)), 6) AS v FROM p""",
     ),
     "trace_segments": (
-        lambda s, d: rounded(op.segmented(trace(s, d), B, 16, 8).select("bead", "segment", "start", F.aggregate("z", F.lit(0.0), lambda a, x: a + x).alias("total"))),
+        lambda s, d: rounded(op.segmented(trace(s, d), B, 16, 8).select("bead", F.col("segment").cast("long").alias("segment"), F.col("start").cast("long").alias("start"), F.aggregate("z", F.lit(0.0), lambda a, x: a + x).alias("total"))),
         "WITH " + TRACE + ", " + _ARR + " SELECT bead, CAST(i AS BIGINT) AS segment, 8 * i AS start, round(list_sum(z[8 * i + 1: 8 * i + 16]), 6) AS total FROM arr, range(2000) r(i) WHERE 8 * i + 16 <= n",
     ),
     "trace_gaps_interpolated": (lambda s, d: rounded(op.gaps_interpolated(holed(s, d), B).select("bead", "frame", "z"), digits=4), "WITH " + HOLED + _KNOWN),
@@ -119,11 +119,11 @@ SELECT bead, pos, round(z[CAST(least(floor(p), n - 1) AS INT) + 1] + (z[CAST(lea
     ),
     "padded_to_median": (
         lambda s, d: long(op.padded_to_median(trace(s, d), B), B, "z"),
-        "WITH " + TRACE + ", " + _ARR + ", m AS (SELECT CAST(floor(median(n)) AS INT) AS m FROM arr) SELECT bead, i AS pos, round(z[least(i + 1, n)], 6) AS v FROM arr, m, range(5000) r(i) WHERE i < m",
+        "WITH " + TRACE + ", " + _ARR + ", m AS (SELECT CAST(floor(median(n)) AS INT) AS m FROM arr) SELECT bead, CAST(i AS INT) AS pos, round(z[least(i + 1, n)], 6) AS v FROM arr, m, range(5000) r(i) WHERE i < m",
     ),
     "padded_to_longest": (
         lambda s, d: long(op.padded_to_longest(trace(s, d), B), B, "z"),
-        "WITH " + TRACE + ", " + _ARR + ", m AS (SELECT max(n) AS m FROM arr) SELECT bead, i AS pos, round(CASE WHEN i < n THEN z[i + 1] END, 6) AS v FROM arr, m, range(5000) r(i) WHERE i < m",
+        "WITH " + TRACE + ", " + _ARR + ", m AS (SELECT max(n) AS m FROM arr) SELECT bead, CAST(i AS INT) AS pos, round(CASE WHEN i < n THEN z[i + 1] END, 6) AS v FROM arr, m, range(5000) r(i) WHERE i < m",
     ),
     "time_split": (
         lambda s, d: rounded(op.time_split(trace(s, d), B, 400000.0, 100000.0).select("bead", "piece", "frame", "t", "z"), digits=4),
