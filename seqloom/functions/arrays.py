@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 NAN = float("nan")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
@@ -33,7 +38,8 @@ def linspace_positions(n: Column, k: int) -> Column:
 
 def resampled(values: Column, k: int) -> Column:
     """An array of n values stretched to k by linear interpolation; empty stays empty."""
-    return F.when(F.size(values) > 0, F.transform(linspace_positions(F.size(values), k), lambda p: at_position(values, p))).otherwise(F.array().cast("array<double>"))
+    stretch = lambda v: F.transform(linspace_positions(F.size(v), k), lambda p: at_position(v, p))
+    return let(values, lambda v: F.when(F.size(v) > 0, stretch(v)).otherwise(F.array().cast("array<double>")))
 
 
 def padded(values: Column, k, fill: Column) -> Column:
@@ -48,21 +54,29 @@ def edge_padded(values: Column, k) -> Column:
 
 def fitted(values: Column, k: int) -> Column:
     """NaN-padded if short, else resampled to k."""
-    return F.when(F.size(values) <= k, padded(values, k, F.lit(NAN))).otherwise(resampled(values, k))
+    return let(values, lambda v: F.when(F.size(v) <= k, padded(v, k, F.lit(NAN))).otherwise(resampled(v, k)))
 
 
 def normalised(values: Column) -> Column:
     """Scaled to 0..1 by the known values; unchanged if they don't vary."""
-    known = F.filter(values, lambda x: ~F.isnan(x))
-    low, high = F.array_min(known), F.array_max(known)
-    return F.when(high > low, F.transform(values, lambda x: (x - low) / (high - low))).otherwise(values)
+
+    def scaled(v: Column) -> Column:
+        known = F.filter(v, lambda x: ~F.isnan(x))
+        bounds = F.struct(F.array_min(known).alias("low"), F.array_max(known).alias("high"))
+        return let(bounds, lambda b: F.when(b["high"] > b["low"], F.transform(v, lambda x: (x - b["low"]) / (b["high"] - b["low"]))).otherwise(v))
+
+    return let(values, scaled)
 
 
 def slopes(values: Column, step: float) -> Column:
     """Forward differences over a grid of even steps; the last repeats the one before."""
-    n = F.size(values)
-    inner = F.transform(F.sequence(F.lit(1), n - 1), lambda i: (F.element_at(values, i + 1) - F.element_at(values, i)) / F.lit(step))
-    return F.when(n > 1, F.concat(inner, F.array(F.element_at(inner, -1)))).otherwise(F.transform(values, lambda _: F.lit(0.0)))
+
+    def of(v: Column) -> Column:
+        n = F.size(v)
+        inner = F.transform(F.sequence(F.lit(1), n - 1), lambda i: (F.element_at(v, i + 1) - F.element_at(v, i)) / F.lit(step))
+        return F.when(n > 1, let(inner, lambda d: F.concat(d, F.array(F.element_at(d, -1))))).otherwise(F.transform(v, lambda _: F.lit(0.0)))
+
+    return let(values, of)
 
 
 def segments(values: Column, length: int, stride: int) -> Column:
@@ -73,6 +87,5 @@ def segments(values: Column, length: int, stride: int) -> Column:
 
 def even_subsample(values: Column, k: int) -> Column:
     """All values if there are at most k, else those at the truncated even positions."""
-    n = F.size(values)
-    picked = F.transform(linspace_positions(n, k), lambda p: F.element_at(values, F.floor(p).cast("int") + 1))
-    return F.when(n <= k, values).otherwise(picked)
+    picked = lambda v: F.transform(linspace_positions(F.size(v), k), lambda p: F.element_at(v, F.floor(p).cast("int") + 1))
+    return let(values, lambda v: F.when(F.size(v) <= k, v).otherwise(picked(v)))

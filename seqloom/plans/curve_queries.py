@@ -36,7 +36,7 @@ def _rep(name):
 
 
 def _pct(expr: str) -> str:
-    return _C + ", " + _PCT + f" SELECT exp_id, bead, pos, round({expr}, 6) AS v FROM pct" + _WIN
+    return _C + ", " + _PCT + f" SELECT exp_id, bead, pos, round({expr}, 6) + 0.0::DOUBLE AS v FROM pct" + _WIN
 
 
 def _matrix(s, d):
@@ -72,13 +72,8 @@ _DIST = "de AS (SELECT vec_id % 5 AS grp, vec_id, label, pow(list_sum(list_trans
 
 _ROTP = "rp AS (SELECT exp_id, bead, list(z ORDER BY rot, frame) AS zs, list(rot ORDER BY rot, frame) AS rs, count(*) AS n FROM turns GROUP BY 1, 2 HAVING count(*) >= 2)"
 
-QUERIES = {
-    "energy_curve": (lambda s, d: rounded(op.energy_curve(curves(s, d), K).select("exp_id", "bead", "rn", "x", "e")), _C + " SELECT exp_id, bead, rn, round(x, 6) AS x, round(e, 6) AS e FROM energy"),
-    "energy_totals": (lambda s, d: rounded(op.energy_totals(curves(s, d), K)), _C + " SELECT exp_id, bead, round(max_by(e, rn), 6) AS total_energy, round(max(e), 6) AS max_energy, count(*) AS n FROM energy GROUP BY 1, 2 HAVING count(*) >= 2"),
-    "range_outliers": (lambda s, d: rounded(op.range_outliers(curves(s, d), ["exp_id"], "bead")), _C + ", " + _OUT + " SELECT exp_id, bead, round(lo, 6) AS lo, round(hi, 6) AS hi, round(r, 6) AS range, good FROM og"),
-    "energy_matrix": (
-        _matrix,
-        _C + ", " + _OUT + f""", bd AS (SELECT exp_id, min(lo) AS g0, max(hi) AS g1 FROM og WHERE good GROUP BY 1),
+def _grid_sql(bounds: str, digits: int) -> str:
+    return _C + ", " + _OUT + f""", bd AS (SELECT exp_id, {bounds} FROM og WHERE good GROUP BY 1),
 want AS (SELECT o.exp_id, o.bead, CAST(i AS INT) AS pos, g0 + (g1 - g0) * i / {N - 1}.0::DOUBLE AS g FROM og o JOIN bd USING (exp_id), range({N}) r(i) WHERE good),
 pts AS (SELECT bead, rn AS k, x AS s, e AS y FROM energy), {_INTERP},
 mx AS (SELECT exp_id, bead, max(v) AS top, max(v) - min(v) AS span FROM v GROUP BY 1, 2 HAVING max(v) IS NOT NULL),
@@ -86,9 +81,21 @@ md AS (SELECT *, median(top) OVER (PARTITION BY exp_id) AS tm, median(span) OVER
 mm AS (SELECT *, abs(top - tm) AS td, abs(span - sm) AS sd FROM md),
 mk AS (SELECT *, median(td) OVER (PARTITION BY exp_id) AS t1, median(sd) OVER (PARTITION BY exp_id) AS s1, stddev_pop(top) OVER (PARTITION BY exp_id) AS t2, stddev_pop(span) OVER (PARTITION BY exp_id) AS s2 FROM mm),
 kept AS (SELECT bead FROM mk WHERE td <= 2.5 * CASE WHEN t1 > 0 THEN t1 WHEN t2 > 0 THEN t2 ELSE 1 END AND sd <= 2.5 * CASE WHEN s1 > 0 THEN s1 WHEN s2 > 0 THEN s2 ELSE 1 END)
-SELECT exp_id, bead, pos, round(v, 4) AS v FROM v WHERE bead IN (SELECT bead FROM kept)""",
+SELECT exp_id, bead, pos, round(v, {digits}) AS v FROM v WHERE bead IN (SELECT bead FROM kept)"""
+
+
+_COMMON = "CASE WHEN max(lo) < min(hi) THEN max(lo) ELSE avg(lo) END AS g0, CASE WHEN max(lo) < min(hi) THEN min(hi) ELSE avg(hi) END AS g1"
+
+QUERIES = {
+    "energy_curve": (lambda s, d: rounded(op.energy_curve(curves(s, d), K).select("exp_id", "bead", "rn", "x", "e")), _C + " SELECT exp_id, bead, rn, round(x, 6) AS x, round(e, 6) AS e FROM energy"),
+    "energy_totals": (lambda s, d: rounded(op.energy_totals(curves(s, d), K)), _C + " SELECT exp_id, bead, round(max_by(e, rn), 6) AS total_energy, round(max(e), 6) AS max_energy, count(*) AS n FROM energy GROUP BY 1, 2 HAVING count(*) >= 2"),
+    "range_outliers": (lambda s, d: rounded(op.range_outliers(curves(s, d), ["exp_id"], "bead")), _C + ", " + _OUT + " SELECT exp_id, bead, round(lo, 6) AS lo, round(hi, 6) AS hi, round(r, 6) AS range, good FROM og"),
+    "energy_matrix": (
+        _matrix,
+        _grid_sql("min(lo) AS g0, max(hi) AS g1", 4),
     ),
-    "representation_common_grid_intersection": (_rep("common_grid_intersection"), None),
+    "representation_common_grid_intersection": (lambda s, d: long(op.represented(curves(s, d), K, "common_grid_intersection", N), K, digits=4), _grid_sql(_COMMON, 4)),
+    "representation_common_grid_union": (lambda s, d: long(op.represented(curves(s, d), K, "common_grid_union", N), K, digits=4), _grid_sql(_COMMON, 4)),
     "representation_percentile_grid": (_rep("percentile_grid"), _pct("ev")),
     "representation_percentile_grid_normalised": (_rep("percentile_grid_normalised"), _pct(_NORM.format(c="ev"))),
     "representation_energy_slope_percentile": (_rep("energy_slope_percentile"), _pct(_SLOPE.format(c="ev", last=N - 1, step=_STEP))),
