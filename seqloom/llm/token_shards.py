@@ -24,6 +24,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -131,8 +132,6 @@ def training_order(
 
     A partition holds one shard, or several neighbours if there are more than ``max_partitions``.
     """
-    import uuid
-
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     made = tokenized(docs, id_col, text_col, tokenizer, seq_len, end)
