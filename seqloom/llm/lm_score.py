@@ -1,28 +1,35 @@
-"""LM scoring: cross-entropy difference of two matched n-gram models.
+"""LM scoring: cross-entropy difference of two matched n-gram models of words.
 
 The target model is counted over all documents of the target set, the background model over
-all documents. Both are byte trigram models over one vocabulary, the 256 byte values and an
-end sign, with the same interpolation:
+all documents. Both are word bigram models over one vocabulary, the V different words of
+all documents (lower-case runs, as in ``shingles``) and an end sign, with the same
+interpolation:
 
-    p1(z)      = (c(z) + 1) / (N + 257)
-    p2(z|y)    = (c(yz)  + M * p1(z))   / (c(y)  + M)
-    p3(z|x,y)  = (c(xyz) + M * p2(z|y)) / (c(xy) + M)
+    p1(z)   = (c(z)  + 1) / (N + V + 2)
+    p2(z|y) = (c(yz) + M * p1(z)) / (c(y) + M)
 
-A document starts after two end signs and closes with one. Its score is the mean over its
-tokens of target loss minus background loss, in bits: below 0 it resembles the target set
+A document starts after a start sign and closes with the end sign. Its score is the mean over
+its tokens of target loss minus background loss, in bits: below 0 it resembles the target set
 more than the corpus at large.
 
-Counts are exact and cover every whole text. The vocabulary bounds them: there are at most
-257 ** 3 trigrams whatever the corpus, so the two models are tables of proven size (68 MB
-each as 32-bit floats at the very most; only trigrams that occur are sent) and may be
-broadcast. Each task counts its documents by sorting trigram codes; tasks' counts are summed
-by a shuffle. Scoring looks tokens up in the tables, a whole text at a time.
-
-Target membership joins documents with labels by id; a hot source or text doesn't matter to
-it. Defined results: null and empty texts have only the end sign as token and get its score;
-a null id is never in the target set; repeated rows count and score as often as they occur;
-without any target document the target model is the background model and all scores are 0;
-extra columns are dropped unless named in ``keep``; an empty table gives an empty result.
+Counts are exact (up to collisions of 63-bit hashes), cover every whole text and grow with the
+corpus, so no task and not the driver ever holds a model. Documents are packed into batches of
+about ``BATCH`` bytes, kept in the shared folder. Each batch sends its different words and
+bigrams, counted, to parts of the hash range; a part adds them up over all batches and answers
+each batch with the totals of just the entries that it sent. Batches meet their answers by a
+join on the batch and score their texts. A word in every document is one entry a batch, so a
+hot word, source or text doesn't make a hot part.
+
+Target membership joins documents with labels by id. Defined results: null and empty texts
+have only the end sign as token and get its score; a null id is never in the target set;
+repeated rows count and score as often as they occur; without any target document the target
+model is the background model and all scores are 0; extra columns are dropped unless named in
+``keep``; an empty table gives an empty result.
+
+``train`` and ``score_documents`` are the same on bytes instead of words, for texts without
+word boundaries: trigrams of the 256 byte values and an end sign, interpolated as p1 to p3. There
+are at most 257 ** 3 of these whatever the corpus, so the two models may be broadcast. The
+registered query doesn't use them.
 """
 
 from __future__ import annotations
@@ -31,16 +38,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.runtime import frugal
+from seqloom.llm.shingles import mixed
+from seqloom.runtime import frugal, materialized
 
 SIZE = 257
 END = 256
 MASS = 8.0
 #: Bytes that a counting step holds before it sorts and adds up.
 CHUNK = 4 << 20
+#: Bytes of text after which a batch of documents is closed; parts of the hash range, at least.
+BATCH, PARTS = 8 << 20, 64
+_ONE, _GOLD = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
+#: Hashes of the signs; no word holds a blank.
+_START, _STOP = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" start", b" stop"))
 
 
 def codes(text: str | None) -> np.ndarray:
@@ -171,10 +187,161 @@ def score_documents(docs: DataFrame, scorer: Scorer, *, text_col: str = "text",
     return taken.mapInPandas(run, f"{schema}n_tokens long, target_loss double, background_loss double, score double")
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """64-bit values by byte planes, compressed: planes of zeros vanish."""
+    planes = np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    planes = np.frombuffer(pa.decompress(blob[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel()
+
+
+def _batches(docs: DataFrame, text_col: str, target_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """(batch, texts, target, keep as arrays): one row for each ``BATCH`` bytes of a task's documents."""
+    taken = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"), F.coalesce(F.col(target_col), F.lit(False)).alias("target"))
+
+    @frugal
+    def pack(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId(), 0
+        pieces: list[pa.RecordBatch] = []
+        held: list[bytes] = []
+        size = 0
+
+        def row() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(pieces).combine_chunks()
+            kept = [pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column(i).combine_chunks()) for i in range(len(keep))]
+            lengths = _packed(np.array([len(t) for t in held]))
+            target = _packed(np.array(rows.column("target").to_pylist()))
+            texts = pa.compress(b"".join(held), codec="zstd", asbytes=True)
+            columns = [pa.array([task << 32 | number], pa.int64()), *[pa.array([x], pa.binary()) for x in (lengths, target, texts)], *kept]
+            return pa.RecordBatch.from_arrays(columns, names=["batch", "lengths", "target", "texts", *[f"k{i}" for i in range(len(keep))]])
+
+        for piece in found:
+            first = 0
+            for at, text in enumerate(piece.column("text").to_pylist()):
+                held.append(text.encode("utf-8", "surrogatepass") if text else b"")
+                size += len(held[-1])
+                if size >= BATCH:
+                    pieces.append(piece.slice(first, at + 1 - first))
+                    yield row()
+                    pieces, held, size, first, number = [], [], 0, at + 1, number + 1
+            if first < piece.num_rows:
+                pieces.append(piece.slice(first))
+        if held:
+            yield row()
+
+    arrays = "".join(f", {f.name} array<{f.dataType.simpleString()}>" for f in taken.schema if f.name not in ("text", "target"))
+    return materialized(taken.mapInArrow(pack, f"batch long, lengths binary, target binary, texts binary{arrays}"))
+
+
+class _Batch:
+    """Tokens of a batch: ``keys`` are its different words (even) and bigrams (odd), sorted."""
+
+    def __init__(self, lengths: bytes, texts: bytes) -> None:
+        size = _unpacked(lengths).astype(np.int64)
+        raw, at, parts = pa.decompress(texts, decompressed_size=int(size.sum()), codec="zstd", asbytes=True), 0, []
+        self.n = np.ones(len(size), np.int64)
+        for i, n in enumerate(size):
+            tokens = raw[at : at + n].lower().split()  # as shingles.words
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+            parts += [[_START], hashes, [_STOP]]
+            self.n[i] += len(tokens)
+            at += n
+        every = np.concatenate(parts).astype(np.uint64)
+        after = np.ones(len(every), bool)
+        after[np.append(0, np.cumsum(self.n + 1)[:-1])] = False
+        now = np.flatnonzero(after)
+        one = every & ~_ONE
+        two = mixed(mixed(every[now - 1] * _GOLD) ^ every[now]) | _ONE
+        self.keys, place = np.unique(np.concatenate([one[now], two]), return_inverse=True)
+        self.word, self.pair = place[: len(now)], place[len(now) :]
+        # the word before each token; the start sign occurs as often as the end sign
+        self.before = np.empty(len(every), np.int64)
+        self.before[now] = self.word
+        starts = np.flatnonzero(~after)
+        self.before[starts] = np.searchsorted(self.keys, _STOP & ~_ONE)
+        self.before = self.before[now - 1]
+        self.doc = np.repeat(np.arange(len(size)), self.n)
+
+    def counts(self, weight: np.ndarray | None = None) -> np.ndarray:
+        each = None if weight is None else np.tile(weight[self.doc], 2)
+        return np.bincount(np.concatenate([self.word, self.pair]), each, len(self.keys)).astype(np.int64)
+
+    def parts(self, parts: int) -> np.ndarray:
+        """Part of each key, rising with it."""
+        return (((self.keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+    def losses(self, counts: np.ndarray, total: int, size: int) -> np.ndarray:
+        """Mean loss of each document by the whole corpus's ``counts`` of the keys."""
+        p1 = (counts[self.word] + 1.0) / (total + size + 1)
+        p2 = (counts[self.pair] + MASS * p1) / (counts[self.before] + MASS)
+        return np.bincount(self.doc, -np.log2(p2), len(self.n)) / self.n
+
+
+def _answers(batches: DataFrame, parts: int) -> DataFrame:
+    """(batch, part, n_all, n_target, size, all, target): corpus counts of a batch's keys; sizes and totals once a part."""
+
+    @frugal
+    def ask(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in found:
+            for batch, lengths, target, texts in zip(pdf["batch"], pdf["lengths"], pdf["target"], pdf["texts"], strict=True):
+                b = _Batch(lengths, texts)
+                n, t, part = b.counts(), b.counts(_unpacked(target).astype(np.float64)), b.parts(parts)
+                edges = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
+                rows = []
+                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                    steps = np.diff(b.keys[lo:hi], prepend=np.uint64(0))
+                    rows.append((int(part[lo]), batch, _packed(steps), _packed(n[lo:hi]), _packed(t[lo:hi])))
+                yield pd.DataFrame(rows, columns=["part", "batch", "keys", "n", "t"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.cumsum(_unpacked(x)) for x in pdf["keys"]]
+        values, place = np.unique(np.concatenate(keys), return_inverse=True)
+        n, t = (np.bincount(place, np.concatenate([_unpacked(x) for x in pdf[c]]), len(values)).astype(np.int64) for c in "nt")
+        even = (values & _ONE) == 0
+        out, at = pdf[["batch", "part"]].copy(), np.cumsum([0, *map(len, keys)])
+        spans = [place[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        out["n"], out["t"] = [_packed(n[x]) for x in spans], [_packed(t[x]) for x in spans]
+        out["size"], out["all"], out["target"] = 0, 0, 0
+        out.iloc[0, -3:] = [int(even.sum()), int(n[even].sum()), int(t[even].sum())]
+        return out
+
+    asked = batches.select("batch", "lengths", "target", "texts").mapInPandas(ask, "part long, batch long, keys binary, n binary, t binary")
+    return materialized(asked.groupBy("part").applyInPandas(add, "batch long, part long, n binary, t binary, size long, all long, target long"))
+
+
+def score_words(docs: DataFrame, *, text_col: str = "text", target_col: str = "target", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep`` with n_tokens, target_loss, background_loss and ``score`` by word models of all rows of ``docs``."""
+    batches = _batches(docs, text_col, target_col, keep)
+    answers = _answers(batches, max(PARTS, batches.count() // 2))
+    total = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("size", "all", "target")]).first()
+    size, n_all, n_target = total["size"], total["all"], total["target"]
+
+    @frugal
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in found:
+            for i in range(rows.num_rows):
+                row = rows.slice(i, 1)
+                b = _Batch(row.column("lengths")[0].as_py(), row.column("texts")[0].as_py())
+                told = row.column("answers")[0].as_py()
+                n, t = (np.concatenate([_unpacked(x[c]) for x in told]).astype(np.float64) for c in "nt")
+                background = b.losses(n, n_all, size)
+                target = b.losses(t, n_target, size) if n_target else background
+                kept = [row.column(f"k{k}").flatten() for k in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(b.n), *map(pa.array, (target, background, target - background))], names=[*keep, *measures])
+
+    measures = ("n_tokens", "target_loss", "background_loss", "score")
+    by_batch = answers.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("part", "n", "t"))).alias("answers"))
+    schema = "".join(f"`{c}` {docs.select(F.col(f'`{c}`')).schema[0].dataType.simpleString()}, " for c in keep)
+    return batches.join(by_batch.hint("merge"), "batch").mapInArrow(run, f"{schema}n_tokens long, target_loss double, background_loss double, score double")
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id").distinct()
     # labels grow with the documents: both sides are dealt by id at every size
     marked = docs.select("doc_id", "text").join(good.withColumn("target", F.lit(True)).hint("merge"), "doc_id", "left")
-    scorer = train(marked.withColumn("target", F.coalesce("target", F.lit(False))))
-    return score_documents(docs, scorer)
+    return score_words(marked)

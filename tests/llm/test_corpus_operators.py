@@ -246,6 +246,44 @@ def test_lm_scores_against_direct_counts(spark):
     assert all(r["score"] == 0 for r in lm_score.score_documents(none, lm_score.train(none)).collect())
 
 
+def test_word_scores_against_direct_counts(spark, monkeypatch):
+    docs = [(1, "the cat  sat", True), (2, "the dog sat on The cat", False), (3, None, False), (4, "cat the sat", True), (5, "", None), (5, "", None), (None, "dog\tcat " * 900, False)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, target boolean")
+    monkeypatch.setattr(lm_score, "BATCH", 20)
+    one, two = ({k: collections.Counter() for k in (False, True)} for _ in range(2))
+    for _, t, g in docs:
+        w = [b"<", *words(t), b">"]
+        for kind in {False, bool(g)}:
+            one[kind].update(w[1:])
+            two[kind].update(zip(w, w[1:]))
+
+    def loss(kind, t):
+        w, n, out = [b"<", *words(t), b">"], sum(one[kind].values()), []
+        for y, z in zip(w, w[1:]):
+            p1 = (one[kind][z] + 1) / (n + len(one[False]) + 1)
+            out.append(-math.log2((two[kind][y, z] + 8 * p1) / (one[kind][b">" if y == b"<" else y] + 8)))
+        return sum(out) / len(out)
+
+    rows = lm_score.score_words(df).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        text = next(t for i, t, _ in docs if i == r["doc_id"])
+        assert r["n_tokens"] == len(words(text)) + 1
+        assert math.isclose(r["target_loss"], loss(True, text), rel_tol=1e-9) and math.isclose(r["background_loss"], loss(False, text), rel_tol=1e-9)
+        assert r["score"] == r["target_loss"] - r["background_loss"]
+    seen = {r["doc_id"]: r["background_loss"] for r in rows}
+    assert abs(seen[1] - seen[4]) > 0.01  # the order of the same words counts
+    assert all(r["score"] == 0 for r in lm_score.score_words(df.withColumn("target", F.lit(False))).collect())
+    assert lm_score.score_words(df.where("false")).count() == 0
+
+
+def test_lm_query_scores_words(spark, tmp_path):
+    spark.createDataFrame([(1, "ab cd"), (2, "cd ab ab")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = {r["doc_id"]: r for r in lm_score.op10_lm_score(spark, str(tmp_path)).collect()}
+    assert rows[1]["n_tokens"] == 3 and rows[2]["n_tokens"] == 4 and rows[1]["score"] < rows[2]["score"]
+
+
 def test_toxicity_learns_and_holds_out(spark, tmp_path):
     rng = random.Random(11)
     rows, labels = [], []
