@@ -18,6 +18,10 @@
    turns: each gives every bucket that still holds more than one component new centres,
    and compares pairs between components that weren't compared before, until two turns
    in a row confirm no further link.
+8. Then the search ends exactly: members of buckets that still hold more than one component
+   meet by a prefix join on their shingles. With each set's shingles in one common order,
+   frequent ones last, two sets at the threshold share a shingle among the first quarter
+   of both. All pairs between components that sizes and places allow are confirmed.
 
 Hot buckets and components are never gathered in one task: centres and minima come from
 partially aggregated groups, rows come back to them by joins whose skewed keys are split.
@@ -50,6 +54,9 @@ MAX_BROADCAST_IDS = 1_000_000
 RANKS, IDLE_TURNS = 3, 2
 #: Pairs that make a centre hot; hot centres and bytes of their sets sent to executors, at most.
 HOT_PAIRS, HOT_CENTRES, HOT_BYTES = 40, 20_000, 32 << 20
+#: Frequent shingles that the common order knows, at most, and the share of sets (1 in ...) that
+#: they are counted on. Any order gives the same pairs: only speed depends on these.
+FREQUENT, FREQUENT_SHARE = 200_000, 8
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -202,6 +209,51 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return by_hot.unionByName(by_cold)
 
 
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(h, id, n, at): the first shingles of each set (id, s) in one common order, frequent ones last."""
+    spark = sets.sparkSession
+
+    @frugal
+    def every(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for x in pdf["s"]:
+                yield pd.DataFrame({"h": np.frombuffer(x, np.int64)})
+
+    some = sets.where(F.pmod(F.xxhash64("id"), F.lit(FREQUENT_SHARE)) == 0).select("s").mapInPandas(every, "h long")
+    often = some.groupBy("h").count().where("count > 2").orderBy(F.col("count").desc(), "h").limit(FREQUENT).toPandas().sort_values("h")
+    sent = spark.sparkContext.broadcast((often["h"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
+
+    @frugal
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, count = sent.value
+        for pdf in batches:
+            for i, x in zip(pdf["id"], pdf["s"], strict=True):
+                h = np.frombuffer(x, np.int64)
+                n, weight = len(h), np.zeros(len(h), np.int64)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    weight = np.where(known[place] == h, count[place], 0)
+                k = n - -(-percent * n // 100) + 1
+                yield pd.DataFrame({"h": h[np.lexsort((h, weight))[:k]], "id": i, "n": n, "at": np.arange(min(k, n))})
+
+    return sets.where(F.length("s") > 0).select("id", "s").mapInPandas(first, "h long, id long, n long, at long")
+
+
+def remaining(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct (id, centre) pairs between components that may reach the threshold: all there are
+    between members (key, id, component) of buckets with several components."""
+    several = members.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
+    left = materialized(members.join(several, "key").select("id", "component").distinct())
+    rows = materialized(prefixes(sets.join(left.select("id"), "id", "left_semi"), percent).join(left, "id"))
+    split = rows.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("h")
+    rows = materialized(rows.join(split, "h", "left_semi"))
+    a, b = rows.alias("a"), rows.alias("b")
+    total, most = F.col("a.n") + F.col("b.n"), F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    # at the first shingle that both hold, all common ones are still ahead
+    near = (F.col("a.component") < F.col("b.component")) & (most * (100 + percent) >= percent * total) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
+    return a.join(b.hint("merge"), (F.col("a.h") == F.col("b.h")) & near).select(F.col("a.id").alias("id"), F.col("b.id").alias("centre")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in ``links`` (a, b): the least id reachable."""
     both = materialized(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.a", "x.b").distinct())
@@ -262,6 +314,10 @@ def near_duplicates(
             state, idle = merged(state, links), 0
         else:
             idle += 1
+    pairs = materialized(remaining(buckets.join(state, "id"), sets, percent))
+    links = materialized(confirmed(pairs, sets, percent))
+    if links.limit(1).count():
+        state = merged(state, links)
     # a copy's own id counts too: it may be reached under another set
     of_fp = groups.select("fp", "rep").join(state.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
     joined = sketch.select("id", "n", "fp").join(of_fp, "fp", "left")

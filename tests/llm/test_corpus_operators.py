@@ -83,6 +83,15 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_that_meet_in_hot_buckets_only(spark):
+    passage, rng = sentence(random.Random(8), 104), random.Random(9)
+    # 100 common shingles; two texts with 15 own ones each are similar (0.77), all others have 33 (0.60 and 0.68)
+    texts = [f"{passage} " + " ".join(f"own{i}x{rng.random()}" for _ in range(15 if i in (700, 900) else 33)) for i in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {i: 700 if i == 900 else i for i in range(1500)}
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 3000, dtype=np.int64).astype(np.uint64) * np.uint64(2)
