@@ -175,7 +175,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     hot = pairs.groupBy("centre").count().where(F.col("count") >= HOT_PAIRS).orderBy(F.col("count").desc(), "centre").limit(HOT_CENTRES).select(F.col("centre").alias("id"))
     held = sets.join(F.broadcast(hot), "id").select("id", "s", F.length("s").alias("size"))
-    held = held.withColumn("upto", F.sum("size").over(W.orderBy("size", "id").rowsBetween(W.unboundedPreceding, W.currentRow))).where(F.col("upto") <= HOT_BYTES).select("id", "s").collect()
+    # an id's sets are all sent or all shuffled: the range up to a row holds every set of its id
+    held = held.withColumn("total", F.sum("size").over(W.partitionBy("id")))
+    held = held.withColumn("upto", F.sum("size").over(W.orderBy("total", "id").rangeBetween(W.unboundedPreceding, W.currentRow))).where(F.col("upto") <= HOT_BYTES).select("id", "s").collect()
     shared: dict[int, list[bytes]] = {}
     for r in held:
         shared.setdefault(r["id"], []).append(bytes(r["s"]))

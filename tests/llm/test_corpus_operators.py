@@ -92,6 +92,14 @@ def test_near_duplicates_that_meet_in_hot_buckets_only(spark):
     assert got == {i: 700 if i == 900 else i for i in range(1500)}
 
 
+def test_sets_of_a_repeated_hot_id_stay_together(spark, monkeypatch):
+    small, large = (np.arange(n, dtype=np.uint64).tobytes() for n in (10, 100))
+    monkeypatch.setattr(near_dedup, "HOT_BYTES", len(small) + 1)
+    sets = spark.createDataFrame([(1, bytearray(small)), (1, bytearray(large)), *[(i, bytearray(large)) for i in range(2, 52)]], "id long, s binary")
+    pairs = spark.createDataFrame([(i, 1) for i in range(2, 52)], "id long, centre long")
+    assert near_dedup.confirmed(pairs, sets, 75).distinct().count() == 50
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 3000, dtype=np.int64).astype(np.uint64) * np.uint64(2)
