@@ -8,8 +8,8 @@ Base spans are leftmost non-overlapping matches per kind over the whole text:
 
 The method adds ``literal`` spans. A lexer reads name-literal pairs from assignments in
 source code (``x = "…"``, ``x := '…'``, ``"x" => "…"``), JSON and YAML (``"x": "…"``,
-``x: …``), INI and environment files (``X=…``), calls with keyword arguments and command
-flags (``--x=…``). Names that stand for other names are resolved: ``a = "…"`` followed by
+``x: …``), INI and environment files (``X=…``), calls with keyword arguments, command flags
+(``--x=…``, ``-x=…``), subscripts (``c["x"] = "…"``) and typed declarations (``x: str = "…"``). Names that stand for other names are resolved: ``a = "…"`` followed by
 ``client_secret = a`` scores the literal at ``a`` by the name ``client_secret``; joined
 literals (``"ab" + "cd"``) count as one value. A literal is scored by the most sensitive
 name that reaches it (its parts, split at case and punctuation) and by its own shape
@@ -63,8 +63,8 @@ _TOKEN = re.compile(
     re.VERBOSE | re.ASCII,
 )
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-#: A line that can hold a pair: a word character or a quote, blanks, then an assignment sign.
-_PAIR = re.compile(r"[\w\"'\]]\x20*(?::=|=>|[=:])", re.ASCII)
+#: A line that can hold a pair: a word character, a quote or a bracket, any blanks, then an assignment sign.
+_PAIR = re.compile(r"[\w\"'`\]][^\S\n]*(?::=|=>|[=:])", re.ASCII)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -104,16 +104,48 @@ def literal_weight(value: str) -> float:
     return min(1.0, 0.2 * classes + 0.12 * entropy + 0.01 * min(n, 40))
 
 
+def _typed(tokens: list[tuple], k: int) -> int:
+    """Where the ``=`` of a typed declaration stands whose ``:`` is at ``k``; ``k`` for other pairs."""
+    depth, j, named = 0, k + 1, False
+    while j < len(tokens):
+        kind, t, _, _ = tokens[j]
+        if t in ("[", "<", "("):
+            depth += 1
+        elif t in ("]", ">", ")"):
+            depth -= 1
+        elif kind == "op" and t == "=" and not depth and named:
+            # YAML's x: a=b is one unquoted value
+            return j if tokens[j - 1][3] < tokens[j][2] or j + 1 < len(tokens) and tokens[j + 1][0] == "str" else k
+        elif kind == "name" or t in ("|", "&", "?") or depth and t == ",":
+            named = True
+        elif not (depth and kind == "str"):
+            return k
+        j += 1
+    return k
+
+
+def _named(tokens: list[tuple], k: int) -> str | None:
+    """The name of a pair whose sign follows token ``k``: a name, a string, a flag, or the last subscript."""
+    kind, lexeme, _, _ = tokens[k]
+    if kind in ("name", "str"):
+        return lexeme.strip("\"'`")
+    if kind == "raw" and lexeme.startswith("-"):
+        return lexeme.lstrip("-") or None
+    if lexeme == "]" and k >= 3 and tokens[k - 2][1] == "[" and tokens[k - 1][0] in ("name", "str") and (tokens[k - 3][0] == "name" or tokens[k - 3][1] in ("]", ")")):
+        return tokens[k - 1][1].strip("\"'`")
+    return None
+
+
 def _lex_line(line: str, base: int) -> list[tuple[str, list[tuple[str, object, int, int]]]]:
     """Pairs of a line: name, then the value's operands (kind, value, start, end)."""
     tokens = [(m.lastgroup, m.group(), base + m.start(), base + m.end()) for m in _TOKEN.finditer(line)]
     pairs, k, n = [], 0, len(tokens)
     while k + 1 < n:
-        kind, lexeme, _, _ = tokens[k]
         sign = tokens[k + 1]
-        if kind in ("name", "str") and sign[0] == "op" and sign[1] in ("=", ":", ":=", "=>"):
-            name = lexeme.strip("\"'`")
-            operands, j, want = [], k + 2, True
+        name = _named(tokens, k) if sign[0] == "op" and sign[1] in ("=", ":", ":=", "=>") else None
+        if name is not None:
+            at = _typed(tokens, k + 1) if sign[1] == ":" and tokens[k][0] == "name" else k + 1
+            operands, j, want = [], at + 1, True
             while j < n:
                 t_kind, t, start, end = tokens[j]
                 if want and t_kind == "str":
@@ -137,7 +169,8 @@ def _lex_line(line: str, base: int) -> list[tuple[str, list[tuple[str, object, i
                 j += 1
             if operands:
                 pairs.append((name, operands))
-            k = max(j, k + 2)
+            # what stands between the two signs of a declaration may be a name of the value, too
+            k = max(j, k + 2) if at == k + 1 else k + 2
         else:
             k += 1
     return pairs

@@ -50,6 +50,22 @@ def test_lexer_adds_literals_by_the_names_that_hold_them():
     assert values("note: the auth of this is plain prose here") == []
 
 
+def test_lexer_reads_every_form_of_a_pair():
+    def values(text):
+        return [text[s:e] for s, e, k in secrets.all_spans(text)[1] if k == "literal"]
+
+    forms = [
+        'db_pwd = "V"', 'db_pwd\t= "V"', 'db_pwd\t\t:\t"V"', "db_pwd := 'V'", '"db_pwd" => "V"', '{"db_pwd": "V"}', "db_pwd: V", "DB_PWD=V", 'f(x, db_pwd="V")',
+        "run --db-pwd=V", 'run --db-pwd="V"', "run -pwd=V --quiet=no", 'cfg["db_pwd"] = "V"', "cfg['a']['db_pwd']\t= 'V'", 'load()["db_pwd"] = "V"',
+        'db_pwd: str = "V"', 'db_pwd: str="V"', 'db_pwd: Optional[str] = "V"', 'let db_pwd: string | null = "V";', 'db_pwd: dict[str, int] = "V"',
+    ]
+    for form in forms:
+        assert values(form.replace("V", "Xk29!qlm#77Z")) == ["Xk29!qlm#77Z"], form
+    assert values('note: db_pwd = "Xk29!qlm#77Z"') == values('db_pwd: note = "Xk29!qlm#77Z"') == ["Xk29!qlm#77Z"]
+    assert values('title: str = "Xk29!qlm#77Z"') == [] and values('cfg["title"] = "Xk29!qlm#77Z"') == [] and values("--title=Xk29!qlm#77Z") == []
+    assert values('db_pwd: Xk29!qlm#77Z\ntitle: db_pwd') == ["Xk29!qlm#77Z"]
+
+
 def test_scan_keeps_extra_columns_and_handles_empty_tables(spark):
     df = spark.createDataFrame([(1, None, 5), (1, "password=abcdef12", 6), (1, "password=abcdef12", 6)], "doc_id long, text string, spans int")
     rows = secrets.scan_secrets(df).orderBy("spans").collect()
