@@ -112,3 +112,25 @@ def kernel_features(df: DataFrame, keys: list[str], n_kernels: int = 100, seed:
             yield pdf[keys].assign(features=[numeric.kernel_features(t, sent.value) for t in pdf[z]])
 
     return df.select(*keys, z).mapInPandas(run, schema)
+
+
+def interval_features(df: DataFrame, keys: list[str], n_intervals: int = 32, seed: int = 42, z: str = "z") -> DataFrame:
+    """(keys, features): mean, deviation and slope of each trace on seeded random intervals, drawn as shares of its length."""
+    spans = np.sort(np.random.default_rng(seed).random((n_intervals, 2)), axis=1)
+    schema = f"{_keys_schema(df, keys)}features array<double>"
+
+    def one(trace) -> np.ndarray:
+        t, out = numeric.clean(np.asarray(trace, float)), np.zeros((n_intervals, 3))
+        for i, (a, b) in enumerate(spans):
+            lo = min(int(a * len(t)), max(len(t) - 3, 0))
+            part = t[lo : max(int(b * len(t)), lo + 3)]
+            if len(part):
+                x = np.arange(len(part)) - (len(part) - 1) / 2
+                out[i] = part.mean(), part.std(), x @ part / max(x @ x, 1.0)
+        return out.ravel()
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[keys].assign(features=[one(t) for t in pdf[z]])
+
+    return df.select(*keys, z).mapInPandas(run, schema)

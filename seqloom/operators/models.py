@@ -5,6 +5,8 @@ Feature tables are (id, features columns..., label); a trained model is a ``Pipe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.numeric import ridge_classifier
+from seqloom.operators.group import interval_features, kernel_features
 from seqloom.operators.metrics import binary_metrics
 from seqloom.operators.select import hashed, stratified
 
@@ -26,11 +29,13 @@ MODELS = {
     "boosting": lambda seed: GBTClassifier(maxIter=20, seed=seed),
 }
 #: Names of time-series ensembles without a counterpart here.
-UNSUPPORTED = frozenset({"boss", "weasel", "hivecotev1", "hivecotev2"})
+UNSUPPORTED = frozenset({"boss", "weasel", "minirocket", "hivecotev1", "hivecotev2", "custom"})
+#: Models of whole traces, for ``fit_traces``.
+TRACE_MODELS = ("tsf", "rocket", "weighted_ensemble")
 
 
 def create_model(name: str, seed: int = 42):
-    """An estimator by name."""
+    """An estimator by name; those of whole traces are made by ``fit_traces``."""
     if name in UNSUPPORTED or name not in MODELS:
         raise ValueError(f"model not available: {name}")
     return MODELS[name](seed)
@@ -123,6 +128,41 @@ def ridge_predict(df: DataFrame, weights: np.ndarray, intercept: float, features
     return df.withColumn("p", (score > 0).cast("int"))
 
 
+def fit_traces(df: DataFrame, keys: list[str], name: str, label: str = "label", seed: int = 42, n_features: int | None = None, members: tuple[str, ...] = ("tsf", "rocket"), weights: tuple[float, ...] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A model of whole traces (keys..., z, label) by name, as a function that adds ``p`` and ``share``, its probability of 1.
+
+    ``tsf`` is a forest on interval features, ``rocket`` ridge on kernel features (share 0 or 1), and
+    ``weighted_ensemble`` the weighted mean of its members' shares (equal weights by default).
+    """
+    if name not in TRACE_MODELS:
+        raise ValueError(f"model not available: {name}")
+    if name == "weighted_ensemble":
+        each = [(f"__{i}", fit_traces(df, keys, m, label, seed, n_features), w) for i, (m, w) in enumerate(zip(members, weights or (1.0,) * len(members), strict=True))]
+
+        def vote(rows: DataFrame) -> DataFrame:
+            out = rows
+            for c, model, _ in each:
+                out = out.join(model(rows).select(*keys, F.col("share").alias(c)), keys)
+            out = out.withColumn("share", sum((F.col(c) * w for c, _, w in each), F.lit(0.0)) / sum(w for _, _, w in each))
+            return out.drop(*[c for c, _, _ in each]).withColumn("p", (F.col("share") > 0.5).cast("int"))
+
+        return vote
+    if name == "tsf":
+        features = lambda rows: interval_features(rows, keys, n_features or 32, seed)
+    else:
+        features = lambda rows: kernel_features(rows, keys, n_features or 100, seed)
+    known = features(df).join(df.select(*keys, F.col(label).alias("label")), keys)
+    if name == "rocket":
+        w, b, _ = ridge(known)
+        told = lambda rows: ridge_predict(features(rows), w, b).withColumn("share", F.col("p").cast("double"))
+    else:
+        from pyspark.ml.functions import vector_to_array
+
+        forest = create_model("forest", seed).fit(vectors(known, "features"))
+        told = lambda rows: forest.transform(vectors(features(rows), "features")).select(*keys, F.col("prediction").cast("int").alias("p"), vector_to_array("probability")[1].alias("share"))
+    return lambda rows: rows.join(told(rows).select(*keys, "p", "share"), keys)
+
+
 def save_run(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
@@ -185,4 +225,4 @@ def learning_curve(train: DataFrame, test: DataFrame, columns: list[str], name:
 
 def available(spark: SparkSession) -> DataFrame:
     """(name, available) of every model name."""
-    return spark.createDataFrame([(n, True) for n in sorted(MODELS)] + [(n, False) for n in sorted(UNSUPPORTED)], "name string, available boolean")
+    return spark.createDataFrame([(n, True) for n in sorted([*MODELS, *TRACE_MODELS])] + [(n, False) for n in sorted(UNSUPPORTED)], "name string, available boolean")

@@ -7,6 +7,7 @@ representation, reduction and clustering. Failures of a group are rows with an `
 from __future__ import annotations
 
 import json
+import random
 from dataclasses import asdict, dataclass, field
 from itertools import product
 
@@ -109,6 +110,26 @@ def evaluate(rows: DataFrame, truth: DataFrame, keys: list[str], pipelines: list
     return out
 
 
+def drawn(distributions: dict[str, list], n_iter: int = 20, seed: int = 42) -> list[dict]:
+    """``n_iter`` seeded random combinations of options, one value of each."""
+    rng = random.Random(seed)
+    return [{k: rng.choice(v) for k, v in distributions.items()} for _ in range(n_iter)]
+
+
+def tuned(rows: DataFrame, truth: DataFrame, keys: list[str], bases: list[tuple[Pipeline, list[dict]]]) -> tuple[DataFrame, DataFrame]:
+    """Runs (base, pipeline, params, score) of every base under each of its options (a grid, or ``drawn``), and their summary.
+
+    The score is the mean accuracy over groups; it is null where a run failed in every group.
+    """
+    runs = [(base.name, overlaid(base, **params, name=f"{base.name}#{i}"), json.dumps(params, sort_keys=True)) for base, grid in bases for i, params in enumerate(grid)]
+    scored = evaluate(rows, truth, keys, [p for _, p, _ in runs])
+    groups = truth.groupBy(*keys[:-1]).agg(F.count(F.lit(1)).alias("n_beads"))
+    whole = scored.join(groups, keys[:-1]).groupBy("pipeline").agg(F.avg(F.when(F.coalesce("n_failed", F.lit(0)) < F.col("n_beads"), F.col("accuracy"))).alias("score"))
+    names = rows.sparkSession.createDataFrame([(b, p.name, t) for b, p, t in runs], "base string, pipeline string, params string")
+    found = names.join(whole, "pipeline", "left").select("base", "pipeline", "params", "score")
+    return found, metrics.tuning_summary(found, ["base"], "params", "score")
+
+
 def ensemble(rows: DataFrame, truth: DataFrame, keys: list[str], members: list[Pipeline]) -> DataFrame:
     """(keys, y, p): the members' vote on each bead; beads that a member dropped get 0."""
     votes = None
