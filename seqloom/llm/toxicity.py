@@ -76,6 +76,18 @@ def _entries(stems) -> re.Pattern:
     return re.compile(rf"(?<![^\W\d_])(?:{'|'.join(parts)})") if parts else re.compile(r"(?!)")
 
 
+def _clause_start(text: str, least: int, at: int) -> int:
+    """Where the clause around ``at`` begins: after the last mark, which is looked for in stretches that double."""
+    hi, step = at, 400
+    while hi > least:
+        lo = max(least, hi - step)
+        last = max((k.end() for k in _MARKS.finditer(text, lo, hi)), default=None)
+        if last is not None:
+            return last
+        hi, step = lo, 2 * step
+    return least
+
+
 class Reader:
     """Runs the grammar over texts."""
 
@@ -116,7 +128,7 @@ class Reader:
         for m in self.find.finditer(low):
             if m.start() < done:
                 continue
-            start = max((k.end() for k in _MARKS.finditer(low, max(0, m.start() - 400), m.start())), default=max(0, m.start() - 400))
+            start = _clause_start(low, max(done, 0), m.start())
             after = _MARKS.search(low, m.end())
             done = after.start() if after else len(low)
             out += self.clause(_LETTERS.findall(low[start:done]))

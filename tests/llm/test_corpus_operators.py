@@ -301,6 +301,15 @@ def test_lm_query_scores_words(spark, tmp_path):
     assert rows[1]["n_tokens"] == 3 and rows[2]["n_tokens"] == 4 and rows[1]["score"] < rows[2]["score"]
 
 
+def test_clauses_are_taken_whole():
+    reader = toxicity.Reader(toxicity.default_grammar())
+    modes = lambda text: [mode for mode, *_ in reader.matches(text)]
+    for n in (1, 60, 90, 5000):
+        far = "quiet " * n
+        assert modes(f"you {far}idiot") == ["aimed"] and modes(f"never {far}idiot") == ["negated"] and modes(f"says {far}idiot") == ["reported"]
+        assert modes(f"never. {far}idiot") == ["plain"] and modes(f"never idiot, {far}idiot") == ["negated", "plain"]
+
+
 def test_toxicity_learns_and_holds_out(spark, tmp_path):
     rng = random.Random(11)
     rows, labels = [], []
