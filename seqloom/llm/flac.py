@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.runtime import frugal
+from seqloom.runtime import frugal, materialized
 
 BLOCK, RATE = 192, 8000
 #: Coefficients of the fixed predictors: sample i is foretold from those before it, nearest first.
@@ -591,4 +591,5 @@ def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return with_media(docs).mapInPandas(read_back, schema)
+    # the streams are stored; what follows reads the stored bytes
+    return materialized(with_media(docs)).mapInPandas(read_back, schema)

@@ -382,6 +382,14 @@ def test_flac_notices_damage(where):
         flac.decode([bytes(stream)])
 
 
+def test_media_query_reads_stored_streams(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    stored = []
+    monkeypatch.setattr(flac, "materialized", lambda df, f=flac.materialized: stored.append(f(df)) or stored[-1])
+    rows = flac.op8_flac_media(spark, str(tmp_path)).collect()
+    assert len(stored) == 1 and {r["doc_id"]: len(r["media"]) for r in stored[0].collect()} == {r["doc_id"]: r["media_bytes"] for r in rows}
+
+
 def test_media_query_and_pcm_blocks(spark, tmp_path):
     import hashlib
 
