@@ -1,62 +1,61 @@
 """MinHash near-dedup: one-permutation hashing, optimal densification, banded buckets, star edges.
 
 1. Each text becomes its set of word shingles (64-bit hashes). Equal sets are found by a
-   128-bit fingerprint, so that only one representative of each set goes on.
+   128-bit fingerprint; one node stands for all of them and carries their least id.
 2. One permutation serves all ``bands * rows`` bins: a set's sorted hashes fall into equal
    ranges and each range keeps its least value. Empty bins borrow from a bin chosen by a
    hash of (bin, attempt) until one is filled, which keeps the estimate unbiased.
 3. ``rows`` bins form a band key. With 28 bands of 3 rows a pair at the threshold 0.75
    misses all bands with probability (1 - 0.75**3)**28 = 2e-7.
-4. Buckets of one member are dropped at once. Any other yields star-shaped edges only: each
-   member meets the bucket's two centres (its least and greatest member by a hash), so a
-   bucket of n members gives at most 2n candidates. Pairs whose set sizes alone rule the
-   threshold out are dropped, exactly.
-5. Every candidate is confirmed on the full sets: 100 * |A and B| >= 75 * |A or B|.
-6. Components take the smallest id by neighbour minima and pointer jumping; each round is
-   a table in the shared folder. Nothing is collected but counts.
-7. A star can miss two similar members whose centre resembles neither. So the work goes in
-   turns: each gives every bucket that still holds more than one component new centres,
-   and compares pairs between components that weren't compared before, until two turns
-   in a row confirm no further link.
-8. Then the search ends exactly: members of buckets that still hold more than one component
-   meet by a prefix join on their shingles. With each set's shingles in one common order,
-   frequent ones last, two sets at the threshold share a shingle among the first quarter
-   of both. All pairs between components that sizes and places allow are confirmed.
-
-Hot buckets and components are never gathered in one task: centres and minima come from
+4. Buckets of one node are dropped at once. Any other is a star: each node meets the bucket's
+   centre, its most popular node (the one that meets most others over all its buckets, which
+   in a group of copies is the text that they come from). So a node has one edge a bucket at
+   most, whatever the bucket's size, and the edges of a group go to few centres.
+5. Every edge is confirmed on the full sets: 100 * |A and B| >= 75 * |A or B|.
+6. Confirmed edges lead from each node to a more popular one; following them twice over puts
+   most of a group under one label.
+7. A star misses two similar nodes whose centre resembles neither. So the search ends with an
+   exact join of all nodes that are in a bucket and don't share a label: with each set's
+   shingles in one common order, frequent ones last, two sets at the threshold share one
+   among the first quarter of both, and the places and sizes of both bound what they can have
+   in common. Keys of many nodes are dealt into classes of set size, each node meeting the
+   classes within its own bound only, so that a common passage doesn't pair all its texts.
+   What is left is confirmed like the stars' edges.
+8. Components take the smallest id by neighbour minima and pointer jumping; each round is a
+   table in the shared folder. Nothing is collected but counts and the (bounded) common order.
+
+Hot buckets, keys and components are never gathered in one task: centres and minima come from
 partially aggregated groups, rows come back to them by joins whose skewed keys are split.
-
-Defined results: null and empty texts have an empty set, are their own component and kept;
-a row with a null id is named by no component unless an equal set with an id exists; rows
-that repeat an id are one document (its sets are linked to each other), each kept if the id
-is its component's least; extra columns are dropped unless the caller joins them again; an
-empty table gives an empty result.
+Tables that no later step reads are deleted on the way.
+
+Cost near the threshold: pairs whose bound in step 7 reaches the threshold are compared even if
+their sets turn out not to, so many texts of one group that lie just below 0.75 of each other,
+without one text that they all resemble, are compared pairwise.
+
+Defined results: ids may be of any type that has an order. Null and empty texts have an empty
+set, are their own component and kept; a row with a null id is named by no component unless an
+equal set with an id exists, and isn't kept; rows that repeat an id are one document (its sets
+are linked to each other), each kept if the id is its component's least; ties in popularity
+are broken by the node's number; texts are read whole, whatever their length; other columns,
+whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.shingles import WIDTH, common, mixed, shingle_set
-from seqloom.runtime import frugal, materialized
+from seqloom.runtime import Scratch, in_batches, materialized
 
 BANDS, ROWS, PERCENT = 28, 3, 75
-#: Ids that are broadcast for a semi join, at most; more are joined by a shuffle.
-MAX_BROADCAST_IDS = 1_000_000
-#: Hashes that choose centres (two each) in a turn; turns without a link that end the search.
-RANKS, IDLE_TURNS = 3, 2
-#: Pairs that make a centre hot; hot centres and bytes of their sets sent to executors, at most.
-HOT_PAIRS, HOT_CENTRES, HOT_BYTES = 40, 20_000, 32 << 20
-#: Frequent shingles that the common order knows, at most, and the share of sets (1 in ...) that
-#: they are counted on. Any order gives the same pairs: only speed depends on these.
-FREQUENT, FREQUENT_SHARE = 200_000, 8
+#: Frequent shingles that the common order knows, at most. Any order gives the same pairs: only
+#: speed depends on it.
+FREQUENT = 200_000
+#: Nodes of a key from which on they meet by size class, and classes for a factor e of size.
+CROWDED, CLASSES = 128, 50
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,185 +98,163 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, width: int) -> DataFrame:
-    """(id, n, fp, keys): set size, fingerprint, band keys; keys are null without shingles."""
+    """(id, n, fp, keys): set size, fingerprint, band keys; fp and keys are null without shingles."""
+
+    def compute(texts: list) -> list[list]:
+        n, fp, keys = [], [], []
+        for text in texts:
+            s = shingle_set(text, width)
+            n.append(len(s))
+            fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            keys.append(band_keys(signature(s, bands * rows), bands, rows).view(np.int64) if len(s) else None)
+        return [n, fp, keys]
+
+    return in_batches(docs, [text_col], [(id_col, "id")], "n long, fp binary, keys array<long>", compute)
+
 
-    @frugal
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            n, fp, keys = [], [], []
-            for text in pdf["text"]:
-                s = shingle_set(text, width)
-                n.append(len(s))
-                fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                keys.append(band_keys(signature(s, bands * rows), bands, rows).view(np.int64) if len(s) else None)
-            yield pd.DataFrame({"id": pdf["id"], "n": n, "fp": fp, "keys": keys})
+def bucketed(groups: DataFrame) -> DataFrame:
+    """(node, rep, n, popularity, keys) of nodes that share a bucket, with the keys they share.
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInPandas(run, "id long, n long, fp binary, keys array<long>")
+    ``groups`` has (node, rep, n, keys). A node is in ``bands`` buckets at most.
+    """
+    entries = groups.select("node", "rep", "n", F.explode("keys").alias("key"))
+    several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = entries.join(several, "key")
+    return shared.groupBy("node").agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.sum("members").alias("popularity"), F.collect_list("key").alias("keys"))
 
 
-def shared_buckets(reps: DataFrame) -> DataFrame:
-    """(key, id) of every bucket with more than one member; ``reps`` has (id, keys)."""
-    entries = reps.select("id", F.explode("keys").alias("key"))
-    several = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    return entries.join(several, "key")
+def star_edges(nodes: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b, popularity): each node and its buckets' centres, with b's popularity, where sizes allow a link."""
+    entries = nodes.select(F.explode("keys").alias("key"), "node", "n", "popularity")
+    centres = entries.groupBy("key").agg(F.max(F.struct("popularity", "node", "n")).alias("c"))
+    edges = entries.join(centres, "key").where((F.col("node") != F.col("c.node")) & (100 * F.least("n", F.col("c.n")) >= percent * F.greatest("n", F.col("c.n"))))
+    return edges.select(F.col("node").alias("a"), F.col("c.node").alias("b"), F.col("c.popularity").alias("popularity")).distinct()
 
 
-def candidates(members: DataFrame, tried: DataFrame | None, percent: int, turn: int) -> DataFrame:
-    """Distinct (id, centre) pairs of members that share a bucket with one of its centres.
+def node_sets(docs: DataFrame, nodes: DataFrame, repeated: DataFrame | None, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(node, rep, s): the whole set of each node, made anew from the text of its least id.
 
-    ``members`` has (key, id, n, component); pairs inside a component and pairs ``tried``
-    before are skipped. The centres of a bucket are its least and greatest members by ``RANKS``
-    hashes of id and turn, so that the buckets of one large group have few centres between
-    them. In the first turn each member keeps the edges to its least and greatest centre only.
+    Where ids repeat, their texts are first made distinct and then told apart by fingerprint.
     """
-    ranks = 1 if turn == 0 else RANKS
-    who = [F.struct(F.xxhash64("id", F.lit(turn * RANKS + k)).alias("h"), "component", "id", "n") for k in range(ranks)]
-    centres = (
-        members.groupBy("key")
-        .agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.array(*[f(w) for w in who for f in (F.min, F.max)]).alias("all"))
-        .where("c0 <> c1")
-        .select("key", "all")
-    )
-    edges = members.join(centres, "key").select("id", "n", "component", F.explode("all").alias("c")).where(F.col("component") != F.col("c.component"))
-    edges = edges.where(100 * F.least("n", F.col("c.n")) >= percent * F.greatest("n", F.col("c.n")))
-    if turn == 0:
-        edges = edges.groupBy("id").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).select("id", F.explode(F.array("lo", "hi")).alias("c"))
-    pairs = edges.select("id", F.col("c.id").alias("centre")).distinct()
-    return pairs if tried is None else pairs.join(tried, ["id", "centre"], "left_anti")
+    texts = docs.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").alias("text"))
+    made = lambda df, keep, outputs, one: in_batches(df, ["text"], [(c, c) for c in keep], outputs, one)
+    plain = lambda values: [[shingle_set(t, width).tobytes() for t in values]]
+    named = nodes.select("rep", "node", "fp")
+    if repeated is None:
+        return made(texts.join(named.drop("fp"), "rep"), ["node", "rep"], "s binary", plain)
 
+    def told(values: list) -> list[list]:
+        sets = [shingle_set(t, width).tobytes() for t in values]
+        return [sets, [xxhash.xxh3_128_digest(s) for s in sets]]
 
-def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, s): the whole set of each document in ``ids``. Ids are broadcast up to a checked number."""
-    few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    once = made(texts.join(repeated, "rep", "left_anti").join(named.drop("fp"), "rep"), ["node", "rep"], "s binary", plain)
+    several = texts.join(repeated, "rep", "left_semi").join(named.select("rep"), "rep", "left_semi").groupBy("rep", "text").agg(F.count(F.lit(1)).alias("k"))
+    # texts that differ may still have one set, so one row stands for it
+    found = made(several, ["rep"], "s binary, fp binary", told).join(named, ["rep", "fp"]).dropDuplicates(["node"])
+    return once.unionByName(found.select("node", "rep", "s"))
 
-    @frugal
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "s": [shingle_set(t, width).tobytes() for t in pdf["text"]]})
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInPandas(sets, "id long, s binary")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``pairs`` (a, b, ...) that reach the threshold on full sets, with their least ids ra and rb."""
 
+    def linked(left: list, right: list) -> list[list]:
+        out = []
+        for x, y in zip(left, right, strict=True):
+            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = common(p, q)
+            out.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
+        return [out]
 
-def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
-    both = common(p, q)
-    return both > 0 and 100 * both >= percent * (len(p) + len(q) - both)
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("rep").alias("ra"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("rep").alias("rb"), F.col("s").alias("sb")), "b")
+    return in_batches(met, ["sa", "sb"], [(c, c) for c in ["a", "b", "ra", "rb", *rest]], "ok boolean", linked).where("ok").drop("ok")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs (id, centre) that reach the threshold on full sets.
+def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label): the popular node that is reached by confirmed star edges, four steps at most."""
+    up = links.groupBy("a").agg(F.max(F.struct("popularity", "b")).alias("m")).select(F.col("a").alias("node"), F.col("m.b").alias("to"))
+    for _ in range(2):
+        onward = up.select(F.col("node").alias("to"), F.col("to").alias("further"))
+        up = up.join(onward, "to", "left").select("node", F.coalesce("further", "to").alias("to"))
+    return nodes.select("node").join(up, "node", "left").select("node", F.coalesce("to", "node").alias("label"))
 
-    Centres of many pairs would be sent along with each of them. There are few of these (at
-    most one for ``HOT_PAIRS`` pairs); up to ``HOT_CENTRES`` of them, and up to ``HOT_BYTES``
-    of sets, go to every executor once, where each member's set meets the list of its centres.
-    All other pairs are joined by a shuffle.
-    """
-    hot = pairs.groupBy("centre").count().where(F.col("count") >= HOT_PAIRS).orderBy(F.col("count").desc(), "centre").limit(HOT_CENTRES).select(F.col("centre").alias("id"))
-    held = sets.join(F.broadcast(hot), "id").select("id", "s", F.length("s").alias("size"))
-    # an id's sets are all sent or all shuffled: the range up to a row holds every set of its id
-    held = held.withColumn("total", F.sum("size").over(W.partitionBy("id")))
-    held = held.withColumn("upto", F.sum("size").over(W.orderBy("total", "id").rangeBetween(W.unboundedPreceding, W.currentRow))).where(F.col("upto") <= HOT_BYTES).select("id", "s").collect()
-    shared: dict[int, list[bytes]] = {}
-    for r in held:
-        shared.setdefault(r["id"], []).append(bytes(r["s"]))
-    spark = pairs.sparkSession
-    sent = spark.sparkContext.broadcast(shared)
-    hot_ids = spark.createDataFrame([(i,) for i in shared], "centre long")
-
-    @frugal
-    def near_hot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = {i: [np.frombuffer(x, np.uint64) for x in xs] for i, xs in sent.value.items()}
-        for pdf in batches:
-            rows = []
-            for i, x, centres in zip(pdf["id"], pdf["s"], pdf["centres"], strict=True):
-                p = np.frombuffer(x, np.uint64)
-                rows += [(i, c) for c in centres if any(_linked(p, q, percent) for q in of.get(c, ()))]
-            yield pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
-
-    @frugal
-    def near_cold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keep = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(pdf["sa"], pdf["sb"], strict=True)]
-            yield pdf.loc[keep, ["a", "b"]]
-
-    # a member has at most two centres a bucket, so its list is short
-    lists = pairs.groupBy("id").agg(F.collect_list("centre").alias("centres"))
-    by_hot = sets.join(lists, "id").mapInPandas(near_hot, "a long, b long")
-    cold = pairs.join(F.broadcast(hot_ids), "centre", "left_anti").select(F.col("id").alias("a"), F.col("centre").alias("b"))
-    left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    by_cold = cold.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInPandas(near_cold, "a long, b long")
-    return by_hot.unionByName(by_cold)
-
-
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(h, id, n, at): the first shingles of each set (id, s) in one common order, frequent ones last."""
-    spark = sets.sparkSession
-
-    @frugal
-    def every(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for x in pdf["s"]:
-                yield pd.DataFrame({"h": np.frombuffer(x, np.int64)})
-
-    some = sets.where(F.pmod(F.xxhash64("id"), F.lit(FREQUENT_SHARE)) == 0).select("s").mapInPandas(every, "h long")
-    often = some.groupBy("h").count().where("count > 2").orderBy(F.col("count").desc(), "h").limit(FREQUENT).toPandas().sort_values("h")
-    sent = spark.sparkContext.broadcast((often["h"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
-
-    @frugal
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def common_order(sets: DataFrame, frequent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles among ``sets`` (node, s) and their counts: two arrays of bounded length, sorted by shingle."""
+
+    def every(values: list) -> list[list]:
+        # the first row of a batch has the counts of all its sets
+        h, k = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in values]), return_counts=True)
+        none = [[]] * (len(values) - 1)
+        return [[h, *none], [k, *none]]
+
+    counted = in_batches(sets, ["s"], [], "h array<long>, k array<long>", every).select(F.explode(F.arrays_zip("h", "k")).alias("x")).select("x.h", "x.k")
+    often = counted.groupBy("h").agg(F.sum("k").alias("k")).where("k > 2").orderBy(F.col("k").desc(), "h").limit(frequent).toPandas().sort_values("h")
+    return often["h"].to_numpy(np.int64), often["k"].to_numpy(np.int64)
+
+
+def prefixes(sets: DataFrame, percent: int, frequent: int = FREQUENT) -> DataFrame:
+    """(node, n, first): set size and the set's first shingles in one common order, frequent ones last."""
+    sent = sets.sparkSession.sparkContext.broadcast(common_order(sets, frequent))
+
+    def compute(values: list) -> list[list]:
         known, count = sent.value
-        for pdf in batches:
-            for i, x in zip(pdf["id"], pdf["s"], strict=True):
-                h = np.frombuffer(x, np.int64)
-                n, weight = len(h), np.zeros(len(h), np.int64)
-                if len(known):
-                    place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    weight = np.where(known[place] == h, count[place], 0)
-                k = n - -(-percent * n // 100) + 1
-                yield pd.DataFrame({"h": h[np.lexsort((h, weight))[:k]], "id": i, "n": n, "at": np.arange(min(k, n))})
-
-    return sets.where(F.length("s") > 0).select("id", "s").mapInPandas(first, "h long, id long, n long, at long")
-
-
-def remaining(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct (id, centre) pairs between components that may reach the threshold: all there are
-    between members (key, id, component) of buckets with several components."""
-    several = members.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    left = materialized(members.join(several, "key").select("id", "component").distinct())
-    rows = materialized(prefixes(sets.join(left.select("id"), "id", "left_semi"), percent).join(left, "id"))
-    split = rows.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("h")
-    rows = materialized(rows.join(split, "h", "left_semi"))
-    a, b = rows.alias("a"), rows.alias("b")
-    total, most = F.col("a.n") + F.col("b.n"), F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    # at the first shingle that both hold, all common ones are still ahead
-    near = (F.col("a.component") < F.col("b.component")) & (most * (100 + percent) >= percent * total) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-    return a.join(b.hint("merge"), (F.col("a.h") == F.col("b.h")) & near).select(F.col("a.id").alias("id"), F.col("b.id").alias("centre")).distinct()
-
-
-def components(links: DataFrame) -> DataFrame:
+        sizes, first = [], []
+        for x in values:
+            h = np.frombuffer(x, np.int64)
+            n, weight = len(h), np.zeros(len(h), np.int64)
+            if len(known):
+                place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                weight = np.where(known[place] == h, count[place], 0)
+            sizes.append(n)
+            first.append(h[np.lexsort((h, weight))[: n - -(-percent * n // 100) + 1]])
+        return [sizes, first]
+
+    return in_batches(sets, ["s"], [("node", "node")], "n int, first array<long>", compute)
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) * CLASSES).cast("int")
+
+
+def remaining(firsts: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Distinct (a, b) of all nodes with different labels whose prefixes meet and may reach the threshold."""
+    rows = firsts.join(labels, "node").select("node", "label", "n", F.posexplode("first").alias("at", "h")).select("node", "label", "n", (F.col("n") - F.col("at")).alias("left"), "h")
+    split = rows.groupBy("h").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("members")).where("l0 <> l1").select("h", (F.col("members") >= CROWDED).alias("crowded"))
+    met = scratch.keep(rows.join(split, "h"))
+    # at the first shingle that both hold, all common ones are still ahead: the node with fewer left
+    # (a) bounds the size of the other, and meets the classes of such sizes
+    least = F.col("n") * (percent / 100.0)
+    most = F.least(F.col("left") * ((100 + percent) / percent) - F.col("n"), F.col("n") * (100.0 / percent))
+    classes = F.when(F.col("crowded"), F.sequence(_size_class(least), _size_class(most))).otherwise(F.array(F.lit(-1)))
+    a = met.where(most >= least).withColumn("class", F.explode(classes)).alias("a")
+    b = met.withColumn("class", F.when(F.col("crowded"), _size_class(F.col("n"))).otherwise(F.lit(-1))).alias("b")
+    both = (F.col("a.h") == F.col("b.h")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.label") != F.col("b.label"))
+    fewer = (F.col("a.left") < F.col("b.left")) | (F.col("a.left") == F.col("b.left")) & (F.col("a.node") < F.col("b.node"))
+    reach = F.col("a.left") * (100 + percent) >= percent * (F.col("a.n") + F.col("b.n"))
+    sized = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+    pairs = a.join(b.hint("merge"), both & fewer & reach & sized).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    out = scratch.keep(pairs)
+    scratch.drop(met)
+    return out
+
+
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) of every id in ``links`` (a, b): the least id reachable."""
-    both = materialized(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.a", "x.b").distinct())
-    state = materialized(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component"), F.lit(True).alias("moved")))
-    while True:
+    both = scratch.keep(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.a", "x.b").distinct())
+    state = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component"), F.lit(True).alias("moved")))
+    while state.where("moved").limit(1).count():
         # each node tells its neighbours its label; the least one wins, and is followed to its own label
         labels = state.select("id", "component")
         told = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("m"))
         stepped = labels.join(told.select(F.col("a").alias("id"), "m"), "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("c"))
         jump = labels.select(F.col("id").alias("c"), F.col("component").alias("j"))
         new = stepped.join(jump, "c", "left").select("id", "old", F.least("c", F.coalesce("j", "c")).alias("component"))
-        state = materialized(new.select("id", "component", (F.col("old") != F.col("component")).alias("moved")))
-        if state.where("moved").limit(1).count() == 0:
-            return state.select("id", "component")
-
-
-def merged(state: DataFrame, links: DataFrame) -> DataFrame:
-    """``state`` (id, component) after ``links`` (a, b) between its ids: only the components' own graph is searched."""
-    of = lambda c: state.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-    between = links.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    moved = components(between).select(F.col("id").alias("component"), F.col("component").alias("to"))
-    return materialized(state.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")))
+        later = scratch.keep(new.select("id", "component", (F.col("old") != F.col("component")).alias("moved")))
+        scratch.drop(state)
+        state = later
+    scratch.drop(both)
+    return state.select("id", "component")
 
 
 def near_duplicates(
@@ -291,46 +268,36 @@ def near_duplicates(
     width: int = WIDTH,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept."""
-    sketch = materialized(sketches(docs, id_col, text_col, bands, rows, width))
+    scratch = Scratch(docs.sparkSession)
+    sketch = scratch.keep(sketches(docs, id_col, text_col, bands, rows, width))
     named = sketch.where(F.col("fp").isNotNull() & F.col("id").isNotNull())
-    # sets seen under one id (rows that repeat it) and ids that share a set
-    groups = materialized(named.groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies")))
-    reps = groups.select(F.col("rep").alias("id"), "n", "keys")
-    buckets = materialized(shared_buckets(reps.select("id", "keys")))
-    sizes = materialized(reps.select("id", "n").join(buckets.select("id").distinct(), "id", "left_semi"))
-    sets = materialized(full_sets(docs, sizes.select("id").distinct(), id_col, text_col, width))
-    # an id with more than one set links the groups of these sets
-    spread = named.select("id", "fp").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id")
-    ties = materialized(named.join(spread, "id", "left_semi").join(groups.select("fp", "rep"), "fp").where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    ids = sizes.select("id").unionByName(ties.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
-    state = materialized(ids.select("id", F.col("id").alias("component")))
-    if ties.limit(1).count():
-        state = merged(state, ties)
-    tried, turn, idle = None, 0, 0
-    while idle < IDLE_TURNS:
-        pairs = materialized(candidates(buckets.join(sizes.join(state, "id"), "id"), tried, percent, turn))
-        links = materialized(confirmed(pairs, sets, percent))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        turn += 1
-        if links.limit(1).count():
-            state, idle = merged(state, links), 0
-        else:
-            idle += 1
-    pairs = materialized(remaining(buckets.join(state, "id"), sets, percent))
-    links = materialized(confirmed(pairs, sets, percent))
-    if links.limit(1).count():
-        state = merged(state, links)
+    grouped = named.groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    groups = scratch.keep(grouped.withColumn("node", F.monotonically_increasing_id()))
+    nodes = scratch.keep(bucketed(groups).join(groups.select("node", "fp"), "node"))
+    several = scratch.keep(named.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min(F.xxhash64("fp")).alias("f0"), F.max(F.xxhash64("fp")).alias("f1")).where("k > 1"))
+    repeated = several.select(F.col("id").alias("rep")) if several.limit(1).count() else None
+    sets = scratch.keep(node_sets(docs, nodes, repeated, id_col, text_col, width))
+    starred = scratch.keep(confirmed(star_edges(nodes, percent), sets, percent))
+    labels = scratch.keep(labelled(nodes, starred))
+    firsts = scratch.keep(prefixes(sets, percent))
+    pairs = remaining(firsts, labels, percent, scratch)
+    links = starred.select("ra", "rb").unionByName(confirmed(pairs, sets, percent).select("ra", "rb")).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    if repeated is not None:
+        # an id with more than one set links the groups of these sets
+        spread = several.where("f0 <> f1").select("id")
+        ties = named.join(spread, "id", "left_semi").select("id", "fp").distinct().join(groups.select("fp", "rep"), "fp").where(F.col("id") != F.col("rep"))
+        links = links.unionByName(ties.select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    state = components(links.where("a <> b"), scratch)
     # a copy's own id counts too: it may be reached under another set
     of_fp = groups.select("fp", "rep").join(state.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    joined = sketch.select("id", "n", "fp").join(of_fp, "fp", "left")
-    component = F.coalesce("component", "id")
-    return joined.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")
-    )
+    found = sketch.where(F.col("fp").isNotNull()).join(of_fp, "fp", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    found = found.unionByName(sketch.where(F.col("fp").isNull()).select("id", "n", F.col("id").alias("component")))
+    scratch.drop(nodes, several, sets, starred, labels, firsts, pairs)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 #: All pairs of sets by their common shingles, then the least id reachable.

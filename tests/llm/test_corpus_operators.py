@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm import decontaminate, flac, lm_score, mixing, near_dedup, token_shards, toxicity
+from seqloom.llm import decontaminate, flac, lm_score, mixing, token_shards, toxicity
 from seqloom.llm.shingles import common, shingle_set, words
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -39,24 +39,6 @@ def corpus(seed=5):
     return out
 
 
-def brute_components(texts):
-    sets = [plain_set(t) for t in texts]
-    parent = list(range(len(texts)))
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in range(len(texts)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both and 100 * both >= 75 * len(sets[i] | sets[j]):
-                a, b = find(i), find(j)
-                parent[max(a, b)] = min(a, b)
-    return [len(s) for s in sets], [find(i) for i in range(len(texts))]
-
-
 def test_shingles_are_those_of_the_definition():
     for text in corpus():
         assert len(shingle_set(text)) == len(plain_set(text))
@@ -64,52 +46,6 @@ def test_shingles_are_those_of_the_definition():
     assert common(a, b) == 2 and common(a, shingle_set(None)) == 0
 
 
-def test_near_duplicates_against_all_pairs(spark):
-    texts = corpus()
-    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, component_id int")
-    sizes, components = brute_components(texts)
-    got = {r["doc_id"]: r for r in near_dedup.near_duplicates(df).collect()}
-    assert [got[i]["n_shingles"] for i in range(len(texts))] == sizes
-    assert [got[i]["component_id"] for i in range(len(texts))] == components
-    assert all(got[i]["kept"] == (components[i] == i) for i in range(len(texts)))
-
-
-def test_near_duplicates_with_null_and_repeated_ids(spark):
-    a, b = sentence(random.Random(1), 40), sentence(random.Random(2), 40)
-    rows = [(7, a), (7, b), (9, b), (None, a), (3, a), (None, None), (4, "")]
-    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
-    assert sorted(got, key=str) == sorted([(7, 3, False), (7, 3, False), (9, 3, False), (None, 3, False), (3, 3, True), (None, None, False), (4, 4, True)], key=str)
-    empty = spark.createDataFrame([], "doc_id long, text string")
-    assert near_dedup.near_duplicates(empty).count() == 0
-
-
-def test_near_duplicates_that_meet_in_hot_buckets_only(spark):
-    passage, rng = sentence(random.Random(8), 104), random.Random(9)
-    # 100 common shingles; two texts with 15 own ones each are similar (0.77), all others have 33 (0.60 and 0.68)
-    texts = [f"{passage} " + " ".join(f"own{i}x{rng.random()}" for _ in range(15 if i in (700, 900) else 33)) for i in range(1500)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df).collect()}
-    assert got == {i: 700 if i == 900 else i for i in range(1500)}
-
-
-def test_sets_of_a_repeated_hot_id_stay_together(spark, monkeypatch):
-    small, large = (np.arange(n, dtype=np.uint64).tobytes() for n in (10, 100))
-    monkeypatch.setattr(near_dedup, "HOT_BYTES", len(small) + 1)
-    sets = spark.createDataFrame([(1, bytearray(small)), (1, bytearray(large)), *[(i, bytearray(large)) for i in range(2, 52)]], "id long, s binary")
-    pairs = spark.createDataFrame([(i, 1) for i in range(2, 52)], "id long, centre long")
-    assert near_dedup.confirmed(pairs, sets, 75).distinct().count() == 50
-
-
-def test_signature_estimates_similarity():
-    rng = np.random.default_rng(0)
-    base = rng.integers(0, 2**63, 3000, dtype=np.int64).astype(np.uint64) * np.uint64(2)
-    a, b = np.unique(base[:2000]), np.unique(base[500:2500])  # similarity 0.6
-    agree = np.mean(near_dedup.signature(a, 2048) == near_dedup.signature(b, 2048))
-    assert abs(agree - 0.6) < 0.06
-    small = np.unique(base[:3])
-    assert set(near_dedup.signature(small, 84)) <= set(small.tolist())
-
-
 def test_contamination_against_all_pairs(spark):
     rng = random.Random(4)
     items = [sentence(rng, n) for n in (3, 5, 7, 15, 33, 60, 120)] + ["", None]
