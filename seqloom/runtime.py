@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 _ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -22,14 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package even if the driver was started elsewhere."""
+    """Let Python workers import this package even if the driver was started elsewhere.
+
+    Two bounds on Arrow batches are set as well, unless the session has its own: long texts
+    and sets travel in them, so they are bounded by bytes as well as by rows.
+    """
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
-    # long texts and sets travel in Arrow batches: bound a batch by bytes as well as by rows
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    for name, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", "500"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))):
+        if name not in spark.conf.getAll:
+            spark.conf.set(name, bound)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,6 +72,58 @@ def materialized(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of the shared folder that go when a job no longer needs them.
+
+    ``keep`` stores a table; ``drop`` deletes some that no later plan reads. What a query
+    returns is lazy, so the tables that it still reads stay for the session's owner to clear.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: dict[int, str] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for df in tables:
+            where = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df)))
+            where.getFileSystem(conf).delete(where, True)
+
+
+def in_batches(df: DataFrame, inputs: list[str], keep: list[tuple[str, str]], outputs: str, compute: Callable[..., list[list]]) -> DataFrame:
+    """Columns ``keep`` (name, new name) as they are, then ``outputs`` (DDL) of ``compute(*inputs)``.
+
+    ``compute`` gets a list of values for each input and returns a list for each output. Kept
+    columns never leave Arrow, so ids of any type come through unchanged, nulls beside them
+    or not; columns go by position, so no name can clash with another.
+    """
+    added = StructType.fromDDL(outputs)
+    fields = [StructField(new, df.schema[old].dataType) for old, new in keep]
+    n, names = len(keep), [new for _, new in keep] + added.names
+    picked = df.select(*[F.col(f"`{old}`") for old, _ in keep], *[F.col(f"`{c}`") for c in inputs])
+    placed = picked.toDF(*[f"c{k}" for k in range(n + len(inputs))])
+
+    @frugal
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types = [to_arrow_type(f.dataType) for f in added.fields]
+        for batch in batches:
+            found = compute(*[batch.column(n + k).to_pylist() for k in range(len(inputs))])
+            made = [pa.array(values, t) for values, t in zip(found, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=names)
+
+    return placed.mapInArrow(run, StructType([*fields, *added.fields]))
+
+
 def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A batch function that hands its task's memory back at the end: Python workers live on between stages."""
 
