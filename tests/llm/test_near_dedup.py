@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from seqloom import runtime
 from seqloom.llm import near_dedup
 from seqloom.llm.shingles import common, shingle_set
 from tests.llm.test_corpus_operators import WORDS, corpus, plain_set, sentence
@@ -137,14 +138,10 @@ def test_a_long_text_is_read_whole(spark):
     assert got == {1: 1, 2: 1, 3: 3}
 
 
-def test_tables_on_the_way_are_deleted(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        found(spark, list(enumerate(corpus())))
-        left = [p.name for p in tmp_path.iterdir() if p.name.startswith("table-")]
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-    assert len(left) <= 3  # what the lazy result still reads
+def test_tables_on_the_way_are_deleted(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(runtime, "shared_dir", lambda _: f"file://{tmp_path}")
+    found(spark, list(enumerate(corpus())))
+    assert len([p for p in tmp_path.iterdir() if p.name.startswith("table-")]) <= 3  # what the lazy result still reads
 
 
 def test_signature_estimates_similarity():
