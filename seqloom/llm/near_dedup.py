@@ -56,6 +56,8 @@ BANDS, ROWS, PERCENT = 28, 3, 75
 FREQUENT = 200_000
 #: Nodes of a key from which on they meet by size class, and classes for a factor e of size.
 CROWDED, CLASSES = 128, 50
+#: Ids that are broadcast for a join, at most; more are joined by a shuffle.
+MAX_BROADCAST = 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,20 +136,23 @@ def star_edges(nodes: DataFrame, percent: int) -> DataFrame:
 def node_sets(docs: DataFrame, nodes: DataFrame, repeated: DataFrame | None, id_col: str, text_col: str, width: int) -> DataFrame:
     """(node, rep, s): the whole set of each node, made anew from the text of its least id.
 
-    Where ids repeat, their texts are first made distinct and then told apart by fingerprint.
+    The nodes' ids are broadcast up to ``MAX_BROADCAST`` of them and shuffled beyond. Where ids
+    repeat, their texts are first made distinct and then told apart by fingerprint.
     """
     texts = docs.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").alias("text"))
     made = lambda df, keep, outputs, one: in_batches(df, ["text"], [(c, c) for c in keep], outputs, one)
     plain = lambda values: [[shingle_set(t, width).tobytes() for t in values]]
     named = nodes.select("rep", "node", "fp")
+    few = nodes.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    sent = lambda df: F.broadcast(df) if few else df
     if repeated is None:
-        return made(texts.join(named.drop("fp"), "rep"), ["node", "rep"], "s binary", plain)
+        return made(texts.join(sent(named.drop("fp")), "rep"), ["node", "rep"], "s binary", plain)
 
     def told(values: list) -> list[list]:
         sets = [shingle_set(t, width).tobytes() for t in values]
         return [sets, [xxhash.xxh3_128_digest(s) for s in sets]]
 
-    once = made(texts.join(repeated, "rep", "left_anti").join(named.drop("fp"), "rep"), ["node", "rep"], "s binary", plain)
+    once = made(texts.join(repeated, "rep", "left_anti").join(sent(named.drop("fp")), "rep"), ["node", "rep"], "s binary", plain)
     several = texts.join(repeated, "rep", "left_semi").join(named.select("rep"), "rep", "left_semi").groupBy("rep", "text").agg(F.count(F.lit(1)).alias("k"))
     # texts that differ may still have one set, so one row stands for it
     found = made(several, ["rep"], "s binary, fp binary", told).join(named, ["rep", "fp"]).dropDuplicates(["node"])
@@ -170,13 +175,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return in_batches(met, ["sa", "sb"], [(c, c) for c in ["a", "b", "ra", "rb", *rest]], "ok boolean", linked).where("ok").drop("ok")
 
 
-def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def labelled(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label): the popular node that is reached by confirmed star edges, four steps at most."""
-    up = links.groupBy("a").agg(F.max(F.struct("popularity", "b")).alias("m")).select(F.col("a").alias("node"), F.col("m.b").alias("to"))
+    up = scratch.keep(links.groupBy("a").agg(F.max(F.struct("popularity", "b")).alias("m")).select(F.col("a").alias("node"), F.col("m.b").alias("to")))
     for _ in range(2):
         onward = up.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        up = up.join(onward, "to", "left").select("node", F.coalesce("further", "to").alias("to"))
-    return nodes.select("node").join(up, "node", "left").select("node", F.coalesce("to", "node").alias("label"))
+        later = scratch.keep(up.join(onward, "to", "left").select("node", F.coalesce("further", "to").alias("to")))
+        scratch.drop(up)
+        up = later
+    labels = scratch.keep(nodes.select("node").join(up, "node", "left").select("node", F.coalesce("to", "node").alias("label")))
+    scratch.drop(up)
+    return labels
 
 
 def common_order(sets: DataFrame, frequent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +287,7 @@ def near_duplicates(
     repeated = several.select(F.col("id").alias("rep")) if several.limit(1).count() else None
     sets = scratch.keep(node_sets(docs, nodes, repeated, id_col, text_col, width))
     starred = scratch.keep(confirmed(star_edges(nodes, percent), sets, percent))
-    labels = scratch.keep(labelled(nodes, starred))
+    labels = labelled(nodes, starred, scratch)
     firsts = scratch.keep(prefixes(sets, percent))
     pairs = remaining(firsts, labels, percent, scratch)
     links = starred.select("ra", "rb").unionByName(confirmed(pairs, sets, percent).select("ra", "rb")).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
