@@ -188,7 +188,7 @@ def labelled(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     return labels
 
 
-def common_order(sets: DataFrame, frequent: int) -> tuple[np.ndarray, np.ndarray]:
+def common_order(sets: DataFrame, frequent: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles among ``sets`` (node, s) and their counts: two arrays of bounded length, sorted by shingle."""
 
     def every(values: list) -> list[list]:
@@ -198,13 +198,22 @@ def common_order(sets: DataFrame, frequent: int) -> tuple[np.ndarray, np.ndarray
         return [[h, *none], [k, *none]]
 
     counted = in_batches(sets, ["s"], [], "h array<long>, k array<long>", every).select(F.explode(F.arrays_zip("h", "k")).alias("x")).select("x.h", "x.k")
-    often = counted.groupBy("h").agg(F.sum("k").alias("k")).where("k > 2").orderBy(F.col("k").desc(), "h").limit(frequent).toPandas().sort_values("h")
-    return often["h"].to_numpy(np.int64), often["k"].to_numpy(np.int64)
-
-
-def prefixes(sets: DataFrame, percent: int, frequent: int = FREQUENT) -> DataFrame:
+    often = scratch.keep(counted.groupBy("h").agg(F.sum("k").alias("k")).where("k > 2"))
+    # the least count from which on there are few enough, by half powers of two
+    step = F.floor(2 * F.log2("k")).cast("int")
+    cut, held = None, 0
+    for r in sorted(often.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        if (held := held + r["count"]) > frequent:
+            break
+        cut = r["step"]
+    kept = often.where(step >= cut if cut is not None else F.lit(False)).toPandas().sort_values("h")
+    scratch.drop(often)
+    return kept["h"].to_numpy(np.int64), kept["k"].to_numpy(np.int64)
+
+
+def prefixes(sets: DataFrame, percent: int, scratch: Scratch, frequent: int = FREQUENT) -> DataFrame:
     """(node, n, first): set size and the set's first shingles in one common order, frequent ones last."""
-    sent = sets.sparkSession.sparkContext.broadcast(common_order(sets, frequent))
+    sent = sets.sparkSession.sparkContext.broadcast(common_order(sets, frequent, scratch))
 
     def compute(values: list) -> list[list]:
         known, count = sent.value
@@ -288,7 +297,7 @@ def near_duplicates(
     sets = scratch.keep(node_sets(docs, nodes, repeated, id_col, text_col, width))
     starred = scratch.keep(confirmed(star_edges(nodes, percent), sets, percent))
     labels = labelled(nodes, starred, scratch)
-    firsts = scratch.keep(prefixes(sets, percent))
+    firsts = scratch.keep(prefixes(sets, percent, scratch))
     pairs = remaining(firsts, labels, percent, scratch)
     links = starred.select("ra", "rb").unionByName(confirmed(pairs, sets, percent).select("ra", "rb")).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     if repeated is not None:
