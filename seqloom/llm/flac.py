@@ -20,8 +20,9 @@ follows the same format one frame at a time.
 seek: block b of a stream starts at sample ``sample_offset`` and holds ``n_samples``.
 
 Defined results: null and empty texts are one block of blanks; equal texts give equal bytes;
-repeated rows give equal rows; extra columns are ignored; an empty table gives an empty
-result.
+repeated rows give equal rows; ids of any type, null or not, come through unchanged; extra
+columns, whatever their names, are ignored; texts are stored whole, whatever their length; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,16 +30,16 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.runtime import frugal, materialized
+from seqloom.runtime import in_batches, materialized
 
 BLOCK, RATE = 192, 8000
+#: Samples of a block that a reader can seek to.
+BLOCK_SAMPLES = 65_536
 #: Coefficients of the fixed predictors: sample i is foretold from those before it, nearest first.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 _LPC_PRECISION, _LPC_SHIFT = 8, 6
@@ -534,31 +535,28 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 def with_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): each text's stream."""
 
-    @frugal
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = [payload_of(t) for t in pdf["text"]]
-            yield pd.DataFrame({id_col: pdf["id"], "n_bytes": [n for _, n in made], "media": encode([p for p, _ in made]) if made else []})
+    def compute(texts: list) -> list[list]:
+        made = [payload_of(t) for t in texts]
+        return [[n for _, n in made], encode([p for p, _ in made]) if made else []]
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, media binary")
+    return in_batches(docs, [text_col], [(id_col, id_col)], "n_bytes long, media binary", compute)
 
 
-def pcm_blocks(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media", block_samples: int = 65_536) -> DataFrame:
+def blocks_of(payload: bytes, block_samples: int) -> list[tuple[int, int, bytes]]:
+    """(block, sample offset, samples) of a decoded stream."""
+    return [(k // block_samples, k, payload[k : k + block_samples]) for k in range(0, len(payload), block_samples)]
+
+
+def pcm_blocks(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media", block_samples: int = BLOCK_SAMPLES) -> DataFrame:
     """(id, block, sample_offset, n_samples, pcm): decoded samples as unsigned bytes, in seekable blocks; a null stream has none."""
 
-    @frugal
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[pdf["media"].notna()]
-            rows = [
-                (i, k // block_samples, k, len(p[k : k + block_samples]), p[k : k + block_samples])
-                for i, p in zip(pdf["id"], decode(pdf["media"].tolist()), strict=True)
-                for k in range(0, len(p), block_samples)
-            ]
-            yield pd.DataFrame(rows, columns=[id_col, "block", "sample_offset", "n_samples", "pcm"])
+    def compute(streams: list) -> list[list]:
+        payloads = decode(streams) if streams else []
+        return [[[{"block": b, "sample_offset": at, "n_samples": len(pcm), "pcm": pcm} for b, at, pcm in blocks_of(p, block_samples)] for p in payloads]]
 
-    schema = f"`{id_col}` {media.schema[id_col].dataType.simpleString()}, block long, sample_offset long, n_samples long, pcm binary"
-    return media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInPandas(run, schema)
+    there = media.where(F.col(f"`{media_col}`").isNotNull())
+    blocks = in_batches(there, [media_col], [(id_col, id_col)], "blocks array<struct<block: long, sample_offset: long, n_samples: long, pcm: binary>>", compute)
+    return blocks.select(id_col, F.explode("blocks").alias("b")).select(id_col, "b.*")
 
 
 def features(payload: bytes, media: bytes) -> str:
@@ -572,24 +570,21 @@ def features(payload: bytes, media: bytes) -> str:
 def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
 
-    @frugal
-    def read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            media = pdf["media"].tolist()
-            payloads = decode(media) if media else []
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"],
-                    "n_bytes": pdf["n_bytes"],
-                    "payload_bytes": [len(p) for p in payloads],
-                    "payload_sha256": [hashlib.sha256(p).hexdigest() for p in payloads],
-                    "tail_crc32": [zlib.crc32(p[-16:]) for p in payloads],
-                    "media_bytes": [len(m) for m in media],
-                    "media_sha256": [hashlib.sha256(m).hexdigest() for m in media],
-                    "feature": [features(p, m) for p, m in zip(payloads, media, strict=True)],
-                }
-            )
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    def read_back(media: list) -> list[list]:
+        # the payload is what the blocks of the decoded stream hold
+        blocks = [blocks_of(p, BLOCK_SAMPLES) for p in (decode(media) if media else [])]
+        payloads = [b"".join(pcm for _, _, pcm in b) for b in blocks]
+        return [
+            [len(p) for p in payloads],
+            [hashlib.sha256(p).hexdigest() for p in payloads],
+            [zlib.crc32(p[-16:]) for p in payloads],
+            [len(m) for m in media],
+            [hashlib.sha256(m).hexdigest() for m in media],
+            [features(p, m) for p, m in zip(payloads, media, strict=True)],
+            [len(b) for b in blocks],
+            [[at for _, at, _ in b] for b in blocks],
+        ]
+
+    measured = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks long, block_offsets array<long>"
     # the streams are stored; what follows reads the stored bytes
-    return materialized(with_media(docs)).mapInPandas(read_back, schema)
+    return in_batches(materialized(with_media(docs)), ["media"], [("doc_id", "doc_id"), ("n_bytes", "n_bytes")], measured, read_back)
