@@ -1,13 +1,16 @@
 """Toxicity: a weighted finite-state pattern grammar whose insult words are learned from labels.
 
-The grammar is composed of small transducers:
+The grammar is composed of small finite-state machines, kept as state tables:
 
 * the lexicon reads a word and writes its class: insult or threat (with a weight), target
-  (whom a clause addresses), negation or reported speech;
-* the clause transducer reads the classes of one clause (a stretch between sentence marks,
-  line ends, commas and bars) and writes each insult or threat with the mode it stands in:
-  plain, aimed (a target is in the clause), negated (a negation comes before it) or reported
-  (a verb of speech comes before it).
+  (whom a clause addresses), negation, reported speech, or none;
+* ``VOICE`` reads classes from left to right: own words, negated ones (a second negation takes
+  the first back) or reported ones, whichever came last;
+* ``ADDRESS`` notes whether a target was met;
+* the clause transducer is their composition: ``VOICE`` and ``ADDRESS`` in step from the left,
+  ``ADDRESS`` once more from the right. Between a left and a right state each insult or threat
+  of a clause (a stretch between sentence marks, line ends, commas and bars) writes the mode it
+  stands in (plain, aimed, negated or reported) with its weight times the arc's.
 
 Texts are searched for lexicon entries; only clauses that hold one are run through the clause
 transducer. Weights of a text's matched clauses, by mode, are the inputs of a logistic score
@@ -15,16 +18,19 @@ in which a long text needs more of them than a short one. Isolated words have no
 
 Learning uses labelled rows whose crc32(id) mod 5 is not 0, at most ``sample_rows`` of them
 (the least by a hash of the id; 8,000 by default, a documented bound). Word stems (prefixes of
-3 to 10 letters, or whole words) enter the lexicon one after another by likelihood ratio:
+3 to 10 letters, or whole words; all whose evidence suffices) enter the lexicon one after another by likelihood ratio:
 how much likelier a toxic document is to hold one, two or three different words with that
 stem, counted on documents that earlier stems don't explain. Stems that only come with chosen
 ones join them if nearly all their holders are toxic. Fixed lists of common insults,
 threats, targets, negations and speech verbs start it off. Labels, language, source and id
 are never inputs of a score.
 
-Defined results: null and empty texts score by the constant term alone; without usable labels
-the fixed lists are weighed by fixed coefficients; repeated rows get equal scores; extra
-columns pass through ``score_toxicity``; an empty table gives an empty result.
+Defined results: null and empty texts score by the constant term alone; texts and clauses are
+read whole, whatever their length; without usable labels the fixed lists are weighed by fixed
+coefficients; a row without an id is never held out nor learned from; repeated rows get equal
+scores, and repeated ids give one row to learn from; ties between stems go to the one that asks
+for fewer words, then to the longer, then by name; columns of any name pass through
+``score_toxicity`` unless they are named as its score; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,24 +43,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.runtime import frugal, materialized
+from seqloom.runtime import frugal, in_batches, materialized
 
 #: Starting lexicon, whole words.
 INSULTS = "idiot moron imbecile stupid scum loser worthless pathetic disgusting trash vermin pig bastard bitch cretin halfwit degenerate filth idiota estúpido estúpida imbécil basura asqueroso crétin débile ordure connard salope dégoûtant dummkopf vollidiot abschaum widerlich trottel arschloch".split()
 THREATS = "kill murder hang shoot stab strangle exterminate eradicate burn matar mataré asesinar tuer tuerai égorger töten umbringen erschießen".split()
 TARGETS = frozenset("you your yours yourself he she they them those these people everyone tú usted ustedes vosotros tu toi vous ils elles eux du dich ihr euch sie".split())
 NEGATIONS = frozenset("not never no isn't aren't don't doesn't nunca jamás ne pas jamais nicht kein keine nie".split())
-SPEECH = frozenset("said says wrote writes claimed claims called calls quoted quotes reported reports alleged according dijo dice escribió afirmó dit écrit déclaré selon sagte sagt schrieb behauptete laut".split())
+SPEECH_VERBS = frozenset("said says wrote writes claimed claims called calls quoted quotes reported reports alleged according dijo dice escribió afirmó dit écrit déclaré selon sagte sagt schrieb behauptete laut".split())
 
 _LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _MARKS = re.compile(r"[.!?;:,|\n\r\"“”«»()]")
 MODES = ("plain", "aimed", "negated", "reported")
 LENGTHS = range(3, 11)
-_FIXED = np.array([-4.0, 1.6, 2.2, 0.6, 0.4, 1.6, 1.0, 0.8, 0.0])
+#: Likelihood ratio (G-squared) that a stem needs, and stems that the lexicon takes, at most.
+LEAST, MOST_STEMS = 16.0, 200
+_FIXED = np.array([-4.0, 1.6, 2.2, 0.6, 0.4, 1.6, 1.0, 0.8, 0.5])
 
 
 @dataclass(frozen=True)
@@ -88,14 +95,64 @@ def _clause_start(text: str, least: int, at: int) -> int:
     return least
 
 
+class Machine:
+    """A complete deterministic machine over word classes: ``steps[state, class]`` is the next state."""
+
+    def __init__(self, names: list, start, moves: dict[tuple, object]) -> None:
+        self.names, self.at = names, names.index(start)
+        self.steps = np.array([[names.index(moves.get((state, c), state)) for c in range(len(CLASSES))] for state in names])
+
+    def __and__(self, other: Machine) -> Machine:
+        """Both machines in step: states are pairs, of which only those that can be reached are kept."""
+        start = (self.names[self.at], other.names[other.at])
+        found, moves, k = [start], {}, 0
+        while k < len(found):
+            p, q = (m.names.index(x) for m, x in zip((self, other), found[k], strict=True))
+            for c in range(len(CLASSES)):
+                to = (self.names[self.steps[p, c]], other.names[other.steps[q, c]])
+                moves[found[k], c] = to
+                if to not in found:
+                    found.append(to)
+            k += 1
+        return Machine(found, start, moves)
+
+
+#: What the lexicon writes for a word.
+CLASSES = OTHER, INSULT, THREAT, TARGET, NEGATION, SPEECH = range(6)
+#: Read from left to right: what was said last, and whether it still holds after a second negation.
+VOICE = Machine(["own", "negated", "reported"], "own", {("own", NEGATION): "negated", ("reported", NEGATION): "negated", ("negated", NEGATION): "own", ("own", SPEECH): "reported", ("negated", SPEECH): "reported"})
+#: Read from either side: whether a target was met.
+ADDRESS = Machine(["nobody", "somebody"], "nobody", {("nobody", TARGET): "somebody"})
+#: Composed: voice and target to the left; the target to the right is read from the other end.
+LEFT, RIGHT = VOICE & ADDRESS, ADDRESS
+
+
+def _arcs() -> tuple[list, np.ndarray]:
+    """What an insult or a threat writes between a left and a right state: its mode, and the arc's weight."""
+    modes, weights = [], np.ones((len(LEFT.names), len(RIGHT.names), len(CLASSES)))
+    for i, (voice, before) in enumerate(LEFT.names):
+        modes.append([])
+        for j, after in enumerate(RIGHT.names):
+            aimed = "somebody" in (before, after)
+            modes[-1].append(("aimed" if aimed else "plain") if voice == "own" else voice)
+            # a threat that names nobody is mostly about something else
+            weights[i, j, THREAT] = 1.0 if aimed else 0.5
+    return modes, weights
+
+
+_MODES, _WEIGHTS = _arcs()
+_FIXED_CLASSES = {**dict.fromkeys(SPEECH_VERBS, SPEECH), **dict.fromkeys(NEGATIONS, NEGATION), **dict.fromkeys(TARGETS, TARGET)}
+
+
 class Reader:
-    """Runs the grammar over texts."""
+    """Runs the grammar over texts: lexicon, then the left and right machines, then the arcs' output."""
 
     def __init__(self, grammar: Grammar) -> None:
         self.grammar = grammar
         self.stems = {**grammar.insults, **{f"{w}$": 1.0 for w in grammar.threats}}
         self.find = _entries(self.stems)
         self.by_length = sorted({len(s) for s in self.stems if not s.endswith("$")}, reverse=True)
+        self.left, self.right = LEFT.steps.tolist(), RIGHT.steps.tolist()
 
     def entry(self, word: str) -> tuple[str, float] | None:
         """The lexicon's longest entry for a word, and its weight."""
@@ -106,18 +163,30 @@ class Reader:
                 return word[:n], w
         return None
 
+    def classes(self, words: list[str]) -> tuple[list[int], dict[int, tuple[str, float]]]:
+        """The lexicon transducer: each word's class, and the entries of insults and threats by place."""
+        out, entries = [], {}
+        for k, w in enumerate(words):
+            if (found := self.entry(w)) is not None:
+                entries[k] = found
+                out.append(THREAT if found[0][:-1] in self.grammar.threats else INSULT)
+            else:
+                out.append(_FIXED_CLASSES.get(w, OTHER))
+        return out, entries
+
     def clause(self, words: list[str]) -> list[tuple[str, str, str, float]]:
         """The clause transducer: (mode, word, entry, weight) of each insult and threat."""
-        aimed = any(w in TARGETS for w in words)
-        state, out = "plain", []
-        for w in words:
-            if (found := self.entry(w)) is not None:
-                mode = "aimed" if state == "plain" and aimed else state
-                out.append((mode, w, *found))
-            elif w in NEGATIONS:
-                state = "plain" if state == "negated" else "negated"
-            elif w in SPEECH:
-                state = "reported"
+        classes, entries = self.classes(words)
+        after, at = [0] * len(words), RIGHT.at
+        for k in range(len(words) - 1, -1, -1):
+            after[k] = at
+            at = self.right[at][classes[k]]
+        out, at = [], LEFT.at
+        for k, c in enumerate(classes):
+            if k in entries:
+                entry, weight = entries[k]
+                out.append((_MODES[at][after[k]], words[k], entry, weight * float(_WEIGHTS[at, after[k], c])))
+            at = self.left[at][c]
         return out
 
     def matches(self, text: str | None) -> list[tuple[str, str, str, float]]:
@@ -141,10 +210,10 @@ class Reader:
         x[0] = 1.0
         if found:
             by_mode = dict.fromkeys(MODES, 0.0)
-            threats = 0
+            threats = 0.0
             for mode, _, entry, weight in found:
                 by_mode[mode] += weight
-                threats += entry[:-1] in self.grammar.threats
+                threats += weight if entry[:-1] in self.grammar.threats else 0.0
             total = sum(by_mode.values())
             x[1:5] = [math.log1p(by_mode[m]) for m in MODES]
             x[5] = math.log1p(1000 * total / (len(text) + 300))
@@ -188,48 +257,64 @@ def likelihood_ratio(a: np.ndarray, n: np.ndarray, total_a: float, total: float)
     return np.where(a > n * share, g, 0.0)
 
 
-def choose_stems(holders: dict[tuple[str, int], set[int]], toxic: set[int], total: int, least: float = 16.0, most: int = 200) -> dict[str, float]:
-    """Stems in order of their likelihood ratio on documents that earlier ones don't explain, with weights."""
-    left_total, gone = total, set()
+def choose_stems(features: list[tuple[str, int]], rows: list[np.ndarray], toxic: np.ndarray, least: float = LEAST, most: int = MOST_STEMS) -> dict[str, float]:
+    """Stems in order of their likelihood ratio on documents that earlier ones don't explain, with weights.
+
+    ``rows`` has the features of each document. A chosen stem's documents leave all counts, so
+    each document is taken out once and the choice costs no more than reading them all.
+    """
+    n, a = np.zeros(len(features)), np.zeros(len(features))
+    holders: dict[int, list[int]] = defaultdict(list)
+    for i, held in enumerate(rows):
+        n[held] += 1
+        a[held] += toxic[i]
+        for f in held.tolist():
+            holders[f].append(i)
+    stems: dict[str, list[int]] = defaultdict(list)
+    for f, (stem, _) in enumerate(features):
+        stems[stem].append(f)
+    left, total, toxic_left = np.ones(len(rows), bool), len(rows), int(toxic.sum())
+    asked, length, live = np.array([-k for _, k in features]), np.array([len(s) for s, _ in features]), np.ones(len(features), bool)
     chosen: dict[str, float] = {}
-    live = dict(holders)
-    while live and len(chosen) < most:
-        keys = list(live)
-        n = np.array([len(live[k]) for k in keys], float)
-        a = np.array([len(live[k] & toxic) for k in keys], float)
-        g = likelihood_ratio(a, n, len(toxic - gone), left_total)
-        # equal evidence: fewer words asked for, then the longer stem
-        top = max(range(len(keys)), key=lambda i: (round(g[i], 6), -keys[i][1], len(keys[i][0])))
-        if g[top] < least:
+    while len(chosen) < most and live.any():
+        g = np.where(live & (n > 0), np.round(likelihood_ratio(a, n, toxic_left, total), 6), -1.0)
+        if g.max() < least:
             break
-        stem, _ = keys[top]
+        # equal evidence: fewer words asked for, then the longer stem, then the first by name
+        ties = np.flatnonzero(g == g.max())
+        top = int(ties[np.lexsort((ties, -length[ties], -asked[ties]))[0]])
+        stem = features[top][0]
         odds = (a[top] + 0.5) / (n[top] - a[top] + 0.5)
-        chosen[stem] = float(np.clip(math.log(odds * max(left_total - len(toxic - gone), 1) / max(len(toxic - gone), 1)) / 3, 0.3, 2.0))
-        explained = set(live[keys[top]])
-        gone |= explained
-        left_total -= len(explained)
-        live = {k: rest for k, v in live.items() if (rest := v - explained) and k[0] != stem}
-    return chosen | companions(holders, toxic, total, chosen)
-
-
-def companions(holders: dict[tuple[str, int], set[int]], toxic: set[int], total: int, chosen: dict[str, float], purity: float = 0.9, least: float = 60.0) -> dict[str, float]:
+        chosen[stem] = float(np.clip(math.log(odds * max(total - toxic_left, 1) / max(toxic_left, 1)) / 3, 0.3, 2.0))
+        live[stems[stem]] = False
+        for i in holders[top]:
+            if left[i]:
+                left[i] = False
+                n[rows[i]] -= 1
+                a[rows[i]] -= toxic[i]
+                total -= 1
+                toxic_left -= int(toxic[i])
+    return chosen | companions(features, rows, toxic, chosen)
+
+
+def companions(features: list[tuple[str, int]], rows: list[np.ndarray], toxic: np.ndarray, chosen: dict[str, float], purity: float = 0.9, least: float = 60.0) -> dict[str, float]:
     """Stems that always come with chosen ones: nearly all their holders are toxic, and they take many endings.
 
     Copies of one document give its words pure holders too, but each such stem only one ending.
     """
+    n, a = np.zeros(len(features)), np.zeros(len(features))
+    for i, held in enumerate(rows):
+        n[held] += 1
+        a[held] += toxic[i]
     endings: dict[str, set[str]] = defaultdict(set)
-    for stem, _ in holders:
+    for stem, _ in features:
         if not stem.endswith("$"):
             endings[stem[:-1]].add(stem)
-    keys = [k for k in holders if len(endings.get(k[0], ())) >= 4]
-    n = np.array([len(holders[k]) for k in keys], float)
-    a = np.array([len(holders[k] & toxic) for k in keys], float)
-    g = likelihood_ratio(a, n, len(toxic), total)
+    g = np.round(likelihood_ratio(a, n, int(toxic.sum()), len(rows)), 6)
+    able = [f for f, (stem, _) in enumerate(features) if len(endings.get(stem, ())) >= 4 and g[f] >= least and a[f] >= purity * n[f]]
     found: dict[str, float] = {}
-    for i in sorted(range(len(keys)), key=lambda i: (-round(g[i], 6), keys[i][1], -len(keys[i][0]))):
-        stem = keys[i][0]
-        if g[i] < least or a[i] < purity * n[i]:
-            continue
+    for f in sorted(able, key=lambda f: (-g[f], features[f][1], -len(features[f][0]), features[f][0])):
+        stem = features[f][0]
         if not any(stem.startswith(c.rstrip("$")) or c.startswith(stem) for c in [*chosen, *found]):
             found[stem] = 1.0
     return found
@@ -255,12 +340,25 @@ def default_grammar() -> Grammar:
     return Grammar({f"{w}$": 1.0 for w in INSULTS}, frozenset(THREATS), _FIXED.copy())
 
 
+def _evidence(a: Column, n: Column, toxic: int, total: int) -> Column:
+    """``likelihood_ratio`` as an expression of the JVM."""
+    share, away = toxic / max(total, 1), 1 - toxic / max(total, 1)
+
+    def term(x: Column, expected: Column) -> Column:
+        return F.when(x > 0, x * F.log(x / expected)).otherwise(F.lit(0.0))
+
+    without = F.lit(float(total)) - n
+    g = 2 * (term(a, n * share) + term(n - a, n * away) + term(F.lit(float(toxic)) - a, without * share) + term(without - (F.lit(float(toxic)) - a), without * away))
+    return F.when(a > n * share, g).otherwise(F.lit(0.0))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int) -> DataFrame:
-    """(id, text, y) of at most ``sample_rows`` labelled documents outside the held-out fifth."""
+    """(id, text, y) of at most ``sample_rows`` labelled documents outside the held-out fifth; of texts that share an id one, the least by a hash."""
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) != 0))
     rows = usable.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    return materialized(texts.join(F.broadcast(rows), "id"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.col("text").isNotNull())
+    one = texts.join(F.broadcast(rows), "id").groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t"))
+    return materialized(one.select("id", F.col("t.text").alias("text"), "y"))
 
 
 def learn(sample: DataFrame) -> Grammar:
@@ -293,54 +391,38 @@ def learn(sample: DataFrame) -> Grammar:
         yield from parts()
 
     counts = sample.select("text", "y").mapInPandas(count, "stem string, k long, n long, a long").groupBy("stem", "k").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
-    share = toxic / total
-    # the strongest few thousand are enough for a greedy choice; ranked by a simple excess, then exactly
-    strong = counts.where((F.col("a") >= 3) & (F.col("a") > 1.5 * share * F.col("n")))
-    excess = (F.col("a") - share * F.col("n")) / F.sqrt(share * F.col("n") + 0.5)
-    top = strong.orderBy(excess.desc(), F.col("stem"), F.col("k")).limit(6000).collect()
+    # candidates: every stem whose evidence over the whole sample reaches what a choice needs
+    top = counts.where(_evidence(F.col("a"), F.col("n"), toxic, total) >= LEAST).orderBy("stem", "k").collect()
     features = [(r["stem"], int(r["k"])) for r in top]
     at = {f: i for i, f in enumerate(features)}
 
-    @frugal
-    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [[at[f] for f in stems_of(t) if f in at] for t in pdf["text"]]
-            yield pd.DataFrame({"y": pdf["y"], "f": rows})
-
-    rows = sample.mapInPandas(held, "y int, f array<int>").collect()
-    holders: dict[tuple[str, int], set[int]] = defaultdict(set)
-    for i, r in enumerate(rows):
-        for f in r["f"]:
-            holders[features[f]].add(i)
-    found = choose_stems(holders, {i for i, r in enumerate(rows) if r["y"]}, total)
+    def held(texts: list) -> list[list]:
+        return [[[at[f] for f in stems_of(t) if f in at] for t in texts]]
+
+    found_in = in_batches(sample, ["text"], [("y", "y")], "f array<int>", held).collect()
+    rows = [np.array(sorted(r["f"]), np.int64) for r in found_in]
+    found = choose_stems(features, rows, np.array([r["y"] for r in found_in], float))
     grammar = Grammar({f"{w}$": 1.0 for w in INSULTS} | found, frozenset(THREATS), _FIXED.copy())
 
-    @frugal
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def vectors(texts: list) -> list[list]:
         reader = Reader(grammar)
-        for pdf in batches:
-            yield pd.DataFrame({"y": pdf["y"], "x": [reader.inputs(t).tolist() for t in pdf["text"]]})
+        return [[reader.inputs(t) for t in texts]]
 
-    data = sample.mapInPandas(vectors, "y int, x array<double>").collect()
+    data = in_batches(sample, ["text"], [("y", "y")], "x array<double>", vectors).collect()
     x, y = np.array([r["x"] for r in data]), np.array([r["y"] for r in data], float)
     return Grammar(grammar.insults, grammar.threats, fit_logistic(x, y, _FIXED))
 
 
 def score_toxicity(docs: DataFrame, grammar: Grammar, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text."""
-    names = [c for c in docs.columns if c != score_col]
-    base = docs.select(*[F.col(f"`{c}`") for c in names])
-    at = names.index(text_col)
+    reader: list[Reader] = []
 
-    @frugal
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(grammar)
-        for batch in batches:
-            scores = pa.array([reader.score(t) for t in batch.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, score_col])
+    def compute(texts: list) -> list[list]:
+        if not reader:  # once a task
+            reader.append(Reader(grammar))
+        return [[reader[0].score(t) for t in texts]]
 
-    schema = base.withColumn(score_col, F.lit(0.0)).schema
-    return base.mapInArrow(run, schema)
+    return in_batches(docs, [text_col], [(c, c) for c in docs.columns if c != score_col], f"`{score_col}` double", compute)
 
 
 def learned(spark: SparkSession, docs: DataFrame, sf_dir: str, sample_rows: int = 8000) -> Grammar:
@@ -351,15 +433,6 @@ def learned(spark: SparkSession, docs: DataFrame, sf_dir: str, sample_rows: int
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    grammar = learned(spark, docs, sf_dir)
-    narrow = docs.select("doc_id", "text")
-
-    @frugal
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(grammar)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": [reader.score(t) for t in pdf["text"]]})
-
-    scored = narrow.mapInPandas(run, "doc_id long, score double")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    scored = score_toxicity(docs.select("doc_id", "text"), learned(spark, docs, sf_dir)).drop("text")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
