@@ -64,12 +64,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _stored(df: DataFrame) -> str:
+    """The path of a table of the shared folder that holds ``df``; zstd keeps it small."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").parquet(path)
+    return path
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: compact, columnar, free of lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(_stored(df))
 
 
 class Scratch:
@@ -84,8 +88,7 @@ class Scratch:
         self.paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/table-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        path = _stored(df)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
