@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import string
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,13 +26,66 @@ TEXTS = [
 ]
 
 
+def brute_base(text):
+    """Counts and digest by reading characters one by one, without the operator's patterns."""
+    text, spans = text or "", []
+    names, value = ("password", "passwd", "secret", "token", "api_key", "apikey"), set(string.ascii_letters + string.digits + "+/_.=-")
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    at = 0
+    while at < len(text):  # assign
+        for name in names:
+            k = at + len(name)
+            if low[at:k] != name:
+                continue
+            k += text[k : k + 1] in ('"', "'") and k < len(text)
+            while text[k : k + 1] == " ":
+                k += 1
+            if text[k : k + 1] not in (":", "=") or k == len(text):
+                continue
+            k += 1
+            while text[k : k + 1] == " ":
+                k += 1
+            k += text[k : k + 1] in ('"', "'") and k < len(text)
+            end = k
+            while end < len(text) and text[end] in value:
+                end += 1
+            if end > k:
+                if end - k >= 6:
+                    spans.append((at, 0, end))
+                at = end - 1
+                break
+        at += 1
+    at = 0
+    while (at := text.find("AKIA", at)) >= 0:  # access
+        end = at + 4
+        while end < len(text) and text[end] in string.ascii_uppercase + string.digits:
+            end += 1
+        if end == at + 4:
+            at += 1
+            continue
+        if end - at >= 20:
+            spans.append((at, 1, end))
+        at = end
+    at = 0
+    while at < len(text):  # hex
+        end = at
+        while end < len(text) and text[end] in "0123456789abcdef":
+            end += 1
+        if end - at >= 24:
+            spans.append((at, 2, end))
+        at = max(end, at + 1)
+    spans.sort()
+    kinds = ("assign", "access", "hex")
+    return (*[sum(k == i for _, k, _ in spans) for i in range(3)], hashlib.sha256(",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest())
+
+
 def test_base_spans_agree_with_their_definition():
     rng = random.Random(3)
     pieces = ["password", "=", ":", " ", '"', "AKIA", "Z9", "0a1b2c", "deadbeefdeadbeefdeadbeef", "token", "API_KEY", "é", "\n"]
     texts = TEXTS + ["".join(rng.choice(pieces) for _ in range(60)) for _ in range(400)]
     for text in texts:
         base, everything = secrets.all_spans(text)
-        n_assign, n_access, n_hex, digest = secrets.brute_base(text)
+        n_assign, n_access, n_hex, digest = brute_base(text)
         kinds = [k for _, _, k in base]
         assert (kinds.count("assign"), kinds.count("access"), kinds.count("hex")) == (n_assign, n_access, n_hex)
         assert hashlib.sha256(secrets.written(base).encode()).hexdigest() == digest
@@ -66,6 +121,47 @@ def test_lexer_reads_every_form_of_a_pair():
     assert values('db_pwd: Xk29!qlm#77Z\ntitle: db_pwd') == ["Xk29!qlm#77Z"]
 
 
+def literals(text):
+    return [text[s:e] for s, e, k in secrets.all_spans(text)[1] if k == "literal"]
+
+
+@pytest.mark.parametrize(
+    "form",
+    [
+        'db_pass: str = "V"', 'const dbPass: string = "V"', 'a["db_pass"] = "V"', 'db_pass = fn("V")', 'db_pass = await load(1, "V")', 'set("db_pass", "V")', "run --db-pass V", "run --db-pass 'V' -q",
+        "db_pass:\n  V\n", "db_pass: |\n  V\nother: 1", 'db_pass = """V"""', "db_pass = '''V'''", '<property name="db_pass" value="V"/>', "<db_pass>V</db_pass>", 'user, db_pass = "me", "V"',
+        'db_pass = os.environ.get("DB_PASS", "V")', 'x = os.environ.get("db_pass", "V")', '- name: DB_PASS\n  value: "V"', '{"name": "db_pass", "value": "V"}', 'connect(host="h", db_pass=decode("V"))',
+        'k = "V"\nj = k\ndb_pass = j', 'db_pass = "V" + suffix',
+    ],
+)
+def test_spellings_of_one_secret(form):
+    assert literals(form.replace("V", "Xk29!qlm#77Z")) == ["Xk29!qlm#77Z"]
+
+
+@pytest.mark.parametrize("form", ['db_pass = os.environ.get("DB_PASSWORD")', 'db_pass = getenv("APP_DB_PASS")', "run --verbose Xk29!qlm#77Z", 'title = fn("Xk29!qlm#77Z")', "<title>Xk29!qlm#77Z</title>", 'a, b = "Xk29!qlm#77Z", 1', "the password manager - a note (see below)"])
+def test_what_is_no_secret(form):
+    assert literals(form) == []
+
+
+def test_long_texts_take_time_in_proportion():
+    chain = "\n".join(f"secret_{i} = secret_{i + 1}" for i in range(100_000)) + '\nsecret_100000 = "Xk29!qlm#77Z"'
+    nested = "db_pass = " + "f(" * 50_000 + '"Xk29!qlm#77Z"' + ")" * 50_000
+    many = "password=abcdef12 " * 100_000 + "\n" + 'db_pwd = "Xk29!qlm#77Z"\n' * 50_000
+    began = time.process_time()
+    assert literals(chain) == ["Xk29!qlm#77Z"]
+    secrets.all_spans(nested)
+    assert len(literals(many)) == 50_000
+    secrets.all_spans('"""' * 100_000 + " secret = " + "((((" * 50_000 + "a, " * 100_000 + "= 1")
+    assert time.process_time() - began < 40
+
+
+def test_ids_and_clashing_columns_pass_through(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "password=abcdef12", "a", 1), (None, None, "b", 2), (big + 2, "x", None, 3)], "doc_id long, text string, __text string, c0 int")
+    rows = {r["doc_id"]: r for r in secrets.scan_secrets(df).collect()}
+    assert set(rows) == {big, None, big + 2} and rows[big]["__text"] == "a" and rows[big]["text"] == "password=abcdef12" and rows[big]["c0"] == 1
+
+
 def test_scan_keeps_extra_columns_and_handles_empty_tables(spark):
     df = spark.createDataFrame([(1, None, 5), (1, "password=abcdef12", 6), (1, "password=abcdef12", 6)], "doc_id long, text string, spans int")
     rows = secrets.scan_secrets(df).orderBy("spans").collect()
@@ -157,5 +253,5 @@ def test_registered_scan_matches_brute_force(spark, tmp_path):
     rows = [(i, t) for i, t in enumerate(TEXTS)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     for r in secrets.op2_secret_scan(spark, str(tmp_path)).orderBy("doc_id").collect():
-        assert (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) == secrets.brute_base(TEXTS[r["doc_id"]])
+        assert (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) == brute_base(TEXTS[r["doc_id"]])
     assert secrets.op2_secret_scan(spark, str(tmp_path)).agg(F.count("*")).first()[0] == len(TEXTS)
