@@ -3,32 +3,34 @@
 The page is read once into a small tree (tags, parents, subtree ends) and a list of text
 pieces. Elements that never hold the article (navigation, page headers and footers, asides,
 forms, scripts, styles) and elements whose class, id or role says so (adverts, notices,
-sidebars, comments ...) are cut with all they hold. Each remaining block of text passes
-points to its container and, in falling shares, to the containers above it: one point, one
-for each comma, and up to three for length. A container's sum is discounted by its link
-density; the best container is kept, widened to the ``article`` or ``main`` around it, or
-else joined by those siblings that are plain text or score well themselves.
+sidebars, comments ...) are cut with all they hold; inside an ``article`` or ``main`` element,
+headers stay, and paragraphs, headings, lists and tables go only if marked as adverts or
+comments. Each remaining block of text passes points to its container and, in falling shares
+(1, 1/2, 1/4, 1/6 ...), to the containers above it: one point, one for each comma, and up to
+three for length, less the share of its text that is linked. A container's sum is discounted
+once more by its link density. The best container is kept, widened to the ``article`` or
+``main`` around it, with those of its siblings that score a fifth of it or are plain text
+without many links.
 
 The text is all of the kept blocks in page order: character references decoded, white space
 inside a block turned into one space, ends trimmed, blocks joined by one newline. ``br`` is
 white space. Nothing is capped.
 
 Defined results: null and empty html give an empty text; a page without any kept block gives
-an empty text; broken markup (unclosed elements, a cut-off end) is read as far as it goes;
-repeated rows give equal results; extra columns pass through unless named like the outputs.
+an empty text; of containers with equal scores the first is the best; broken markup (unclosed
+elements, a cut-off end) is read as far as it goes, and pages of any length are read whole;
+repeated rows give equal results; ids of any type, null or not, and columns of any name pass
+through unless named like the outputs; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from seqloom.runtime import frugal
+from seqloom.runtime import in_batches
 
 _TAG = re.compile(r"""<(?:!--|(?P<decl>[!?])|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>)""")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
@@ -66,10 +68,12 @@ LIKELY = frozenset("article articlebody content entry main post story mainconten
 #: Words that rule an element out even if another word marks the article; those that rule out an article element.
 STRONG = frozenset("comment comments commentlist ad ads advert advertisement sponsored related share sharing social footer newsletter promo breadcrumb breadcrumbs pagination".split())
 STRONGEST = frozenset("comment comments commentlist ad ads advert advertisement sponsored".split())
+#: Elements of running text, which inside an article only the strongest words rule out.
+RUNNING = TEXTUAL | frozenset("table thead tbody tfoot tr ul ol dl figure".split())
 
 
-def _unlikely(attrs: str, name: str = "div") -> bool:
-    """Whether class, id, role or a hiding attribute rules an element out."""
+def _unlikely(attrs: str, name: str = "div", inside: bool = False) -> bool:
+    """Whether class, id, role or a hiding attribute rules an element out; ``inside`` an article or main element or not."""
     for m in _ATTR.finditer(attrs):
         key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
         if key == "hidden":
@@ -84,7 +88,7 @@ def _unlikely(attrs: str, name: str = "div") -> bool:
         elif key in ("class", "id", "role"):
             words = set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
             bad = words & UNLIKELY
-            if bad and name in ("article", "main"):
+            if bad and (name in ("article", "main") or inside and name in RUNNING):
                 bad &= STRONGEST
             elif bad and words & LIKELY and key != "role":
                 bad &= STRONG
@@ -105,11 +109,11 @@ class _Page:
     def _read(self, source: str) -> None:
         stack: list[int] = [0]  # open nodes; a cut element is on it as -1 with its tag below
         names: list[str] = ["#root"]
-        cut = links = 0
+        cut = links = around = 0  # open elements that are cut, links, and articles or mains
         at, size = 0, len(source)
 
         def pop() -> None:
-            nonlocal cut, links
+            nonlocal cut, links, around
             node, name = stack.pop(), names.pop()
             if node < 0:
                 cut -= 1
@@ -117,6 +121,8 @@ class _Page:
                 self.ends[node] = len(self.tags)
             if name == "a":
                 links -= 1
+            if name in ("article", "main"):
+                around -= 1
 
         def close(targets, scopes) -> bool:
             """Pops up to an open element of ``targets`` that lies inside no ``scopes``."""
@@ -176,7 +182,7 @@ class _Page:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(source, at)
                 at = end.end() if end else size
                 continue
-            drop = name in CUT or (name == "header" and "article" not in names) or (attrs and name not in ("html", "body") and _unlikely(attrs, name))
+            drop = name in CUT or (name == "header" and not around) or (attrs and name not in ("html", "body") and _unlikely(attrs, name, around > 0))
             if attrs.endswith("/") and not block:
                 continue
             if drop or cut:
@@ -190,6 +196,8 @@ class _Page:
             names.append(name)
             if name == "a":
                 links += 1
+            if name in ("article", "main"):
+                around += 1
         while len(stack) > 1:
             pop()
         self.ends[0] = len(self.tags)
@@ -247,37 +255,27 @@ def extract(source: str | None) -> str:
     around = best
     while around > 0 and tags[around] not in ("article", "main"):
         around = parents[around]
-    ranges = []
-    if around > 0:
-        ranges.append((around, ends[around]))
-    else:
-        ranges.append((best, ends[best]))
-        if best > 0:
-            up, k = parents[best], parents[best] + 1
-            while k < ends[up]:
-                if k != best and chars[k]:
-                    density = linked_chars[k] / chars[k]
-                    if score(k) >= 0.2 * score(best) or (tags[k] in TEXTUAL and density < 0.25):
-                        ranges.append((k, ends[k]))
-                k = ends[k]
+    least = 0.2 * score(best)
+    best = around if around > 0 else best
+    ranges = [(best, ends[best])]
+    if best > 0:
+        k = parents[best] + 1
+        while k < ends[parents[best]]:
+            if k != best and chars[k] and (score(k) >= least > 0 or (tags[k] in TEXTUAL and linked_chars[k] < 0.25 * chars[k])):
+                ranges.append((k, ends[k]))
+            k = ends[k]
     return "\n".join(text for node, text, _ in kept if any(a <= node < b for a, b in ranges))
 
 
 def extract_pages(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Columns ``keep`` (all but the html by default) with ``text`` and ``n_chars``."""
 
-    @frugal
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf.drop(columns="__html")
-            out["text"] = [extract(h) for h in pdf["__html"]]
-            out["n_chars"] = out["text"].str.len().astype("int64")
-            yield out
+    def compute(sources: list) -> list[list]:
+        texts = [extract(h) for h in sources]
+        return [texts, [len(t) for t in texts]]
 
     names = [c for c in (pages.columns if keep is None else keep) if c not in (html_col, "text", "n_chars")]
-    taken = pages.select(*[F.col(f"`{c}`") for c in names], F.col(html_col).alias("__html"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in taken.schema if f.name != "__html")
-    return taken.mapInPandas(run, f"{schema}text string, n_chars long")
+    return in_batches(pages, [html_col], [(c, c) for c in names], "text string, n_chars long", compute)
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Secret scan, HTML extraction, URL filter: definitions, brute force, and odd inputs."""
 
+import collections
 import hashlib
 import random
 import string
 import time
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,6 +201,153 @@ def test_classes_that_mark_an_article_and_more():
     assert html_text.extract(page) == "Kept."
 
 
+class Node:
+    def __init__(self, tag, up=None):
+        self.tag, self.up, self.parts, self.points = tag, up, [], 0.0
+
+    def strings(self):
+        for x in self.parts:
+            if isinstance(x, Node):
+                yield from x.strings()
+            else:
+                yield x
+
+
+def brute_extract(source):
+    """The definition on a tree of html.parser, for well-formed pages without classes and inline elements but links."""
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.at = self.root = Node("#root")
+
+        def handle_starttag(self, tag, attrs):
+            node = Node(tag, self.at)
+            self.at.parts.append(node)
+            self.at = node
+
+        def handle_endtag(self, tag):
+            self.at = self.at.up
+
+        def handle_data(self, data):
+            self.at.parts.append(data)
+
+    tree = Tree()
+    tree.feed(source)
+
+    def prune(node, inside):
+        keep = []
+        for x in node.parts:
+            if isinstance(x, Node):
+                if x.tag in ("nav", "aside", "footer", "form") or x.tag == "header" and not inside:
+                    keep.append(None)  # it still ends a block
+                    continue
+                prune(x, inside or x.tag in ("article", "main"))
+            keep.append(x)
+        node.parts = keep
+
+    prune(tree.root, False)
+    blocks, current = [], []
+
+    def walk(node, owner, linked):
+        nonlocal current
+        for x in node.parts:
+            if isinstance(x, str):
+                current.append((owner, x, linked))
+                continue
+            if isinstance(x, Node) and x.tag == "a":
+                walk(x, owner, True)
+                continue
+            flush()
+            if x is not None:
+                walk(x, x, linked)
+                flush()
+
+    def flush():
+        nonlocal current
+        text = " ".join("".join(t for _, t, _ in current).split())
+        if text:
+            blocks.append((current[0][0], text, sum(len(t.strip()) for _, t, a in current if a)))
+        current = []
+
+    walk(tree.root, tree.root, False)
+    flush()
+    textual, containers = {"p", "h2", "li"}, {"article", "main", "section", "div", "body", "html", "#root"}
+    nodes = []
+
+    def collect(node):
+        nodes.append(node)
+        for x in node.parts:
+            if isinstance(x, Node) and x.tag != "a":
+                collect(x)
+
+    collect(tree.root)
+    path = lambda node: [node, *path(node.up)] if node else []
+    chars, links = collections.Counter(), collections.Counter()
+    for owner, text, linked in blocks:
+        worth = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - min(1, linked / len(text)))
+        above = path(owner)
+        for node in above:
+            chars[node] += len(text)
+            links[node] += linked
+        for node, share in zip(above[1:] if owner.tag in textual else above, [1, 2, *range(4, 400, 2)], strict=False):
+            node.points += worth / share
+    score = lambda k: k.points * (1 - links[k] / chars[k]) if chars[k] else 0.0
+    if not blocks:
+        return ""
+    best = max((k for k in nodes if k.tag in containers), key=lambda k: (score(k), -nodes.index(k)))
+    least = 0.2 * score(best)
+    best = next((k for k in path(best) if k.tag in ("article", "main")), best)
+    kept = [best]
+    for k in best.up.parts if best.up else []:
+        if isinstance(k, Node) and k is not best and k.tag != "a" and chars[k] and (score(k) >= least > 0 or k.tag in textual and links[k] < 0.25 * chars[k]):
+            kept.append(k)
+    return "\n".join(text for owner, text, _ in blocks if any(k in path(owner) for k in kept))
+
+
+def random_page(rng, depth=0):
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        words = lambda n: " ".join(rng.choice(["one", "two,", "three", "and, so", "on"]) for _ in range(n))
+        kind = rng.choice(["p", "p", "h2", "li", "link", "div", "section", "article", "main", "header", "nav", "aside", "text"])
+        if kind == "link":
+            out.append(f"<p>{words(2)} <a>{words(rng.randint(1, 9))}</a></p>")
+        elif kind in ("p", "h2", "li"):
+            out.append(f"<{kind}>{words(rng.randint(1, 60))}</{kind}>")
+        elif kind == "text":
+            out.append(words(rng.randint(1, 9)))
+        elif depth < 4:
+            out.append(f"<{kind}>{random_page(rng, depth + 1)}</{kind}>")
+    return "".join(out)
+
+
+def test_extraction_against_the_definition():
+    rng = random.Random(17)
+    for _ in range(400):
+        page = f"<html><body>{random_page(rng)}</body></html>"
+        assert html_text.extract(page) == brute_extract(page), page
+
+
+def test_siblings_headers_and_marked_paragraphs_of_an_article():
+    long = "Words, and, more, words, of, a, story. " * 6
+    assert html_text.extract(f"<body><article><p>{long}</p></article><article><p>{long}</p></article></body>").count("story") == 12
+    assert html_text.extract(f"<main><header><h1>Head</h1><p>Lead</p></header><p>{long}</p></main>").startswith("Head\nLead\n")
+    page = f'<article><p>{long}</p><table class="form-results"><tr><td>cell</td></tr></table><p class="notice">kept</p><p class="ad">gone</p><div class="share">gone</div></article>'
+    assert html_text.extract(page).split("\n")[1:] == ["cell", "kept"]
+
+
+def test_a_long_page_is_read_whole():
+    page = "<article>" + "<p>some words, here</p>" * 50_000 + "</article>"
+    assert html_text.extract(page).count("\n") == 49_999
+
+
+def test_page_ids_and_clashing_columns(spark):
+    big = 2**53 + 1
+    pages = spark.createDataFrame([(big, "u", "<p>x</p>", 1), (None, None, None, 2)], "page_id long, url string, html string, __html int")
+    rows = {r["page_id"]: (r["text"], r["n_chars"], r["__html"]) for r in html_text.extract_pages(pages).collect()}
+    assert rows == {big: ("x", 1, 1), None: ("", 0, 2)}
+
+
 def test_extract_pages_columns(spark):
     df = spark.createDataFrame([(1, None, "u", 9), (2, PAGE, None, 8)], "page_id long, html string, url string, n_chars int")
     rows = {r["page_id"]: r for r in html_text.extract_pages(df).collect()}
