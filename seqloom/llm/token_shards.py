@@ -3,7 +3,11 @@
 1. Each document is tokenized whole (byte-level BPE, ids below 65,536) and closed by an end
    token; its ids are cut into sequences of ``seq_len``. The last one is filled up with the
    end token and its true length is part of the record.
-2. Sequences are numbered 0 .. n-1 by the order of the stored token table (task, then row).
+2. Sequences are numbered 0 .. n-1 by content: documents in the order of id (null first) and a
+   hash of the text, then sequences in their order. The rank is found on narrow rows, one a
+   document: these are range-partitioned, summed up within each range and offset by the sums
+   of the ranges before. Neither the input's files nor the cluster's size change it; rows that
+   are equal in id and text are told apart by their place, which their sequences can't show.
 3. A keyed Feistel network over the least even number of bits that holds n permutes the
    numbers; a result of n or more is permuted again until it falls below n (cycle walking).
    That is a bijection of 0 .. n-1, so every sequence has its own global slot, and any
@@ -12,13 +16,17 @@
    length followed by ``seq_len`` uint16 ids, so record r of a shard starts at r * stride:
    readers are sequential and resume at any slot by arithmetic.
 
-Nothing but counts per task reaches the driver. ``write_shards`` stores one row per shard
-(blob, first slot, records, stride, CRC-32) with Spark's own committer, on any file system
-that Spark can write; a lost executor repeats its tasks and commits once.
+Nothing but counts per range reaches the driver. ``write_shards`` stores one row per shard
+(blob, first slot, records, stride, CRC-32, and whose sequences they are) with Spark's own
+committer, on any file system that Spark can write; a lost executor repeats its tasks and
+commits once. ``read_shards`` and ``read_slots`` cut records out of the blobs by their offsets
+and check the CRC-32. The tokenizer's file is read where the driver runs, or else by Spark, and
+handed to the tasks, so executors need no copy of it.
 
 Defined results: null and empty texts give one sequence that holds only the end token, so
-no document is lost; repeated rows give their own sequences; extra columns are ignored; an
-empty table gives an empty result.
+no document is lost; repeated rows give their own sequences; ids may be of any type that has
+an order and come through unchanged; texts are tokenized whole, whatever their length; other
+columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,34 +35,46 @@ import base64
 import uuid
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from seqloom.llm.shingles import mixed
-from seqloom.runtime import frugal, shared_dir
+from seqloom.runtime import frugal, in_batches, materialized, shared_dir
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256
 SEQ_LEN, SHARD_RECORDS, KEY, ROUNDS = 512, 8192, 0x5EED_0F_0DE5, 6
+#: Documents whose slots are broadcast, at most; more are joined by a shuffle.
+MAX_BROADCAST = 1_000_000
 #: Fixed value: how the vocabulary's makers cut texts before merging bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def load_tokenizer(path: str):
     """A byte-level BPE from a file of ranks."""
+    return _tokenizer(Path(path).read_bytes())
+
+
+def _tokenizer(content: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines())}
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _vocabulary(spark: SparkSession, path: str) -> bytes:
+    """The tokenizer's file (about a megabyte), read by the driver or through Spark."""
+    if Path(path).exists():
+        return Path(path).read_bytes()
+    return bytes(spark.read.format("binaryFile").load(path).first()["content"])
+
+
 def feistel(x: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS, inverse: bool = False) -> np.ndarray:
     """The keyed permutation of 0 .. n-1, elementwise."""
     half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
@@ -89,31 +109,36 @@ def _records(ids: np.ndarray, seq_len: int, end: int) -> tuple[list[int], list[b
     return lengths.tolist(), [r.tobytes() for r in body]
 
 
-_SCHEMA = pa.schema([("pid", pa.int64()), ("idx", pa.int64()), ("id", pa.int64()), ("seq_no", pa.int64()), ("n_tokens", pa.int64()), ("record", pa.binary())])
-
-
 def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, seq_len: int, end: int) -> DataFrame:
-    """One row per sequence; (pid, idx) is its place in the input."""
-
-    @frugal
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, at, pid = load_tokenizer(tokenizer), 0, TaskContext.get().partitionId()
-        for batch in batches:
-            ids, numbers, lengths, records = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n, r = _records(np.array([*encoding.encode_ordinary(text or ""), end], "<u2"), seq_len, end)
-                ids += [doc] * len(n)
-                numbers += range(len(n))
-                lengths += n
-                records += r
-            idx = range(at, at := at + len(ids))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([pid] * len(ids), pa.int64()), pa.array(idx, pa.int64()), pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), pa.array(lengths, pa.int64()), pa.array(records, pa.binary())],
-                schema=_SCHEMA,
-            )
-
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, "pid long, idx long, id long, seq_no long, n_tokens long, record binary")
+    """One row per document: doc (its number), id, text_hash, n_seq and its sequences' lengths and records."""
+    sent = docs.sparkSession.sparkContext.broadcast(_vocabulary(docs.sparkSession, tokenizer))
+    encoding: list = []
+
+    def compute(texts: list) -> list[list]:
+        if not encoding:  # once a task
+            encoding.append(_tokenizer(sent.value))
+        made = [_records(np.array([*encoding[0].encode_ordinary(t or ""), end], "<u2"), seq_len, end) for t in texts]
+        return [[len(n) for n, _ in made], [n for n, _ in made], [r for _, r in made]]
+
+    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"))
+    made = in_batches(narrow, ["text"], [("id", "id"), ("text_hash", "text_hash")], "n_seq long, lengths array<int>, records array<binary>", compute)
+    return made.withColumn("doc", F.monotonically_increasing_id())
+
+
+def ranked(stored: DataFrame, rows_per_range: int = 1_000_000) -> tuple[DataFrame, int, int]:
+    """(doc, base) with the number of each document's first sequence, documents, and all sequences."""
+    per_doc = stored.select("doc", "id", "text_hash", "n_seq")
+    rows = per_doc.count()
+    ranges = max(per_doc.sparkSession.sparkContext.defaultParallelism, -(-rows // rows_per_range))
+    order = [F.col("id").asc_nulls_first(), F.col("text_hash").asc(), F.col("doc").asc()]
+    dealt = materialized(per_doc.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()))
+    # ranges, not documents: one row for each
+    sums = dealt.groupBy("range").agg(F.sum("n_seq").alias("k"))
+    before = sums.withColumn("offset", F.sum("k").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("k")).select("range", "offset", "k").collect()
+    offsets = dealt.sparkSession.createDataFrame([(r["range"], r["offset"]) for r in before], "range int, offset long")
+    within = F.sum("n_seq").over(W.partitionBy("range").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n_seq")
+    base = dealt.withColumn("within", within).join(F.broadcast(offsets), "range").select("doc", (F.col("offset") + F.col("within")).alias("base"))
+    return base, rows, sum(r["k"] for r in before)
 
 
 def training_order(
@@ -132,34 +157,27 @@ def training_order(
 
     A partition holds one shard, or several neighbours if there are more than ``max_partitions``.
     """
-    spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    made = tokenized(docs, id_col, text_col, tokenizer, seq_len, end)
-    made.write.option("compression", "zstd").parquet(path)
-    stored = spark.read.schema(made.schema).parquet(path)
-    # tasks, not documents: one row for each task of the pass above
-    per_task = stored.groupBy("pid").agg(F.count(F.lit(1)).alias("k"))
-    offsets = per_task.withColumn("offset", F.sum("k").over(W.orderBy("pid").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("k")).select("pid", "offset", "k").collect()
-    n = sum(r["k"] for r in offsets)
+    stored = materialized(tokenized(docs, id_col, text_col, tokenizer, seq_len, end))
+    base, rows, n = ranked(stored)
     n_shards = max(1, -(-n // shard_records))
-    start = np.zeros(max((r["pid"] for r in offsets), default=0) + 1, np.int64)
-    for r in offsets:
-        start[r["pid"]] = r["offset"]
-    held = spark.sparkContext.broadcast(start)
-
-    @F.pandas_udf("long")
-    def slot_of(pid: pd.Series, idx: pd.Series) -> pd.Series:
-        ordinal = held.value[pid.to_numpy(np.int64)] + idx.to_numpy(np.int64)
-        return pd.Series(feistel(ordinal, n, key))
-
-    stride = 2 * (seq_len + 1)
-    placed = stored.withColumn("slot", slot_of("pid", "idx")).withColumn("shard", F.floor(F.col("slot") / shard_records).cast("int"))
+
+    def slots(bases: list, counts: list) -> list[list]:
+        ordinals = np.repeat(np.array(bases, np.int64), counts) + np.concatenate([np.arange(c) for c in counts]) if counts else np.empty(0, np.int64)
+        placed = feistel(ordinals, n, key) if n else ordinals
+        return [np.split(placed, np.cumsum(counts)[:-1])] if counts else [[]]
+
+    # the slots are found on narrow rows; they meet the records by a broadcast of a checked size, or a shuffle
+    found = in_batches(base.join(stored.select("doc", "n_seq"), "doc"), ["base", "n_seq"], [("doc", "doc")], "slots array<long>", slots)
+    met = stored.join(F.broadcast(found) if rows <= MAX_BROADCAST and n <= 4 * MAX_BROADCAST else found, "doc")
+    each = met.select("id", F.posexplode(F.arrays_zip("slots", "lengths", "records")).alias("seq_no", "x"))
+    placed = each.select("id", F.col("seq_no").cast("long").alias("seq_no"), F.col("x.slots").alias("slot"), F.col("x.lengths").cast("long").alias("n_tokens"), F.col("x.records").alias("record"))
+    placed = placed.withColumn("shard", F.floor(F.col("slot") / shard_records).cast("int"))
     per = -(-n_shards // max_partitions)
     dealt = placed.repartitionById(-(-n_shards // per), F.floor(F.col("shard") / per).cast("int")).sortWithinPartitions("slot")
     return dealt.select(
         "slot",
         F.col("shard").cast("long").alias("shard"),
-        (F.pmod("slot", F.lit(shard_records)) * stride).cast("long").alias("byte_offset"),
+        (F.pmod("slot", F.lit(shard_records)) * (2 * (seq_len + 1))).cast("long").alias("byte_offset"),
         F.col("id").alias(id_col),
         "seq_no",
         "n_tokens",
@@ -168,36 +186,44 @@ def training_order(
 
 
 def shard_blobs(ordered: DataFrame) -> DataFrame:
-    """One row per shard: its records one after another. ``ordered`` comes from ``training_order``."""
+    """One row per shard: its records one after another, and the document and number of each. ``ordered`` comes from ``training_order``."""
+    id_col = ordered.columns[3]
+    kind = ordered.schema[id_col].dataType
+    schema = StructType.fromDDL("shard long, first_slot long, n_records long, stride long, crc32 long, payload binary, seq_nos array<long>")
+    schema = StructType([*schema.fields, StructField("docs", ArrayType(kind))])
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, first, parts = None, 0, []
+        shard, held = None, []
 
-        def blob():
-            body = b"".join(parts)
-            return pa.RecordBatch.from_pylist(
-                [{"shard": shard, "first_slot": first, "n_records": len(parts), "stride": len(parts[0]), "crc32": zlib.crc32(body), "payload": body}], schema=schema
-            )
+        def blob() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            slots, _, records, docs, numbers = (rows.column(c).combine_chunks() for c in range(5))
+            parts = records.to_pylist()
+            body, whole = b"".join(parts), pa.array([0, len(parts)], pa.int32())
+            columns = [[shard], [slots[0].as_py()], [len(parts)], [len(parts[0])], [zlib.crc32(body)]]
+            return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array([body], pa.binary()), pa.ListArray.from_arrays(whole, numbers), pa.ListArray.from_arrays(whole, docs)], names=schema.names)
 
-        schema = pa.schema([("shard", pa.int64()), ("first_slot", pa.int64()), ("n_records", pa.int64()), ("stride", pa.int64()), ("crc32", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
-            for slot, k, record in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                if k != shard and parts:
-                    yield blob()
-                    parts = []
-                if not parts:
-                    shard, first = k, slot
-                parts.append(record)
-        if parts:
+            shards = batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if hi > lo and shards[lo] != shard:
+                    if held:
+                        yield blob()
+                    held, shard = [], int(shards[lo])
+                if hi > lo:
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
             yield blob()
 
-    return ordered.select("slot", "shard", "record").mapInArrow(run, "shard long, first_slot long, n_records long, stride long, crc32 long, payload binary")
+    placed = ordered.select("slot", "shard", "record", F.col(f"`{id_col}`").alias("doc"), "seq_no")
+    return placed.mapInArrow(run, schema)
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
     """Stores the shards under ``path``; a run that is repeated replaces them."""
-    shard_blobs(ordered).write.mode("overwrite").parquet(path)
+    shard_blobs(ordered).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def read_slots(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
@@ -209,5 +235,37 @@ def read_slots(spark: SparkSession, path: str, first: int, last: int) -> DataFra
     return slots.select("slot", F.expr("substring(payload, cast((slot - first_slot) * stride + 1 as int), cast(stride as int))").alias("record"))
 
 
+def read_shards(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
+    """Every record of stored shards, cut out at its byte offset, with its slot, document and length; a wrong CRC-32 raises."""
+    stored = spark.read.parquet(path)
+    kind = stored.schema["docs"].dataType.elementType
+    schema = StructType.fromDDL("slot long, shard long, byte_offset long")
+    schema = StructType([*schema.fields, StructField(id_col, kind), *StructType.fromDDL("seq_no long, n_tokens long, record binary").fields])
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard, first, n, stride, crc = (batch.column(c)[i].as_py() for c in range(5))
+                body = batch.column(5)[i].as_buffer()
+                if zlib.crc32(body) != crc or len(body) != n * stride:
+                    raise ValueError(f"shard {shard} is damaged")
+                at = np.arange(n + 1, dtype=np.int64) * stride
+                record = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(at), body]).cast(pa.binary())
+                lengths = np.frombuffer(body, "<u2").reshape(n, stride // 2)[:, 0].astype(np.int64)
+                own = [pa.array(x, pa.int64()) for x in (np.arange(first, first + n), np.full(n, shard), at[:-1])]
+                yield pa.RecordBatch.from_arrays([*own, batch.column(7)[i].values, batch.column(6)[i].values, pa.array(lengths), record], names=schema.names)
+
+    return stored.select("shard", "first_slot", "n_records", "stride", "crc32", "payload", "seq_nos", "docs").mapInArrow(run, schema)
+
+
+def sharded(docs: DataFrame, *, path: str | None = None, id_col: str = "doc_id", **options) -> DataFrame:
+    """Writes the training order of ``docs`` as shards (under ``path``, or into the shared folder) and reads them back."""
+    spark = docs.sparkSession
+    path = path or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    write_shards(training_order(docs, id_col=id_col, **options), path)
+    return read_shards(spark, path, id_col)
+
+
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return sharded(spark.read.parquet(f"{sf_dir}/documents.parquet"))

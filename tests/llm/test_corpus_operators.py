@@ -162,6 +162,67 @@ def test_token_shards_round_trip(spark, tmp_path):
     assert token_shards.training_order(df.where("false")).count() == 0
 
 
+def plain_slot(x, n, key=token_shards.KEY, rounds=token_shards.ROUNDS):
+    """The permutation in plain integers, one number at a time."""
+    full = 2**64 - 1
+
+    def mix(v):
+        v ^= v >> 33
+        v = v * 0xFF51AFD7ED558CCD & full
+        v ^= v >> 33
+        v = v * 0xC4CEB9FE1A85EC53 & full
+        return v ^ v >> 33
+
+    half = 1
+    while 4**half < n:
+        half += 1
+    keys = [mix((r * 0x9E3779B97F4A7C15 & full) ^ key) for r in range(1, rounds + 1)]
+    while True:
+        left, right = x >> half, x % 2**half
+        for k in keys:
+            left, right = right, left ^ mix(right ^ k) % 2**half
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def test_slots_follow_content_not_layout(spark, tmp_path):
+    big = 2**53 + 1
+    rows = [(big + 2, "b " * 300), (None, "n"), (big, "a " * 200), (3, "x"), (3, "y " * 90), (3, "x"), (None, None)] + [(i, f"text {i} " * (i % 7)) for i in range(10, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [token_shards.sharded(d, path=str(tmp_path / str(k)), seq_len=16, shard_records=8).collect() for k, d in enumerate((df.coalesce(1), df.repartition(5, "text"), df.orderBy(F.desc("doc_id"))))]
+    assert sorted(map(tuple, got[0]), key=str) == sorted(map(tuple, got[1]), key=str) == sorted(map(tuple, got[2]), key=str)
+    # brute force: documents by id, then by the text's hash; each sequence in its slot
+    encoding = token_shards.load_tokenizer(token_shards.TOKENIZER)
+    hashes = {tuple(r)[:2]: r["h"] for r in df.select("*", F.xxhash64("text").alias("h")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r]))
+    sequences = []
+    for doc, text in ordered:
+        ids = [*encoding.encode_ordinary(text or ""), token_shards.END]
+        for k in range(0, len(ids), 16):
+            part = ids[k : k + 16]
+            sequences.append((doc, k // 16, len(part), np.array([len(part), *part, *[token_shards.END] * (16 - len(part))], "<u2").tobytes()))
+    n = len(sequences)
+    want = {plain_slot(k, n): s for k, s in enumerate(sequences)}
+    assert {r["slot"]: (r["doc_id"], r["seq_no"], r["n_tokens"], bytes(r["record"])) for r in got[0]} == want
+    assert all((r["shard"], r["byte_offset"]) == (r["slot"] // 8, r["slot"] % 8 * 34) for r in got[0])
+
+
+def test_shards_of_text_ids_and_of_nothing(spark):
+    df = spark.createDataFrame([("b", "two words", 1), ("a", None, 2)], "doc_id string, text string, slot int")
+    assert {(r["doc_id"], r["n_tokens"]) for r in token_shards.sharded(df).collect()} == {("b", 3), ("a", 1)}
+    assert token_shards.sharded(df.where("false")).count() == 0
+
+
+def test_a_damaged_shard_is_noticed(spark, tmp_path):
+    df = spark.createDataFrame([(1, "two words")], "doc_id long, text string")
+    token_shards.sharded(df, path=str(tmp_path / "a"))
+    blobs = spark.read.parquet(str(tmp_path / "a")).withColumn("payload", F.concat(F.lit(b"x"), F.expr("substring(payload, 2)")))
+    blobs.write.parquet(str(tmp_path / "b"))
+    with pytest.raises(Exception, match="damaged"):
+        token_shards.read_shards(spark, str(tmp_path / "b")).collect()
+
+
 def test_lm_scores_against_direct_counts(spark):
     docs = [(1, "hello there", True), (2, "hello world", False), (3, None, False), (4, "hello hello", True), (5, "", False), (5, "", False), (6, "x" * 50000, False)]
     df = spark.createDataFrame(docs, "doc_id long, text string, target boolean")

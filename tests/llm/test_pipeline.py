@@ -9,7 +9,8 @@ import pytest
 import corpus_pipeline
 from seqloom.llm import token_shards
 from seqloom.llm.shingles import words
-from tests.llm.test_corpus_operators import brute_components, brute_targets, plain_set, sentence
+from tests.llm.test_corpus_operators import brute_targets, plain_set, sentence
+from tests.llm.test_near_dedup import brute_components
 
 
 @pytest.fixture(scope="module")
