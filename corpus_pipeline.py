@@ -8,7 +8,7 @@ last return the columns of ``documents``:
 2. near_dedup: of each component of near copies the least doc_id stays, once;
 3. decontamination: documents that contain a benchmark item go;
 4. mixing: each document stays as often (0 to 2 times) as the mix takes it;
-5. token_output: token ids of the mix in slots of a keyed permutation.
+5. token_output: token ids of the mix in slots of a keyed permutation, stored as shards and read back.
 
 Rows without a doc_id can't be named as copies and pass the second stage; null and empty
 texts are neither toxic nor contaminated, but hold no words for the mix to take.
@@ -42,8 +42,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     if repeated.limit(1).count() == 0:
         return left
     repeated = materialized(repeated)
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    # of rows that share an id the one with the least hash stays, so that reruns agree
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.md5("text"))).alias("row"))
+    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select("row.*").select(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_shards.training_order(docs)
+    return token_shards.sharded(docs)
 
 
 STAGES = [
