@@ -14,14 +14,18 @@ what evaluating all of them would give.
 Each candidate is verified on exact sets of the whole texts: an item is found if at least
 ``percent`` of its distinct shingles occur in the document.
 
-Items are handed to all executors in blocks of at most about ``block_chars`` characters
-(a checked bound); a larger benchmark takes several passes over the documents.
+Tasks make the items' sets and signatures once; these are indexed (a window finds the items that
+agree with it in a bin by binary search, whatever their number) and handed to all executors in
+blocks of at most about ``block_chars`` characters of items (a checked bound); a larger benchmark
+takes several passes over the documents.
 
 Defined results: null, empty and short texts follow the shingle rules (a text of fewer than
 five words has its whole sequence as its one shingle, so such an item is found only in a
 document of just that sequence); items without words are never found; a null item id stays
-null; rows that repeat a doc_id give one row per item with the most shingles found;
-an empty table on either side gives an empty result.
+null; rows that repeat a doc_id give one row per item with the most shingles found; items that
+repeat an id are told apart by their sizes only; texts are read whole, whatever their length;
+ids of any type come through unchanged; other columns, whatever their names, are ignored by the
+search and pass through ``decontaminate``; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,36 +35,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from seqloom.llm.near_dedup import signature
-from seqloom.llm.shingles import WIDTH, common, shingle_hashes, words
-from seqloom.runtime import frugal
+from seqloom.llm.shingles import WIDTH, common, mixed, shingle_hashes, words
+from seqloom.runtime import frugal, in_batches
 
 BINS, PERCENT, BLOCK_CHARS = 128, 75, 64_000_000
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class ItemIndex:
-    """Signatures and sets of one block of items."""
+    """Sets of one block of items, and postings of their signatures' values by size class and bin."""
 
-    def __init__(self, ids: list, texts: list[str | None], bins: int = BINS, percent: int = PERCENT, width: int = WIDTH) -> None:
-        self.ids, self.bins, self.percent, self.width = ids, bins, percent, width
-        self.sets = [np.unique(shingle_hashes(words(t), width)) for t in texts]
+    def __init__(self, ids: list, sets: list[np.ndarray], signatures: list[np.ndarray], bins: int = BINS, percent: int = PERCENT, width: int = WIDTH) -> None:
+        self.ids, self.sets, self.bins, self.percent, self.width = ids, sets, bins, percent, width
         classes: dict[int, list[int]] = defaultdict(list)
         for k, s in enumerate(self.sets):
             if len(s):
                 classes[len(s).bit_length()].append(k)
-        #: (most shingles of an item, item numbers, their signatures) of each size class
-        self.classes = [(2**c - 1, np.array(at), np.stack([signature(self.sets[k], bins) for k in at])) for c, at in sorted(classes.items())]
-        values = [sig.ravel() for _, _, sig in self.classes]
+        self.classes = []
+        for c, at in sorted(classes.items()):
+            keys = np.concatenate([self._keys(signatures[k]) for k in at])
+            order = np.argsort(keys, kind="stable")
+            #: most shingles of an item, keys of (bin, value), and the item of each
+            self.classes.append((2**c - 1, keys[order], np.repeat(np.array(at), bins)[order]))
+        values = [signatures[k] for at in classes.values() for k in at]
         self.values = np.unique(np.concatenate(values)) if values else np.empty(0, np.uint64)
         size = max(16, int(len(self.values) * 16).bit_length())
         self.mask = np.uint64(2**size - 1)
         self.seen = np.zeros(2**size, bool)
         self.seen[(self.values & self.mask).astype(np.int64)] = True
 
+    @classmethod
+    def of_texts(cls, ids: list, texts: list[str | None], bins: int = BINS, percent: int = PERCENT, width: int = WIDTH) -> ItemIndex:
+        sets = [np.unique(shingle_hashes(words(t), width)) for t in texts]
+        return cls(ids, sets, [signature(s, bins) if len(s) else s for s in sets], bins, percent, width)
+
+    def _keys(self, sig: np.ndarray) -> np.ndarray:
+        return mixed(sig ^ (np.arange(1, self.bins + 1, dtype=np.uint64) * _GOLD))
+
     def candidates(self, hashes: np.ndarray) -> set[int]:
         """Items that share a MinHash value with a window of their size class."""
         if len(hashes) == 0 or len(self.values) == 0:
@@ -74,14 +90,14 @@ class ItemIndex:
         found: set[int] = set()
         if len(hits) == 0:
             return found
-        for most, items, sigs in self.classes:
+        for most, keys, items in self.classes:
             # windows of 2 * most shingles start at multiples of most; a hit lies in at most two
             starts = np.unique(np.concatenate([hits // most, np.maximum(hits // most - 1, 0)])) * most
             for start in starts:
-                window = np.unique(hashes[start : start + 2 * most])
-                agree = (sigs == signature(window, self.bins)[None, :]).any(axis=1)
-                if agree.any():
-                    found.update(items[agree].tolist())
+                own = self._keys(signature(np.unique(hashes[start : start + 2 * most]), self.bins))
+                lo, hi = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
+                for a, b in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+                    found.update(items[a:b].tolist())
         return found
 
     def match(self, text: str | None) -> list[tuple[int, int]]:
@@ -95,15 +111,20 @@ class ItemIndex:
         return [(k, c) for k, c in shared if 100 * c >= self.percent * len(self.sets[k])]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int):
-    """Broadcast indexes of the benchmark's blocks, one after another."""
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str, percent: int, bins: int, width: int, block_chars: int) -> Iterator[ItemIndex]:
+    """Indexes of the benchmark's blocks, one after another; sets and signatures are made by the tasks."""
+    chars = benchmark.agg(F.sum(F.length(f"`{text_col}`"))).first()[0] or 0
     n = max(1, -(-chars // block_chars))
+
+    def compute(texts: list) -> list[list]:
+        sets = [np.unique(shingle_hashes(words(t), width)) for t in texts]
+        return [[s.tobytes() for s in sets], [signature(s, bins).tobytes() if len(s) else b"" for s in sets]]
+
     for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()
-        if part:
-            yield [r["item"] for r in part], [r["text"] for r in part]
+        part = benchmark.where(F.pmod(F.xxhash64(f"`{item_col}`", f"`{text_col}`"), F.lit(n)) == k)
+        rows = in_batches(part, [text_col], [(item_col, "item")], "s binary, sig binary", compute).collect()
+        if rows:
+            yield ItemIndex([r["item"] for r in rows], [np.frombuffer(r["s"], np.uint64) for r in rows], [np.frombuffer(r["sig"], np.uint64) for r in rows], bins, percent, width)
 
 
 def find_contamination(
@@ -121,23 +142,18 @@ def find_contamination(
 ) -> DataFrame:
     """(id, item, n_shared, n_item): every item that a document contains."""
     spark = docs.sparkSession
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = spark.createDataFrame([], f"{id_col} long, {item_col} long, n_shared long, n_item long")
-    for ids, texts in _blocks(benchmark, item_col, item_text_col, block_chars):
-        held = spark.sparkContext.broadcast((ids, texts))
-
-        @frugal
-        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(*held.value, bins, percent, width)
-            for pdf in batches:
-                rows = [
-                    (i, index.ids[k], c, len(index.sets[k]))
-                    for i, t in zip(pdf["id"].astype(object).where(pdf["id"].notna(), None), pdf["text"], strict=True)
-                    for k, c in index.match(t)
-                ]
-                yield pd.DataFrame(rows, columns=[id_col, item_col, "n_shared", "n_item"]).astype({id_col: "Int64", item_col: "Int64"})
-
-        found = found.unionByName(narrow.mapInPandas(run, found.schema))
+    kinds = StructType([StructField(id_col, docs.schema[id_col].dataType), StructField(item_col, benchmark.schema[item_col].dataType), *StructType.fromDDL("n_shared long, n_item long").fields])
+    found = spark.createDataFrame([], kinds)
+    item_type = benchmark.schema[item_col].dataType.simpleString()
+    for index in _indexes(benchmark, item_col, item_text_col, percent, bins, width, block_chars):
+        held = spark.sparkContext.broadcast(index)
+
+        def run(texts: list, held=held) -> list[list]:
+            index = held.value
+            return [[[{"item": index.ids[k], "n_shared": c, "n_item": len(index.sets[k])} for k, c in index.match(t)] for t in texts]]
+
+        hits = in_batches(docs, [text_col], [(id_col, id_col)], f"found array<struct<item: {item_type}, n_shared: long, n_item: long>>", run)
+        found = found.unionByName(hits.select(id_col, F.explode("found").alias("x")).select(id_col, F.col("x.item").alias(item_col), "x.n_shared", "x.n_item"))
     return found.groupBy(id_col, item_col, "n_item").agg(F.max("n_shared").alias("n_shared"))
 
 
@@ -156,14 +172,13 @@ def decontaminate(
     """The rows of ``docs`` that contain no item, with all their columns; needs no shuffle."""
     spark = docs.sparkSession
     at = docs.columns.index(text_col)
-    for ids, texts in _blocks(benchmark, item_col, item_text_col, block_chars):
-        held = spark.sparkContext.broadcast((ids, texts))
+    for index in _indexes(benchmark, item_col, item_text_col, percent, bins, width, block_chars):
+        held = spark.sparkContext.broadcast(index)
 
         @frugal
         def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(*held.value, bins, percent, width)
             for batch in batches:
-                yield batch.filter(pa.array([not index.match(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not held.value.match(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs

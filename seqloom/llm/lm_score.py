@@ -20,10 +20,11 @@ each batch with the totals of just the entries that it sent. Batches meet their
 join on the batch and score their texts. A word in every document is one entry a batch, so a
 hot word, source or text doesn't make a hot part.
 
-Target membership joins documents with labels by id. Defined results: null and empty texts
+Target membership joins documents with labels by id (``marked``). Defined results: null and empty texts
 have only the end sign as token and get its score; a null id is never in the target set;
 repeated rows count and score as often as they occur; without any target document the target
-model is the background model and all scores are 0; extra columns are dropped unless named in
+model is the background model and all scores are 0; texts are read whole, whatever their
+length; ids of any type come through unchanged; extra columns are dropped unless named in
 ``keep``; an empty table gives an empty result.
 
 ``train`` and ``score_documents`` are the same on bytes instead of words, for texts without
@@ -45,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.shingles import mixed
-from seqloom.runtime import frugal, materialized
+from seqloom.runtime import frugal, in_batches, materialized
 
 SIZE = 257
 END = 256
@@ -54,6 +55,8 @@ MASS = 8.0
 CHUNK = 4 << 20
 #: Bytes of text after which a batch of documents is closed; parts of the hash range, at least.
 BATCH, PARTS = 8 << 20, 64
+#: Ids of the target set that are broadcast, at most.
+MAX_BROADCAST_IDS = 1_000_000
 _ONE, _GOLD = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
 #: Hashes of the signs; no word holds a blank.
 _START, _STOP = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" start", b" stop"))
@@ -172,19 +175,12 @@ def score_documents(docs: DataFrame, scorer: Scorer, *, text_col: str = "text",
     """Columns ``keep`` with n_tokens, target_loss, background_loss and their difference, ``score``."""
     sent = docs.sparkSession.sparkContext.broadcast((scorer,))
 
-    @frugal
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list) -> list[list]:
         (model,) = sent.value
-        for pdf in batches:
-            got = [model.score(t) for t in pdf["__text"]]
-            out = pdf.drop(columns="__text")
-            out["n_tokens"], out["target_loss"], out["background_loss"] = [g[0] for g in got], [g[1] for g in got], [g[2] for g in got]
-            out["score"] = out["target_loss"] - out["background_loss"]
-            yield out
+        got = [model.score(t) for t in texts]
+        return [[g[0] for g in got], [g[1] for g in got], [g[2] for g in got], [g[1] - g[2] for g in got]]
 
-    taken = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in taken.schema if f.name != "__text")
-    return taken.mapInPandas(run, f"{schema}n_tokens long, target_loss double, background_loss double, score double")
+    return in_batches(docs, [text_col], [(c, c) for c in keep], "n_tokens long, target_loss double, background_loss double, score double", run)
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -339,9 +335,20 @@ def score_words(docs: DataFrame, *, text_col: str = "text", target_col: str = "t
     return batches.join(by_batch.hint("merge"), "batch").mapInArrow(run, f"{schema}n_tokens long, target_loss double, background_loss double, score double")
 
 
+def marked(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", marker: str = "target") -> DataFrame:
+    """``docs`` with a boolean column: whether ``target`` lists the row's id.
+
+    Up to ``MAX_BROADCAST_IDS`` ids are broadcast, so that no text is shuffled to be marked;
+    beyond, rows with an id are joined by a shuffle.
+    """
+    ids = target.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull()).distinct().withColumn("in_target", F.lit(True))
+    few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    named = docs if few else docs.where(F.col(id_col).isNotNull())
+    found = named.join(F.broadcast(ids) if few else ids, F.col(id_col) == F.col("id"), "left").select(*[docs[c] for c in docs.columns if c != marker], F.coalesce("in_target", F.lit(False)).alias(marker))
+    return found if few else found.unionByName(docs.where(F.col(id_col).isNull()).withColumn(marker, F.lit(False)))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id").distinct()
-    # labels grow with the documents: both sides are dealt by id at every size
-    marked = docs.select("doc_id", "text").join(good.withColumn("target", F.lit(True)).hint("merge"), "doc_id", "left")
-    return score_words(marked)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    return score_words(marked(docs, good))

@@ -10,22 +10,23 @@ Filter size follows the number of rules up to ``max_filter_mb``; beyond it the f
 denser and passes more, and the exact join still decides. The rules are broadcast for the
 join up to ``max_broadcast_rules``; larger lists are joined by a shuffle on salted keys.
 
+Only rows that pass a key are joined and grouped; all others keep their place.
+
 Defined results: null urls and urls without ``://`` have an empty host and path, no rule
-and the default verdict; repeated rows each get their own row; extra columns are dropped
-unless named in ``keep``; an empty table gives an empty result.
+and the default verdict; repeated rows each get their own row; urls of any length are
+read whole; ids of any type, null or not, come through unchanged; extra columns are dropped
+unless named in ``keep``, and none can clash with a working column; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.runtime import frugal
+from seqloom.runtime import in_batches, materialized
 
 _SALTS = np.array([0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31], dtype=np.uint32)
 _UPPER = {c: c + 32 for c in range(65, 91)}
@@ -43,12 +44,13 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host, tail[:stop]
 
 
-def candidate_keys(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Keys of all rules that could fit: host suffixes at dots x path prefixes of the rules' lengths."""
+def candidate_keys(host: str, path: str, lengths: list[int], labels: int) -> list[str]:
+    """Keys of all rules that could fit: host suffixes of up to ``labels`` labels x path prefixes of the rules' lengths."""
     if not host:
         return []
-    labels = host.split(".")
-    suffixes = [".".join(labels[k:]) for k in range(len(labels))]
+    parts = host.rsplit(".", labels)
+    suffixes = [host] if len(parts) <= labels else []
+    suffixes += [".".join(parts[k:]) for k in range(1, len(parts))]
     return [f"{s}{path[:n]}" for s in suffixes if s for n in lengths if n <= len(path)]
 
 
@@ -70,15 +72,12 @@ def build_filter(keys: DataFrame, n_keys: int, max_filter_mb: int = 64) -> np.nd
     """The filter over column ``key``: 16 bits a key up to ``max_filter_mb``, at most one row a block reaches the driver."""
     n_blocks = int(min(max(1, -(-n_keys * 16 // 256)), max_filter_mb * 2**20 // 32))
 
-    @frugal
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            block, bits = _place(_hashes(pdf["key"].tolist()), n_blocks)
-            yield pd.DataFrame({"block": block.astype(np.int64)} | {w: bits[:, i].astype(np.int64) for i, w in enumerate(_WORDS)})
+    def blocks(found: list) -> list[list]:
+        block, bits = _place(_hashes(found), n_blocks)
+        return [block.astype(np.int64), *bits.T.astype(np.int64)]
 
     rows = (
-        keys.select("key")
-        .mapInPandas(blocks, "block long, " + ", ".join(f"{w} long" for w in _WORDS))
+        in_batches(keys, ["key"], [], "block long, " + ", ".join(f"{w} long" for w in _WORDS), blocks)
         .groupBy("block")
         .agg(*[F.bit_or(w).alias(w) for w in _WORDS])
         .toPandas()
@@ -109,52 +108,44 @@ def judge_urls(
     listed = listed.groupBy("key", "r_host", "r_path").agg(F.max("r_verdict").alias("r_verdict"))
     n_rules = listed.count()
     lengths = sorted(r[0] for r in listed.select(F.length("r_path")).distinct().collect())
+    labels = listed.agg(F.max(F.size(F.split("r_host", r"\."))).alias("k")).first()["k"] or 1
     held = spark.sparkContext.broadcast(build_filter(listed, n_rules, max_filter_mb))
 
-    @frugal
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def probe(urls: list) -> list[list]:
         table = held.value
-        for pdf in batches:
-            split = [split_url(u) for u in pdf[url_col]]
-            keys = [candidate_keys(h, p, lengths) for h, p in split]
-            flat = [k for ks in keys for k in ks]
-            if flat:
-                block, bits = _place(_hashes(flat), len(table))
-                hit = ((table[block.astype(np.int64)] & bits) == bits).all(axis=1)
-            at, passed = 0, []
-            for ks in keys:
-                passed.append([k for k, ok in zip(ks, hit[at : at + len(ks)], strict=True) if ok] if ks else [])
-                at += len(ks)
-            out = pdf.drop(columns=[url_col])
-            out["host"], out["path"], out["keys"] = [s[0] for s in split], [s[1] for s in split], passed
-            yield out
+        split = [split_url(u) for u in urls]
+        keys = [candidate_keys(h, p, lengths, labels) for h, p in split]
+        flat = [k for ks in keys for k in ks]
+        hit = np.empty(0, bool)
+        if flat:
+            block, bits = _place(_hashes(flat), len(table))
+            hit = ((table[block.astype(np.int64)] & bits) == bits).all(axis=1)
+        at, passed = 0, []
+        for ks in keys:
+            passed.append([k for k, ok in zip(ks, hit[at : at + len(ks)], strict=True) if ok])
+            at += len(ks)
+        return [[h for h, _ in split], [p for _, p in split], passed]
 
     columns = list(dict.fromkeys([id_col, *keep]))
-    narrow = pages.select(*columns, F.col(url_col)) if url_col not in columns else pages.select(*columns)
-    if url_col in columns:
-        narrow = narrow.withColumn("__url", F.col(url_col))
-        url_col = "__url"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != url_col)
-    tried = narrow.mapInPandas(probe, f"{schema}, host string, path string, keys array<string>").withColumn("__row", F.monotonically_increasing_id())
-    tried = tried.select("*", F.explode_outer("keys").alias("key")).drop("keys")
+    # own columns travel under numbers, so that none can clash
+    tried = in_batches(pages, [url_col], [(c, f"own{k}") for k, c in enumerate(columns)], "host string, path string, keys array<string>", probe)
+    tried = materialized(tried.withColumn("row", F.monotonically_increasing_id()))
+    own = [f"own{k}" for k in range(len(columns))]
+    # what passes no key needs no join; false positives find no rule in it
+    clear = tried.where(F.size("keys") == 0).select(*own, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    maybe = tried.where(F.size("keys") > 0).withColumn("key", F.explode("keys")).drop("keys")
     if n_rules <= max_broadcast_rules:
-        hits = tried.join(F.broadcast(listed), "key", "left")
+        hits = maybe.join(F.broadcast(listed), "key", "left")
     else:
-        hits = tried.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(salts))).join(
-            listed.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["key", "__salt"], "left"
+        hits = maybe.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts))).join(
+            listed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["key", "salt"], "left"
         )
     fits = F.col("r_host").isNotNull() & ((F.col("host") == F.col("r_host")) | F.col("host").endswith(F.concat(F.lit("."), "r_host"))) & F.col("path").startswith(F.col("r_path"))
     best = F.max(F.when(fits, F.struct(F.length("r_host").alias("a"), F.length("r_path").alias("b"), F.col("key"), F.col("r_verdict")))).alias("best")
     # a row's own columns ride along as one value, not as grouping keys: they may be of any type
-    own = F.first(F.struct(*[F.col(c) for c in columns], "host", "path")).alias("own")
-    judged = hits.groupBy("__row").agg(own, best)
-    return judged.select(
-        *[F.col(f"own.`{c}`").alias(c) for c in columns],
-        F.col("own.host").alias("host"),
-        F.col("own.path").alias("path"),
-        F.col("best.key").alias("rule"),
-        F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"),
-    )
+    judged = hits.groupBy("row").agg(F.first(F.struct(*own, "host", "path")).alias("own"), best)
+    found = judged.select("own.*", F.col("best.key").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
+    return clear.unionByName(found).toDF(*columns, "host", "path", "rule", "verdict")
 
 
 #: Fixed rules of the registered query: host, path, verdict.
