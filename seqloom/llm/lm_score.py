@@ -341,11 +341,15 @@ def marked(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", marker
     Up to ``MAX_BROADCAST_IDS`` ids are broadcast, so that no text is shuffled to be marked;
     beyond, rows with an id are joined by a shuffle.
     """
-    ids = target.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull()).distinct().withColumn("in_target", F.lit(True))
+    ids = target.select(F.col(f"`{id_col}`").alias("id")).where("id is not null").distinct().withColumn("in_target", F.lit(True))
     few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    named = docs if few else docs.where(F.col(id_col).isNotNull())
-    found = named.join(F.broadcast(ids) if few else ids, F.col(id_col) == F.col("id"), "left").select(*[docs[c] for c in docs.columns if c != marker], F.coalesce("in_target", F.lit(False)).alias(marker))
-    return found if few else found.unionByName(docs.where(F.col(id_col).isNull()).withColumn(marker, F.lit(False)))
+    own = [c for c in docs.columns if c != marker]
+    # a row is one value beside its id, so that no column of its own can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(f"`{id_col}`").alias("id"))
+    found = (rows if few else rows.where("id is not null")).join(F.broadcast(ids) if few else ids, "id", "left").select("row", "in_target")
+    if not few:
+        found = found.unionByName(rows.where("id is null").select("row", F.lit(None).cast("boolean").alias("in_target")))
+    return found.select(*[F.col("row")[c].alias(c) for c in own], F.coalesce("in_target", F.lit(False)).alias(marker))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

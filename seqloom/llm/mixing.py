@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
-Every document of a source is shuffled (by a keyed hash of its id) and offered up to
+Every document of a source is shuffled (by a keyed hash of its id and text) and offered up to
 ``max_epochs`` times. A copy's virtual finish time is the number of words its source has
 served so far, divided by the source's target; all copies are ordered by that time and
 the order is cut where the total budget is used up.
@@ -15,8 +15,13 @@ Targets: sources in code-point order (null last) weigh ``weights``, repeating. T
 and the excess is shared anew by weight. That is one water level, found by sorting the
 sources by cap / weight.
 
+Sources are put in order in one task: that is one narrow row a source, not a document.
+
 Defined results: a null text has size 0 and is never taken; null sources form one source;
-null ids are shuffled as an empty id; repeated rows are separate documents; an empty table
+null ids are shuffled as an empty id; repeated rows are separate documents, and rows equal in id
+and text are alike to the queue, so that a rerun takes the same texts; ties in virtual time go
+by source, key, then copy; texts are counted whole, whatever their length; ids may be of any
+type; columns of any name come through unchanged, for a row travels as one value; an empty table
 gives an empty result.
 """
 
@@ -39,15 +44,17 @@ def word_count(text: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
-    """Adds __size, __source, __key (shuffle order) and __h (its first 32 bits)."""
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    return (
-        docs.withColumn("__size", word_count(F.col(text_col)))
-        .withColumn("__source", F.col(source_col))
-        .withColumn("__id", F.col(id_col).cast("string"))
-        .withColumn("__key", key)
-        .withColumn("__h", F.conv(F.substring("__key", 1, 8), 16, 10).cast("long"))
-    )
+    """(__row, __size, __source, __id, __key, __h): the row itself, its key (shuffle order) and the key's first 32 bits.
+
+    The row is one value, so no column of its own can clash with a working column. The key
+    covers the text, so that rows without an id, or with one id, are dealt apart.
+    """
+    taken = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    own = lambda c: F.col("__row")[c]
+    name = F.coalesce(own(id_col).cast("string"), F.lit(""))
+    key = F.md5(F.concat(F.lit(seed + ":"), name, F.lit(":"), F.md5(F.coalesce(own(text_col), F.lit("")))))
+    keyed = taken.select("__row", word_count(own(text_col)).alias("__size"), own(source_col).alias("__source"), own(id_col).cast("string").alias("__id"), key.alias("__key"))
+    return keyed.withColumn("__h", F.conv(F.substring("__key", 1, 8), 16, 10).cast("long"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], budget_share: float, max_epochs: int) -> DataFrame:
@@ -102,7 +109,7 @@ def _queued(keyed: DataFrame, offsets: DataFrame, sources: DataFrame, parts: int
     )
 
 
-def mix_sources(
+def _mixed(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
@@ -113,9 +120,18 @@ def mix_sources(
     max_epochs: int = 2,
     seed: str = "mix",
     max_broadcast_rows: int = 100_000,
+    keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """``docs`` with __size, __total (of its source), __target (its source's) and __taken (words, repeats counted)."""
-    sized = materialized(_keyed(docs, id_col, text_col, source_col, seed).select("__id", "__source", "__size", "__key", "__h"))
+    """(__row, __size, __total, __target, __copies, __taken): each row as one value, its size, its source's size and target, and the words taken (repeats counted).
+
+    With ``keep``, rows hold these columns only, and texts are read and counted once; else they are
+    whole, and texts are read again at the end rather than shuffled or stored.
+    """
+    keyed = _keyed(docs, id_col, text_col, source_col, seed)
+    # what the queue needs of each row, and what the caller asks for of a row: no text unless it is asked for
+    own = F.struct(*[F.col("__row")[c].alias(c) for c in keep]) if keep is not None else None
+    narrow = ["__id", "__source", "__size", "__key", "__h"]
+    sized = materialized(keyed.select(*narrow, *([own.alias("__row")] if own is not None else [])))
     rows = sized.count()
     parts = max(64, math.isqrt(rows))
     sources = materialized(source_targets(sized, weights, budget_share, max_epochs))
@@ -158,7 +174,7 @@ def mix_sources(
             upto = (F.col("__v") < F.lit(v)) | ((F.col("__v") == F.lit(v)) & ((F.col("__rank") < rank) | same))
             taken_copy = taken_copy | ((F.col("__bin") == at) & upto)
 
-    queued = _queued(_keyed(docs, id_col, text_col, source_col, seed), offsets, sources, parts, **few)
+    queued = _queued(sized if keep is not None else keyed, offsets, sources, parts, **few)
     times = [((F.lit(c) * F.col("__total") + F.col("__prefix")) / F.col("__target")) for c in range(max_epochs)]
     taken = F.lit(0)
     for k, v in enumerate(times):
@@ -166,26 +182,36 @@ def mix_sources(
         as_copy = queued.withColumn("__v", F.col(f"__v{k}")).withColumn("__bin", F.least(F.floor(F.col("__v") * parts), F.lit(4 * parts)).cast("long"))
         queued = as_copy.withColumn(f"__t{k}", F.coalesce(F.when(F.col("__size") > 0, taken_copy), F.lit(False)).cast("long"))
         taken = taken + F.col(f"__t{k}")
-    drop = ["__source", "__key", "__h", "__part", "__within", "__offset", "__rank", "__prefix", "__v", "__bin", "__id"]
-    drop += [f"__{x}{k}" for x in "vt" for k in range(max_epochs)]
-    return queued.withColumn("__copies", taken).withColumn("__taken", F.col("__size") * F.col("__copies")).drop(*drop)
+    counted = queued.withColumn("__copies", taken)
+    return counted.select("__row", "__size", "__total", "__target", "__copies", (F.col("__size") * F.col("__copies")).alias("__taken"))
+
+
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with __size, __total (of its source), __target (its source's), __copies and __taken (words, repeats counted); columns of ``docs`` so named give way.
+
+    The options are those of ``_mixed``.
+    """
+    mixed = _mixed(docs, **options)
+    outputs = [c for c in mixed.columns if c != "__row"]
+    own = [c for c in mixed.schema["__row"].dataType.names if c not in outputs]
+    return mixed.select(*[F.col("__row")[c].alias(c) for c in own], *outputs)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row as often as it is taken, with the columns of ``docs``."""
-    mixed = mix_sources(docs, **options)
-    return mixed.where(F.col("__copies") > 0).withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    mixed = _mixed(docs, **options)
+    copies = mixed.where(F.col("__copies") > 0).select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__n"))
+    return copies.select("__row.*")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    mixed = mix_sources(docs)
+    mixed = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=("doc_id",))
     return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__total").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
 
 
 OP3_SQL = r"""
 WITH sized AS (
-  SELECT row_number() OVER () AS rn, doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+  SELECT row_number() OVER () AS rn, doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS total FROM sized GROUP BY source),

@@ -119,6 +119,84 @@ def test_mix_reaches_its_targets(spark):
     assert all(r["__taken"] == 0 for r in mixing.mix_sources(df.where("doc_id = 1001")).collect())
 
 
+def test_mix_with_clashing_columns_and_rows_without_ids(spark):
+    rows = [(None, f"some words {'more ' * (i % 5)}", f"s{i % 2}", i, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __size int, __part int")
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns and all(r["__size"] == r["__part"] for r in mixed.collect())
+    again = mixing.mixed_documents(df.repartition(5))
+    count = lambda d: collections.Counter((r["text"], r["source"]) for r in d.collect())
+    assert count(mixed) == count(again)
+    # keys of rows without an id differ by text
+    keyed = mixing._keyed(df, "doc_id", "text", "source", "mix")
+    assert keyed.select("__key").distinct().count() == df.select("text").distinct().count()
+
+
+def test_ids_come_through_every_operator(spark):
+    """Ids beyond 2**53 beside a null, text ids, and columns named like working ones."""
+    big = 2**53 + 1
+    rows = [(big, "a text of some words here", 1, 2), (None, None, 3, 4), (big + 2, "", 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int, c0 int")
+    items = spark.createDataFrame([(big, "text of some words here"), (None, "a text of some words")], "item_id long, text string")
+    want = {big, None, big + 2}
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contamination(docs, items).collect()} == {(big, big), (big, None)}
+    assert {r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()} == {None, big + 2}
+    assert {r["doc_id"] for r in mixing.mix_sources(docs.withColumn("source", F.lit("s"))).collect()} == want
+    assert {r["doc_id"] for r in flac.with_media(docs).collect()} == want
+    assert {r["doc_id"] for r in flac.pcm_blocks(flac.with_media(docs)).collect()} == want
+    scored = toxicity.score_toxicity(docs.withColumn("score", F.lit("x")), toxicity.default_grammar(), score_col="s").collect()
+    assert {r["doc_id"] for r in scored} == want and all(r["score"] == "x" for r in scored)
+    target = spark.createDataFrame([(big,), (None,)], "doc_id long")
+    marked = lm_score.marked(docs, target)
+    assert {r["doc_id"]: r["target"] for r in marked.collect()} == {big: True, None: False, big + 2: False}
+    assert {r["doc_id"] for r in lm_score.score_words(marked).collect()} == want
+    by_bytes = lm_score.score_documents(docs, lm_score.train(marked)).collect()
+    assert {r["doc_id"] for r in by_bytes} == want
+    text_ids = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert {r["doc_id"] for r in decontaminate.find_contamination(text_ids, items).collect()} == {str(big)}
+    assert {r["doc_id"] for r in lm_score.score_words(lm_score.marked(text_ids, target)).collect()} == {str(big), None, str(big + 2)}
+
+
+def test_marks_by_shuffle_equal_marks_by_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 40 if i % 3 else None, "t") for i in range(200)], "doc_id long, text string")
+    target = spark.createDataFrame([(i,) for i in range(0, 40, 2)], "doc_id long")
+    count = lambda: collections.Counter((r["doc_id"], r["target"]) for r in lm_score.marked(docs, target).collect())
+    by_broadcast = count()
+    monkeypatch.setattr(lm_score, "MAX_BROADCAST_IDS", 1)
+    assert count() == by_broadcast
+
+
+def test_rows_without_an_id_are_never_held_out(spark, tmp_path):
+    spark.createDataFrame([(None, "calm"), (2**53 + 3, "calm")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r["doc_id"]: r["held_out"] for r in toxicity.op7_toxicity(spark, str(tmp_path)).collect()}
+    assert got == {None: False, 2**53 + 3: zlib.crc32(str(2**53 + 3).encode()) % 5 == 0}
+
+
+def test_one_text_an_id_is_learned_from(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.training_sample(docs, labels, "doc_id", "text", "toxic", 10).groupBy("id").count().where("count > 1").count() == 0
+
+
+def test_machines_against_a_plain_reading():
+    """Modes of random clauses, word by word from the definition of voice and address."""
+    rng, reader = random.Random(4), toxicity.Reader(toxicity.default_grammar())
+    for _ in range(500):
+        clause = [rng.choice(["you", "not", "never", "said", "idiot", "moron", "kill", "tree", "house"]) for _ in range(rng.randint(1, 9))]
+        voice, want = "own", []
+        for w in clause:
+            if w in ("idiot", "moron", "kill"):
+                aimed = "you" in clause
+                mode = voice if voice != "own" else "aimed" if aimed else "plain"
+                want.append((mode, w, f"{w}$", 0.5 if w == "kill" and not aimed else 1.0))
+            elif w in ("not", "never"):
+                voice = "own" if voice == "negated" else "negated"
+            elif w == "said":
+                voice = "reported"
+        assert reader.matches(" ".join(clause)) == want
+
+
 def test_mix_has_no_python_in_its_plan(spark):
     df = spark.createDataFrame([(1, "a b c", "s"), (2, "d e", "t")], "doc_id long, text string, source string")
     plan = mixing.mix_sources(df)._jdf.queryExecution().toString()
