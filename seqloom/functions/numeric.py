@@ -500,7 +500,7 @@ def best_k(x: np.ndarray, fit, max_k: int) -> np.ndarray:
     return best[1] if best else np.zeros(len(x), int)
 
 
-def cluster(x: np.ndarray, method: str = "kmeans", *, n_clusters: int | None = None, max_k: int = 5, seed: int = 0, outlier_z: float | None = None, min_cluster_size: int = 1, min_samples: int = 5, eps: float | None = None, linkage: str = "ward") -> np.ndarray:
+def cluster(x: np.ndarray, method: str = "kmeans", *, n_clusters: int | None = None, max_k: int = 5, seed: int = 0, outlier_z: float | None = None, min_cluster_size: int = 1, min_samples: int = 5, eps: float | None = None, linkage: str = "ward", n_init: int = 10) -> np.ndarray:
     """Impute, standardise, cluster, mark far points and small clusters as -1."""
     x = standardised(column_filled(np.asarray(x, float)))
     n = len(x)
@@ -511,7 +511,7 @@ def cluster(x: np.ndarray, method: str = "kmeans", *, n_clusters: int | None = N
     d = distances(x)
     pick = lambda fit: fit(min(n_clusters, n)) if n_clusters else best_k(x, fit, max_k)
     if method == "kmeans":
-        labels = pick(lambda k: kmeans(x, k, seed)[0])
+        labels = pick(lambda k: kmeans(x, k, seed, n_init)[0])
     elif method == "gmm":
         labels = gmm(x, n_clusters, seed)[0] if n_clusters else min((gmm(x, k, seed) for k in range(1, min(max_k, n - 1) + 1)), key=lambda r: r[2])[0]
     elif method in ("hierarchical", "agglomerative"):

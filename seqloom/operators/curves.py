@@ -172,16 +172,18 @@ REPRESENTATIONS = {
     "arc_length_percentile": arc_length_percentiles,
     "landmark_quartiles": lambda d, k, n=200: landmarks(d, k),
     "no_partition": unpartitioned,
-    "common_grid_intersection": lambda d, k, n=200: energy_matrix(d, k[:-1], k[-1], n).select(*k, F.col("e").alias("v")),
-    "common_grid_union": lambda d, k, n=200: energy_matrix(d, k[:-1], k[-1], n).select(*k, F.col("e").alias("v")),
+    "common_grid_intersection": lambda d, k, n=200, **o: energy_matrix(d, k[:-1], k[-1], n, **o).select(*k, F.col("e").alias("v")),
+    "common_grid_union": lambda d, k, n=200, **o: energy_matrix(d, k[:-1], k[-1], n, **o).select(*k, F.col("e").alias("v")),
 }
+#: Those that leave out beads of odd range, and take ``z_thresh`` and ``union``.
+ON_COMMON_GRID = ("common_grid_intersection", "common_grid_union")
 
 
-def represented(df: DataFrame, keys: list[str], name: str, n_grid: int = 200) -> DataFrame:
-    """(keys, v) under a named representation."""
+def represented(df: DataFrame, keys: list[str], name: str, n_grid: int = 200, **options) -> DataFrame:
+    """(keys, v) under a named representation; ``options`` are for those on a common grid."""
     if name not in REPRESENTATIONS:
         raise ValueError(f"unknown representation: {name}")
-    return REPRESENTATIONS[name](df, keys, n_grid)
+    return REPRESENTATIONS[name](df, keys, n_grid, **(options if name in ON_COMMON_GRID else {}))
 
 
 # rotation: rows are (keys..., frame, rot, z)

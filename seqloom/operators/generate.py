@@ -51,7 +51,7 @@ def power_law_pause(name: str, alpha: float, least: float, most: float, weight:
 def activity(name: str, slopes: tuple[float, float], durations: tuple[float, float], weight: float, direction: int = 1) -> State:
     def draw(rng, level, dt):
         n = max(1, int(rng.uniform(*durations) / dt))
-        return level + direction * rng.uniform(*slopes) * dt * np.arange(1, n + 1), None
+        return level + direction * rng.uniform(*slopes) * dt * np.arange(n), None
 
     return State(name, weight, draw)
 
@@ -60,12 +60,29 @@ def jump(name: str, sizes: tuple[float, float], weight: float, direction: int =
     return State(name, weight, lambda rng, level, dt: (np.array([level + direction * rng.uniform(*sizes)]), None))
 
 
+#: The states of a usable trace. Rates are of exponential durations (per second), durations in seconds,
+#: slopes per second, jumps and noise in the trace's unit; the weights are normalised when a state is chosen.
+USABLE_STATES = {
+    "pause_fast": ("pause", 0.30, {"rates": (1.5, 4.0)}),
+    "pause_slow": ("pause", 0.22, {"rates": (0.5, 1.2)}),
+    "pause_power": ("power", 0.06, {"alpha": 2.0, "least": 0.3, "most": 3.5}),
+    "activity_up_fast": ("activity", 0.16, {"slopes": (40.0, 70.0), "durations": (0.3, 2.0), "direction": 1}),
+    "activity_up_slow": ("activity", 0.13, {"slopes": (20.0, 40.0), "durations": (1.0, 4.0), "direction": 1}),
+    "activity_up_medium": ("activity", 0.10, {"slopes": (30.0, 60.0), "durations": (0.5, 3.0), "direction": 1}),
+    "jump_back": ("jump", 0.015, {"sizes": (50.0, 400.0), "direction": -1}),
+    "jump_forward": ("jump", 0.010, {"sizes": (30.0, 200.0), "direction": 1}),
+    "high_noise": ("pause", 0.010, {"rates": (0.5, 1.5), "noise": (15.0, 50.0)}),
+}
+#: Kinds of corruption and their shares (which a choice normalises).
+BAD_FEATURES = {"lost_bead": 0.2, "missing_regions": 0.15, "high_noise": 0.2, "inconsistent_noise": 0.15, "unobservable_activity": 0.2, "multiple": 0.1}
+#: Kinds that "multiple" draws one or two of, and states that some traces leave out.
+TOGETHER, OPTIONAL = ("lost_bead", "high_noise", "inconsistent_noise", "unobservable_activity"), ("jump_back", "high_noise")
+
+
 def default_states() -> list[State]:
     """The usual mix of a usable trace."""
-    return [
-        pause("short_pause", (0.5, 2.0), 0.3), pause("long_pause", (0.05, 0.2), 0.15), power_law_pause("power_law_pause", 1.5, 0.5, 60.0, 0.1), activity("slow_rise", (1.0, 10.0), (1.0, 10.0), 0.15),
-        activity("fast_rise", (10.0, 50.0), (0.5, 4.0), 0.1), activity("fall", (1.0, 20.0), (0.5, 5.0), 0.1, -1), jump("jump_down", (20.0, 150.0), 0.05), jump("jump_up", (20.0, 100.0), 0.02, 1), pause("noisy_pause", (0.2, 1.0), 0.03, (5.0, 20.0)),
-    ]
+    makers = {"pause": pause, "power": power_law_pause, "activity": activity, "jump": jump}
+    return [makers[kind](name, weight=weight, **draws) for name, (kind, weight, draws) in USABLE_STATES.items()]
 
 
 def chosen_states(states: list[State], include: list[str] | None = None, exclude: list[str] | None = None) -> list[State]:
@@ -73,67 +90,125 @@ def chosen_states(states: list[State], include: list[str] | None = None, exclude
 
 
 def simulate(total: float, dt: float, states: list[State], noise: float | None, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Times, clean and noisy values up to ``total`` seconds."""
+    """Times, clean and noisy values up to ``total`` seconds. Noise of a noisy pause belongs to the clean values; the next state starts from the level below it."""
     n = max(2, int(total / dt))
     weights = np.array([s.weight for s in states])
-    clean, extra, level, have = [], [], 0.0, 0
+    parts, level, have = [], 0.0, 0
     while have < n:
         v, e = states[rng.choice(len(states), p=weights / weights.sum())].draw(rng, level, dt)
-        clean.append(v)
-        extra.append(np.zeros(len(v)) if e is None else e)
+        parts.append(v if e is None else v + e)
         level, have = float(v[-1]), have + len(v)
-    c = np.concatenate(clean)[:n]
-    z = c + np.concatenate(extra)[:n] + (rng.normal(0, noise, n) if noise else 0.0)
-    return np.arange(n) * dt, c, z
+    clean = np.concatenate(parts)[:n]
+    return np.arange(n) * dt, clean, clean + (rng.normal(0, noise, n) if noise else 0.0)
+
 
+# corruptors: (times, clean, noisy, generator) to new (clean, noisy); what is lost is NaN in the clean values
 
-def lost_bead(t, z, rng):
-    at = rng.uniform(0.2, 0.8) * t[-1]
-    before = z[t < at]
-    lo, hi = (before.min(), before.max()) if len(before) else (0.0, 1.0)
-    return np.where(t >= at, rng.uniform(lo, max(hi, lo + 1e-9), len(z)), z)
 
+def lost_bead(t, clean, z, rng, at: float | None = None):
+    """From a time in the middle on, values are uniform over far more than the range before it."""
+    k = int(np.searchsorted(t, t[0] + rng.uniform(0.2, 0.8) * (t[-1] - t[0]) if at is None else at))
+    lo, hi = (np.nanmin(z[:k]), np.nanmax(z[:k])) if k else (0.0, 0.0)
+    margin = max(4.0 * (hi - lo), 2000.0)
+    lost = np.arange(len(t)) >= k
+    return np.where(lost, np.nan, clean), np.where(lost, rng.uniform(lo - margin, hi + margin, len(t)), z)
 
-def missing_regions(t, z, rng, regions: int = 3, durations=(2.0, 10.0)):
-    z = z.copy()
+
+def missing_regions(t, clean, z, rng, regions: int = 1, durations=(2.0, 10.0)):
+    gone, span = np.zeros(len(t), bool), t[-1] - t[0]
     for _ in range(regions):
-        start, length = rng.uniform(0, t[-1]), rng.uniform(*durations)
-        z[(t >= start) & (t < start + length)] = np.nan
-    return z
+        start = rng.uniform(t[0] + 0.1 * span, t[-1] - 0.1 * span)
+        gone |= (t >= start) & (t < min(start + rng.uniform(*durations), t[-1]))
+    return np.where(gone, np.nan, clean), np.where(gone, np.nan, z)
+
+
+def high_noise(t, clean, z, rng, multiplier: float = 3.0):
+    """Noise of (multiplier - 1) times that already there (noisy less clean) is added."""
+    return clean, z + rng.normal(0, np.nanstd(z - clean) * (multiplier - 1.0), len(z))
 
 
-def high_noise(t, z, rng, multiplier: float = 3.0):
-    return z + rng.normal(0, max(np.nanstd(np.diff(z)) / np.sqrt(2), 1e-9) * (multiplier - 1), len(z))
+def inconsistent_noise(t, clean, z, rng, transitions: int = 2, levels=(5.0, 50.0), durations=(0.5, 2.0)):
+    """The noise is drawn anew, at its own level but for short stretches in which it moves to another one."""
+    profile, span = np.full(len(t), np.nanstd(z - clean)), t[-1] - t[0]
+    for _ in range(transitions):
+        start = rng.uniform(t[0] + 0.1 * span, t[-1] - 0.1 * span)
+        inside = np.flatnonzero((t >= start) & (t < min(start + rng.uniform(*durations), t[-1])))
+        to = rng.uniform(*levels)
+        if len(inside):
+            profile[inside] = np.linspace(profile[inside[0]], to, len(inside)) if len(inside) > 1 else to
+    return clean, clean + rng.normal(0, 1, len(t)) * profile
 
 
-def inconsistent_noise(t, z, rng, transitions: int = 2, levels=(5.0, 50.0), decreasing: bool = False):
-    """Noise whose level moves between a few levels along the trace."""
-    knots = np.sort(np.concatenate([[0.0], rng.uniform(0, t[-1], transitions), [t[-1]]]))
-    heights = rng.uniform(*levels, len(knots)) if not decreasing else np.linspace(max(levels), min(levels), len(knots))
-    return z + rng.normal(0, 1, len(z)) * np.interp(t, knots, heights)
+def compaction_noise(t, clean, z, rng, levels=(20.0, 5.0)):
+    """The noise is drawn anew and falls along the trace from the greater level to the lesser, a tenth of the way unsteadily."""
+    low, high = min(levels), max(levels)
+    profile = np.clip(np.linspace(high, low, len(t)) + rng.normal(0, 0.1 * (high - low), len(t)), low, high)
+    return clean, clean + rng.normal(0, 1, len(t)) * profile
 
 
-def compaction_noise(t, z, rng):
-    return inconsistent_noise(t, z, rng, levels=(5.0, 20.0), decreasing=True)
+def unobservable_activity(t, clean, z, rng, multiplier: float = 5.0, drift=(0.5, 2.0)):
+    """A drift, under noise of ``multiplier`` times that already there."""
+    drifted = clean + rng.uniform(*drift) * (t - t[0])
+    return drifted, drifted + rng.normal(0, np.nanstd(z - clean) * multiplier, len(z))
 
 
-def unobservable_activity(t, z, rng, multiplier: float = 5.0, drift=(0.5, 2.0)):
-    return high_noise(t, z, rng, multiplier) + rng.uniform(*drift) * (t - t[0])
+def corrupted(kind: str, t, clean, z, rng, gaps=(1.0, 8.0)):
+    """One kind of ``BAD_FEATURES`` with its parameters drawn; ``gaps`` are the durations of missing regions."""
+    if kind == "multiple":
+        for one in rng.choice(TOGETHER, rng.integers(1, 3), replace=False):
+            options = {"high_noise": {"multiplier": rng.uniform(2.5, 4.0)}, "inconsistent_noise": {"transitions": rng.integers(2, 4)}, "unobservable_activity": {"multiplier": rng.uniform(4.0, 6.0)}}
+            clean, z = _CORRUPTORS[str(one)](t, clean, z, rng, **options.get(str(one), {}))
+        return clean, z
+    drift = rng.uniform(0.3, 2.5)
+    options = {
+        "missing_regions": {"regions": rng.integers(1, 4), "durations": gaps},
+        "high_noise": {"multiplier": rng.uniform(2.5, 5.0)},
+        "inconsistent_noise": {"transitions": rng.integers(2, 5)},
+        "unobservable_activity": {"multiplier": rng.uniform(4.0, 7.0), "drift": (drift, drift + 0.5)},
+    }
+    return _CORRUPTORS[kind](t, clean, z, rng, **options.get(kind, {}))
 
 
-CORRUPTORS = {"lost_bead": lost_bead, "missing": missing_regions, "high_noise": high_noise, "inconsistent_noise": inconsistent_noise, "unobservable": unobservable_activity, "compaction": compaction_noise}
+_CORRUPTORS = {"lost_bead": lost_bead, "missing_regions": missing_regions, "high_noise": high_noise, "inconsistent_noise": inconsistent_noise, "unobservable_activity": unobservable_activity, "compaction": compaction_noise}
+
+
+def _drawn_kind(rng) -> str:
+    shares = np.array(list(BAD_FEATURES.values()))
+    return str(rng.choice(list(BAD_FEATURES), p=shares / shares.sum()))
+
+
+def _usable(rng, total, dt, noise) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A usable trace; three in ten may leave out one optional state."""
+    out = [str(s) for s in rng.choice(OPTIONAL, rng.integers(0, 2), replace=False)] if rng.random() < 0.3 else []
+    return simulate(rng.uniform(*total), rng.uniform(*dt), chosen_states(default_states(), exclude=out), rng.uniform(*noise), rng)
 
 
 def one_trace(seed: int, usable: bool, total=(100.0, 300.0), dt=(0.01, 0.05), noise=(5.0, 20.0)) -> tuple[int, str | None, np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    t, clean, z = simulate(rng.uniform(*total), rng.uniform(*dt), default_states(), rng.uniform(*noise), rng)
+    t, clean, z = _usable(rng, total, dt, noise)
     if usable:
         return 1, None, t, clean, z
-    names = list(CORRUPTORS)
-    pick = rng.choice([*names, "multiple"])
-    for name in rng.choice(names, 2, replace=False) if pick == "multiple" else [pick]:
-        z = CORRUPTORS[name](t, z, rng)
-    return 0, str(pick), t, clean, z
+    kind = _drawn_kind(rng)
+    return 0, kind, t, *corrupted(kind, t, clean, z, rng)
+
+
+def split_traces(seed: int, duration: float, usable_ratio: float = 0.5, total=(100.0, 300.0), dt=(0.01, 0.05), noise=(5.0, 20.0)) -> list[tuple]:
+    """A long usable trace in pieces of ``duration`` seconds, each from time 0, a share of which is corrupted."""
+    rng = np.random.default_rng(seed)
+    t, clean, z = _usable(rng, total, dt, noise)
+    if t[-1] - t[0] < duration:
+        pieces = [(t, clean, z)]
+    else:
+        edges = np.searchsorted(t, np.append(np.arange(t[0], t[-1], duration), t[-1]))
+        pieces = [(t[a:b] - t[a], clean[a:b], z[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > 1]
+    bad = set(rng.choice(len(pieces), int(len(pieces) * (1 - usable_ratio)), replace=False).tolist())
+    out = []
+    for k, (own, c, v) in enumerate(pieces):
+        kind = _drawn_kind(rng) if k in bad else None
+        if kind:
+            c, v = corrupted(kind, own, c, v, rng, gaps=(0.1, 0.5))
+        out.append((0 if kind else 1, kind, own, c, v))
+    return out
 
 
 def traces(spark: SparkSession, n: int, usable_ratio: float = 0.5, seed: int = 42, total=(100.0, 300.0), dt=(0.01, 0.05), noise=(5.0, 20.0), partitions: int | None = None) -> DataFrame:
@@ -149,30 +224,76 @@ def traces(spark: SparkSession, n: int, usable_ratio: float = 0.5, seed: int = 4
     return spark.range(0, n, 1, partitions or max(1, min(n // 64, 2000))).mapInPandas(run, TRACE_SCHEMA)
 
 
-def augmented(df: DataFrame, seed: int = 42, corrupt_share: float = 0.35) -> DataFrame:
-    """Rows (id, label, z) with mild changes of gain, noise and drift, and a share of good ones corrupted: adds ``change``."""
-    kinds = ["high_noise", "dropout", "spike", "lost_tail", "flat_region", "curved_drift"]
-
-    def change(z: np.ndarray, rng: np.random.Generator, kind: str | None) -> np.ndarray:
-        z, n, s = np.array(z, float), len(z), float(np.nanstd(z)) or 1.0
-        if kind is None:
-            return z * rng.uniform(0.95, 1.05) + rng.normal(0, 0.02 * s, n) + np.linspace(0, rng.uniform(-0.05, 0.05) * s, n)
-        a = int(rng.integers(0, max(1, n - n // 5)))
-        b = a + max(1, n // 5)
-        if kind == "high_noise":
-            z = z + rng.normal(0, s * rng.uniform(1, 3), n)
-        elif kind == "dropout":
-            z[a:b] = 0.0
-        elif kind == "spike":
-            z[rng.integers(0, n, max(1, n // 200))] += s * rng.uniform(6, 15)
-        elif kind == "lost_tail":
-            z[a:] = rng.uniform(z.min(), z.max() + 1e-9, n - a)
-        elif kind == "flat_region":
-            z[a:b] = z[a]
-        else:
-            z = z + s * rng.uniform(2, 5) * np.linspace(-1, 1, n) ** 2
-        return z
+def traces_split(spark: SparkSession, n: int, usable_ratio: float = 0.5, seed: int = 42, total=(100.0, 300.0), dt=(0.01, 0.05), noise=(5.0, 20.0), duration: float | None = None, partitions: int | None = None) -> DataFrame:
+    """n pieces of long simulated traces (a hundred to an average one unless ``duration`` is given), a share of each corrupted.
 
+    Of more pieces than asked for, those with the least hashes stay; ids number them without gaps.
+    """
+    average = (total[0] + total[1]) / 2
+    duration = duration or average / 100.0
+    long = max(1, -(-n // max(1, int(average / duration))))
+    schema = TRACE_SCHEMA.replace("id long", "long_id long, piece long")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in pdf["id"].tolist():
+                made = split_traces(seed + i, duration, usable_ratio, total, dt, noise)
+                yield pd.DataFrame({"long_id": i, "piece": range(len(made)), "label": [m[0] for m in made], "bad_feature": [m[1] for m in made], "t": [m[2] for m in made], "clean": [m[3] for m in made], "z": [m[4] for m in made]})
+
+    pieces = spark.range(0, long, 1, partitions or max(1, min(long, 2000))).mapInPandas(run, schema)
+    names = pieces.select("long_id", "piece").orderBy(hashed("long_id", "piece", seed=seed), "long_id", "piece").limit(n)
+    numbered = names.withColumn("id", F.row_number().over(W.orderBy("long_id", "piece")) - 1)
+    return pieces.join(F.broadcast(numbered), ["long_id", "piece"]).select(F.col("id").cast("long").alias("id"), "label", "bad_feature", "t", "clean", "z")
+
+
+def mild(z: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Gain and centre within a tenth, noise of a twentieth to a quarter of the steps' deviation, and a drift of up to a twentieth of the trace's."""
+    centre = np.median(z)
+    z = z * rng.uniform(0.9, 1.1) + centre * (1.0 - rng.uniform(0.9, 1.1))
+    steps = np.std(np.diff(z)) if len(z) > 1 else np.std(z)
+    if not steps > 0:
+        steps = max(0.02 * np.std(z), 1e-6)
+    z = z + rng.normal(0, steps * rng.uniform(0.05, 0.25), len(z))
+    return z + np.linspace(0.0, np.std(z) * rng.uniform(-0.05, 0.05), len(z))
+
+
+def _stretch(rng, n: int, starts: tuple[int, int], lengths: tuple[int, int]) -> slice:
+    a = int(rng.integers(starts[0], max(starts[0] + 1, starts[1])))
+    return slice(a, min(n, a + int(rng.integers(max(2, lengths[0]), max(3, lengths[1])))))
+
+
+def spoiled(z: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, str]:
+    """A mildly changed trace, spoiled in one of six ways; traces below four samples are changed mildly only."""
+    z, n = mild(z, rng), len(z)
+    if n < 4:
+        return z, "mild"
+    kind = str(rng.choice(["high_noise", "dropout", "spike", "lost_tail", "flat_region", "curved_drift"]))
+    s = np.std(z)
+    if not s > 0:
+        s = max(np.median(np.abs(np.diff(z))), 1e-6)
+    if kind == "high_noise":
+        at = _stretch(rng, n, (0, n // 2), (n // 20, n // 3))
+        z[at] += rng.normal(0, s * rng.uniform(1.5, 5.0), len(z[at]))
+    elif kind == "dropout":
+        at = _stretch(rng, n, (0, n - 2), (n // 50, n // 8))
+        z[at] = z[at.start - 1] if at.start else np.median(z)
+    elif kind == "spike":
+        at = rng.choice(n, int(rng.integers(1, max(2, n // 100))), replace=False)
+        z[at] += rng.choice([-1.0, 1.0], len(at)) * s * rng.uniform(5.0, 20.0)
+    elif kind == "lost_tail":
+        at = int(rng.integers(max(1, n // 4), max(2, n - 1)))
+        z[at:] = rng.uniform(z.min() - s * rng.uniform(3.0, 8.0), z.max() + s * rng.uniform(3.0, 8.0), n - at)
+    elif kind == "flat_region":
+        at = _stretch(rng, n, (0, n // 2), (n // 10, n // 2))
+        z[at] = np.median(z[at])
+    else:
+        x = np.linspace(-1.0, 1.0, n) ** 2
+        z = z + (x - x.mean()) * s * rng.uniform(0.5, 2.0)
+    return z, kind
+
+
+def augmented(df: DataFrame, seed: int = 42, corrupt_share: float = 0.35) -> DataFrame:
+    """Rows (id, label, z) changed mildly, and a share of all of them spoiled (label 0): adds ``change``. Gaps are filled with the finite mean first."""
     fields = [f for f in df.schema.fields if f.name not in ("z", "label")]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + "label int, z array<double>, change string"
 
@@ -180,27 +301,34 @@ def augmented(df: DataFrame, seed: int = 42, corrupt_share: float = 0.35) -> Dat
         for pdf in batches:
             label, out, how = [], [], []
             for i, y, z in zip(pdf["id"], pdf["label"], pdf["z"], strict=True):
-                rng = np.random.default_rng(seed + int(i))
-                kind = str(rng.choice(kinds)) if y == 1 and rng.random() < corrupt_share else None
-                label.append(0 if kind else int(y))
-                out.append(change(z, rng, kind))
-                how.append(kind or "mild")
+                rng, z = np.random.default_rng(seed + int(i)), np.array(z, float)
+                finite = np.isfinite(z)
+                z = np.where(finite, z, z[finite].mean() if finite.any() else 0.0)
+                spoil = rng.random() < corrupt_share
+                new, kind = (z, "mild") if not len(z) else spoiled(z, rng) if spoil else (mild(z, rng), "mild")
+                label.append(0 if spoil else int(y))
+                out.append(new)
+                how.append(kind)
             yield pdf[[f.name for f in fields]].assign(label=np.array(label, "int32"), z=out, change=how)
 
     return df.mapInPandas(run, schema)
 
 
 def bootstrap(df: DataFrame, n: int, seed: int = 42, corrupt_share: float = 0.35) -> DataFrame:
-    """n traces drawn with replacement from ``df`` (id, label, z) and changed; ``source_id`` keeps the lineage."""
+    """n traces drawn with replacement from ``df`` (id, label, z) and changed; ``source_id`` and ``source_label`` keep the lineage."""
     from seqloom.operators.select import bootstrapped
 
-    drawn = bootstrapped(df, n, "id", seed).withColumnRenamed("id", "source_id").withColumnRenamed("draw", "id")
+    drawn = bootstrapped(df, n, "id", seed).withColumnRenamed("id", "source_id").withColumnRenamed("draw", "id").withColumn("source_label", F.col("label"))
     return augmented(drawn, seed, corrupt_share)
 
 
+#: Ranges of the four drawn features.
+FEATURE_RANGES = ((0.1, 50.0), (0.01, 5.0), (0.01, 20.0), (0.01, 10.0))
+
+
 def drawn_features(spark: SparkSession, n: int, seed: int = 42, flip: float = 0.1) -> DataFrame:
     """Four uniform features; the label is 1 if the first two are above their medians, with a share flipped."""
-    rows = spark.range(n).select("id", *[hashed("id", seed=seed + k).alias(f"f{k}") for k in range(4)])
+    rows = spark.range(n).select("id", *[(lo + (hi - lo) * hashed("id", seed=seed + k)).alias(f"f{k}") for k, (lo, hi) in enumerate(FEATURE_RANGES)])
     m = rows.agg(F.median("f0").alias("m0"), F.median("f1").alias("m1"))
     y = ((F.col("f0") > F.col("m0")) & (F.col("f1") > F.col("m1"))).cast("int")
     return rows.join(F.broadcast(m)).withColumn("label", F.when(hashed("id", seed=seed + 9) < flip, 1 - y).otherwise(y)).drop("m0", "m1")
@@ -210,13 +338,14 @@ def drawn_features(spark: SparkSession, n: int, seed: int = 42, flip: float = 0.
 
 
 def with_lost_bead(df: DataFrame, keys: list[str], share: float = 0.5, seed: int = 42) -> DataFrame:
-    """Values after a share of the time are uniform over the range before it."""
+    """Values after a share of the time are uniform over the range before it, widened by four times its width, 2000 at least, on both sides."""
     whole = W.partitionBy(*keys)
     at = F.min("t").over(whole) + share * (F.max("t").over(whole) - F.min("t").over(whole))
     df = df.withColumn("__at", at)
     before = F.when(F.col("t") < F.col("__at"), F.col("z"))
     lo, hi = F.min(before).over(whole), F.max(before).over(whole)
-    return df.withColumn("z", F.when(F.col("t") >= F.col("__at"), lo + (hi - lo) * hashed(*keys, "frame", seed=seed)).otherwise(F.col("z"))).drop("__at")
+    margin = F.greatest(4.0 * (hi - lo), F.lit(2000.0))
+    return df.withColumn("z", F.when(F.col("t") >= F.col("__at"), lo - margin + (hi - lo + 2.0 * margin) * hashed(*keys, "frame", seed=seed)).otherwise(F.col("z"))).drop("__at")
 
 
 def with_gaps(df: DataFrame, gaps: DataFrame, keys: list[str]) -> DataFrame:
@@ -235,6 +364,7 @@ def gaussian(*columns: str, seed: int = 42):
     return F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * np.pi * hashed(*columns, seed=seed + 1))
 
 
-def with_noise(df: DataFrame, keys: list[str], multiplier: float = 3.0, seed: int = 42) -> DataFrame:
-    """Noise of (multiplier - 1) times the trace's own deviation."""
-    return df.withColumn("z", F.col("z") + gaussian(*keys, "frame", seed=seed) * F.stddev_pop("z").over(W.partitionBy(*keys)) * (multiplier - 1.0))
+def with_noise(df: DataFrame, keys: list[str], multiplier: float = 3.0, seed: int = 42, clean: str = "clean") -> DataFrame:
+    """Noise of (multiplier - 1) times that already there: the deviation of ``z`` less ``clean``."""
+    own = F.stddev_pop(F.col("z") - F.col(clean)).over(W.partitionBy(*keys))
+    return df.withColumn("z", F.col("z") + gaussian(*keys, "frame", seed=seed) * own * (multiplier - 1.0))

@@ -30,19 +30,27 @@ def reduced(df: DataFrame, group: list[str], id_col: str, method: str = "fpca",
     return df.groupBy(*group).applyInPandas(run, f"{_keys_schema(df, [*group, id_col])}v array<double>")
 
 
-def clustered(df: DataFrame, group: list[str], id_col: str, method: str = "kmeans", v: str = "v", reduction: str = "none", n_components: int = 10, reduction_options: dict | None = None, **options) -> DataFrame:
-    """(group, id, label, error): clusters of each group; -1 marks outliers."""
+def clustered(df: DataFrame, group: list[str], id_col: str, method: str = "kmeans", v: str = "v", reduction: str = "none", n_components: int = 10, reduction_options: dict | None = None, measured: bool = False, **options) -> DataFrame:
+    """(group, id, label, error): clusters of each group; -1 marks outliers, and all of a group that failed.
+
+    ``measured`` adds the group's silhouette on the standardised reduced vectors (null if undefined).
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_col)
-        out = pdf[[*group, id_col]].copy()
+        out, silhouette = pdf[[*group, id_col]].copy(), None
         try:
             x = numeric.reduce_dimensions(np.stack(pdf[v].to_numpy()), reduction, n_components, **(reduction_options or {}))
-            return out.assign(label=numeric.cluster(x, method, **options).astype("int32"), error=None)
+            labels = numeric.cluster(x, method, **options)
+            if measured:
+                s = numeric.silhouette(numeric.distances(numeric.standardised(numeric.column_filled(np.asarray(x, float)))), labels)
+                silhouette = s if s == s else None
+            out = out.assign(label=labels.astype("int32"), error=None)
         except Exception as e:  # errors of one group are data: the others go on
-            return out.assign(label=np.int32(-1), error=f"{type(e).__name__}: {e}")
+            out = out.assign(label=np.int32(-1), error=f"{type(e).__name__}: {e}")
+        return out.assign(silhouette=silhouette) if measured else out
 
-    return df.groupBy(*group).applyInPandas(run, f"{_keys_schema(df, [*group, id_col])}label int, error string")
+    return df.groupBy(*group).applyInPandas(run, f"{_keys_schema(df, [*group, id_col])}label int, error string{', silhouette double' if measured else ''}")
 
 
 def pair_distances(df: DataFrame, group: list[str], id_col: str, v: str = "v", metric: str = "euclid") -> DataFrame:

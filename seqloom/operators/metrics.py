@@ -44,20 +44,22 @@ def binary_metrics(df: DataFrame, group: list[str], y: str = "y", p: str = "p")
     )
 
 
-def contingency(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """Cell, row, column and total counts by grouping sets: (y, p, gy, gp, n)."""
-    sets = df.groupingSets([[F.col(y), F.col(p)], [F.col(y)], [F.col(p)], []], F.col(y), F.col(p))
+def contingency(df: DataFrame, y: str = "y", p: str = "p", group: list[str] | None = None) -> DataFrame:
+    """Cell, row, column and total counts by grouping sets: (group, y, p, gy, gp, n)."""
+    own = [F.col(c) for c in group or []]
+    sets = df.groupingSets([[*own, F.col(y), F.col(p)], [*own, F.col(y)], [*own, F.col(p)], own], *own, F.col(y), F.col(p))
     return sets.agg(F.grouping(y).alias("gy"), F.grouping(p).alias("gp"), F.count(F.lit(1)).cast("double").alias("n"))
 
 
-def agreement(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """Adjusted Rand index and normalised mutual information (arithmetic mean) of two labelings; equal trivial ones score 1."""
-    t = contingency(df, y, p)
+def agreement(df: DataFrame, y: str = "y", p: str = "p", group: list[str] | None = None) -> DataFrame:
+    """(group, ari, nmi): adjusted Rand index and normalised mutual information (arithmetic mean) of two labelings; equal trivial ones score 1."""
+    group = group or []
+    t = contingency(df, y, p, group)
     cell, row, col, whole = ((F.col("gy") == a) & (F.col("gp") == b) for a, b in ((0, 0), (0, 1), (1, 0), (1, 1)))
     n = F.col("n")
     pairs = n * (n - 1.0) / 2.0
     total = F.max(F.when(whole, n))
-    sums = t.agg(
+    sums = t.groupBy(*group).agg(
         F.sum(F.when(cell, pairs)).alias("s"), F.sum(F.when(row, pairs)).alias("a"), F.sum(F.when(col, pairs)).alias("b"), F.max(F.when(whole, pairs)).alias("t"),
         total.alias("n"), F.sum(F.when(cell, n * F.log(n))).alias("lc"), F.sum(F.when(row, n * F.log(n))).alias("lr"), F.sum(F.when(col, n * F.log(n))).alias("lk"),
     )
@@ -67,7 +69,7 @@ def agreement(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     log_n = F.log("n")
     hy, hp, joint = log_n - F.col("lr") / F.col("n"), log_n - F.col("lk") / F.col("n"), log_n - F.col("lc") / F.col("n")
     nmi = F.when((hy < 1e-15) & (hp < 1e-15), F.lit(1.0)).otherwise(F.try_divide(2.0 * (hy + hp - joint), hy + hp))
-    return sums.select(F.coalesce(ari, F.lit(1.0)).alias("ari"), nmi.alias("nmi"))
+    return sums.select(*group, F.coalesce(ari, F.lit(1.0)).alias("ari"), nmi.alias("nmi"))
 
 
 def good_cluster(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:

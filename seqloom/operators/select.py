@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqloom.runtime import materialized
+
 
 def truthy(x: Column) -> Column:
     return F.lower(F.trim(x)).isin("true", "1", "yes")
@@ -84,12 +86,27 @@ def best_row(df: DataFrame, score: str, *ties: str) -> DataFrame:
 
 
 def hashed(*columns: str, seed: int = 42) -> Column:
-    """A draw in 0..1 that depends on the row's columns and a seed only, not on its partition."""
-    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    """A draw in 0..1 that depends on the row's columns and a seed only, not on its partition: 52 bits of an MD5."""
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in columns], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def numbered(df: DataFrame, *order: str, number: str = "__i") -> DataFrame:
+    """``df`` with row numbers from 0 in ``order``: ranges are numbered on their own and offset by the rows before them."""
+    columns = [F.col(c) for c in order]
+    dealt = materialized(df.repartitionByRange(*columns).withColumn("__range", F.spark_partition_id()))
+    counts = sorted((r["__range"], r["count"]) for r in dealt.groupBy("__range").count().collect())
+    starts, at = [], 0
+    for k, n in counts:
+        starts.append((k, at))
+        at += n
+    offsets = df.sparkSession.createDataFrame(starts, "__range int, __start long")
+    within = F.row_number().over(W.partitionBy("__range").orderBy(*columns)) - 1
+    return dealt.withColumn("__within", within).join(F.broadcast(offsets), "__range").withColumn(number, F.col("__start") + F.col("__within")).drop("__range", "__within", "__start")
 
 
 def split_groups(df: DataFrame, group: str, train_frac: float = 0.8, seed: int = 42) -> DataFrame:
-    """``df`` with ``fold``: whole groups go to train or test; both get one if there are two."""
+    """``df`` with ``fold``: whole groups go to train or test; both get one if there are two. One narrow row a group is put in order."""
     groups = df.select(group).distinct()
     ranked = groups.withColumn("__k", F.row_number().over(W.orderBy(hashed(group, seed=seed), group))).withColumn("__n", F.count(F.lit(1)).over(W.partitionBy()))
     wanted = F.greatest(F.lit(1), F.least(F.round(train_frac * F.col("__n")).cast("int"), F.greatest(F.col("__n") - 1, F.lit(1))))
@@ -103,15 +120,28 @@ def majority_source(df: DataFrame, source: str, order: str) -> DataFrame:
     return per.agg(F.max_by(source, F.struct(F.col("n"), -F.col("first"))).alias(source))
 
 
-def stratified(df: DataFrame, label: str, test_frac: float, *ids: str, seed: int = 42) -> DataFrame:
-    """``df`` with ``fold``: the same share of each class is held out, exactly."""
-    w = W.partitionBy(label)
-    k = F.row_number().over(w.orderBy(hashed(*ids, seed=seed), *ids))
-    return df.withColumn("fold", F.when(k <= F.round(test_frac * F.count(F.lit(1)).over(w)), "test").otherwise("train"))
+def stratified(df: DataFrame, label: str, test_frac: float, *ids: str, seed: int = 42, bins: int = 4096) -> DataFrame:
+    """``df`` with ``fold``: the same share of each class, exactly, is held out: its rows of least draws.
+
+    Draws are dealt into bins. Counts a bin tell in which one a class's share ends; only the rows
+    of that bin are put in order, so a class of any size never meets in one task.
+    """
+    drawn = df.withColumn("__u", hashed(*ids, seed=seed)).withColumn("__bin", F.floor(F.col("__u") * bins).cast("int"))
+    counts = drawn.groupBy(F.col(label).alias("__class"), F.col("__bin").alias("__b")).agg(F.count(F.lit(1)).alias("k"))
+    upto = F.sum("k").over(W.partitionBy("__class").orderBy("__b"))
+    wanted = F.round(test_frac * F.sum("k").over(W.partitionBy("__class")))
+    ends = counts.withColumn("upto", upto).withColumn("wanted", wanted).where("upto > wanted").groupBy("__class").agg(F.min_by(F.struct("__b", (F.col("wanted") - (F.col("upto") - F.col("k"))).alias("left")), "__b").alias("end"))
+    met = drawn.join(F.broadcast(ends), F.col(label).eqNullSafe(F.col("__class")), "left")
+    last = F.col("__bin") == F.col("end.__b")
+    edge = met.where(last).withColumn("__k", F.row_number().over(W.partitionBy(label).orderBy("__u", *ids)))
+    test = F.when(F.col("end").isNull() | (F.col("__bin") < F.col("end.__b")), "test").otherwise("train")
+    out = [*df.columns, "fold"]
+    rest = met.where(~F.coalesce(last, F.lit(False))).withColumn("fold", test).select(*out)
+    return rest.unionByName(edge.withColumn("fold", F.when(F.col("__k") <= F.col("end.left"), "test").otherwise("train")).select(*out))
 
 
 def capped(df: DataFrame, group: list[str], k: int, *ids: str, seed: int = 42) -> DataFrame:
-    """At most k rows of each group, drawn by hash."""
+    """At most k rows of each group, drawn by hash; tasks drop all but their k least before rows move."""
     w = W.partitionBy(*group).orderBy(hashed(*ids, seed=seed), *ids)
     return df.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= k).drop("__k")
 
@@ -119,9 +149,9 @@ def capped(df: DataFrame, group: list[str], k: int, *ids: str, seed: int = 42) -
 def bootstrapped(df: DataFrame, n: int, order: str, seed: int = 42) -> DataFrame:
     """n rows drawn with replacement: (draw, ...)."""
     spark = df.sparkSession
-    rows = df.withColumn("__i", F.row_number().over(W.orderBy(order)) - 1)
+    rows = numbered(df, order)
     size = rows.count()
-    draws = spark.range(n).select(F.col("id").alias("draw"), F.floor(hashed("id", seed=seed) * size).cast("int").alias("__i"))
+    draws = spark.range(n).select(F.col("id").alias("draw"), F.floor(hashed("id", seed=seed) * size).cast("long").alias("__i"))
     return draws.join(rows, "__i").drop("__i")
 
 

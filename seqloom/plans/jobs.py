@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import curves, group, metrics
 from seqloom.operators.trace import rule_flags
+from seqloom.runtime import materialized
 
 REPRESENTATIONS = tuple(curves.REPRESENTATIONS)
 REDUCTIONS = ("none", "fpca", "umap", "tsne", "isomap", "lle", "laplacian", "dtw_mds")
@@ -24,26 +25,35 @@ CLUSTERINGS = ("kmeans", "gmm", "hierarchical", "dbscan", "hdbscan", "optics", "
 
 @dataclass(frozen=True)
 class Pipeline:
-    """One way from curves to clusters; ``extra`` holds options that aren't fields."""
+    """One way from curves to clusters, or (``members``) a vote of such ways; ``extra`` holds options that aren't fields, with which no pipeline runs."""
 
     name: str
-    representation: str = "percentile_grid"
+    representation: str = "common_grid_intersection"
     reduction: str = "none"
     clustering: str = "kmeans"
     n_components: int = 10
     n_grid: int = 200
+    z_thresh: float = 3.0
+    use_full_extension_range: bool = False
     n_clusters: int | None = None
-    max_k: int = 5
-    outlier_z: float | None = None
-    min_cluster_size: int = 1
+    max_k: int = 2
+    n_init: int = 10
+    outlier_z: float | None = 3.0
+    min_cluster_size: int = 3
     min_samples: int = 5
+    eps: float | None = None
+    linkage: str = "ward"
+    seed: int = 0
     n_neighbors: int | None = None
     members: tuple[str, ...] = ()
     extra: dict = field(default_factory=dict)
 
 
 #: Options by the names that registries use.
-ALIASES = {"dim_reduction": "reduction", "dim_reduction_n_components": "n_components", "dbscan_min_samples": "min_samples", "ensemble_pipelines": "members"}
+ALIASES = {
+    "dim_reduction": "reduction", "dim_reduction_n_components": "n_components", "dbscan_min_samples": "min_samples", "dbscan_eps": "eps",
+    "hierarchical_linkage": "linkage", "random_state": "seed", "ensemble_pipelines": "members",
+}
 
 
 def pipeline_from(options: dict) -> Pipeline:
@@ -78,14 +88,21 @@ def overlaid(base: Pipeline, **params) -> Pipeline:
     return pipeline_from({**{k: v for k, v in asdict(base).items() if k != "extra"}, **base.extra, **params})
 
 
-def clustered(rows: DataFrame, keys: list[str], pipeline: Pipeline) -> DataFrame:
-    """(keys, label, error) of curves (keys..., frame, x, f) under a pipeline; the last key is the bead."""
+def features(rows: DataFrame, keys: list[str], pipeline: Pipeline) -> DataFrame:
+    """(keys, v): the vectors that a pipeline clusters."""
+    return curves.represented(rows, keys, pipeline.representation, pipeline.n_grid, z_thresh=pipeline.z_thresh, union=pipeline.use_full_extension_range)
+
+
+def clustered(rows: DataFrame, keys: list[str], pipeline: Pipeline, vectors: DataFrame | None = None) -> DataFrame:
+    """(keys, label, error, silhouette) of curves (keys..., frame, x, f) under a pipeline; the last key is the bead."""
+    if pipeline.extra:
+        raise ValueError(f"{pipeline.name}: unknown options {sorted(pipeline.extra)}")
     *outer, bead = keys
-    v = curves.represented(rows, keys, pipeline.representation, pipeline.n_grid)
     options = {"n_neighbors": pipeline.n_neighbors} if pipeline.n_neighbors else {}
     return group.clustered(
-        v, outer, bead, pipeline.clustering, reduction=pipeline.reduction, n_components=pipeline.n_components, reduction_options=options,
-        n_clusters=pipeline.n_clusters, max_k=pipeline.max_k, outlier_z=pipeline.outlier_z, min_cluster_size=pipeline.min_cluster_size, min_samples=pipeline.min_samples,
+        features(rows, keys, pipeline) if vectors is None else vectors, outer, bead, pipeline.clustering, reduction=pipeline.reduction, n_components=pipeline.n_components,
+        reduction_options=options, measured=True, n_clusters=pipeline.n_clusters, max_k=pipeline.max_k, seed=pipeline.seed, outlier_z=pipeline.outlier_z,
+        min_cluster_size=pipeline.min_cluster_size, min_samples=pipeline.min_samples, eps=pipeline.eps, linkage=pipeline.linkage, n_init=pipeline.n_init,
     )
 
 
@@ -97,19 +114,116 @@ def good_by_group(labelled: DataFrame, outer: list[str], y: str = "y") -> DataFr
     return labelled.join(best, outer, "left").withColumn("p", F.when(F.col("label") == F.col("__best"), 1).otherwise(0)).drop("__best")
 
 
-def evaluate(rows: DataFrame, truth: DataFrame, keys: list[str], pipelines: list[Pipeline]) -> DataFrame:
-    """(pipeline, outer keys, counts, accuracy, n_failed): every pipeline over every group in one plan."""
-    outer, out = keys[:-1], None
+def labelled(rows: DataFrame, keys: list[str], pipelines: list[Pipeline]) -> DataFrame:
+    """(pipeline, keys, label, error, silhouette) of every pipeline: each set of vectors is made and stored once, as are the labels."""
+    made: dict[tuple, DataFrame] = {}
+    out = None
     for p in pipelines:
-        labels = clustered(rows, keys, p)
-        joined = truth.join(labels, keys, "left")
-        scored = metrics.confusion(good_by_group(joined, outer), outer)
-        failed = labels.groupBy(*outer).agg(F.count("error").alias("n_failed"))
-        part = scored.join(failed, outer, "left").select(F.lit(p.name).alias("pipeline"), "*")
+        on_grid = (p.z_thresh, p.use_full_extension_range) if p.representation in curves.ON_COMMON_GRID else ()
+        form = ("common_grid" if on_grid else p.representation, p.n_grid, *on_grid)
+        if form not in made:
+            made[form] = materialized(features(rows, keys, p))
+        part = clustered(rows, keys, p, made[form]).select(F.lit(p.name).alias("pipeline"), "*")
         out = part if out is None else out.unionByName(part)
+    return materialized(out)
+
+
+def with_members(pipelines: list[Pipeline], known: dict[str, Pipeline] | None = None) -> tuple[list[Pipeline], dict[str, list[str]]]:
+    """The single pipelines that run, and the members of each ensemble; members are looked up among ``pipelines``, then ``known``."""
+    named = (known or {}) | {p.name: p for p in pipelines}
+    votes = {p.name: list(p.members) for p in pipelines if p.members}
+    unknown = {m for members in votes.values() for m in members if m not in named or named[m].members}
+    if unknown:
+        raise ValueError(f"ensemble of unknown pipelines: {sorted(unknown)}")
+    single = {p.name: p for p in pipelines if not p.members} | {m: named[m] for members in votes.values() for m in members}
+    return list(single.values()), votes
+
+
+def predicted(rows: DataFrame, truth: DataFrame, keys: list[str], pipelines: list[Pipeline], known: dict[str, Pipeline] | None = None) -> DataFrame:
+    """(pipeline, keys, y, label, p, error, silhouette) of every bead in ``truth`` under every pipeline.
+
+    Of an ensemble, ``p`` and ``label`` (0 good, 1 not) are its members' vote; a bead that a member left out is not good.
+    """
+    single, votes = with_members(pipelines, known)
+    labels = labelled(rows, keys, single)
+    spark = rows.sparkSession
+    names = spark.createDataFrame([(p.name,) for p in single], "pipeline string")
+    every = truth.crossJoin(F.broadcast(names)).join(labels, ["pipeline", *keys], "left")
+    told = materialized(good_by_group(every, ["pipeline", *keys[:-1]]).select("pipeline", *keys, "y", "label", "p", "error", "silhouette"))
+    asked = [p.name for p in pipelines if not p.members]
+    out = told.where(F.col("pipeline").isin(asked))
+    for name, members in votes.items():
+        voted = metrics.votes(told.where(F.col("pipeline").isin(members) & F.col("label").isNotNull() & F.col("error").isNull()), keys, len(members)).withColumnRenamed("vote", "p")
+        own = metrics.with_default(truth, voted, keys)
+        none = F.lit(None)
+        out = out.unionByName(own.select(F.lit(name).alias("pipeline"), *keys, "y", (1 - F.col("p")).cast("int").alias("label"), "p", none.cast("string").alias("error"), none.cast("double").alias("silhouette")))
     return out
 
 
+def evaluate(rows: DataFrame, truth: DataFrame, keys: list[str], pipelines: list[Pipeline], known: dict[str, Pipeline] | None = None) -> DataFrame:
+    """(pipeline, outer keys, counts, accuracy, n_failed): every pipeline and ensemble over every group; a group that failed has no accuracy."""
+    told, by = predicted(rows, truth, keys, pipelines, known), ["pipeline", *keys[:-1]]
+    failed = told.groupBy(*by).agg(F.count("error").alias("n_failed"))
+    scored = metrics.confusion(told, by).join(failed, by)
+    return scored.withColumn("accuracy", F.when(F.col("n_failed") == 0, F.col("accuracy")))
+
+
+#: Columns of a result row, in order.
+RESULT_COLUMNS = (
+    "path rel_path experiment_id source representation dim_reduction clustering accuracy ari nmi silhouette n_beads n_extensions n_clusters cluster_counts n_outliers "
+    "n_good_in_clustering n_bad_in_clustering tp tn fp fn chosen_cluster_size n_good_real n_bad_real n_coilable_real n_uncoilable_real n_bad_class_real error"
+).split()
+
+
+def extension_rows(told: DataFrame, by: list[str]) -> DataFrame:
+    """Scores of each group of ``told`` (by, y, label, p, error, silhouette); groups of one bead or an error have none."""
+    p, y = F.col("p"), F.col("y")
+    sizes = told.where("label is not null").groupBy(*by, "label").agg(F.count(F.lit(1)).alias("k"))
+    clusters = sizes.groupBy(*by).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("label") >= 0, F.struct("label", "k")))), lambda x: x["k"].cast("string")), ",").alias("cluster_counts"),
+        F.count_if(F.col("label") >= 0).alias("n_clusters"),
+        F.coalesce(F.sum(F.when(F.col("label") < 0, F.col("k"))), F.lit(0)).alias("n_outliers"),
+    )
+    counts = metrics.confusion(told, by).withColumnRenamed("n", "n_beads").drop("correct")
+    extra = told.groupBy(*by).agg(
+        F.count_if(p == 1).alias("chosen_cluster_size"), F.count_if(y == 1).alias("n_good_real"), F.count_if(y != 1).alias("n_bad_real"), F.max("silhouette").alias("silhouette"), F.max("error").alias("error")
+    )
+    out = counts.join(extra, by).join(metrics.agreement(told, group=by), by).join(clusters, by, "left")
+    scored = F.col("error").isNull() & (F.col("n_beads") >= 2)
+    for c in ("accuracy", "ari", "nmi", "tp", "tn", "fp", "fn", "chosen_cluster_size"):
+        out = out.withColumn(c, F.when(scored, F.col(c)))
+    return out.withColumn("n_good_in_clustering", F.when(scored, F.col("n_good_real"))).withColumn("n_bad_in_clustering", F.when(scored, F.col("n_bad_real")))
+
+
+def result_rows(told: DataFrame, experiment: list[str], extension: str, extension_index: int = -1) -> DataFrame:
+    """One row (pipeline, experiment, n_extensions, scores) of ``told`` (see ``predicted``) for each pipeline and experiment.
+
+    The extension of number ``extension_index`` (the last one beyond) gives the scores; a negative
+    number gives the means of accuracy, agreement and silhouette, the sum of beads and all else
+    of the first extension.
+    """
+    by = ["pipeline", *experiment]
+    rows = extension_rows(told, [*by, extension])
+    values = [c for c in rows.columns if c not in (*by, extension)]
+    packed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(extension).alias("at"), F.struct(*values).alias("row")))).alias("all"), *[F.avg(c).alias(f"mean_{c}") for c in ("accuracy", "ari", "nmi", "silhouette")], F.sum("n_beads").alias("sum_beads"))
+    at = F.lit(0) if extension_index < 0 else F.least(F.lit(extension_index), F.size("all") - 1)
+    picked = packed.withColumn("row", F.get("all", at)["row"]).withColumn("n_extensions", F.size("all").cast("long"))
+    if extension_index < 0:
+        mean = {c: F.col(f"mean_{c}") for c in ("accuracy", "ari", "nmi", "silhouette")} | {"n_beads": F.col("sum_beads")}
+        return picked.select(*by, "n_extensions", *[mean.get(c, F.col("row")[c]).alias(c) for c in values])
+    return picked.select(*by, "n_extensions", *[F.col("row")[c].alias(c) for c in values])
+
+
+def result_table(results: DataFrame, pipelines: list[Pipeline], experiments: DataFrame, experiment: list[str]) -> DataFrame:
+    """``result_rows`` with all of ``RESULT_COLUMNS``; ``experiments`` has the experiment's keys, path, rel_path, experiment_id and source."""
+    spark = results.sparkSession
+    told = spark.createDataFrame([(p.name, p.representation, p.reduction, p.clustering) for p in pipelines], "pipeline string, representation string, dim_reduction string, clustering string")
+    joined = results.join(F.broadcast(told), "pipeline").join(experiments, experiment)
+    none = F.lit(None).cast("long")
+    have = set(joined.columns)
+    return joined.select("pipeline", *[F.col(c) if c in have else none.alias(c) for c in RESULT_COLUMNS])
+
+
 def drawn(distributions: dict[str, list], n_iter: int = 20, seed: int = 42) -> list[dict]:
     """``n_iter`` seeded random combinations of options, one value of each."""
     rng = random.Random(seed)
@@ -132,12 +246,8 @@ def tuned(rows: DataFrame, truth: DataFrame, keys: list[str], bases: list[tuple[
 
 def ensemble(rows: DataFrame, truth: DataFrame, keys: list[str], members: list[Pipeline]) -> DataFrame:
     """(keys, y, p): the members' vote on each bead; beads that a member dropped get 0."""
-    votes = None
-    for p in members:
-        own = good_by_group(truth.join(clustered(rows, keys, p), keys), keys[:-1]).select(*keys, "p")
-        votes = own if votes is None else votes.unionByName(own)
-    voted = metrics.votes(votes, keys, len(members)).withColumnRenamed("vote", "p")
-    return metrics.with_default(truth, voted, keys)
+    whole = Pipeline("vote", members=tuple(p.name for p in members))
+    return predicted(rows, truth, keys, [whole], {p.name: p for p in members}).select(*keys, "y", "p")
 
 
 def score_rules(traces: DataFrame, truth: DataFrame, keys: list[str], experiment: list[str], **thresholds) -> DataFrame:

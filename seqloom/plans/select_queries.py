@@ -12,6 +12,11 @@ from seqloom.runtime import table
 from seqloom.sources import discovery, text
 
 
+def _draw(seed, *columns):
+    """``select.hashed`` as SQL."""
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(columns)}, '{seed}')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
 def _paths(s, d):
     """One path a customer: region/nation/customer, some of them test folders."""
     c = table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -188,8 +193,8 @@ FROM paths LEFT JOIN labels ON doc_id = c_custkey WHERE c_custkey % 13 <> 0""",
         "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE format('{:.3f}', s_acctbal) END AS text FROM supplier",
     ),
     "set_difference": (
-        lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("id")).subtract(table(s, d, "orders").select("o_custkey")),
-        "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders",
+        lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("id")).subtract(table(s, d, "orders").where("o_totalprice > 200000").select("o_custkey")),
+        "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 200000",
     ),
     "membership_filter": (
         lambda s, d: op.only(table(s, d, "orders").select("o_orderkey", "o_custkey"), table(s, d, "customer").where("c_acctbal > 5000").select("c_custkey"), "o_custkey").select("o_orderkey", "o_custkey"),
@@ -219,10 +224,26 @@ FROM paths LEFT JOIN labels ON doc_id = c_custkey WHERE c_custkey % 13 <> 0""",
         lambda s, d: table(s, d, "labels").groupBy("quality").pivot("toxic", [0, 1]).count().na.fill(0).select("quality", F.col("0").alias("predicted_0"), F.col("1").alias("predicted_1")),
         "SELECT quality, CAST(count_if(toxic = 0) AS BIGINT) AS predicted_0, CAST(count_if(toxic = 1) AS BIGINT) AS predicted_1 FROM labels GROUP BY 1",
     ),
-    "train_test_groups": (lambda s, d: op.split_groups(_paths(s, d).select("c_custkey", op.source_of(F.col("path")).alias("source")), "source"), None),
-    "stratified_split": (lambda s, d: op.stratified(table(s, d, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label")), "label", 0.25, "id"), None),
-    "capped_groups": (lambda s, d: op.capped(trace(s, d).select("exp_id", "bead").distinct(), ["exp_id"], 5, "exp_id", "bead"), None),
-    "bootstrap": (lambda s, d: op.bootstrapped(table(s, d, "labels"), 500, "doc_id"), None),
+    "train_test_groups": (
+        lambda s, d: op.split_groups(_paths(s, d).select("c_custkey", op.source_of(F.col("path")).alias("source")), "source"),
+        "WITH " + _PATHS + f""", p AS (SELECT c_custkey, split_part(path, '/', 1) AS source FROM paths), g AS (SELECT DISTINCT source FROM p),
+  r AS (SELECT source, row_number() OVER (ORDER BY {_draw(42, "source")}, source) AS k, count(*) OVER () AS n FROM g)
+SELECT p.source, c_custkey, CASE WHEN k <= greatest(1, least(CAST(round(0.8 * n) AS INT), greatest(n - 1, 1))) THEN 'train' ELSE 'test' END AS fold FROM p JOIN r USING (source)""",
+    ),
+    "stratified_split": (
+        lambda s, d: op.stratified(table(s, d, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label")), "label", 0.25, "id"),
+        f"""WITH r AS (SELECT doc_id AS id, toxic AS label, row_number() OVER (PARTITION BY toxic ORDER BY {_draw(42, "doc_id")}, doc_id) AS k, count(*) OVER (PARTITION BY toxic) AS n FROM labels)
+SELECT id, label, CASE WHEN k <= round(0.25 * n) THEN 'test' ELSE 'train' END AS fold FROM r""",
+    ),
+    "capped_groups": (
+        lambda s, d: op.capped(trace(s, d).select("exp_id", "bead").distinct(), ["exp_id"], 5, "exp_id", "bead"),
+        "WITH " + TRACE + f", b AS (SELECT DISTINCT exp_id, bead FROM trace) SELECT exp_id, bead FROM b QUALIFY row_number() OVER (PARTITION BY exp_id ORDER BY {_draw(42, 'exp_id', 'bead')}, exp_id, bead) <= 5",
+    ),
+    "bootstrap": (
+        lambda s, d: op.bootstrapped(table(s, d, "labels"), 500, "doc_id"),
+        f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM labels), d AS (SELECT range AS draw, CAST(floor({_draw(42, "range")} * (SELECT count(*) FROM labels)) AS BIGINT) AS i FROM range(500))
+SELECT draw, doc_id, quality, toxic FROM d JOIN r USING (i)""",
+    ),
     "clusters_kmeans": (_grouped("kmeans", max_k=4), None),
     "clusters_gmm": (_grouped("gmm", max_k=3, reduction="fpca", n_components=3), None),
     "clusters_hierarchical": (_grouped("hierarchical", max_k=4), None),
@@ -246,10 +267,25 @@ FROM paths LEFT JOIN labels ON doc_id = c_custkey WHERE c_custkey % 13 <> 0""",
     "global_kmeans": (lambda s, d: models.kmeans(_emb(s, d), 3).select("id", "label"), None),
     "global_mixture": (lambda s, d: models.mixture(models.pca(_emb(s, d), 3).select("id", F.col("scores").alias("v")), 2).select("id", "label"), None),
     "simulated_traces": (lambda s, d: rounded(generate.traces(s, 64, total=(5.0, 10.0)).select("id", "label", "bad_feature", F.size("z").alias("n"), F.element_at("t", -1).alias("t_end"))), None),
+    "split_traces": (lambda s, d: rounded(generate.traces_split(s, 200, total=(20.0, 30.0)).select("id", "label", "bad_feature", F.size("z").alias("n"), F.element_at("t", 1).alias("t0"))), None),
+    "usable_states": (
+        lambda s, d: rounded(s.createDataFrame([(x.name, x.weight) for x in generate.default_states()], "state string, weight double")),
+        "SELECT * FROM (VALUES ('pause_fast', 0.3::DOUBLE), ('pause_slow', 0.22), ('pause_power', 0.06), ('activity_up_fast', 0.16), ('activity_up_slow', 0.13), ('activity_up_medium', 0.1), ('jump_back', 0.015), ('jump_forward', 0.01), ('high_noise', 0.01)) t(state, weight)",
+    ),
     "augmented_traces": (lambda s, d: rounded(generate.augmented(tr.as_arrays(trace(s, d), ["bead"], "z").withColumnRenamed("bead", "id").withColumn("label", (F.col("id") % 2).cast("int"))).select("id", "label", "change", F.size("z").alias("n"))), None),
     "bootstrap_synthetic": (lambda s, d: generate.bootstrap(tr.as_arrays(trace(s, d), ["bead"], "z").withColumnRenamed("bead", "id").withColumn("label", F.lit(1)), 200).select("id", "source_id", "label", "change"), None),
-    "drawn_features": (lambda s, d: rounded(generate.drawn_features(s, 1000)), None),
-    "corrupted_lost_bead": (lambda s, d: rounded(generate.with_lost_bead(trace(s, d), ["bead"]).select("bead", "frame", "z")), None),
+    "drawn_features": (
+        lambda s, d: rounded(generate.drawn_features(s, 1000)),
+        f"""WITH f AS (SELECT range AS id, {", ".join(f"{lo}::DOUBLE + {hi - lo}::DOUBLE * {_draw(42 + k, 'range')} AS f{k}" for k, (lo, hi) in enumerate(generate.FEATURE_RANGES))} FROM range(1000)),
+m AS (SELECT median(f0) AS m0, median(f1) AS m1 FROM f), y AS (SELECT f.*, CASE WHEN f0 > m0 AND f1 > m1 THEN 1 ELSE 0 END AS y FROM f, m)
+SELECT id, round(f0, 6) AS f0, round(f1, 6) AS f1, round(f2, 6) AS f2, round(f3, 6) AS f3, CASE WHEN {_draw(51, "id")} < 0.1 THEN 1 - y ELSE y END AS label FROM y""",
+    ),
+    "corrupted_lost_bead": (
+        lambda s, d: rounded(generate.with_lost_bead(trace(s, d), ["bead"]).select("bead", "frame", "z")),
+        "WITH " + TRACE + f""", a AS (SELECT *, min(t) OVER w + 0.5::DOUBLE * (max(t) OVER w - min(t) OVER w) AS loss FROM trace WINDOW w AS (PARTITION BY bead)),
+b AS (SELECT *, min(CASE WHEN t < loss THEN z END) OVER w AS lo, max(CASE WHEN t < loss THEN z END) OVER w AS hi FROM a WINDOW w AS (PARTITION BY bead)), c AS (SELECT *, greatest(4.0::DOUBLE * (hi - lo), 2000.0::DOUBLE) AS margin FROM b)
+SELECT bead, frame, round(CASE WHEN t >= loss THEN lo - margin + (hi - lo + 2.0::DOUBLE * margin) * {_draw(42, "bead", "frame")} ELSE z END, 6) AS z FROM c""",
+    ),
     "corrupted_gaps": (
         lambda s, d: generate.with_gaps(trace(s, d), trace(s, d).where("frame % 10 = 0").select("bead", F.col("t").alias("g0"), (F.col("t") + 50000.0).alias("g1")), ["bead"]).groupBy("bead").agg(F.count_if(F.isnan("z")).alias("n")),
         "WITH " + TRACE + ", g AS (SELECT bead, t AS g0, t + 50000.0::DOUBLE AS g1 FROM trace WHERE frame % 10 = 0), h AS (SELECT DISTINCT t.bead, t.frame FROM trace t JOIN g ON g.bead = t.bead AND t.t >= g0 AND t.t < g1) SELECT bead, count(*) AS n FROM h GROUP BY bead",
@@ -258,7 +294,11 @@ FROM paths LEFT JOIN labels ON doc_id = c_custkey WHERE c_custkey % 13 <> 0""",
         lambda s, d: rounded(generate.with_drift(trace(s, d), ["bead"], 0.001).select("bead", "frame", "z"), digits=5),
         "WITH " + TRACE + " SELECT bead, frame, round(z + 0.001::DOUBLE * (t - min(t) OVER (PARTITION BY bead)), 5) AS z FROM trace",
     ),
-    "corrupted_noise": (lambda s, d: rounded(generate.with_noise(trace(s, d), ["bead"]).select("bead", "frame", "z")), None),
+    "corrupted_noise": (
+        lambda s, d: rounded(generate.with_noise(trace(s, d).withColumn("clean", F.floor("z").cast("double")), ["bead"]).select("bead", "frame", "z")),
+        "WITH " + TRACE + f""", n AS (SELECT *, stddev_pop(z - floor(z)) OVER (PARTITION BY bead) AS sd FROM trace)
+SELECT bead, frame, round(z + sqrt(-2.0::DOUBLE * ln(greatest({_draw(42, "bead", "frame")}, 1e-15::DOUBLE))) * cos(2.0::DOUBLE * pi() * {_draw(43, "bead", "frame")}) * sd * 2.0::DOUBLE, 6) AS z FROM n""",
+    ),
 }
 
 
@@ -273,16 +313,67 @@ def _jobs(s, d):
 
 def _evaluation(s, d):
     rows, truth, keys, jobs = _jobs(s, d)
-    chosen = [jobs.Pipeline("pct-kmeans", n_grid=21, max_k=3), jobs.Pipeline("force-fpca-gmm", "force_percentile_grid", "fpca", "gmm", n_components=2, n_grid=21, max_k=2), jobs.Pipeline("arc-lle-dbscan", "arc_length_percentile", "lle", "dbscan", n_components=2, n_grid=21, min_samples=3)]
+    chosen = [jobs.Pipeline("pct-kmeans", "percentile_grid", n_grid=21, max_k=3), jobs.Pipeline("force-fpca-gmm", "force_percentile_grid", "fpca", "gmm", n_components=2, n_grid=21, max_k=2), jobs.Pipeline("arc-lle-dbscan", "arc_length_percentile", "lle", "dbscan", n_components=2, n_grid=21, min_samples=3)]
     return rounded(jobs.evaluate(rows, truth, keys, chosen))
 
 
 def _ensemble(s, d):
     rows, truth, keys, jobs = _jobs(s, d)
-    members = [jobs.Pipeline("a", n_grid=21, n_clusters=2), jobs.Pipeline("b", "force_percentile_grid", n_grid=21, n_clusters=2), jobs.Pipeline("c", "percentile_grid_normalised", clustering="hierarchical", n_grid=21, n_clusters=2)]
+    members = [jobs.Pipeline("a", "percentile_grid", n_grid=21, n_clusters=2), jobs.Pipeline("b", "force_percentile_grid", n_grid=21, n_clusters=2), jobs.Pipeline("c", "percentile_grid_normalised", clustering="hierarchical", n_grid=21, n_clusters=2)]
     return jobs.ensemble(rows, truth, keys, members).select(*keys, "y", "p")
 
 
+def _told(s, d):
+    """Truth, cluster (some beads have none, some are outliers) and best-cluster prediction of beads in extensions of experiments."""
+    from seqloom.plans import jobs
+
+    v = table(s, d, "embeddings").select(
+        F.lit("given").alias("pipeline"), (F.col("vec_id") % 7).alias("exp_id"), (F.floor(F.col("vec_id") / 7) % 3).alias("ext"), F.col("vec_id").alias("bead"),
+        F.when(F.col("vec_id") % 5 < 2, 1).otherwise(0).alias("y"),
+        F.when(F.col("label") % 11 == 3, F.lit(None)).when(F.col("label") % 5 == 4, -1).otherwise((F.col("label") + F.when(F.col("vec_id") % 5 < 2, F.col("vec_id") % 2).otherwise(0)) % 3).cast("int").alias("label"),
+        F.lit(None).cast("string").alias("error"), F.lit(None).cast("double").alias("silhouette"),
+    )
+    return jobs.good_by_group(v, ["pipeline", "exp_id", "ext"]), jobs
+
+
+def _result_rows(index):
+    def query(s, d):
+        told, jobs = _told(s, d)
+        return rounded(jobs.result_rows(told, ["exp_id"], "ext", index).select("pipeline", "exp_id", "n_extensions", *[F.col(c) for c in RESULT_VALUES]))
+
+    return query
+
+
+RESULT_VALUES = "accuracy ari nmi n_beads n_clusters cluster_counts n_outliers n_good_in_clustering n_bad_in_clustering tp tn fp fn chosen_cluster_size n_good_real n_bad_real".split()
+
+
+def _result_sql(index):
+    pick = "CASE WHEN {i} < 0 THEN 1 ELSE least({i} + 1, n_extensions) END".format(i=index)
+    mean = ", ".join(f"round(avg({c}), 6) AS m_{c}" for c in ("accuracy", "ari", "nmi"))
+    chosen = ", ".join((f"round(m_{c}, 6)" if index < 0 else f"round(e.{c}, 6)") + f" AS {c}" for c in ("accuracy", "ari", "nmi"))
+    beads = "CAST(sum_beads AS BIGINT)" if index < 0 else "e.n_beads"
+    return f"""
+WITH v AS (SELECT vec_id % 7 AS exp_id, (vec_id // 7) % 3 AS ext, vec_id AS bead, CASE WHEN vec_id % 5 < 2 THEN 1 ELSE 0 END AS y,
+  CASE WHEN label % 11 = 3 THEN NULL WHEN label % 5 = 4 THEN -1 ELSE (label + CASE WHEN vec_id % 5 < 2 THEN vec_id % 2 ELSE 0 END) % 3 END AS label FROM embeddings),
+c AS (SELECT exp_id, ext, label, count(*) AS k, count_if(y = 1) - CAST(count_if(y <> 1) AS BIGINT) AS lead FROM v WHERE label IS NOT NULL GROUP BY 1, 2, 3),
+b AS (SELECT exp_id, ext, label AS best FROM c WHERE label >= 0 QUALIFY row_number() OVER (PARTITION BY exp_id, ext ORDER BY lead DESC, label) = 1),
+t AS (SELECT v.*, CASE WHEN v.label = b.best THEN 1 ELSE 0 END AS p FROM v LEFT JOIN b USING (exp_id, ext)),
+m AS (SELECT exp_id, ext, count(*) AS n_beads, CAST(count_if(y = 1 AND p = 1) AS BIGINT) AS tp, CAST(count_if(y <> 1 AND p <> 1) AS BIGINT) AS tn, CAST(count_if(y <> 1 AND p = 1) AS BIGINT) AS fp, CAST(count_if(y = 1 AND p <> 1) AS BIGINT) AS fn, count_if(y = p) / count(*)::DOUBLE AS accuracy,
+  CAST(count_if(p = 1) AS BIGINT) AS chosen_cluster_size, CAST(count_if(y = 1) AS BIGINT) AS n_good_real, CAST(count_if(y <> 1) AS BIGINT) AS n_bad_real FROM t GROUP BY 1, 2),
+q AS (SELECT *, n_beads::DOUBLE AS n, tp::DOUBLE AS a11, fn::DOUBLE AS a10, fp::DOUBLE AS a01, tn::DOUBLE AS a00 FROM m),
+r AS (SELECT *, a11 * (a11 - 1) / 2 + a10 * (a10 - 1) / 2 + a01 * (a01 - 1) / 2 + a00 * (a00 - 1) / 2 AS s,
+  (a11 + a10) * (a11 + a10 - 1) / 2 + (a01 + a00) * (a01 + a00 - 1) / 2 AS a, (a11 + a01) * (a11 + a01 - 1) / 2 + (a10 + a00) * (a10 + a00 - 1) / 2 AS b, n * (n - 1) / 2 AS t2,
+  -(CASE WHEN a11 + a10 > 0 THEN (a11 + a10) / n * ln((a11 + a10) / n) ELSE 0 END + CASE WHEN a01 + a00 > 0 THEN (a01 + a00) / n * ln((a01 + a00) / n) ELSE 0 END) AS hy,
+  -(CASE WHEN a11 + a01 > 0 THEN (a11 + a01) / n * ln((a11 + a01) / n) ELSE 0 END + CASE WHEN a10 + a00 > 0 THEN (a10 + a00) / n * ln((a10 + a00) / n) ELSE 0 END) AS hp,
+  -(CASE WHEN a11 > 0 THEN a11 / n * ln(a11 / n) ELSE 0 END + CASE WHEN a10 > 0 THEN a10 / n * ln(a10 / n) ELSE 0 END + CASE WHEN a01 > 0 THEN a01 / n * ln(a01 / n) ELSE 0 END + CASE WHEN a00 > 0 THEN a00 / n * ln(a00 / n) ELSE 0 END) AS hj FROM q),
+k AS (SELECT exp_id, ext, string_agg(CAST(k AS VARCHAR), ',' ORDER BY label) FILTER (WHERE label >= 0) AS cluster_counts, CAST(count_if(label >= 0) AS BIGINT) AS n_clusters, CAST(coalesce(sum(k) FILTER (WHERE label < 0), 0) AS BIGINT) AS n_outliers FROM c GROUP BY 1, 2),
+e AS (SELECT r.*, k.cluster_counts, k.n_clusters, k.n_outliers, CASE WHEN (a + b) / 2 = a * b / t2 THEN 1.0 ELSE (s - a * b / t2) / ((a + b) / 2 - a * b / t2) END AS ari,
+  CASE WHEN hy < 1e-15 AND hp < 1e-15 THEN 1.0 ELSE 2 * (hy + hp - hj) / (hy + hp) END AS nmi, row_number() OVER (PARTITION BY exp_id ORDER BY ext) AS i, count(*) OVER (PARTITION BY exp_id) AS n_extensions FROM r LEFT JOIN k USING (exp_id, ext)),
+w AS (SELECT exp_id, {mean}, sum(n_beads) AS sum_beads FROM e GROUP BY 1)
+SELECT 'given' AS pipeline, e.exp_id, n_extensions, {chosen}, {beads} AS n_beads, n_clusters, cluster_counts, n_outliers, n_good_real AS n_good_in_clustering, n_bad_real AS n_bad_in_clustering, tp, tn, fp, fn, chosen_cluster_size, n_good_real, n_bad_real
+FROM e JOIN w USING (exp_id) WHERE i = {pick}"""
+
+
 def _scored_rules(s, d):
     _, truth, keys, jobs = _jobs(s, d)
     return rounded(jobs.score_rules(trace(s, d), truth, keys, ["exp_id"], n_sigma=2.5, gap_len=3))
@@ -298,6 +389,8 @@ def _windows(s, d):
 QUERIES |= {
     "evaluated_pipelines": (_evaluation, None),
     "ensemble_pipelines": (_ensemble, None),
+    "result_rows": (_result_rows(-1), _result_sql(-1)),
+    "result_rows_of_extension": (_result_rows(1), _result_sql(1)),
     "scored_rules": (_scored_rules, None),
     "event_windows": (_windows, "SELECT strftime(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(max(value) - min(value), 6) AS ptp FROM events GROUP BY 1, 2"),
 }

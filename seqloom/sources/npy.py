@@ -1,13 +1,18 @@
 """Block files: a header record, then appended three-dimensional arrays, in the NPY format.
 
-The header must be a plain numeric array (the scale of each axis). Records of Python objects
-are refused: reading them would run code. Files are read whole by Spark (``binaryFile``), each
-by one task, which yields its blocks one after another.
+The header is a plain numeric array (the scale of each axis), or a pickled dictionary that
+holds it as ``axisScale``. Such a dictionary is never unpickled: its opcodes are read one by one
+into dictionaries, lists, texts, numbers and numeric arrays, and anything else is refused, so
+no code of a file can run. Blocks of Python objects are refused. Files are read whole by Spark
+(``binaryFile``), each by one task, which yields its blocks one after another; that reader's
+limit is 2 GB a file, beyond which ``read_blocks`` fails rather than leaves samples out.
 """
 
 from __future__ import annotations
 
 import ast
+import io
+import pickletools
 import struct
 from collections.abc import Iterator
 
@@ -23,18 +28,148 @@ class Truncated(ValueError):
     """The file ends inside a block."""
 
 
-def record(data: bytes, at: int) -> tuple[np.ndarray, int]:
-    """The array at byte ``at`` and the byte after it."""
+class _Named(tuple):
+    """A global's name, or what a call of it stands for; nothing is ever imported or called."""
+
+
+#: Names that arrays and their element types are stored under; those that make arrays and scalars.
+_ARRAY, _TYPE = ("numpy", "ndarray"), ("numpy", "dtype")
+_MAKERS = {(f"numpy.{core}.multiarray", name) for core in ("core", "_core") for name in ("_reconstruct", "scalar")}
+_CONSTANTS = {"NONE": None, "NEWTRUE": True, "NEWFALSE": False, "EMPTY_TUPLE": ()}
+_VALUES = {"INT", "BININT", "BININT1", "BININT2", "LONG", "LONG1", "LONG4", "FLOAT", "BINFLOAT", "UNICODE", "BINUNICODE", "SHORT_BINUNICODE", "BINUNICODE8", "BINBYTES", "SHORT_BINBYTES", "BINBYTES8", "BINSTRING", "SHORT_BINSTRING", "STRING"}
+
+
+class _Array(dict):
+    """An array that is being described: its shape, type and values."""
+
+
+def _numeric(x):
+    """Arrays and scalars from their descriptions, all through nested values."""
+    if isinstance(x, _Array):
+        if "values" not in x:
+            raise ValueError("an array without values")
+        shape, kind, fortran, raw = x["values"]
+        if kind.hasobject:
+            items = [_numeric(v) for v in raw]
+            return items[0] if shape == () else items
+        raw = raw.encode("latin-1") if isinstance(raw, str) else raw
+        return np.frombuffer(raw, kind).reshape(shape, order="F" if fortran else "C")
+    if isinstance(x, dict):
+        return {_numeric(k): _numeric(v) for k, v in x.items()}
+    if isinstance(x, list):
+        return [_numeric(v) for v in x]
+    return tuple(_numeric(v) for v in x) if type(x) is tuple else x
+
+
+def plain_value(stream: io.BytesIO):
+    """The value of a pickle that holds nothing but dictionaries, lists, texts, numbers and numeric arrays; else ``ValueError``."""
+    stack: list = []
+    marks: list[int] = []
+    memo: dict[int, object] = {}
+    refuse = lambda what: ValueError(f"refused in a header: {what}")
+
+    def since_mark() -> list:
+        at = marks.pop()
+        items = stack[at:]
+        del stack[at:]
+        return items
+
+    def pairs(items: list) -> dict:
+        return dict(zip(items[::2], items[1::2], strict=True))
+
+    def made(function, args):
+        if function in _MAKERS and function[1] == "_reconstruct" and args and args[0] == _ARRAY:
+            return _Array()
+        if function in _MAKERS and function[1] == "scalar" and len(args) == 2 and isinstance(args[0], np.dtype) and not args[0].hasobject:
+            return np.frombuffer(args[1].encode("latin-1") if isinstance(args[1], str) else args[1], args[0])[0].item()
+        if function == _TYPE and args and isinstance(args[0], str):
+            return np.dtype(args[0])
+        raise refuse(function)
+
+    for op, arg, _ in pickletools.genops(stream):
+        name = op.name
+        if name in ("PROTO", "FRAME"):
+            continue
+        if name == "STOP":
+            return _numeric(stack.pop())
+        if name in _VALUES:
+            stack.append(arg)
+        elif name in _CONSTANTS:
+            stack.append(_CONSTANTS[name])
+        elif name in ("MEMOIZE", "PUT", "BINPUT", "LONG_BINPUT"):
+            memo[len(memo) if arg is None else arg] = stack[-1]
+        elif name in ("GET", "BINGET", "LONG_BINGET"):
+            stack.append(memo[int(arg)])
+        elif name == "MARK":
+            marks.append(len(stack))
+        elif name in ("EMPTY_DICT", "EMPTY_LIST"):
+            stack.append({} if name == "EMPTY_DICT" else [])
+        elif name in ("DICT", "LIST", "TUPLE"):
+            items = since_mark()
+            stack.append(pairs(items) if name == "DICT" else items if name == "LIST" else tuple(items))
+        elif name in ("TUPLE1", "TUPLE2", "TUPLE3"):
+            n = int(name[-1])
+            stack[-n:] = [tuple(stack[-n:])]
+        elif name in ("APPEND", "APPENDS"):
+            items = [stack.pop()] if name == "APPEND" else since_mark()
+            stack[-1].extend(items)
+        elif name in ("SETITEM", "SETITEMS"):
+            items = since_mark() if name == "SETITEMS" else [stack.pop(-2), stack.pop()]
+            stack[-1].update(pairs(items))
+        elif name in ("GLOBAL", "STACK_GLOBAL"):
+            named = _Named(arg.split(" ", 1)) if name == "GLOBAL" else _Named([stack.pop(-2), stack.pop()])
+            if named not in _MAKERS and named not in (_ARRAY, _TYPE) and named != ("_codecs", "encode"):
+                raise refuse(named)
+            stack.append(named)
+        elif name == "REDUCE":
+            args, function = stack.pop(), stack.pop()
+            # older writers store bytes as text with its encoding
+            stack.append(args[0].encode("latin-1") if function == ("_codecs", "encode") and args[1:] == ("latin1",) else made(function, args))
+        elif name == "BUILD":
+            state, what = stack.pop(), stack[-1]
+            if isinstance(what, _Array) and isinstance(state, tuple) and len(state) == 5:
+                what["values"] = state[1:]
+            elif isinstance(what, np.dtype):
+                stack[-1] = what if state[1] == "|" else what.newbyteorder(state[1])
+                memo = {k: stack[-1] if v is what else v for k, v in memo.items()}
+            else:
+                raise refuse("a built object")
+        else:
+            raise refuse(name)
+    raise ValueError("the header ends early")
+
+
+def header(data: bytes) -> tuple[np.ndarray, int]:
+    """Axis scale and the byte after the first record."""
+    kind, _, start = _described(data, 0)
+    if not kind["descr"] or not np.dtype(kind["descr"]).hasobject:
+        return record(data, 0)
+    stream = io.BytesIO(data)
+    stream.seek(start)
+    found = plain_value(stream)
+    if isinstance(found, list) and len(found) == 1:
+        found = found[0]
+    if not isinstance(found, dict) or "axisScale" not in found:
+        raise ValueError("the header holds no axisScale")
+    return np.atleast_1d(np.asarray(found["axisScale"], float)), stream.tell()
+
+
+def _described(data: bytes, at: int) -> tuple[dict, int, int]:
+    """A record's description, format and the byte where its values begin."""
     if data[at : at + 6] != MAGIC:
         raise ValueError("not an NPY record")
     major = data[at + 6]
     size, start = (struct.unpack_from("<H", data, at + 8)[0], at + 10) if major == 1 else (struct.unpack_from("<I", data, at + 8)[0], at + 12)
-    head = ast.literal_eval(data[start : start + size].decode("latin-1").strip())
+    return ast.literal_eval(data[start : start + size].decode("latin-1").strip()), major, start + size
+
+
+def record(data: bytes, at: int) -> tuple[np.ndarray, int]:
+    """The array at byte ``at`` and the byte after it."""
+    head, _, begin = _described(data, at)
     dtype = np.dtype(head["descr"])
     if dtype.hasobject:
         raise ValueError("records of Python objects are refused; store numbers")
     count = int(np.prod(head["shape"], dtype=np.int64))
-    begin = start + size
     end = begin + count * dtype.itemsize
     if end > len(data):
         raise Truncated("the file ends inside a block")
@@ -44,7 +179,7 @@ def record(data: bytes, at: int) -> tuple[np.ndarray, int]:
 
 def blocks(data: bytes, permissive: bool = False) -> Iterator[np.ndarray]:
     """Scale, then every block. A cut-off last block ends a permissive read that has seen one block."""
-    scale, at = record(data, 0)
+    scale, at = header(data)
     yield np.atleast_1d(np.asarray(scale, float)).ravel()
     seen = 0
     while at < len(data):

@@ -208,6 +208,46 @@ def test_generation_depends_on_seed_only(spark):
     assert all((v[1] is None) == (v[0] == 1) for v in a.values())
 
 
+def test_corruptors_keep_to_their_ranges():
+    t = np.arange(4000) * 0.05
+    clean = np.cumsum(np.full(4000, 0.5))
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        z = clean + np.random.default_rng(seed + 100).normal(0, 10, 4000)
+        c, lost = generate.lost_bead(t, clean, z, rng)
+        k = int(np.isnan(c).argmax())
+        lo, hi = z[:k].min(), z[:k].max()
+        margin = max(4 * (hi - lo), 2000)
+        assert 0.2 <= t[k] / t[-1] <= 0.81 and (lost[:k] == z[:k]).all() and lost[k:].min() >= lo - margin and lost[k:].max() <= hi + margin and lost[k:].max() - lost[k:].min() > 1.5 * margin
+        c, gaps = generate.missing_regions(t, clean, z, rng, 2, (1.0, 8.0))
+        assert (np.isnan(c) == np.isnan(gaps)).all() and 1.0 <= np.isnan(gaps).sum() * 0.05 <= 16.2
+        _, noisy = generate.high_noise(t, clean, z, rng, 3.0)
+        assert abs((noisy - z).std() - 2 * (z - clean).std()) < 2
+        c, hidden = generate.unobservable_activity(t, clean, z, rng, 5.0, (0.5, 2.0))
+        rate = (c - clean)[1:] / t[1:]
+        assert np.allclose(rate, rate[0]) and 0.5 <= rate[0] <= 2.0 and abs((hidden - c).std() - 5 * (z - clean).std()) < 5
+        c, compact = generate.compaction_noise(t, clean, z, rng)
+        assert (c == clean).all() and (compact - c)[:800].std() > 2 * (compact - c)[-800:].std()
+        changed, kind = generate.spoiled(z, rng)
+        assert len(changed) == len(z) and kind in ("high_noise", "dropout", "spike", "lost_tail", "flat_region", "curved_drift")
+    assert [round(s.weight, 3) for s in generate.default_states()] == [0.3, 0.22, 0.06, 0.16, 0.13, 0.1, 0.015, 0.01, 0.01]
+    assert generate.spoiled(np.array([1.0, 2.0]), np.random.default_rng(0))[1] == "mild"
+
+
+def test_split_generation(spark):
+    rows = generate.traces_split(spark, 120, total=(20.0, 30.0)).collect()
+    assert sorted(r["id"] for r in rows) == list(range(120))
+    assert all(r["t"][0] == 0 and r["t"][-1] <= 0.25 + 1e-9 and len(r["t"]) == len(r["z"]) for r in rows)
+    assert 40 <= sum(r["label"] for r in rows) <= 80 and all((r["bad_feature"] is None) == (r["label"] == 1) for r in rows)
+
+
+def test_stratified_takes_exact_shares(spark):
+    df = spark.createDataFrame([(i, None if i % 10 == 9 else i % 2) for i in range(1000)], "id long, y int")
+    got = {(r["y"], r["fold"]): r["count"] for r in select.stratified(df, "y", 0.25, "id", bins=8).groupBy("y", "fold").count().collect()}
+    assert got == {(0, "test"): 125, (0, "train"): 375, (1, "test"): 100, (1, "train"): 300, (None, "test"): 25, (None, "train"): 75}
+    assert sorted(r["__i"] for r in select.numbered(df, "id").collect()) == list(range(1000))
+
+
 def test_splits_keep_groups_whole(spark):
     df = spark.createDataFrame([(i, f"g{i % 6}") for i in range(60)], "id long, g string")
     folds = select.split_groups(df, "g", 0.8).select("g", "fold").distinct().collect()

@@ -38,3 +38,50 @@ def test_tuner_runs_every_combination(spark):
     assert {r["pipeline"] for r in runs.collect()} == {"partitioned_kmeans#0", "partitioned_kmeans#1"}
     best = summary.first()
     assert best["n_ok"] == 2 and best["n_failed"] == 0 and best["max_score"] >= best["mean_score"] >= best["min_score"]
+
+
+def test_ensembles_vote_and_options_count(spark):
+    from seqloom.plans import jobs
+
+    rng = np.random.default_rng(5)
+    rows, truth = [], []
+    for e in range(2):
+        for b in range(10):
+            scale = 1.0 if b % 2 else 4.0
+            rows += [(e, b, k, float(x), float(scale * x * x + rng.normal(0, 0.01))) for k, x in enumerate(np.linspace(0, 1, 40))]
+            truth.append((e, b, b % 2))
+    curves = spark.createDataFrame(rows, "experiment int, bead int, frame int, x double, f double")
+    known = spark.createDataFrame(truth, "experiment int, bead int, y int")
+    keys = ["experiment", "bead"]
+    entries = [
+        {"name": "plain", "representation": "percentile_grid", "n_clusters": 2, "min_cluster_size": 1, "n_init": 20, "n_grid": 11},
+        {"name": "one", "representation": "percentile_grid", "n_clusters": 1, "min_cluster_size": 1, "outlier_z": None, "n_grid": 11},
+        {"name": "z", "representation": "common_grid_intersection", "n_clusters": 2, "z_thresh": 0.1, "n_grid": 11},
+        {"name": "vote", "ensemble_pipelines": ["plain", "one", "plain_too"]},
+        {"name": "plain_too", "representation": "force_percentile_grid", "n_clusters": 2, "min_cluster_size": 1, "n_grid": 11},
+    ]
+    pipelines = [jobs.pipeline_from(x) for x in entries]
+    assert pipelines[0].n_init == 20 and pipelines[2].z_thresh == 0.1 and not any(p.extra for p in pipelines)
+    got = {(r["pipeline"], r["experiment"]): r for r in jobs.evaluate(curves, known, keys, pipelines).collect()}
+    assert len(got) == 10 and got["plain", 0]["accuracy"] == 1.0 and got["one", 0]["accuracy"] == 0.5
+    # two of three members say good where the bead is good; where it isn't, only "one" may
+    assert got["vote", 0]["accuracy"] == got["vote", 1]["accuracy"] == 1.0
+    told = jobs.predicted(curves, known, keys, pipelines)
+    per = {r["pipeline"]: r for r in jobs.result_rows(told.withColumn("ext", F.lit(0)), ["experiment"], "ext").where("experiment = 0").collect()}
+    assert per["plain"]["ari"] == per["vote"]["nmi"] == 1.0 and per["plain"]["cluster_counts"] == "5,5" and per["plain"]["silhouette"] > 0.5 and per["vote"]["silhouette"] is None
+    names = spark.createDataFrame([(e, f"/d/{e}", f"{e}", f"x{e}", "s") for e in range(2)], "experiment int, path string, rel_path string, experiment_id string, source string")
+    table = jobs.result_table(jobs.result_rows(told.withColumn("ext", F.lit(0)), ["experiment"], "ext"), pipelines, names, ["experiment"])
+    assert table.columns == ["pipeline", *jobs.RESULT_COLUMNS] and len(jobs.RESULT_COLUMNS) == 29 and table.count() == 10
+    with pytest.raises(ValueError, match="odd"):
+        jobs.evaluate(curves, known, keys, [jobs.pipeline_from({"name": "x", "odd": 1})])
+    with pytest.raises(ValueError, match="nobody"):
+        jobs.evaluate(curves, known, keys, [jobs.pipeline_from({"name": "x", "ensemble_pipelines": ["nobody"]})])
+
+
+def test_a_failed_group_has_no_accuracy(spark):
+    from seqloom.plans import jobs
+
+    rows = spark.createDataFrame([(0, b, k, float(k), float(k * b)) for b in range(6) for k in range(9)], "experiment int, bead int, frame int, x double, f double")
+    truth = spark.createDataFrame([(0, b, b % 2) for b in range(6)], "experiment int, bead int, y int")
+    got = jobs.evaluate(rows, truth, ["experiment", "bead"], [jobs.Pipeline("bad", "percentile_grid", clustering="no_such", n_grid=5)]).first()
+    assert got["accuracy"] is None and got["n_failed"] > 0

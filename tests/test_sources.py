@@ -138,3 +138,37 @@ def test_stream_windows(spark, tmp_path):
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
     got = windows.run_to_end(windows.sessions(stream, "25 minutes"), "w_session", "complete")
     assert got.agg(F.sum("n")).first()[0] == 200
+
+
+@pytest.mark.parametrize("scale", [[1.0, 2.0, 3.0], (1, 2, 3), np.array([1.0, 2.0, 3.0]), np.array([1, 2, 3], ">i4"), [np.float64(1.0), 2.0, np.int32(3)]])
+@pytest.mark.parametrize("protocol", [2, 4])
+def test_dictionary_headers_are_read_without_unpickling(scale, protocol, tmp_path):
+    import io
+    import pickle
+
+    own = np.array({"axisScale": scale, "names": ["x", "y"], "nested": {"a": None, "b": True}}, dtype=object)
+    block = np.arange(24.0).reshape(2, 4, 3)
+    out = io.BytesIO()
+    np.save(out, own)
+    if protocol == 2:  # an older writer's record: the same header, another pickle
+        start = npy._described(out.getvalue(), 0)[2]
+        out = io.BytesIO(out.getvalue()[:start] + pickle.dumps(own, 2))
+        out.seek(0, 2)
+    np.save(out, block)
+    found = list(npy.blocks(out.getvalue()))
+    assert found[0].tolist() == [1.0, 2.0, 3.0] and (found[1] == block).all()
+
+
+def test_headers_that_would_run_code_are_refused():
+    import io
+    import os
+
+    class Bad:
+        def __reduce__(self):
+            return (os.system, ("true",))
+
+    for value in ({"axisScale": Bad()}, {"axisScale": [1.0], "f": print}, Bad(), {"no": 1}):
+        out = io.BytesIO()
+        np.save(out, np.array(value, dtype=object), allow_pickle=True)
+        with pytest.raises(ValueError):
+            list(npy.blocks(out.getvalue()))
