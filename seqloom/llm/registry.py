@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from seqloom.llm import decontaminate, flac, html_text, lm_score, mixing, near_dedup, secrets, token_shards, toxicity, url_filter
+from seqloom.llm import conversation_repair, decontaminate, flac, html_text, lm_score, mixing, near_dedup, secrets, token_shards, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op10_lm_score": lm_score.op10_lm_score,
+        "op12_conversation_repair": conversation_repair.op12_conversation_repair,
         "op1_token_shards": token_shards.op1_token_shards,
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_mix_sources": mixing.op3_mix_sources,
@@ -22,6 +23,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_conversation_repair": conversation_repair.OP12_SQL,
         "op3_mix_sources": mixing.OP3_SQL,
         "op4_benchmark_decontamination": decontaminate.OP4_SQL,
         "op5_minhash_near_dedup": near_dedup.OP5_SQL,
