@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from seqloom.llm import conversation_repair, decontaminate, flac, html_text, lm_score, mixing, near_dedup, secrets, token_shards, toxicity, url_filter
+from seqloom.llm import conversation_repair, decontaminate, flac, html_text, lm_score, mixing, near_dedup, quality_crf, secrets, token_shards, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op10_lm_score": lm_score.op10_lm_score,
+        "op11_quality_crf": quality_crf.op11_quality_crf,
         "op12_conversation_repair": conversation_repair.op12_conversation_repair,
         "op1_token_shards": token_shards.op1_token_shards,
         "op2_secret_scan": secrets.op2_secret_scan,
