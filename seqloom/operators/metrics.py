@@ -30,13 +30,18 @@ def confusion(df: DataFrame, group: list[str], y: str = "y", p: str = "p") -> Da
 
 def binary_metrics(df: DataFrame, group: list[str], y: str = "y", p: str = "p") -> DataFrame:
     """Accuracy, balanced accuracy, precision, recall, F1 and Matthews correlation; undefined ones are 0."""
-    c = confusion(df, group, y, p)
+    return scores_of_counts(confusion(df, group, y, p))
+
+
+def scores_of_counts(c: DataFrame) -> DataFrame:
+    """The metrics of ``binary_metrics`` from columns tp, tn, fp, fn and n."""
     tp, tn, fp, fn = (F.col(k).cast("double") for k in ("tp", "tn", "fp", "fn"))
     precision, recall, specificity = share(tp, tp + fp), share(tp, tp + fn), share(tn, tn + fp)
     balanced = F.when((tp + fn > 0) & (tn + fp > 0), (recall + specificity) / 2).when(tp + fn > 0, recall).otherwise(specificity)
     mcc = share(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)))
     return (
-        c.withColumn("balanced_accuracy", balanced)
+        c.withColumn("accuracy", share(tp + tn, F.col("n")))
+        .withColumn("balanced_accuracy", balanced)
         .withColumn("precision", precision)
         .withColumn("recall", recall)
         .withColumn("f1", share(2 * precision * recall, precision + recall))

@@ -19,6 +19,13 @@ def _ordered(keys: list[str], order: str = "frame"):
     return W.partitionBy(*keys).orderBy(order)
 
 
+def word_lengths(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, frame, z): the lengths of a text's words as a trace; words stand between ASCII blanks. Texts without words have no rows."""
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    lengths = F.transform(words, lambda w: F.length(w).cast("double"))
+    return docs.select(*keys, F.posexplode(lengths).alias("frame", "z"))
+
+
 def filled(df: DataFrame, keys: list[str], z: str = "z", inf_to_mean: bool = False, inf_in_mean: bool = False) -> DataFrame:
     """NaN to the trace's mean over finite samples (0 if none); infinities to 0 or to the mean.
 

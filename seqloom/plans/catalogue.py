@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seqloom.plans import align_queries, curve_queries, metric_queries, select_queries, trace_queries
+from seqloom.plans import align_queries, curve_queries, job_queries, metric_queries, select_queries, trace_queries
 
-MODULES = [trace_queries, align_queries, curve_queries, metric_queries, select_queries]
+MODULES = [trace_queries, align_queries, curve_queries, job_queries, metric_queries, select_queries, job_queries]
 
 
 def queries() -> dict:
