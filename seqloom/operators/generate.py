@@ -1,64 +1,24 @@
-"""Synthetic traces: a semi-Markov simulator, corruptors, augmentation and whole datasets.
+"""Synthetic traces on long rows: a semi-Markov generator, corruptions, augmentation and bootstrap.
 
-One row of parameters makes one trace, in Arrow batches; each has its own generator seeded by
-``seed + id``, so results don't depend on partitions. Corruptors that need no memory of the
-trace are expressions on long rows, with draws from hashes of keys and seed.
+Everything is a column expression over (keys, frame, t, z): what a trace draws is a hash of its
+keys and a seed, what a sample draws is a hash of keys and frame, so results depend neither on
+partitions nor on the order of evaluation, and keys may be of any type. Kinds of
+corruption are entries of two tables, each an expression of a trace's draws and statistics;
+the statistics come from windows over the keys, which one shuffle serves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.operators.select import hashed
-
-TRACE_SCHEMA = "id long, label int, bad_feature string, t array<double>, clean array<double>, z array<double>"
-
-
-@dataclass(frozen=True)
-class State:
-    """One kind of stretch: its name, weight, and what it draws (duration in seconds, values after a start level)."""
-
-    name: str
-    weight: float
-    draw: Callable[[np.random.Generator, float, float], tuple[np.ndarray, np.ndarray | None]]
-
-
-def pause(name: str, rates: tuple[float, float], weight: float, noise: tuple[float, float] | None = None) -> State:
-    """Level stretches of exponential duration, with extra noise if asked for."""
-
-    def draw(rng, level, dt):
-        n = max(1, int(rng.exponential(1.0 / rng.uniform(*rates)) / dt))
-        return np.full(n, level), rng.normal(0, rng.uniform(*noise), n) if noise else None
-
-    return State(name, weight, draw)
-
-
-def power_law_pause(name: str, alpha: float, least: float, most: float, weight: float) -> State:
-    def draw(rng, level, dt):
-        n = max(1, int(min(least * (1.0 + rng.pareto(alpha)), most) / dt))
-        return np.full(n, level), None
-
-    return State(name, weight, draw)
-
-
-def activity(name: str, slopes: tuple[float, float], durations: tuple[float, float], weight: float, direction: int = 1) -> State:
-    def draw(rng, level, dt):
-        n = max(1, int(rng.uniform(*durations) / dt))
-        return level + direction * rng.uniform(*slopes) * dt * np.arange(n), None
-
-    return State(name, weight, draw)
-
-
-def jump(name: str, sizes: tuple[float, float], weight: float, direction: int = -1) -> State:
-    return State(name, weight, lambda rng, level, dt: (np.array([level + direction * rng.uniform(*sizes)]), None))
-
+from seqloom.operators.select import bootstrapped, hashed
+from seqloom.operators.trace import filled
 
 #: The states of a usable trace. Rates are of exponential durations (per second), durations in seconds,
 #: slopes per second, jumps and noise in the trace's unit; the weights are normalised when a state is chosen.
@@ -75,263 +35,246 @@ USABLE_STATES = {
 }
 #: Kinds of corruption and their shares (which a choice normalises).
 BAD_FEATURES = {"lost_bead": 0.2, "missing_regions": 0.15, "high_noise": 0.2, "inconsistent_noise": 0.15, "unobservable_activity": 0.2, "multiple": 0.1}
-#: Kinds that "multiple" draws one or two of, and states that some traces leave out.
-TOGETHER, OPTIONAL = ("lost_bead", "high_noise", "inconsistent_noise", "unobservable_activity"), ("jump_back", "high_noise")
-
-
-def default_states() -> list[State]:
-    """The usual mix of a usable trace."""
-    makers = {"pause": pause, "power": power_law_pause, "activity": activity, "jump": jump}
-    return [makers[kind](name, weight=weight, **draws) for name, (kind, weight, draws) in USABLE_STATES.items()]
-
-
-def chosen_states(states: list[State], include: list[str] | None = None, exclude: list[str] | None = None) -> list[State]:
-    return [s for s in states if (include is None or s.name in include) and s.name not in (exclude or ())]
-
-
-def simulate(total: float, dt: float, states: list[State], noise: float | None, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Times, clean and noisy values up to ``total`` seconds. Noise of a noisy pause belongs to the clean values; the next state starts from the level below it."""
-    n = max(2, int(total / dt))
-    weights = np.array([s.weight for s in states])
-    parts, level, have = [], 0.0, 0
-    while have < n:
-        v, e = states[rng.choice(len(states), p=weights / weights.sum())].draw(rng, level, dt)
-        parts.append(v if e is None else v + e)
-        level, have = float(v[-1]), have + len(v)
-    clean = np.concatenate(parts)[:n]
-    return np.arange(n) * dt, clean, clean + (rng.normal(0, noise, n) if noise else 0.0)
-
-
-# corruptors: (times, clean, noisy, generator) to new (clean, noisy); what is lost is NaN in the clean values
-
-
-def lost_bead(t, clean, z, rng, at: float | None = None):
-    """From a time in the middle on, values are uniform over far more than the range before it."""
-    k = int(np.searchsorted(t, t[0] + rng.uniform(0.2, 0.8) * (t[-1] - t[0]) if at is None else at))
-    lo, hi = (np.nanmin(z[:k]), np.nanmax(z[:k])) if k else (0.0, 0.0)
-    margin = max(4.0 * (hi - lo), 2000.0)
-    lost = np.arange(len(t)) >= k
-    return np.where(lost, np.nan, clean), np.where(lost, rng.uniform(lo - margin, hi + margin, len(t)), z)
-
-
-def missing_regions(t, clean, z, rng, regions: int = 1, durations=(2.0, 10.0)):
-    gone, span = np.zeros(len(t), bool), t[-1] - t[0]
-    for _ in range(regions):
-        start = rng.uniform(t[0] + 0.1 * span, t[-1] - 0.1 * span)
-        gone |= (t >= start) & (t < min(start + rng.uniform(*durations), t[-1]))
-    return np.where(gone, np.nan, clean), np.where(gone, np.nan, z)
+#: Kinds that "multiple" takes one or two of.
+TOGETHER = ("lost_bead", "high_noise", "inconsistent_noise", "unobservable_activity")
+#: Ranges of the four drawn features.
+FEATURE_RANGES = ((0.1, 50.0), (0.01, 5.0), (0.01, 20.0), (0.01, 10.0))
+_NAN = float("nan")
 
 
-def high_noise(t, clean, z, rng, multiplier: float = 3.0):
-    """Noise of (multiplier - 1) times that already there (noisy less clean) is added."""
-    return clean, z + rng.normal(0, np.nanstd(z - clean) * (multiplier - 1.0), len(z))
+def gaussian(*columns: str, seed: int = 42) -> Column:
+    """A normal draw that depends on the row's columns and a seed only."""
+    u = F.greatest(hashed(*columns, seed=seed), F.lit(1e-15))
+    return F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * np.pi * hashed(*columns, seed=seed + 1))
 
 
-def inconsistent_noise(t, clean, z, rng, transitions: int = 2, levels=(5.0, 50.0), durations=(0.5, 2.0)):
-    """The noise is drawn anew, at its own level but for short stretches in which it moves to another one."""
-    profile, span = np.full(len(t), np.nanstd(z - clean)), t[-1] - t[0]
-    for _ in range(transitions):
-        start = rng.uniform(t[0] + 0.1 * span, t[-1] - 0.1 * span)
-        inside = np.flatnonzero((t >= start) & (t < min(start + rng.uniform(*durations), t[-1])))
-        to = rng.uniform(*levels)
-        if len(inside):
-            profile[inside] = np.linspace(profile[inside[0]], to, len(inside)) if len(inside) > 1 else to
-    return clean, clean + rng.normal(0, 1, len(t)) * profile
+class Draws:
+    """Draws of a trace, by number: uniform ones of the trace, uniform and normal ones of a sample."""
 
+    def __init__(self, keys: list[str], seed: int) -> None:
+        self.keys, self.seed = keys, seed
 
-def compaction_noise(t, clean, z, rng, levels=(20.0, 5.0)):
-    """The noise is drawn anew and falls along the trace from the greater level to the lesser, a tenth of the way unsteadily."""
-    low, high = min(levels), max(levels)
-    profile = np.clip(np.linspace(high, low, len(t)) + rng.normal(0, 0.1 * (high - low), len(t)), low, high)
-    return clean, clean + rng.normal(0, 1, len(t)) * profile
+    def trace(self, k: int, lo: float = 0.0, hi: float = 1.0) -> Column:
+        return F.lit(lo) + F.lit(hi - lo) * hashed(*self.keys, seed=self.seed + k)
 
+    def sample(self, k: int) -> Column:
+        return hashed(*self.keys, "frame", seed=self.seed + k)
 
-def unobservable_activity(t, clean, z, rng, multiplier: float = 5.0, drift=(0.5, 2.0)):
-    """A drift, under noise of ``multiplier`` times that already there."""
-    drifted = clean + rng.uniform(*drift) * (t - t[0])
-    return drifted, drifted + rng.normal(0, np.nanstd(z - clean) * multiplier, len(z))
+    def normal(self, k: int) -> Column:
+        return gaussian(*self.keys, "frame", seed=self.seed + k)
 
 
-def corrupted(kind: str, t, clean, z, rng, gaps=(1.0, 8.0)):
-    """One kind of ``BAD_FEATURES`` with its parameters drawn; ``gaps`` are the durations of missing regions."""
-    if kind == "multiple":
-        for one in rng.choice(TOGETHER, rng.integers(1, 3), replace=False):
-            options = {"high_noise": {"multiplier": rng.uniform(2.5, 4.0)}, "inconsistent_noise": {"transitions": rng.integers(2, 4)}, "unobservable_activity": {"multiplier": rng.uniform(4.0, 6.0)}}
-            clean, z = _CORRUPTORS[str(one)](t, clean, z, rng, **options.get(str(one), {}))
-        return clean, z
-    drift = rng.uniform(0.3, 2.5)
-    options = {
-        "missing_regions": {"regions": rng.integers(1, 4), "durations": gaps},
-        "high_noise": {"multiplier": rng.uniform(2.5, 5.0)},
-        "inconsistent_noise": {"transitions": rng.integers(2, 5)},
-        "unobservable_activity": {"multiplier": rng.uniform(4.0, 7.0), "drift": (drift, drift + 0.5)},
-    }
-    return _CORRUPTORS[kind](t, clean, z, rng, **options.get(kind, {}))
+def chosen(draw: Column, shares: dict[str, float]) -> Column:
+    """The name whose part of 0..1 holds a draw; parts are in the order of the names."""
+    total, below, out = sum(shares.values()), 0.0, None
+    for name, share in list(shares.items())[:-1]:
+        below += share / total
+        out = F.when(draw < below, name) if out is None else out.when(draw < below, name)
+    last = list(shares)[-1]
+    return F.lit(last) if out is None else out.otherwise(last)
 
 
-_CORRUPTORS = {"lost_bead": lost_bead, "missing_regions": missing_regions, "high_noise": high_noise, "inconsistent_noise": inconsistent_noise, "unobservable_activity": unobservable_activity, "compaction": compaction_noise}
+def usable_weights(include: list[str] | None = None, exclude: list[str] | None = None) -> dict[str, float]:
+    """States that may be drawn, with their weights."""
+    return {name: weight for name, (_, weight, _) in USABLE_STATES.items() if (include is None or name in include) and name not in (exclude or ())}
 
 
-def _drawn_kind(rng) -> str:
-    shares = np.array(list(BAD_FEATURES.values()))
-    return str(rng.choice(list(BAD_FEATURES), p=shares / shares.sum()))
+def _parameter(name: str, index: int | None = None) -> Column:
+    """A parameter of the row's state, or one end of its range; null where the state has none."""
+    values = {state: p[name] for state, (_, _, p) in USABLE_STATES.items() if name in p}
+    pairs = [(F.lit(state), F.lit(float(v if index is None else v[index]))) for state, v in values.items()]
+    return F.element_at(F.create_map(*[x for pair in pairs for x in pair]), F.col("state"))
 
 
-def _usable(rng, total, dt, noise) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A usable trace; three in ten may leave out one optional state."""
-    out = [str(s) for s in rng.choice(OPTIONAL, rng.integers(0, 2), replace=False)] if rng.random() < 0.3 else []
-    return simulate(rng.uniform(*total), rng.uniform(*dt), chosen_states(default_states(), exclude=out), rng.uniform(*noise), rng)
+def stretches(rows: DataFrame, keys: list[str], order: str, dt: float, weights: dict[str, float] | None = None, seed: int = 42) -> DataFrame:
+    """(keys, order, state, samples, at, level, rise, step, own): each row is one stretch of its trace.
 
+    ``at`` counts the samples before it and ``level`` is where it starts: the sum of what the
+    stretches before it rose. ``rise`` is by sample, ``step`` at once, ``own`` the noise of a noisy pause.
+    """
+    one = [*keys, order]
+    u = [hashed(*one, seed=seed + k) for k in range(3)]
+    within = lambda name, draw: _parameter(name, 0) + (_parameter(name, 1) - _parameter(name, 0)) * draw
+    drawn = rows.select(*one).withColumn("state", chosen(u[0], weights or usable_weights()))
+    power = F.least(_parameter("least") * F.pow(1.0 - u[1], -1.0 / _parameter("alpha")), _parameter("most"))
+    seconds = F.coalesce(-F.log(1.0 - u[1]) / within("rates", u[2]), power, within("durations", u[1]), F.lit(0.0))
+    sized = drawn.select(
+        *one,
+        "state",
+        F.greatest(F.lit(1), F.floor(seconds / dt)).cast("long").alias("samples"),
+        F.coalesce(_parameter("direction") * within("slopes", u[2]) * dt, F.lit(0.0)).alias("rise"),
+        F.coalesce(_parameter("direction") * within("sizes", u[2]), F.lit(0.0)).alias("step"),
+        F.coalesce(within("noise", u[1]), F.lit(0.0)).alias("own"),
+    )
+    before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    change = F.col("step") + F.col("rise") * (F.col("samples") - 1)
+    return sized.withColumn("at", F.coalesce(F.sum("samples").over(before), F.lit(0))).withColumn("level", F.coalesce(F.sum(change).over(before), F.lit(0.0)))
+
+
+def simulated(rows: DataFrame, keys: list[str], order: str, dt: float = 0.05, noise: float = 10.0, weights: dict[str, float] | None = None, seed: int = 42) -> DataFrame:
+    """(keys, frame, t, clean, z): traces whose stretches are the rows; noise of a noisy pause belongs to the clean values."""
+    one = stretches(rows, keys, order, dt, weights, seed)
+    long = one.select(*keys, "at", "level", "rise", "step", "own", F.explode(F.sequence(F.lit(0), F.col("samples") - 1)).alias("i")).withColumn("frame", F.col("at") + F.col("i"))
+    draw = Draws(keys, seed)
+    clean = F.col("level") + F.col("step") + F.col("rise") * F.col("i") + F.col("own") * draw.normal(10)
+    out = long.withColumn("clean", clean).select(*keys, "frame", (F.col("frame") * dt).alias("t"), "clean")
+    return out.withColumn("z", F.col("clean") + noise * draw.normal(20))
+
+
+# corruptions of (keys, frame, t, clean, z): draws and seconds of gaps to new (clean, z); lost samples are NaN in both or in the clean values
+
+
+def _lost_bead(d: Draws, gaps: tuple[float, float]) -> tuple[Column, Column]:
+    wide = F.greatest(4.0 * (F.col("__hi") - F.col("__lo")), F.lit(2000.0))
+    anywhere = F.col("__lo") - wide + (F.col("__hi") - F.col("__lo") + 2.0 * wide) * d.sample(1)
+    lost = F.col("t") >= F.col("__loss")
+    return F.when(lost, _NAN).otherwise(F.col("clean")), F.when(lost, anywhere).otherwise(F.col("z"))
+
+
+def _starting(d: Draws, k: int, seconds: tuple[float, float]) -> tuple[Column, Column]:
+    """Begin and length of a stretch of time that starts in the middle eight tenths of a trace."""
+    return F.col("__t0") + F.col("__span") * d.trace(k, 0.1, 0.9), d.trace(k + 1, *seconds)
+
+
+def _missing_regions(d: Draws, gaps: tuple[float, float]) -> tuple[Column, Column]:
+    count, gone = F.floor(d.trace(2, 1.0, 4.0)), F.lit(False)
+    for k in range(3):
+        begin, length = _starting(d, 30 + 2 * k, gaps)
+        gone = gone | ((F.lit(k) < count) & (F.col("t") >= begin) & (F.col("t") < begin + length))
+    return F.when(gone, _NAN).otherwise(F.col("clean")), F.when(gone, _NAN).otherwise(F.col("z"))
+
+
+def _high_noise(d: Draws, gaps: tuple[float, float]) -> tuple[Column, Column]:
+    return F.col("clean"), F.col("z") + d.normal(3) * F.col("__own") * (d.trace(5, 2.5, 5.0) - 1.0)
+
+
+def _inconsistent_noise(d: Draws, gaps: tuple[float, float]) -> tuple[Column, Column]:
+    level, count = F.col("__own"), F.floor(d.trace(6, 2.0, 5.0))
+    for k in range(4):
+        begin, length = _starting(d, 40 + 3 * k, (0.5, 2.0))
+        way = (F.col("t") - begin) / length
+        level = F.when((F.lit(k) < count) & (way >= 0) & (way < 1), F.col("__own") + (d.trace(42 + 3 * k, 5.0, 50.0) - F.col("__own")) * way).otherwise(level)
+    return F.col("clean"), F.col("clean") + d.normal(7) * level
+
+
+def _unobservable_activity(d: Draws, gaps: tuple[float, float]) -> tuple[Column, Column]:
+    drifted = F.col("clean") + (d.trace(9, 0.3, 2.5) + d.trace(10, 0.0, 0.5)) * (F.col("t") - F.col("__t0"))
+    return drifted, drifted + d.normal(11) * F.col("__own") * d.trace(13, 4.0, 7.0)
+
+
+CORRUPTIONS: dict[str, Callable[[Draws, tuple[float, float]], tuple[Column, Column]]] = {
+    "lost_bead": _lost_bead,
+    "missing_regions": _missing_regions,
+    "high_noise": _high_noise,
+    "inconsistent_noise": _inconsistent_noise,
+    "unobservable_activity": _unobservable_activity,
+}
 
-def one_trace(seed: int, usable: bool, total=(100.0, 300.0), dt=(0.01, 0.05), noise=(5.0, 20.0)) -> tuple[int, str | None, np.ndarray, np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    t, clean, z = _usable(rng, total, dt, noise)
-    if usable:
-        return 1, None, t, clean, z
-    kind = _drawn_kind(rng)
-    return 0, kind, t, *corrupted(kind, t, clean, z, rng)
-
-
-def split_traces(seed: int, duration: float, usable_ratio: float = 0.5, total=(100.0, 300.0), dt=(0.01, 0.05), noise=(5.0, 20.0)) -> list[tuple]:
-    """A long usable trace in pieces of ``duration`` seconds, each from time 0, a share of which is corrupted."""
-    rng = np.random.default_rng(seed)
-    t, clean, z = _usable(rng, total, dt, noise)
-    if t[-1] - t[0] < duration:
-        pieces = [(t, clean, z)]
-    else:
-        edges = np.searchsorted(t, np.append(np.arange(t[0], t[-1], duration), t[-1]))
-        pieces = [(t[a:b] - t[a], clean[a:b], z[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > 1]
-    bad = set(rng.choice(len(pieces), int(len(pieces) * (1 - usable_ratio)), replace=False).tolist())
-    out = []
-    for k, (own, c, v) in enumerate(pieces):
-        kind = _drawn_kind(rng) if k in bad else None
-        if kind:
-            c, v = corrupted(kind, own, c, v, rng, gaps=(0.1, 0.5))
-        out.append((0 if kind else 1, kind, own, c, v))
-    return out
 
+def corrupted(df: DataFrame, keys: list[str], kind: str = "kind", gaps: tuple[float, float] = (1.0, 8.0), seed: int = 42) -> DataFrame:
+    """Long rows, each trace corrupted in the way its column ``kind`` names (null or unknown: left alone)."""
+    whole, d = W.partitionBy(*keys), Draws(keys, seed)
+    stats = df.withColumns({"__t0": F.min("t").over(whole), "__span": F.max("t").over(whole) - F.min("t").over(whole), "__own": F.stddev_pop(F.when(~F.isnan("clean") & ~F.isnan("z"), F.col("z") - F.col("clean"))).over(whole)})
+    stats = stats.withColumn("__loss", F.col("__t0") + F.col("__span") * d.trace(0, 0.2, 0.8))
+    before = F.when((F.col("t") < F.col("__loss")) & ~F.isnan("z"), F.col("z"))
+    stats = stats.withColumns({"__lo": F.coalesce(F.min(before).over(whole), F.lit(0.0)), "__hi": F.coalesce(F.max(before).over(whole), F.lit(0.0)), "__own": F.coalesce("__own", F.lit(0.0))})
+    made = {name: make(d, gaps) for name, make in CORRUPTIONS.items()}
+    pick = lambda side: reduce(lambda out, name: F.when(F.col(kind) == name, made[name][side]).otherwise(out), made, F.col(("clean", "z")[side]))
+    return stats.withColumn("__new", F.struct(pick(0).alias("clean"), pick(1).alias("z"))).select(*[F.col(f"__new.{c}").alias(c) if c in ("clean", "z") else F.col(c) for c in df.columns])
 
-def traces(spark: SparkSession, n: int, usable_ratio: float = 0.5, seed: int = 42, total=(100.0, 300.0), dt=(0.01, 0.05), noise=(5.0, 20.0), partitions: int | None = None) -> DataFrame:
-    """n simulated traces, the first share of them usable, the rest corrupted."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 64):
-                ids = pdf["id"].iloc[at : at + 64].tolist()
-                made = [one_trace(seed + i, i < usable_ratio * n, total, dt, noise) for i in ids]
-                yield pd.DataFrame({"id": ids, "label": [m[0] for m in made], "bad_feature": [m[1] for m in made], "t": [m[2] for m in made], "clean": [m[3] for m in made], "z": [m[4] for m in made]})
+def corrupted_share(df: DataFrame, keys: list[str], group: list[str], usable_ratio: float = 0.5, gaps: tuple[float, float] = (1.0, 8.0), seed: int = 42) -> DataFrame:
+    """Long rows with ``label`` and ``bad_feature``: of each group's traces the share that isn't usable (rounded down) is corrupted.
 
-    return spark.range(0, n, 1, partitions or max(1, min(n // 64, 2000))).mapInPandas(run, TRACE_SCHEMA)
-
-
-def traces_split(spark: SparkSession, n: int, usable_ratio: float = 0.5, seed: int = 42, total=(100.0, 300.0), dt=(0.01, 0.05), noise=(5.0, 20.0), duration: float | None = None, partitions: int | None = None) -> DataFrame:
-    """n pieces of long simulated traces (a hundred to an average one unless ``duration`` is given), a share of each corrupted.
-
-    Of more pieces than asked for, those with the least hashes stay; ids number them without gaps.
+    Those with the least hashes are; "multiple" takes one or two kinds, one after the other.
     """
-    average = (total[0] + total[1]) / 2
-    duration = duration or average / 100.0
-    long = max(1, -(-n // max(1, int(average / duration))))
-    schema = TRACE_SCHEMA.replace("id long", "long_id long, piece long")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in pdf["id"].tolist():
-                made = split_traces(seed + i, duration, usable_ratio, total, dt, noise)
-                yield pd.DataFrame({"long_id": i, "piece": range(len(made)), "label": [m[0] for m in made], "bad_feature": [m[1] for m in made], "t": [m[2] for m in made], "clean": [m[3] for m in made], "z": [m[4] for m in made]})
-
-    pieces = spark.range(0, long, 1, partitions or max(1, min(long, 2000))).mapInPandas(run, schema)
-    names = pieces.select("long_id", "piece").orderBy(hashed("long_id", "piece", seed=seed), "long_id", "piece").limit(n)
-    numbered = names.withColumn("id", F.row_number().over(W.orderBy("long_id", "piece")) - 1)
-    return pieces.join(F.broadcast(numbered), ["long_id", "piece"]).select(F.col("id").cast("long").alias("id"), "label", "bad_feature", "t", "clean", "z")
-
-
-def mild(z: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Gain and centre within a tenth, noise of a twentieth to a quarter of the steps' deviation, and a drift of up to a twentieth of the trace's."""
-    centre = np.median(z)
-    z = z * rng.uniform(0.9, 1.1) + centre * (1.0 - rng.uniform(0.9, 1.1))
-    steps = np.std(np.diff(z)) if len(z) > 1 else np.std(z)
-    if not steps > 0:
-        steps = max(0.02 * np.std(z), 1e-6)
-    z = z + rng.normal(0, steps * rng.uniform(0.05, 0.25), len(z))
-    return z + np.linspace(0.0, np.std(z) * rng.uniform(-0.05, 0.05), len(z))
-
-
-def _stretch(rng, n: int, starts: tuple[int, int], lengths: tuple[int, int]) -> slice:
-    a = int(rng.integers(starts[0], max(starts[0] + 1, starts[1])))
-    return slice(a, min(n, a + int(rng.integers(max(2, lengths[0]), max(3, lengths[1])))))
-
-
-def spoiled(z: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, str]:
-    """A mildly changed trace, spoiled in one of six ways; traces below four samples are changed mildly only."""
-    z, n = mild(z, rng), len(z)
-    if n < 4:
-        return z, "mild"
-    kind = str(rng.choice(["high_noise", "dropout", "spike", "lost_tail", "flat_region", "curved_drift"]))
-    s = np.std(z)
-    if not s > 0:
-        s = max(np.median(np.abs(np.diff(z))), 1e-6)
-    if kind == "high_noise":
-        at = _stretch(rng, n, (0, n // 2), (n // 20, n // 3))
-        z[at] += rng.normal(0, s * rng.uniform(1.5, 5.0), len(z[at]))
-    elif kind == "dropout":
-        at = _stretch(rng, n, (0, n - 2), (n // 50, n // 8))
-        z[at] = z[at.start - 1] if at.start else np.median(z)
-    elif kind == "spike":
-        at = rng.choice(n, int(rng.integers(1, max(2, n // 100))), replace=False)
-        z[at] += rng.choice([-1.0, 1.0], len(at)) * s * rng.uniform(5.0, 20.0)
-    elif kind == "lost_tail":
-        at = int(rng.integers(max(1, n // 4), max(2, n - 1)))
-        z[at:] = rng.uniform(z.min() - s * rng.uniform(3.0, 8.0), z.max() + s * rng.uniform(3.0, 8.0), n - at)
-    elif kind == "flat_region":
-        at = _stretch(rng, n, (0, n // 2), (n // 10, n // 2))
-        z[at] = np.median(z[at])
-    else:
-        x = np.linspace(-1.0, 1.0, n) ** 2
-        z = z + (x - x.mean()) * s * rng.uniform(0.5, 2.0)
-    return z, kind
-
-
-def augmented(df: DataFrame, seed: int = 42, corrupt_share: float = 0.35) -> DataFrame:
-    """Rows (id, label, z) changed mildly, and a share of all of them spoiled (label 0): adds ``change``. Gaps are filled with the finite mean first."""
-    fields = [f for f in df.schema.fields if f.name not in ("z", "label")]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + "label int, z array<double>, change string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            label, out, how = [], [], []
-            for i, y, z in zip(pdf["id"], pdf["label"], pdf["z"], strict=True):
-                rng, z = np.random.default_rng(seed + int(i)), np.array(z, float)
-                finite = np.isfinite(z)
-                z = np.where(finite, z, z[finite].mean() if finite.any() else 0.0)
-                spoil = rng.random() < corrupt_share
-                new, kind = (z, "mild") if not len(z) else spoiled(z, rng) if spoil else (mild(z, rng), "mild")
-                label.append(0 if spoil else int(y))
-                out.append(new)
-                how.append(kind)
-            yield pdf[[f.name for f in fields]].assign(label=np.array(label, "int32"), z=out, change=how)
-
-    return df.mapInPandas(run, schema)
-
-
-def bootstrap(df: DataFrame, n: int, seed: int = 42, corrupt_share: float = 0.35) -> DataFrame:
-    """n traces drawn with replacement from ``df`` (id, label, z) and changed; ``source_id`` and ``source_label`` keep the lineage."""
-    from seqloom.operators.select import bootstrapped
-
-    drawn = bootstrapped(df, n, "id", seed).withColumnRenamed("id", "source_id").withColumnRenamed("draw", "id").withColumn("source_label", F.col("label"))
-    return augmented(drawn, seed, corrupt_share)
-
+    names = df.select(*keys).distinct()
+    ranked = names.withColumn("__k", F.row_number().over(W.partitionBy(*group).orderBy(hashed(*keys, seed=seed + 90), *keys))).withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*group)))
+    bad = F.col("__k") <= F.floor(F.col("__n") * F.lit(1.0 - usable_ratio))
+    marked = ranked.select(*keys, F.when(bad, 0).otherwise(1).alias("label"), F.when(bad, chosen(hashed(*keys, seed=seed + 91), BAD_FEATURES)).alias("bad_feature"))
+    even = dict.fromkeys(TOGETHER, 1.0)
+    first, second = chosen(hashed(*keys, seed=seed + 92), even), chosen(hashed(*keys, seed=seed + 93), even)
+    multiple = F.col("bad_feature") == "multiple"
+    marked = marked.withColumn("__first", F.when(multiple, first).otherwise(F.col("bad_feature"))).withColumn("__second", F.when(multiple & (hashed(*keys, seed=seed + 94) < 0.5) & (first != second), second))
+    joined = df.join(marked, keys)
+    return corrupted(corrupted(joined, keys, "__first", gaps, seed), keys, "__second", gaps, seed + 1000).drop("__first", "__second")
+
+
+def pieces(df: DataFrame, keys: list[str], duration: float) -> DataFrame:
+    """Long rows cut into pieces of ``duration`` seconds: adds ``piece``; times start from 0 in each. Pieces of one sample go."""
+    start = F.min("t").over(W.partitionBy(*keys))
+    cut = df.withColumn("__t0", start).withColumn("piece", F.floor((F.col("t") - F.col("__t0")) / duration).cast("long")).drop("__t0")
+    own = W.partitionBy(*keys, "piece")
+    return cut.withColumn("__n", F.count(F.lit(1)).over(own)).withColumn("t", F.col("t") - F.min("t").over(own)).where("__n > 1").drop("__n")
+
+
+# augmentation of (keys, label, frame, z)
+
+
+def _within(d: Draws, k: int, starts: tuple[float, float], lengths: tuple[float, float]) -> tuple[Column, Column]:
+    """First frame and end of a stretch, from shares of a trace's samples; two samples at least."""
+    first = F.floor(F.col("__n") * d.trace(k, *starts))
+    return first, first + F.greatest(F.lit(2), F.floor(F.col("__n") * d.trace(k + 1, *lengths)))
+
+
+#: Where stretches of these kinds start and how long they are, as shares of the trace.
+STRETCHES = {"high_noise": ((0.0, 0.5), (1 / 20, 1 / 3)), "dropout": ((0.0, 1.0), (1 / 50, 1 / 8)), "flat_region": ((0.0, 0.5), (1 / 10, 1 / 2))}
+SPOILS: dict[str, Callable[[Draws], Column]] = {
+    "high_noise": lambda d: F.when(F.col("__in"), F.col("z") + d.normal(50) * F.col("__s") * d.trace(52, 1.5, 5.0)),
+    "dropout": lambda d: F.when(F.col("__in"), F.coalesce("__held", "__median")),
+    "spike": lambda d: F.when(d.sample(53) < F.greatest(F.lit(1.0), F.floor(F.col("__n") / 100)) / F.col("__n"), F.col("z") + F.when(d.sample(54) < 0.5, -1.0).otherwise(1.0) * F.col("__s") * d.trace(55, 5.0, 20.0)),
+    "lost_tail": lambda d: F.when(F.col("__i") >= F.floor(F.col("__n") * d.trace(56, 0.25, 1.0)), F.col("__min") - F.col("__s") * d.trace(57, 3.0, 8.0) + (F.col("__max") - F.col("__min") + F.col("__s") * (d.trace(57, 3.0, 8.0) + d.trace(58, 3.0, 8.0))) * d.sample(59)),
+    "flat_region": lambda d: F.when(F.col("__in"), F.col("__flat")),
+    "curved_drift": lambda d: F.col("z") + F.col("__s") * d.trace(60, 0.5, 2.0) * (F.pow(2.0 * F.col("__x") - 1.0, F.lit(2)) - F.avg(F.pow(2.0 * F.col("__x") - 1.0, F.lit(2))).over(W.partitionBy(*d.keys))),
+}
 
-#: Ranges of the four drawn features.
-FEATURE_RANGES = ((0.1, 50.0), (0.01, 5.0), (0.01, 20.0), (0.01, 10.0))
 
+def augmented(df: DataFrame, keys: list[str], seed: int = 42, corrupt_share: float = 0.35) -> DataFrame:
+    """Long rows changed mildly, and a share of the traces spoiled (label 0): adds ``change``.
 
-def drawn_features(spark: SparkSession, n: int, seed: int = 42, flip: float = 0.1) -> DataFrame:
-    """Four uniform features; the label is 1 if the first two are above their medians, with a share flipped."""
-    rows = spark.range(n).select("id", *[(lo + (hi - lo) * hashed("id", seed=seed + k)).alias(f"f{k}") for k, (lo, hi) in enumerate(FEATURE_RANGES)])
-    m = rows.agg(F.median("f0").alias("m0"), F.median("f1").alias("m1"))
+    Mildly: gain and centre within a tenth, noise of a twentieth to a quarter of the steps'
+    deviation, a drift of up to a twentieth of the trace's. Spoiled: one of ``SPOILS`` on top. Gaps
+    are filled with the finite mean first; traces below four samples are changed mildly only.
+    """
+    whole, d = W.partitionBy(*keys), Draws(keys, seed)
+    order = whole.orderBy("frame")
+    rows = filled(df, keys, inf_to_mean=True).withColumns({"__i": F.row_number().over(order) - 1, "__n": F.count(F.lit(1)).over(whole), "__d": F.col("z") - F.lag("z").over(order)})
+    rows = rows.withColumns({"__c": F.median("z").over(whole), "__sd": F.stddev_pop("z").over(whole), "__steps": F.stddev_pop("__d").over(whole), "__x": F.coalesce(F.try_divide(F.col("__i").cast("double"), F.col("__n") - 1), F.lit(0.0))})
+    gain = d.trace(0, 0.9, 1.1)
+    noise = F.when(F.col("__steps") > 0, F.col("__steps")).otherwise(F.greatest(0.02 * F.col("__sd"), F.lit(1e-6)))
+    mild = gain * (F.col("z") + noise * d.trace(1, 0.05, 0.25) * d.normal(2) + F.col("__x") * F.col("__sd") * d.trace(4, -0.05, 0.05)) + F.col("__c") * (1.0 - d.trace(5, 0.9, 1.1))
+    rows = rows.withColumn("z", mild).withColumn("__bad", d.trace(6) < corrupt_share)
+    even = dict.fromkeys(SPOILS, 1.0)
+    rows = rows.withColumn("change", F.when(F.col("__bad") & (F.col("__n") >= 4), chosen(d.trace(7), even)).otherwise("mild"))
+    begin, end = F.lit(None).cast("long"), F.lit(None).cast("long")
+    for k, (name, shares) in enumerate(STRETCHES.items()):
+        a, b = _within(d, 70 + 2 * k, *shares)
+        begin, end = F.when(F.col("change") == name, a).otherwise(begin), F.when(F.col("change") == name, b).otherwise(end)
+    rows = rows.withColumns({"__a": begin, "__b": end})
+    rows = rows.withColumn("__in", F.coalesce((F.col("__i") >= F.col("__a")) & (F.col("__i") < F.col("__b")), F.lit(False)))
+    steps = F.median(F.abs("__d")).over(whole)
+    spread = F.stddev_pop("z").over(whole)
+    rows = rows.withColumns({
+        "__s": F.when(spread > 0, spread).otherwise(F.greatest(F.coalesce(steps, F.lit(0.0)), F.lit(1e-6))), "__min": F.min("z").over(whole), "__max": F.max("z").over(whole), "__median": F.median("z").over(whole),
+        "__held": F.max(F.when(F.col("__i") == F.col("__a") - 1, F.col("z"))).over(whole), "__flat": F.median(F.when(F.col("__in"), F.col("z"))).over(whole),
+    })
+    spoiled = reduce(lambda out, name: F.when(F.col("change") == name, F.coalesce(SPOILS[name](d), F.col("z"))).otherwise(out), SPOILS, F.col("z"))
+    label = F.when(F.col("__bad"), 0).otherwise(F.col("label")).cast("int")
+    return rows.withColumn("__z", spoiled).withColumn("label", label).select(*[F.col("__z").alias("z") if c == "z" else F.col(c) for c in df.columns], "change")
+
+
+def bootstrap(df: DataFrame, keys: list[str], n: int, seed: int = 42, corrupt_share: float = 0.35) -> DataFrame:
+    """n traces drawn with replacement from long rows and changed: (draw, keys, source_label, label, frame, z, change)."""
+    drawn = bootstrapped(df.groupBy(*keys).agg(F.first("label").alias("source_label")), n, keys[0], seed)
+    return augmented(drawn.join(df, keys), ["draw"], seed, corrupt_share)
+
+
+def drawn_features(rows: DataFrame, id_col: str, seed: int = 42, flip: float = 0.1) -> DataFrame:
+    """Four uniform features a row; the label is 1 if the first two are above their medians, with a share flipped."""
+    drawn = rows.select(F.col(id_col), *[(lo + (hi - lo) * hashed(id_col, seed=seed + k)).alias(f"f{k}") for k, (lo, hi) in enumerate(FEATURE_RANGES)])
+    m = drawn.agg(F.median("f0").alias("m0"), F.median("f1").alias("m1"))
     y = ((F.col("f0") > F.col("m0")) & (F.col("f1") > F.col("m1"))).cast("int")
-    return rows.join(F.broadcast(m)).withColumn("label", F.when(hashed("id", seed=seed + 9) < flip, 1 - y).otherwise(y)).drop("m0", "m1")
+    return drawn.join(F.broadcast(m)).withColumn("label", F.when(hashed(id_col, seed=seed + 9) < flip, 1 - y).otherwise(y)).drop("m0", "m1")
 
 
 # corruptors on long rows (keys, frame, t, z)
@@ -358,12 +301,6 @@ def with_drift(df: DataFrame, keys: list[str], rate: float) -> DataFrame:
     return df.withColumn("z", F.col("z") + rate * (F.col("t") - F.min("t").over(W.partitionBy(*keys))))
 
 
-def gaussian(*columns: str, seed: int = 42):
-    """A normal draw that depends on the row's columns and a seed only."""
-    u = F.greatest(hashed(*columns, seed=seed), F.lit(1e-15))
-    return F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * np.pi * hashed(*columns, seed=seed + 1))
-
-
 def with_noise(df: DataFrame, keys: list[str], multiplier: float = 3.0, seed: int = 42, clean: str = "clean") -> DataFrame:
     """Noise of (multiplier - 1) times that already there: the deviation of ``z`` less ``clean``."""
     own = F.stddev_pop(F.col("z") - F.col(clean)).over(W.partitionBy(*keys))

@@ -129,6 +129,80 @@ def _evaluated(s, d):
     return rounded(models.fit_evaluate(train, {"train": train, "test": test}, F8, ["tree", "logistic"]))
 
 
+def _simulated(s, d):
+    made = generate.simulated(trace(s, d), ["bead"], "frame", noise=10.0)
+    return rounded(made.groupBy("bead").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("t_end"), F.avg("clean").alias("clean"), F.stddev_pop(F.col("z") - F.col("clean")).alias("noise")), digits=4)
+
+
+def _long(s, d):
+    return trace(s, d).select("bead", "frame", "t", "z", (F.col("bead") % 2).cast("int").alias("label"))
+
+
+def _split(s, d):
+    cut = generate.pieces(trace(s, d).withColumn("clean", F.floor("z").cast("double")), ["bead"], 300000.0)
+    made = generate.corrupted_share(cut, ["bead", "piece"], ["bead"], 0.5, gaps=(20000.0, 60000.0))
+    return made.groupBy("bead", "piece", "label", "bad_feature").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("t"), 3).alias("t_end"), F.round(F.avg(F.when(F.col("label") == 1, F.col("z"))), 6).alias("mean"))
+
+
+def _augmented(s, d):
+    made = generate.augmented(_long(s, d), ["bead"])
+    return rounded(made.groupBy("bead", "label", "change").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("change").isin("mild", "curved_drift"), F.col("z"))).alias("mean")), digits=4)
+
+
+def _bootstrapped(s, d):
+    made = generate.bootstrap(_long(s, d), ["bead"], 200)
+    return made.groupBy("draw", "bead", "source_label", "label", "change").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _choice(draw, shares):
+    """``generate.chosen`` as SQL."""
+    below, parts = 0.0, []
+    for name, share in list(shares.items())[:-1]:
+        below += share / sum(shares.values())
+        parts.append(f"WHEN {draw} < {below!r}::DOUBLE THEN '{name}'")
+    return f"CASE {' '.join(parts)} ELSE '{list(shares)[-1]}' END"
+
+
+def _normal(seed, *columns):
+    return f"sqrt(-2.0::DOUBLE * ln(greatest({_draw(seed, *columns)}, 1e-15::DOUBLE))) * cos(2.0::DOUBLE * pi() * {_draw(seed + 1, *columns)})"
+
+
+#: The states' parameters as rows; a stretch's duration by kind.
+_STRETCHES = f""",
+states(state, kind, lo1, hi1, lo2, hi2, direction) AS (VALUES {", ".join(f"('{name}', '{kind}', {p.get('durations', p.get('rates', (p.get('least', 0.0), 0.0)))[0]}::DOUBLE, {p.get('durations', p.get('rates', (0.0, p.get('most', 0.0))))[1]}::DOUBLE, {p.get('slopes', p.get('sizes', p.get('noise', (p.get('alpha', 0.0), 0.0))))[0]}::DOUBLE, {p.get('slopes', p.get('sizes', p.get('noise', (0.0, 0.0))))[1]}::DOUBLE, {p.get('direction', 0)})" for name, (kind, _, p) in generate.USABLE_STATES.items())}),
+drawn AS (SELECT bead, frame AS k, {_choice(_draw(42, "bead", "frame"), generate.usable_weights())} AS state, {_draw(43, "bead", "frame")} AS u1, {_draw(44, "bead", "frame")} AS u2 FROM trace),
+sized AS (SELECT bead, k, state, CAST(greatest(1, floor(CASE kind WHEN 'pause' THEN -ln(1.0::DOUBLE - u1) / (lo1 + (hi1 - lo1) * u2) WHEN 'power' THEN least(lo1 * pow(1.0::DOUBLE - u1, -1.0::DOUBLE / lo2), hi1) WHEN 'activity' THEN lo1 + (hi1 - lo1) * u1 ELSE 0 END / 0.05::DOUBLE)) AS BIGINT) AS samples,
+  CASE kind WHEN 'activity' THEN direction * (lo2 + (hi2 - lo2) * u2) * 0.05::DOUBLE ELSE 0 END AS rise, CASE kind WHEN 'jump' THEN direction * (lo2 + (hi2 - lo2) * u2) ELSE 0 END AS step, CASE WHEN state = 'high_noise' THEN lo2 + (hi2 - lo2) * u1 ELSE 0 END AS own FROM drawn JOIN states USING (state))"""
+_SIMULATED = "WITH " + TRACE + _STRETCHES + f""",
+placed AS (SELECT *, coalesce(sum(samples) OVER w, 0) AS before, coalesce(sum(step + rise * (samples - 1)) OVER w, 0) AS level FROM sized WINDOW w AS (PARTITION BY bead ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+long AS (SELECT bead, level, step, rise, own, unnest(range(samples)) AS i, CAST(before AS BIGINT) AS before FROM placed),
+f AS (SELECT *, before + i AS frame FROM long), c AS (SELECT bead, frame, level + step + rise * i + own * {_normal(52, "bead", "frame")} AS clean, 10.0::DOUBLE * {_normal(62, "bead", "frame")} AS e FROM f)
+SELECT bead, count(*) AS n, round(max(frame) * 0.05::DOUBLE, 4) AS t_end, round(avg(clean), 4) AS clean, round(stddev_pop(e), 4) AS noise FROM c GROUP BY bead"""
+_SPLIT = "WITH " + TRACE + f""",
+c AS (SELECT bead, CAST(floor((t - min(t) OVER (PARTITION BY bead)) / 300000.0::DOUBLE) AS BIGINT) AS piece, t, z FROM trace),
+p AS (SELECT bead, piece, count(*) AS n, max(t) - min(t) AS t_end, avg(z) AS m FROM c GROUP BY 1, 2 HAVING count(*) > 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY bead ORDER BY {_draw(132, "bead", "piece")}, piece) <= floor(count(*) OVER (PARTITION BY bead) * 0.5::DOUBLE) AS bad FROM p)
+SELECT bead, piece, CASE WHEN bad THEN 0 ELSE 1 END AS label, CASE WHEN bad THEN {_choice(_draw(133, "bead", "piece"), generate.BAD_FEATURES)} END AS bad_feature, n, round(t_end, 3) AS t_end, CASE WHEN NOT bad THEN round(m, 6) END AS mean FROM r"""
+_CHANGE = _choice("{kind}", dict.fromkeys(generate.SPOILS, 1.0))
+
+
+def _uniform(seed, lo, hi, *columns):
+    return f"({lo!r}::DOUBLE + {hi - lo!r}::DOUBLE * {_draw(seed, *columns)})"
+
+
+#: A curved drift has mean zero, so the mean of such a trace is that of the mild change as well.
+_AUGMENTED = "WITH " + TRACE + f""",
+s AS (SELECT *, z - lag(z) OVER w AS d, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY bead) AS n FROM trace WINDOW w AS (PARTITION BY bead ORDER BY frame)),
+g AS (SELECT bead, count(*) AS n, median(z) AS c, stddev_pop(z) AS sd, coalesce(stddev_pop(d), 0) AS steps FROM s GROUP BY bead),
+m AS (SELECT bead, avg({_uniform(42, 0.9, 1.1, "bead")} * (z + CASE WHEN steps > 0 THEN steps ELSE greatest(0.02::DOUBLE * sd, 1e-6) END * {_uniform(43, 0.05, 0.25, "bead")} * {_normal(44, "bead", "frame")} + coalesce(i / nullif(s.n - 1.0::DOUBLE, 0), 0) * sd * {_uniform(46, -0.05, 0.05, "bead")}) + c * (1.0::DOUBLE - {_uniform(47, 0.9, 1.1, "bead")})) AS mean FROM s JOIN g USING (bead) GROUP BY bead),
+k AS (SELECT bead, n, {_draw(48, "bead")} < 0.35 AS bad, CASE WHEN {_draw(48, "bead")} < 0.35 AND n >= 4 THEN {_CHANGE.format(kind=_draw(49, "bead"))} ELSE 'mild' END AS change FROM g)
+SELECT bead, CASE WHEN bad THEN 0 ELSE CAST(bead % 2 AS INT) END AS label, change, n, CASE WHEN change IN ('mild', 'curved_drift') THEN round(mean, 4) END AS mean FROM k JOIN m USING (bead)"""
+_BOOTSTRAPPED = "WITH " + TRACE + f""",
+b AS (SELECT bead, count(*) AS n, row_number() OVER (ORDER BY bead) - 1 AS i FROM trace GROUP BY bead),
+d AS (SELECT range AS draw, CAST(floor({_draw(42, "range")} * (SELECT count(*) FROM b)) AS BIGINT) AS i FROM range(200))
+SELECT draw, bead, CAST(bead % 2 AS INT) AS source_label, CASE WHEN {_draw(48, "draw")} < 0.35 THEN 0 ELSE CAST(bead % 2 AS INT) END AS label, CASE WHEN {_draw(48, "draw")} < 0.35 AND n >= 4 THEN {_CHANGE.format(kind=_draw(49, "draw"))} ELSE 'mild' END AS change, n FROM d JOIN b USING (i)"""
+
+
 QUERIES = {
     "path_parts": (_path_parts, "WITH " + _PATHS + " SELECT c_custkey, split_part(path, '/', 1) AS source, split_part(path, '/', 3) AS experiment_id, len(list_filter(string_split(path, '/'), lambda x: x = 'test' OR starts_with(x, 'test_'))) > 0 AS is_test, translate(path, '/ ', '__') AS safe FROM paths"),
     "bead_keys": (_bead_keys, "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS INT) - 1 ELSE -1 END AS bead FROM part"),
@@ -266,17 +340,17 @@ SELECT draw, doc_id, quality, toxic FROM d JOIN r USING (i)""",
     "discriminator": (lambda s, d: rounded(models.discriminator(_features(s, d).where("label = 1"), _features(s, d).where("label = 0"), F8)), None),
     "global_kmeans": (lambda s, d: models.kmeans(_emb(s, d), 3).select("id", "label"), None),
     "global_mixture": (lambda s, d: models.mixture(models.pca(_emb(s, d), 3).select("id", F.col("scores").alias("v")), 2).select("id", "label"), None),
-    "simulated_traces": (lambda s, d: rounded(generate.traces(s, 64, total=(5.0, 10.0)).select("id", "label", "bad_feature", F.size("z").alias("n"), F.element_at("t", -1).alias("t_end"))), None),
-    "split_traces": (lambda s, d: rounded(generate.traces_split(s, 200, total=(20.0, 30.0)).select("id", "label", "bad_feature", F.size("z").alias("n"), F.element_at("t", 1).alias("t0"))), None),
+    "simulated_traces": (_simulated, _SIMULATED),
+    "split_traces": (_split, _SPLIT),
     "usable_states": (
-        lambda s, d: rounded(s.createDataFrame([(x.name, x.weight) for x in generate.default_states()], "state string, weight double")),
-        "SELECT * FROM (VALUES ('pause_fast', 0.3::DOUBLE), ('pause_slow', 0.22), ('pause_power', 0.06), ('activity_up_fast', 0.16), ('activity_up_slow', 0.13), ('activity_up_medium', 0.1), ('jump_back', 0.015), ('jump_forward', 0.01), ('high_noise', 0.01)) t(state, weight)",
+        lambda s, d: generate.stretches(trace(s, d), ["bead"], "frame", 0.05).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("samples").alias("samples")),
+        "WITH " + TRACE + _STRETCHES + " SELECT state, count(*) AS n, CAST(sum(samples) AS BIGINT) AS samples FROM sized GROUP BY state",
     ),
-    "augmented_traces": (lambda s, d: rounded(generate.augmented(tr.as_arrays(trace(s, d), ["bead"], "z").withColumnRenamed("bead", "id").withColumn("label", (F.col("id") % 2).cast("int"))).select("id", "label", "change", F.size("z").alias("n"))), None),
-    "bootstrap_synthetic": (lambda s, d: generate.bootstrap(tr.as_arrays(trace(s, d), ["bead"], "z").withColumnRenamed("bead", "id").withColumn("label", F.lit(1)), 200).select("id", "source_id", "label", "change"), None),
+    "augmented_traces": (_augmented, _AUGMENTED),
+    "bootstrap_synthetic": (_bootstrapped, _BOOTSTRAPPED),
     "drawn_features": (
-        lambda s, d: rounded(generate.drawn_features(s, 1000)),
-        f"""WITH f AS (SELECT range AS id, {", ".join(f"{lo}::DOUBLE + {hi - lo}::DOUBLE * {_draw(42 + k, 'range')} AS f{k}" for k, (lo, hi) in enumerate(generate.FEATURE_RANGES))} FROM range(1000)),
+        lambda s, d: rounded(generate.drawn_features(table(s, d, "customer"), "c_custkey").withColumnRenamed("c_custkey", "id")),
+        f"""WITH f AS (SELECT c_custkey AS id, {", ".join(f"{lo}::DOUBLE + {hi - lo}::DOUBLE * {_draw(42 + k, 'c_custkey')} AS f{k}" for k, (lo, hi) in enumerate(generate.FEATURE_RANGES))} FROM customer),
 m AS (SELECT median(f0) AS m0, median(f1) AS m1 FROM f), y AS (SELECT f.*, CASE WHEN f0 > m0 AND f1 > m1 THEN 1 ELSE 0 END AS y FROM f, m)
 SELECT id, round(f0, 6) AS f0, round(f1, 6) AS f1, round(f2, 6) AS f2, round(f3, 6) AS f3, CASE WHEN {_draw(51, "id")} < 0.1 THEN 1 - y ELSE y END AS label FROM y""",
     ),

@@ -201,44 +201,86 @@ def test_ridge_separates(spark):
     assert np.allclose(w, w2) and math.isclose(b, b2, abs_tol=1e-9)
 
 
-def test_generation_depends_on_seed_only(spark):
-    a = {r["id"]: (r["label"], r["bad_feature"], len(r["z"])) for r in generate.traces(spark, 20, total=(2.0, 4.0), partitions=2).collect()}
-    b = {r["id"]: (r["label"], r["bad_feature"], len(r["z"])) for r in generate.traces(spark, 20, total=(2.0, 4.0), partitions=7).collect()}
-    assert a == b and sum(v[0] for v in a.values()) == 10
-    assert all((v[1] is None) == (v[0] == 1) for v in a.values())
-
-
-def test_corruptors_keep_to_their_ranges():
-    t = np.arange(4000) * 0.05
-    clean = np.cumsum(np.full(4000, 0.5))
-    for seed in range(20):
-        rng = np.random.default_rng(seed)
-        z = clean + np.random.default_rng(seed + 100).normal(0, 10, 4000)
-        c, lost = generate.lost_bead(t, clean, z, rng)
-        k = int(np.isnan(c).argmax())
-        lo, hi = z[:k].min(), z[:k].max()
-        margin = max(4 * (hi - lo), 2000)
-        assert 0.2 <= t[k] / t[-1] <= 0.81 and (lost[:k] == z[:k]).all() and lost[k:].min() >= lo - margin and lost[k:].max() <= hi + margin and lost[k:].max() - lost[k:].min() > 1.5 * margin
-        c, gaps = generate.missing_regions(t, clean, z, rng, 2, (1.0, 8.0))
-        assert (np.isnan(c) == np.isnan(gaps)).all() and 1.0 <= np.isnan(gaps).sum() * 0.05 <= 16.2
-        _, noisy = generate.high_noise(t, clean, z, rng, 3.0)
-        assert abs((noisy - z).std() - 2 * (z - clean).std()) < 2
-        c, hidden = generate.unobservable_activity(t, clean, z, rng, 5.0, (0.5, 2.0))
-        rate = (c - clean)[1:] / t[1:]
-        assert np.allclose(rate, rate[0]) and 0.5 <= rate[0] <= 2.0 and abs((hidden - c).std() - 5 * (z - clean).std()) < 5
-        c, compact = generate.compaction_noise(t, clean, z, rng)
-        assert (c == clean).all() and (compact - c)[:800].std() > 2 * (compact - c)[-800:].std()
-        changed, kind = generate.spoiled(z, rng)
-        assert len(changed) == len(z) and kind in ("high_noise", "dropout", "spike", "lost_tail", "flat_region", "curved_drift")
-    assert [round(s.weight, 3) for s in generate.default_states()] == [0.3, 0.22, 0.06, 0.16, 0.13, 0.1, 0.015, 0.01, 0.01]
-    assert generate.spoiled(np.array([1.0, 2.0]), np.random.default_rng(0))[1] == "mild"
-
-
-def test_split_generation(spark):
-    rows = generate.traces_split(spark, 120, total=(20.0, 30.0)).collect()
-    assert sorted(r["id"] for r in rows) == list(range(120))
-    assert all(r["t"][0] == 0 and r["t"][-1] <= 0.25 + 1e-9 and len(r["t"]) == len(r["z"]) for r in rows)
-    assert 40 <= sum(r["label"] for r in rows) <= 80 and all((r["bad_feature"] is None) == (r["label"] == 1) for r in rows)
+def long_traces(spark, traces=40, samples=4000):
+    """Straight lines with noise, one sample every 0.05 s; text keys."""
+    rows = spark.range(traces * samples).select(F.concat(F.lit("trace "), (F.col("id") / samples).cast("int").cast("string")).alias("name"), (F.col("id") % samples).alias("frame"))
+    rows = rows.withColumn("t", F.col("frame") * 0.05).withColumn("clean", F.col("frame") * 0.5)
+    return rows.withColumn("z", F.col("clean") + 10.0 * generate.gaussian("name", "frame", seed=7))
+
+
+def by_trace(df, *columns):
+    pdf = df.toPandas().sort_values(["name", "frame"])
+    return {name: {c: g[c].to_numpy() for c in columns} for name, g in pdf.groupby("name")}
+
+
+def test_generation_depends_on_seed_and_keys_only(spark):
+    rows = spark.range(600).select((F.col("id") % 20).alias("name"), F.col("id").alias("k"))
+    a, b = (by_trace(generate.simulated(r, ["name"], "k"), "t", "clean", "z") for r in (rows.repartition(3), rows.orderBy(F.desc("id")).repartition(7, "k")))
+    assert a.keys() == b.keys() and all(np.array_equal(a[n]["z"], b[n]["z"]) for n in a)
+    assert all(np.allclose(np.diff(v["t"]), 0.05) and abs((v["z"] - v["clean"]).std() - 10) < 2 for v in a.values())
+    only = by_trace(generate.simulated(rows, ["name"], "k", weights=generate.usable_weights(include=["activity_up_fast"])), "clean")
+    slopes = np.concatenate([np.diff(v["clean"]) / 0.05 for v in only.values()])
+    assert ((slopes > -1e-6) & (slopes < 70.001)).all() and (slopes > 39.999).mean() > 0.9
+    assert "jump_back" not in generate.usable_weights(exclude=["jump_back"]) and abs(sum(generate.usable_weights().values()) - 1.005) < 1e-9
+
+
+def test_corruptions_keep_to_their_ranges(spark):
+    rows = long_traces(spark)
+    plain = by_trace(rows, "t", "clean", "z")
+    for kind in generate.CORRUPTIONS:
+        got = by_trace(generate.corrupted(rows.withColumn("kind", F.lit(kind)), ["name"], gaps=(1.0, 8.0)), "t", "clean", "z")
+        assert got.keys() == plain.keys()
+        for name, v in got.items():
+            p = plain[name]
+            t, clean, z = v["t"], v["clean"], v["z"]
+            if kind == "lost_bead":
+                k = int(np.isnan(clean).argmax())
+                lo, hi = p["z"][:k].min(), p["z"][:k].max()
+                margin = max(4 * (hi - lo), 2000)
+                assert 0.2 <= t[k] / t[-1] <= 0.81 and np.array_equal(z[:k], p["z"][:k]) and z[k:].min() >= lo - margin and z[k:].max() <= hi + margin and z[k:].max() - z[k:].min() > 1.5 * margin
+            elif kind == "missing_regions":
+                assert np.array_equal(np.isnan(clean), np.isnan(z)) and 0.9 <= np.isnan(z).sum() * 0.05 <= 24.3
+            elif kind == "high_noise":
+                assert 1.4 < (z - p["z"]).std() / (p["z"] - p["clean"]).std() < 4.2
+            elif kind == "inconsistent_noise":
+                assert np.array_equal(clean, p["clean"]) and (z - clean).std() < 30
+            else:
+                rate = (clean - p["clean"])[1:] / t[1:]
+                assert np.allclose(rate, rate[0]) and 0.3 <= rate[0] <= 3.0 and 3.7 < (z - clean).std() / (p["z"] - p["clean"]).std() < 7.4
+    same = by_trace(generate.corrupted(rows.withColumn("kind", F.lit(None).cast("string")), ["name"]), "z")
+    assert all(np.array_equal(same[n]["z"], plain[n]["z"]) for n in plain)
+
+
+def test_pieces_and_their_corrupted_share(spark):
+    cut = generate.pieces(long_traces(spark, 3), ["name"], 20.0)
+    made = generate.corrupted_share(cut, ["name", "piece"], ["name"], usable_ratio=0.7)
+    pieces = made.groupBy("name", "piece", "label", "bad_feature").agg(F.min("t").alias("a"), F.max("t").alias("b")).collect()
+    assert len(pieces) == 30 and all(r["a"] == 0 and r["b"] <= 20.0 for r in pieces)
+    assert sum(1 - r["label"] for r in pieces) == 9 and all((r["bad_feature"] is None) == (r["label"] == 1) for r in pieces)
+
+
+def test_augmentation_keeps_to_its_ranges(spark):
+    rows = long_traces(spark, 60, 1000).withColumn("label", F.lit(1)).drop("clean")
+    plain = by_trace(rows, "z")
+    made = generate.augmented(rows, ["name"], corrupt_share=0.8).toPandas().sort_values(["name", "frame"])
+    kinds = set()
+    for name, g in made.groupby("name"):
+        z, p, kind = g["z"].to_numpy(), plain[name]["z"], g["change"].iloc[0]
+        kinds.add(kind)
+        assert len(z) == 1000 and set(g["label"]) == {int(kind == "mild")}
+        runs = np.diff(np.flatnonzero(np.diff(np.concatenate([[1], np.diff(z) == 0, [1]]))))
+        if kind == "mild":
+            assert np.corrcoef(z, p)[0, 1] > 0.98 and 0.8 < z.std() / p.std() < 1.25
+        elif kind in ("dropout", "flat_region"):
+            assert runs.max() >= 15
+        elif kind == "spike":
+            assert np.abs(np.diff(z)).max() > 3 * p.std()
+        elif kind == "lost_tail":
+            assert z.max() - z.min() > 1.5 * (p.max() - p.min())
+    assert kinds == {"mild", *generate.SPOILS}
+    short = spark.createDataFrame([("a", 0, float("nan"), 1), ("a", 1, 2.0, 1), (None, 0, float("inf"), 0)], "name string, frame long, z double, label int")
+    got = generate.augmented(short, ["name"], corrupt_share=1.0).collect()
+    assert len(got) == 3 and {r["change"] for r in got} == {"mild"} and {r["label"] for r in got} == {0} and all(np.isfinite(r["z"]) for r in got)
 
 
 def test_stratified_takes_exact_shares(spark):
