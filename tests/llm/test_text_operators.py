@@ -235,18 +235,48 @@ def brute_extract(source):
     tree = Tree()
     tree.feed(source)
 
-    def prune(node, inside):
-        keep = []
+    def marked(node):
+        inside = any(k.tag in ("article", "main") for k in ups(node.up))
+        return node.tag in ("nav", "aside", "footer", "form") or node.tag == "header" and not inside
+
+    def ups(node):
+        return [node, *ups(node.up)] if node else []
+
+    def letters(node, stays=None, linked=False):
+        """Letters below a node; with ``stays`` only those outside marked elements that don't stay, with ``linked`` only those in links."""
+        total = 0
+        for x in node.parts:
+            if isinstance(x, str):
+                total += len(x.strip()) if not linked or any(k.tag == "a" for k in ups(node)) else 0
+            elif stays is None or not marked(x) or x in stays:
+                total += letters(x, stays, linked)
+        return total
+
+    def inner(node):
+        return [y for x in node.parts if isinstance(x, Node) for y in [x, *inner(x)]]
+
+    stays, gone = set(), set()
+    while True:
+        first = [k for k in inner(tree.root) if marked(k) and k not in stays | gone and not any(u in gone or marked(u) and u not in stays for u in ups(k.up))]
+        if not first:
+            break
+        node = max(first, key=letters)
+        shown = any(k.tag in ("article", "main") and letters(k, stays) and not any(marked(u) and u not in stays for u in ups(k)) for k in inner(tree.root))
+        within = any(k.tag in ("article", "main") for k in ups(node.up))
+        size, left = letters(node), letters(tree.root, stays)
+        most = (within or not shown) and size > letters(tree.root) * (0.5 if node.tag == "form" else 2)
+        if 10 * letters(node, linked=True) < 3 * size and (most or not shown and size > 10 * left):
+            stays.add(node)
+        else:
+            gone.add(node)
+
+    def prune(node):
+        node.parts = [None if x in gone else x for x in node.parts]  # it still ends a block
         for x in node.parts:
             if isinstance(x, Node):
-                if x.tag in ("nav", "aside", "footer", "form") or x.tag == "header" and not inside:
-                    keep.append(None)  # it still ends a block
-                    continue
-                prune(x, inside or x.tag in ("article", "main"))
-            keep.append(x)
-        node.parts = keep
-
-    prune(tree.root, False)
+                prune(x)
+
+    prune(tree.root)
     blocks, current = [], []
 
     def walk(node, owner, linked):
@@ -290,7 +320,7 @@ def brute_extract(source):
         for node in above:
             chars[node] += len(text)
             links[node] += linked
-        for node, share in zip(above[1:] if owner.tag in textual else above, [1, 2, *range(4, 400, 2)], strict=False):
+        for node, share in zip(above[1:] if owner.tag in textual else above, [2**k for k in range(400)], strict=False):
             node.points += worth / share
     score = lambda k: k.points * (1 - links[k] / chars[k]) if chars[k] else 0.0
     if not blocks:
@@ -309,7 +339,7 @@ def random_page(rng, depth=0):
     out = []
     for _ in range(rng.randint(1, 4)):
         words = lambda n: " ".join(rng.choice(["one", "two,", "three", "and, so", "on"]) for _ in range(n))
-        kind = rng.choice(["p", "p", "h2", "li", "link", "div", "section", "article", "main", "header", "nav", "aside", "text"])
+        kind = rng.choice(["p", "p", "h2", "li", "link", "div", "section", "article", "main", "header", "nav", "aside", "form", "text"])
         if kind == "link":
             out.append(f"<p>{words(2)} <a>{words(rng.randint(1, 9))}</a></p>")
         elif kind in ("p", "h2", "li"):
@@ -321,6 +351,45 @@ def random_page(rng, depth=0):
     return "".join(out)
 
 
+STORY = "<p>First, long, story paragraph with, commas and so on, for a while, yes.</p><p>Second paragraph, again, with more words, and more.</p>"
+TOLD = "First, long, story paragraph with, commas and so on, for a while, yes.\nSecond paragraph, again, with more words, and more."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><div class="page has-sidebar"><nav><a href="/">Home</a></nav>{STORY}</div></body>',
+        f'<body><div class="wrapper no-comments">{STORY}</div>',
+        f'<div class="container no-popup">{STORY}</div>',
+        f'<div class="social-science">{STORY}</div>',
+        f'<html><body><form action="x"><nav><a href="/">Home</a></nav>{STORY}<input><button>Send</button></form></body></html>',
+        f"<html><head><title>t</title>{STORY}",
+        f"<!-->{STORY}",
+        f"<!--->{STORY}<!-- x --!>",
+        f'<body><article><div class="social-science">{STORY}</div></article>',
+        f'<body><article><section id="search">{STORY}</section></article>',
+    ],
+)
+def test_marked_elements_around_the_article_stay(page):
+    assert html_text.extract(page) == TOLD
+
+
+def test_marked_elements_beside_the_article_go():
+    page = f'<body><article>{STORY}</article><div class="comments">{STORY * 30}</div><div class="modal">{STORY * 3}</div><aside>{STORY * 9}</aside><footer>{STORY}</footer></body>'
+    assert html_text.extract(page) == TOLD
+    page = f'<body><div>{STORY}</div><div class="sidebar">{STORY}</div><div class="cookie-policy-text"><p>We use, cookies.</p></div><div class="ad-leaderboard">{STORY * 5}</div></body>'
+    assert html_text.extract(page) == TOLD
+    short = "<nav><a>Menu</a></nav><article><h1>Ah.</h1></article><footer>Somebody wrote, and owns, all of this; " + "rights " * 30 + "</footer>"
+    assert html_text.extract(short) == "Ah."
+
+
+@pytest.mark.parametrize("part", ["<div>", "<div></b2>", "<form>", '<div class="search">', "<ul><li>", "<b>", "<p><section>x"])
+def test_deep_pages_take_linear_time(part):
+    began = time.time()
+    text = html_text.extract(part * 200_000 + STORY)
+    assert TOLD.split("\n")[0] in text and time.time() - began < 20
+
+
 def test_extraction_against_the_definition():
     rng = random.Random(17)
     for _ in range(400):
