@@ -16,7 +16,7 @@ Each candidate is verified on exact sets of the whole texts: an item is found if
 
 Tasks make the items' sets and signatures once; these are indexed (a window finds the items that
 agree with it in a bin by binary search, whatever their number) and handed to all executors in
-blocks of at most about ``block_chars`` characters of items (a checked bound); a larger benchmark
+blocks of at most about ``block_bytes`` bytes of index (estimated beforehand); a larger benchmark
 takes several passes over the documents.
 
 Defined results: null, empty and short texts follow the shingle rules (a text of fewer than
@@ -30,6 +30,7 @@ search and pass through ``decontaminate``; an empty table on either side gives a
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -43,7 +44,9 @@ from seqloom.llm.near_dedup import signature
 from seqloom.llm.shingles import WIDTH, common, mixed, shingle_hashes, words
 from seqloom.runtime import frugal, in_batches
 
-BINS, PERCENT, BLOCK_CHARS = 128, 75, 64_000_000
+BINS, PERCENT = 128, 75
+#: Bytes of one block's index, by the estimate ``_indexes`` makes.
+BLOCK_BYTES = 128 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,7 +64,7 @@ class ItemIndex:
             keys = np.concatenate([self._keys(signatures[k]) for k in at])
             order = np.argsort(keys, kind="stable")
             #: most shingles of an item, keys of (bin, value), and the item of each
-            self.classes.append((2**c - 1, keys[order], np.repeat(np.array(at), bins)[order]))
+            self.classes.append((2**c - 1, keys[order], np.repeat(np.array(at, np.int32), bins)[order]))
         values = [signatures[k] for at in classes.values() for k in at]
         self.values = np.unique(np.concatenate(values)) if values else np.empty(0, np.uint64)
         size = max(16, int(len(self.values) * 16).bit_length())
@@ -111,10 +114,16 @@ class ItemIndex:
         return [(k, c) for k, c in shared if 100 * c >= self.percent * len(self.sets[k])]
 
 
-def _indexes(benchmark: DataFrame, item_col: str, text_col: str, percent: int, bins: int, width: int, block_chars: int) -> Iterator[ItemIndex]:
-    """Indexes of the benchmark's blocks, one after another; sets and signatures are made by the tasks."""
-    chars = benchmark.agg(F.sum(F.length(f"`{text_col}`"))).first()[0] or 0
-    n = max(1, -(-chars // block_chars))
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str, percent: int, bins: int, width: int, block_bytes: int) -> Iterator[ItemIndex]:
+    """Indexes of the benchmark's blocks, one after another; sets and signatures are made by the tasks.
+
+    An item takes a posting of 12 bytes a bin, and for each shingle, of which a text has
+    at most one for two characters, 8 bytes of its set and, up to the number of bins, 40 of the
+    tables of values.
+    """
+    shingles = F.length(f"`{text_col}`") / 2 + 1
+    total = benchmark.agg(F.sum(12 * bins + 8 * shingles + 40 * F.least(shingles, F.lit(bins)))).first()[0] or 0
+    n = max(1, math.ceil(total / block_bytes))
 
     def compute(texts: list) -> list[list]:
         sets = [np.unique(shingle_hashes(words(t), width)) for t in texts]
@@ -138,14 +147,14 @@ def find_contamination(
     percent: int = PERCENT,
     bins: int = BINS,
     width: int = WIDTH,
-    block_chars: int = BLOCK_CHARS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(id, item, n_shared, n_item): every item that a document contains."""
     spark = docs.sparkSession
     kinds = StructType([StructField(id_col, docs.schema[id_col].dataType), StructField(item_col, benchmark.schema[item_col].dataType), *StructType.fromDDL("n_shared long, n_item long").fields])
     found = spark.createDataFrame([], kinds)
     item_type = benchmark.schema[item_col].dataType.simpleString()
-    for index in _indexes(benchmark, item_col, item_text_col, percent, bins, width, block_chars):
+    for index in _indexes(benchmark, item_col, item_text_col, percent, bins, width, block_bytes):
         held = spark.sparkContext.broadcast(index)
 
         def run(texts: list, held=held) -> list[list]:
@@ -167,12 +176,12 @@ def decontaminate(
     percent: int = PERCENT,
     bins: int = BINS,
     width: int = WIDTH,
-    block_chars: int = BLOCK_CHARS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The rows of ``docs`` that contain no item, with all their columns; needs no shuffle."""
     spark = docs.sparkSession
     at = docs.columns.index(text_col)
-    for index in _indexes(benchmark, item_col, item_text_col, percent, bins, width, block_chars):
+    for index in _indexes(benchmark, item_col, item_text_col, percent, bins, width, block_bytes):
         held = spark.sparkContext.broadcast(index)
 
         @frugal

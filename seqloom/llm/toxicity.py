@@ -14,7 +14,8 @@ The grammar is composed of small finite-state machines, kept as state tables:
 
 Texts are searched for lexicon entries; only clauses that hold one are run through the clause
 transducer. Weights of a text's matched clauses, by mode, are the inputs of a logistic score
-in which a long text needs more of them than a short one. Isolated words have no score.
+in which a long text needs more of them than a short one. A word scores by its clause only: one
+that stands alone is a clause of one word, plain and aimed at nobody.
 
 Learning uses labelled rows whose crc32(id) mod 5 is not 0, at most ``sample_rows`` of them
 (the least by a hash of the id; 8,000 by default, a documented bound). Word stems (prefixes of
@@ -59,8 +60,8 @@ _LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _MARKS = re.compile(r"[.!?;:,|\n\r\"“”«»()]")
 MODES = ("plain", "aimed", "negated", "reported")
 LENGTHS = range(3, 11)
-#: Likelihood ratio (G-squared) that a stem needs, and stems that the lexicon takes, at most.
-LEAST, MOST_STEMS = 16.0, 200
+#: Likelihood ratio (G-squared) that a stem needs.
+LEAST = 16.0
 _FIXED = np.array([-4.0, 1.6, 2.2, 0.6, 0.4, 1.6, 1.0, 0.8, 0.5])
 
 
@@ -257,11 +258,12 @@ def likelihood_ratio(a: np.ndarray, n: np.ndarray, total_a: float, total: float)
     return np.where(a > n * share, g, 0.0)
 
 
-def choose_stems(features: list[tuple[str, int]], rows: list[np.ndarray], toxic: np.ndarray, least: float = LEAST, most: int = MOST_STEMS) -> dict[str, float]:
+def choose_stems(features: list[tuple[str, int]], rows: list[np.ndarray], toxic: np.ndarray, least: float = LEAST) -> dict[str, float]:
     """Stems in order of their likelihood ratio on documents that earlier ones don't explain, with weights.
 
     ``rows`` has the features of each document. A chosen stem's documents leave all counts, so
-    each document is taken out once and the choice costs no more than reading them all.
+    each document is taken out once. All stems with enough evidence are chosen; as each takes
+    several toxic documents out, there are fewer of them than rows.
     """
     n, a = np.zeros(len(features)), np.zeros(len(features))
     holders: dict[int, list[int]] = defaultdict(list)
@@ -276,7 +278,7 @@ def choose_stems(features: list[tuple[str, int]], rows: list[np.ndarray], toxic:
     left, total, toxic_left = np.ones(len(rows), bool), len(rows), int(toxic.sum())
     asked, length, live = np.array([-k for _, k in features]), np.array([len(s) for s, _ in features]), np.ones(len(features), bool)
     chosen: dict[str, float] = {}
-    while len(chosen) < most and live.any():
+    while live.any():
         g = np.where(live & (n > 0), np.round(likelihood_ratio(a, n, toxic_left, total), 6), -1.0)
         if g.max() < least:
             break

@@ -66,8 +66,8 @@ def test_contamination_against_all_pairs(spark):
     dd = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     bb = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     assert want
-    for block in (decontaminate.BLOCK_CHARS, 200):  # one pass, and many blocks
-        got = {(r["doc_id"], r["item_id"], r["n_shared"], r["n_item"]) for r in decontaminate.find_contamination(dd, bb, block_chars=block).collect()}
+    for block in (decontaminate.BLOCK_BYTES, 6000):  # one pass, and many blocks
+        got = {(r["doc_id"], r["item_id"], r["n_shared"], r["n_item"]) for r in decontaminate.find_contamination(dd, bb, block_bytes=block).collect()}
         assert got == want
     left = {r["doc_id"] for r in decontaminate.decontaminate(dd.withColumn("item_id", F.lit("x")), bb).collect()}
     assert left == set(range(len(docs))) - {i for i, *_ in want}
@@ -483,3 +483,21 @@ def test_media_query_and_pcm_blocks(spark, tmp_path):
         assert b"".join(b["pcm"] for b in own) == flac.payload_of(t)[0]
         assert all(b["sample_offset"] == b["block"] * 4096 and b["n_samples"] == len(b["pcm"]) for b in own)
     assert flac.pcm_blocks(media.where("false")).count() == 0
+
+
+def test_all_stems_with_enough_evidence_are_chosen():
+    # 300 stems, each in seven toxic documents of its own, among clean ones that hold none
+    features = [(f"stem{k:03d}$", 1) for k in range(300)]
+    rows = [np.array([k]) for k in range(300) for _ in range(7)] + [np.array([], np.int64)] * 20_000
+    toxic = np.array([1.0] * 2100 + [0.0] * 20_000)
+    assert set(toxicity.choose_stems(features, rows, toxic)) == {s for s, _ in features}
+
+
+def test_an_index_is_bounded_by_its_bytes_not_by_its_texts(spark, monkeypatch):
+    items = spark.createDataFrame([(k, f"item {k} of many") for k in range(3000)], "item_id long, text string")
+    blocks = list(decontaminate._indexes(items, "item_id", "text", 75, 128, 5, 1 << 20))
+    sizes = [sum(keys.nbytes + held.nbytes for _, keys, held in b.classes) + b.seen.nbytes + b.values.nbytes + sum(s.nbytes for s in b.sets) for b in blocks]
+    assert len(blocks) > 4 and max(sizes) < 1.3 * (1 << 20) and sum(len(b.ids) for b in blocks) == 3000
+    docs = spark.createDataFrame([(1, "item 7 of many"), (2, "item 9999 of many")], "doc_id long, text string")
+    found = decontaminate.find_contamination(docs, items, block_bytes=1 << 20).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in found] == [(1, 7)]
