@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.operators import align, curves
-from seqloom.sources import npy, text
+from seqloom.sources import npy, ranges, text
 
 
 @dataclass(frozen=True)
@@ -56,7 +56,8 @@ def good_beads(spark: SparkSession, root: str, beads: DataFrame, good_folder: st
 
 def load_blocks(spark: SparkSession, root: str, permissive: bool = True) -> Experiments:
     """Experiments stored as block files with settings beside them."""
-    raw = _keyed(npy.read_blocks(spark, root, permissive=permissive))
+    read = ranges.read_blocks if ranges.can_open(root) else npy.read_blocks
+    raw = _keyed(read(spark, root, permissive=permissive))
     values = text.read_settings(_keyed(text.lines(spark, root, name="config.yaml")), ["exp_id"])
     known = raw.select("exp_id").distinct().join(values, "exp_id", "left").withColumn("values", F.coalesce("values", F.create_map().cast("map<string,string>")))
     samples = text.normalised_samples(raw, text.settings(known))

@@ -3,9 +3,10 @@
 The header is a plain numeric array (the scale of each axis), or a pickled dictionary that
 holds it as ``axisScale``. Such a dictionary is never unpickled: its opcodes are read one by one
 into dictionaries, lists, texts, numbers and numeric arrays, and anything else is refused, so
-no code of a file can run. Blocks of Python objects are refused. Files are read whole by Spark
-(``binaryFile``), each by one task, which yields its blocks one after another; that reader's
-limit is 2 GB a file, beyond which ``read_blocks`` fails rather than leaves samples out.
+no code of a file can run. Blocks of Python objects are refused. ``ranges`` reads the same files by
+byte ranges, whatever their size; here files are read whole by Spark (``binaryFile``), each by one
+task, for stores that only Spark can open. That reader's limit is 2 GB a file, beyond which
+``read_blocks`` fails rather than leaves samples out.
 """
 
 from __future__ import annotations
@@ -139,13 +140,14 @@ def plain_value(stream: io.BytesIO):
     raise ValueError("the header ends early")
 
 
-def header(data: bytes) -> tuple[np.ndarray, int]:
-    """Axis scale and the byte after the first record."""
-    kind, _, start = _described(data, 0)
-    if not kind["descr"] or not np.dtype(kind["descr"]).hasobject:
-        return record(data, 0)
-    stream = io.BytesIO(data)
-    stream.seek(start)
+def header(source) -> tuple[np.ndarray, int]:
+    """Axis scale and the byte after the first record, of bytes or of a file at its start."""
+    stream = io.BytesIO(source) if isinstance(source, bytes) else source
+    stream.seek(0)
+    shape, kind, fortran, begin = layout(stream)
+    if not kind.hasobject:
+        raw = stream.read(int(np.prod(shape, dtype=np.int64)) * kind.itemsize)
+        return np.frombuffer(raw, kind).reshape(shape, order="F" if fortran else "C"), stream.tell()
     found = plain_value(stream)
     if isinstance(found, list) and len(found) == 1:
         found = found[0]
@@ -154,27 +156,35 @@ def header(data: bytes) -> tuple[np.ndarray, int]:
     return np.atleast_1d(np.asarray(found["axisScale"], float)), stream.tell()
 
 
-def _described(data: bytes, at: int) -> tuple[dict, int, int]:
-    """A record's description, format and the byte where its values begin."""
-    if data[at : at + 6] != MAGIC:
+def layout(file) -> tuple[tuple[int, ...], np.dtype, bool, int]:
+    """Shape, type, order and the byte where the values begin, of the record at a file's position."""
+    at = file.tell()
+    start = file.read(12)
+    if len(start) < 10:
+        raise Truncated("the file ends inside a header")
+    if start[:6] != MAGIC:
         raise ValueError("not an NPY record")
-    major = data[at + 6]
-    size, start = (struct.unpack_from("<H", data, at + 8)[0], at + 10) if major == 1 else (struct.unpack_from("<I", data, at + 8)[0], at + 12)
-    return ast.literal_eval(data[start : start + size].decode("latin-1").strip()), major, start + size
+    size, begin = (struct.unpack_from("<H", start, 8)[0], 10) if start[6] == 1 else (struct.unpack_from("<I", start, 8)[0], 12)
+    file.seek(at + begin)
+    text = file.read(size)
+    if len(text) < size:
+        raise Truncated("the file ends inside a header")
+    head = ast.literal_eval(text.decode("latin-1").strip())
+    return tuple(head["shape"]), np.dtype(head["descr"]), bool(head["fortran_order"]), at + begin + size
 
 
 def record(data: bytes, at: int) -> tuple[np.ndarray, int]:
     """The array at byte ``at`` and the byte after it."""
-    head, _, begin = _described(data, at)
-    dtype = np.dtype(head["descr"])
-    if dtype.hasobject:
+    stream = io.BytesIO(data)
+    stream.seek(at)
+    shape, kind, fortran, begin = layout(stream)
+    if kind.hasobject:
         raise ValueError("records of Python objects are refused; store numbers")
-    count = int(np.prod(head["shape"], dtype=np.int64))
-    end = begin + count * dtype.itemsize
+    count = int(np.prod(shape, dtype=np.int64))
+    end = begin + count * kind.itemsize
     if end > len(data):
         raise Truncated("the file ends inside a block")
-    values = np.frombuffer(data, dtype, count, begin)
-    return values.reshape(head["shape"], order="F" if head["fortran_order"] else "C"), end
+    return np.frombuffer(data, kind, count, begin).reshape(shape, order="F" if fortran else "C"), end
 
 
 def blocks(data: bytes, permissive: bool = False) -> Iterator[np.ndarray]:
@@ -223,21 +233,6 @@ def read_blocks(spark: SparkSession, path: str, *, pixel_units: bool = False, pe
     return files.mapInPandas(run, "path string, frame long, bead int, axis int, v double")
 
 
-def read_shapes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, frames, first_block_frames, beads, blocks) from the headers only."""
-    files = _files(spark, path)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                shapes = [b.shape for k, b in enumerate(blocks(bytes(content), True)) if k]
-                rows.append((name, sum(s[0] for s in shapes), shapes[0][0] if shapes else 0, shapes[0][1] if shapes else 0, len(shapes)))
-            yield pd.DataFrame(rows, columns=["path", "frames", "first_block_frames", "beads", "blocks"])
-
-    return files.mapInPandas(run, "path string, frames long, first_block_frames long, beads long, blocks long")
-
-
 def split_axes(samples: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, frame, bead, x, y, z): one row per bead and frame; axes that a file lacks are NaN."""
     pick = lambda a: F.coalesce(F.max(F.when(F.col("axis") == a, F.col("v"))), F.lit(float("nan")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import align
 from seqloom.plans import jobs
-from seqloom.sources import discovery, npy, sinks, text
+from seqloom.sources import discovery, npy, ranges, sinks, text
 from seqloom.streaming import windows
 
 
@@ -28,7 +28,7 @@ def test_block_files(spark, tmp_path):
     whole = np.concatenate([a, b]) * [1.0, 2.0, 10.0]
     assert len(got) == 36 and all(got[k] == whole[k] for k in got)
     assert npy.read_blocks(spark, str(tmp_path / "traces.npy"), pixel_units=True).where("frame = 5 and bead = 1 and axis = 2").first()["v"] == b[1, 1, 2]
-    shape = npy.read_shapes(spark, str(tmp_path / "traces.npy")).first()
+    shape = ranges.shapes(spark, str(tmp_path / "traces.npy")).first()
     assert (shape["frames"], shape["first_block_frames"], shape["beads"], shape["blocks"]) == (6, 4, 2, 2)
     wide = npy.split_axes(df, ["path"]).where("frame = 0 and bead = 1").first()
     assert (wide["x"], wide["y"], wide["z"]) == (3.0, 8.0, 50.0)
@@ -151,7 +151,7 @@ def test_dictionary_headers_are_read_without_unpickling(scale, protocol, tmp_pat
     out = io.BytesIO()
     np.save(out, own)
     if protocol == 2:  # an older writer's record: the same header, another pickle
-        start = npy._described(out.getvalue(), 0)[2]
+        start = npy.layout(io.BytesIO(out.getvalue()))[3]
         out = io.BytesIO(out.getvalue()[:start] + pickle.dumps(own, 2))
         out.seek(0, 2)
     np.save(out, block)
@@ -172,3 +172,88 @@ def test_headers_that_would_run_code_are_refused():
         np.save(out, np.array(value, dtype=object), allow_pickle=True)
         with pytest.raises(ValueError):
             list(npy.blocks(out.getvalue()))
+
+
+class Counted(io.BytesIO):
+    """Counts the bytes that are read."""
+
+    taken = 0
+
+    def read(self, n=-1):
+        data = super().read(n)
+        self.taken += len(data)
+        return data
+
+
+def test_block_files_by_byte_ranges(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    parts = [rng.normal(size=(n, 4, 3)) for n in (5, 1, 40)] + [np.asfortranarray(rng.normal(size=(17, 4, 3))), rng.integers(0, 99, (3, 4, 3)).astype(">i2")]
+    npy_file(tmp_path / "traces.npy", [1.0, 2.0, 10.0], *parts)
+    whole = np.concatenate(parts) * [1.0, 2.0, 10.0]
+    for size in (1, 500, 1 << 20):
+        got = ranges.read_blocks(spark, str(tmp_path), slice_bytes=size).toPandas()
+        assert len(got) == whole.size and np.array_equal(got.sort_values(["frame", "bead", "axis"])["v"].to_numpy().reshape(whole.shape), whole)
+    few = ranges.read_blocks(spark, str(tmp_path / "traces.npy"), frames=(4, 9), pixel_units=True, slice_bytes=300).toPandas()
+    assert sorted(few["frame"].unique()) == list(range(4, 9)) and np.array_equal(few.sort_values(["frame", "bead", "axis"])["v"].to_numpy(), np.concatenate(parts)[4:9].ravel())
+    assert ranges.slices(ranges.block_index(spark, str(tmp_path)), 4, 9).agg(F.sum(F.col("b") - F.col("a"))).first()[0] == 5
+    data = (tmp_path / "traces.npy").read_bytes()
+    counted = Counted(data)
+    scale, rows = ranges.scanned(counted, len(data))
+    assert scale == [1.0, 2.0, 10.0] and [r["rows"] for r in rows] == [5, 1, 40, 17, 3] and counted.taken < 160 * (1 + len(parts))
+    (tmp_path / "traces.npy").write_bytes(data[:-1])
+    assert ranges.read_blocks(spark, str(tmp_path), permissive=True).count() == whole[:-3].size
+    with pytest.raises(Exception, match="ends inside"):
+        ranges.read_blocks(spark, str(tmp_path)).count()
+
+
+def test_block_files_beyond_two_gigabytes(spark, tmp_path):
+    frames, last = 1_300_000, np.arange(2 * 100 * 3, dtype=float).reshape(2, 100, 3)
+    with open(tmp_path / "traces.npy", "wb") as f:
+        np.save(f, np.array([1.0]))
+        np.lib.format.write_array_header_1_0(f, {"descr": "<f8", "fortran_order": False, "shape": (frames, 100, 3)})
+        f.seek(frames * 100 * 3 * 8, 1)  # a hole: it takes no room
+        np.save(f, last)
+    assert (tmp_path / "traces.npy").stat().st_size > 3 * 10**9
+    shape = ranges.shapes(spark, str(tmp_path)).first()
+    assert (shape["frames"], shape["beads"], shape["blocks"]) == (frames + 2, 100, 2)
+    cut = ranges.slices(ranges.block_index(spark, str(tmp_path)))
+    assert cut.count() > 90 and cut.agg(F.max((F.col("b") - F.col("a")) * F.col("width") * 8)).first()[0] <= ranges.SLICE_BYTES
+    got = ranges.read_blocks(spark, str(tmp_path), frames=(frames - 3, None)).toPandas().sort_values(["frame", "bead", "axis"])
+    assert len(got) == 5 * 300 and np.array_equal(got["v"].to_numpy()[900:], last.ravel()) and (got["v"].to_numpy()[:900] == 0).all()
+
+
+@pytest.mark.parametrize("save", [np.savez, np.savez_compressed])
+def test_datasets_in_npz_files(spark, tmp_path, save):
+    rng = np.random.default_rng(2)
+    n, longest = 300, 50
+    lengths = rng.integers(2, longest, n)
+    traces, times = np.full((n, longest), np.nan), np.full((n, longest), np.nan)
+    for k, m in enumerate(lengths):
+        traces[k, :m], times[k, :m] = rng.normal(size=m), np.arange(m) * 0.1
+    traces[3, lengths[3] - 1] = np.nan  # a sample lost at the end
+    save(tmp_path / "set.npz", traces=traces, times=times, traces_sktime=traces[:, None, :5], traces_sktime_2d=traces[:, :5], labels=np.arange(n) % 2, n_traces=n, format_version=np.array("2"), meta=np.array([{"a": 1}], dtype=object))
+    index = {r["name"]: (r["rows"], r["width"]) for r in ranges.npz_index(spark, str(tmp_path / "set.npz")).collect()}
+    assert index["traces"] == (n, longest) and index["traces_sktime"] == (n, 5) and index["labels"] == (n, 1) and index["n_traces"] == (1, 1) and "meta" not in index
+    got = {r["row"]: r["v"] for r in ranges.read_npz(spark, str(tmp_path), "traces", rows=(10, 250), slice_bytes=4000).collect()}
+    assert sorted(got) == list(range(10, 250)) and all(np.array_equal(got[k], traces[k], equal_nan=True) for k in got)
+    rows = ranges.read_dataset(spark, str(tmp_path)).collect()
+    assert len(rows) == n
+    for r in rows:
+        m = lengths[r["id"]] - (r["id"] == 3)
+        assert r["label"] == r["id"] % 2 and np.array_equal(r["z"], traces[r["id"], :m], equal_nan=True) and np.allclose(r["t"], times[r["id"], :m])
+    save(tmp_path / "fixed.npz", X=traces[:, :5])
+    fixed = ranges.read_dataset(spark, str(tmp_path / "fixed.npz")).where("id = 7").first()
+    assert len(fixed["z"]) == 5 and fixed["label"] is None and fixed["t"] is None
+
+
+def test_directories_of_large_archives():
+    # a 64-bit entry: sizes and place stand in its extra field
+    import zipfile
+
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", allowZip64=True) as z, z.open("a.npy", "w", force_zip64=True) as f:
+        np.save(f, np.arange(3.0))
+    raw = data.getvalue()
+    assert [(m[0], m[1], m[3]) for m in ranges.members(io.BytesIO(raw), len(raw))] == [("a.npy", 0, 0)]
+    with pytest.raises(npy.Truncated):
+        ranges.members(io.BytesIO(raw[:40]), 40)
