@@ -29,9 +29,9 @@ MODELS = {
     "boosting": lambda seed: GBTClassifier(maxIter=20, seed=seed),
 }
 #: Names of time-series ensembles without a counterpart here.
-UNSUPPORTED = frozenset({"boss", "weasel", "minirocket", "hivecotev1", "hivecotev2", "custom"})
-#: Models of whole traces, for ``fit_traces``.
-TRACE_MODELS = ("tsf", "rocket", "weighted_ensemble")
+UNSUPPORTED = frozenset({"hivecotev1", "hivecotev2", "custom"})
+#: Models of whole traces, for ``fit_traces``; the last three are pipelines of ``traceml``.
+TRACE_MODELS = ("tsf", "rocket", "weighted_ensemble", "minirocket", "boss", "weasel")
 
 
 def create_model(name: str, seed: int = 42):
@@ -110,10 +110,11 @@ def normal_equations(df: DataFrame, features: str = "features", label: str = "la
 def ridge(df: DataFrame, alpha: float | None = None, features: str = "features", label: str = "label", sample: int = 20_000) -> tuple[np.ndarray, float, float]:
     """Ridge weights, intercept and alpha on an array column.
 
-    ``alpha`` is chosen by leave-one-out error on at most ``sample`` rows if it isn't given; weights come from all rows.
+    ``alpha`` is chosen by leave-one-out error on at most ``sample`` rows (the least by a hash of their values) if it
+    isn't given; weights come from all rows.
     """
     if alpha is None:
-        rows = df.select(features, label).limit(sample).toPandas()
+        rows = df.select(features, label).orderBy(F.xxhash64(features, label), features, label).limit(sample).toPandas()
         alpha = ridge_classifier(np.stack(rows[features].to_numpy()), rows[label].to_numpy())[2]
     xx, xy, sx, sy, n = normal_equations(df, features, label)
     mean = sx / n
@@ -132,10 +133,16 @@ def fit_traces(df: DataFrame, keys: list[str], name: str, label: str = "label",
     """A model of whole traces (keys..., z, label) by name, as a function that adds ``p`` and ``share``, its probability of 1.
 
     ``tsf`` is a forest on interval features, ``rocket`` ridge on kernel features (share 0 or 1), and
-    ``weighted_ensemble`` the weighted mean of its members' shares (equal weights by default).
+    ``weighted_ensemble`` the weighted mean of its members' shares (equal weights by default); ``minirocket``,
+    ``boss`` and ``weasel`` are ridge on the features of ``traceml`` (share 0 or 1).
     """
     if name not in TRACE_MODELS:
         raise ValueError(f"model not available: {name}")
+    if name in TRACE_MODELS[3:]:
+        from seqloom.operators.traceml import trace_pipeline
+
+        pipeline = trace_pipeline(name, n_features, seed=seed).fit(df.select("z", F.col(label).alias("label")))
+        return lambda rows: rows.join(pipeline.transform(rows.select(*keys, "z")).select(*keys, "p", F.col("p").cast("double").alias("share")), keys)
     if name == "weighted_ensemble":
         each = [(f"__{i}", fit_traces(df, keys, m, label, seed, n_features), w) for i, (m, w) in enumerate(zip(members, weights or (1.0,) * len(members), strict=True))]
 

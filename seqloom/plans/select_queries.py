@@ -129,6 +129,38 @@ def _evaluated(s, d):
     return rounded(models.fit_evaluate(train, {"train": train, "test": test}, F8, ["tree", "logistic"]))
 
 
+def _series(s, d):
+    return tr.as_arrays(trace(s, d), ["bead"], "z")
+
+
+def _words(s, d):
+    from seqloom.operators.traceml import SymbolicWords
+
+    rows = _series(s, d)
+    words = SymbolicWords(windows=[8], pairs=False)
+    return words.counts(rows, ["bead"], words.learned_edges(rows))
+
+
+def _minirocket(s, d):
+    from seqloom.operators.traceml import trace_pipeline
+
+    rows = _series(s, d).withColumn("label", (F.col("bead") % 2).cast("int"))
+    told = trace_pipeline("minirocket", 504).fit(rows.where("bead % 4 < 2")).transform(rows)
+    return rounded(told.select("bead", "label", "p", F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("total")))
+
+
+#: Windows of eight samples, their first two Fourier coefficients, and bins whose bounds are the values at ranks ceil(q * n).
+_WORDS = "WITH " + TRACE + """,
+k AS (SELECT unnest([1, 2]) AS k),
+v AS (SELECT a.bead, a.frame, k, count(*) AS n, round(sum(b.z * cos(2.0::DOUBLE * pi() * k * (b.frame - a.frame) / 8)), 9) AS re, round(-sum(b.z * sin(2.0::DOUBLE * pi() * k * (b.frame - a.frame) / 8)), 9) AS im
+  FROM trace a JOIN trace b ON b.bead = a.bead AND b.frame BETWEEN a.frame AND a.frame + 7 CROSS JOIN k GROUP BY 1, 2, 3 HAVING count(*) = 8),
+x AS (SELECT bead, frame, 2 * k - 2 AS i, re AS x FROM v UNION ALL SELECT bead, frame, 2 * k - 1, im FROM v),
+r AS (SELECT i, x, row_number() OVER (PARTITION BY i ORDER BY x) AS r, count(*) OVER (PARTITION BY i) AS n FROM x),
+e AS (SELECT i, max(CASE WHEN r = ceil(0.25 * n) THEN x END) AS q1, max(CASE WHEN r = ceil(0.5 * n) THEN x END) AS q2, max(CASE WHEN r = ceil(0.75 * n) THEN x END) AS q3 FROM r GROUP BY i),
+w AS (SELECT bead, frame, string_agg(CAST(CAST(x > q1 AS INT) + CAST(x > q2 AS INT) + CAST(x > q3 AS INT) AS VARCHAR), '' ORDER BY i) AS w FROM x JOIN e USING (i) GROUP BY bead, frame)
+SELECT bead, '8:' || w AS word, count(*) AS n FROM w GROUP BY 1, 2"""
+
+
 def _simulated(s, d):
     made = generate.simulated(trace(s, d), ["bead"], "frame", noise=10.0)
     return rounded(made.groupBy("bead").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("t_end"), F.avg("clean").alias("clean"), F.stddev_pop(F.col("z") - F.col("clean")).alias("noise")), digits=4)
@@ -340,6 +372,8 @@ SELECT draw, doc_id, quality, toxic FROM d JOIN r USING (i)""",
     "discriminator": (lambda s, d: rounded(models.discriminator(_features(s, d).where("label = 1"), _features(s, d).where("label = 0"), F8)), None),
     "global_kmeans": (lambda s, d: models.kmeans(_emb(s, d), 3).select("id", "label"), None),
     "global_mixture": (lambda s, d: models.mixture(models.pca(_emb(s, d), 3).select("id", F.col("scores").alias("v")), 2).select("id", "label"), None),
+    "symbolic_words": (_words, _WORDS),
+    "minirocket_classifier": (_minirocket, None),
     "simulated_traces": (_simulated, _SIMULATED),
     "split_traces": (_split, _SPLIT),
     "usable_states": (
