@@ -36,6 +36,8 @@ from seqloom.operators.models import normal_equations, ridge_predict
 from seqloom.runtime import in_batches
 
 KERNELS = np.array(list(combinations(range(9), 3)))
+#: Coefficients whose quantiles are exact, at most; those of more come from a sketch (off by a rank in 10,000).
+EXACT_VALUES = 1_000_000
 GOLDEN = (np.sqrt(5) + 1) / 2
 
 
@@ -227,7 +229,7 @@ class SymbolicWords(_Words, Estimator, DefaultParamsReadable, DefaultParamsWrita
         self._columns(**self._input_kwargs)
 
     def learned_edges(self, df: DataFrame) -> list[float]:
-        """Equally deep bins of every window size and value; a quantile sketch over all windows."""
+        """Equally deep bins of every window size and value; exact up to ``EXACT_VALUES`` values, a quantile sketch over all windows beyond."""
         sizes, values, letters, normed = (self.getOrDefault(p) for p in ("windows", "values", "letters", "normed"))
 
         def compute(traces: list) -> list[list]:
@@ -237,7 +239,9 @@ class SymbolicWords(_Words, Estimator, DefaultParamsReadable, DefaultParamsWrita
         rows = in_batches(df, [self.getOrDefault("inputCol")], [], "v array<array<double>>", compute)
         long = rows.select(F.posexplode("v").alias("size", "v")).select("size", F.posexplode("v").alias("k", "x")).withColumn("k", F.col("k") % values)
         levels = [(k + 1) / letters for k in range(letters - 1)]
-        found = {(r["size"], r["k"]): r["q"] for r in long.groupBy("size", "k").agg(F.percentile_approx("x", levels, 10_000).alias("q")).collect()}
+        few = long.limit(EXACT_VALUES + 1).count() <= EXACT_VALUES
+        quantiles = F.array(*[F.expr(f"percentile_disc({q!r}) WITHIN GROUP (ORDER BY x)") for q in levels]) if few else F.percentile_approx("x", levels, 10_000)
+        found = {(r["size"], r["k"]): r["q"] for r in long.groupBy("size", "k").agg(quantiles.alias("q")).collect()}
         return [x for s in range(len(sizes)) for k in range(values) for x in found.get((s, k), [0.0] * (letters - 1))]
 
     def counts(self, df: DataFrame, keys: list[str], edges: list[float]) -> DataFrame:
