@@ -7,9 +7,7 @@ are residual conditions or, for traces without a selective key, run through time
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -139,34 +137,21 @@ def rotation_regions(script: DataFrame, keys: list[str], zero_tol: float = 1e-6)
 def relative_regions(script: DataFrame, keys: list[str], speed: float = 0.3, allowance: int = 1) -> DataFrame:
     """(keys, region_id, t0, t1): runs of moves at a speed that bridge up to ``allowance`` others.
 
-    The end is the start of the last bridged move; an open run ends so, or at the last move if it bridged none. One script is one small group.
+    The end is the start of the last bridged move; an open run ends so, or at the last move if it bridged none.
     """
-    fields = [f for f in script.schema.fields if f.name in keys]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", region_id int, t0 double, t1 double"
-
-    def runs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        found, start, end, gap = [], None, None, 0
-        for t, s in zip(pdf["t0"], pdf["mag_speed"], strict=True):
-            if s == speed:
-                gap = 0
-                start = t if start is None else start
-            elif start is not None:
-                if gap < allowance:
-                    end, gap = t, gap + 1
-                else:
-                    found.append((start, -1.0 if end is None else end))
-                    start = end = None
-                    gap = 0
-        if start is not None:
-            found.append((start, pdf["t0"].iloc[-1] if end is None else end))
-        out = pd.DataFrame(found, columns=["t0", "t1"])
-        out.insert(0, "region_id", range(len(out)))
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    return script.groupBy(*keys).applyInPandas(runs, schema)
+    w = W.partitionBy(*keys).orderBy("seq")
+    hit = F.col("mag_speed") == speed
+    rows = script.withColumn("hit", F.coalesce(hit, F.lit(False))).withColumn("hits", F.sum(F.col("hit").cast("long")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    # moves since the last one at the speed; the first that can't be bridged closes the run
+    rows = rows.withColumn("since", F.row_number().over(W.partitionBy(*keys, "hits").orderBy("seq")) - 1).where("hits > 0")
+    rows = rows.withColumn("closes", (~F.col("hit") & (F.col("since") == allowance + 1)).cast("long"))
+    rows = rows.withColumn("region_id", F.sum("closes").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("closes"))
+    bridged = F.when(~F.col("hit") & (F.col("since") <= allowance), F.col("seq"))
+    last = script.groupBy(*keys).agg(F.max_by("t0", "seq").alias("last"))
+    runs = rows.groupBy(*keys, "region_id").agg(F.min_by("t0", F.when(F.col("hit"), F.col("seq"))).alias("start"), F.max_by("t0", bridged).alias("end"), F.max("closes").alias("closed"), F.bool_or("hit").alias("any"))
+    found = runs.where("any").join(last, keys)
+    end = F.coalesce("end", F.when(F.col("closed") == 1, F.lit(-1.0)).otherwise(F.col("last")))
+    return found.select(*keys, F.col("region_id").cast("int").alias("region_id"), F.col("start").alias("t0"), end.alias("t1"))
 
 
 def clipped(frames: DataFrame, regions: DataFrame, keys: list[str], bucket: float | None = None, within: list[str] | None = None) -> DataFrame:

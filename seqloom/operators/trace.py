@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.functions.arrays import edge_padded, finite, missing_to_null, padded, resampled, segments
+from seqloom.runtime import materialized
 
 UP_TO_HERE = (W.unboundedPreceding, W.currentRow)
 FROM_HERE = (W.currentRow, W.unboundedFollowing)
@@ -116,14 +117,21 @@ def summarised(features: DataFrame, names: list[str]) -> DataFrame:
 def distances(long: DataFrame, group: list[str], side: str, value: str, first: str, second: str) -> DataFrame:
     """Two-sample KS statistic, Wasserstein-1 distance and medians of ``value`` between two sides.
 
-    Equal values are summed first, so the windows run over distinct values.
+    Equal values are summed first. Distinct values are dealt out in ranges; what lies before a
+    range, and the value that follows it, come from one row a range, so no task holds all
+    values of a group.
     """
     a, b = (F.col(side) == first).cast("long"), (F.col(side) == second).cast("long")
     counts = long.where(F.col(side).isin(first, second)).groupBy(*group, value).agg(F.sum(a).alias("na"), F.sum(b).alias("nb"))
-    w = W.partitionBy(*group).orderBy(value)
-    whole = W.partitionBy(*group)
-    cdf = lambda c: F.sum(c).over(w.rowsBetween(*UP_TO_HERE)) / F.sum(c).over(whole)
-    steps = counts.withColumn("gap", F.abs(cdf("na") - cdf("nb"))).withColumn("width", F.lead(value).over(w) - F.col(value))
+    dealt = materialized(counts.repartitionByRange(*group, value).withColumn("__r", F.spark_partition_id()))
+    parts = dealt.groupBy(*group, "__r").agg(F.sum("na").alias("ra"), F.sum("nb").alias("rb"), F.min(value).alias("low"))
+    own = W.partitionBy(*group).orderBy("__r")
+    before, whole = own.rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*group)
+    parts = parts.select(*group, "__r", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"b{c}") for c in ("ra", "rb")], *[F.sum(c).over(whole).alias(f"t{c}") for c in ("ra", "rb")], F.lead("low").over(own).alias("next"))
+    w = W.partitionBy(*group, "__r").orderBy(value)
+    rows = dealt.join(parts, [*group, "__r"])
+    cdf = lambda c, r: (F.col(f"b{r}") + F.sum(c).over(w.rowsBetween(*UP_TO_HERE))) / F.col(f"t{r}")
+    steps = rows.withColumn("gap", F.abs(cdf("na", "ra") - cdf("nb", "rb"))).withColumn("width", F.coalesce(F.lead(value).over(w), "next") - F.col(value))
     shape = steps.groupBy(*group).agg(F.max("gap").alias("ks_stat"), F.sum(F.col("gap") * F.col("width")).alias("wasserstein"))
     medians = long.groupBy(*group).agg(
         F.median(F.when(F.col(side) == first, F.col(value))).alias("real_median"), F.median(F.when(F.col(side) == second, F.col(value))).alias("synthetic_median")
@@ -276,8 +284,7 @@ def matched_to(df: DataFrame, target: DataFrame) -> DataFrame:
 def longest_steady_run(df: DataFrame, group: list[str], n_std: float = 2.0, min_fraction: float = 0.95) -> DataFrame:
     """Longest run of frames in which enough beads lie within n deviations of the overall mean: (start, end, length)."""
     z = missing_to_null(F.col("z"))
-    whole = W.partitionBy(*group)
-    spread = df.withColumn("m", F.avg(z).over(whole)).withColumn("s", F.stddev_pop(z).over(whole))
+    spread = df.join(df.groupBy(*group).agg(F.avg(z).alias("m"), F.stddev_pop(z).alias("s")), group)
     frames = spread.groupBy(*group, "frame").agg(F.avg((F.abs(F.col("z") - F.col("m")) <= n_std * F.col("s")).cast("double")).alias("share"))
     w = W.partitionBy(*group).orderBy("frame")
     runs = frames.withColumn("ok", F.coalesce(F.col("share") >= min_fraction, F.lit(False))).withColumn("run", F.sum((~F.col("ok")).cast("long")).over(w.rowsBetween(*UP_TO_HERE)))

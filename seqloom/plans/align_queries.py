@@ -57,6 +57,18 @@ def _slice(s, d):
     return rounded(curves.energy_totals(rows.select("bead", "region_id", "frame", F.col("z").alias("x"), "f"), ["bead", "region_id"]))
 
 
+#: The same as a machine that reads one move after another: (start, end, gap) and the run that a move closes.
+_RELATIVE = "WITH RECURSIVE " + _SCR.removeprefix("WITH ") + """, m AS (SELECT bead, seq, t0, mag_speed = 0.3::DOUBLE AS hit, max(seq) OVER (PARTITION BY bead) AS last FROM script),
+run AS (
+  SELECT bead, CAST(-1 AS BIGINT) AS seq, NULL::DOUBLE AS a, NULL::DOUBLE AS b, 0 AS gap, NULL::DOUBLE AS ca, NULL::DOUBLE AS cb FROM m WHERE seq = 0
+  UNION ALL
+  SELECT m.bead, m.seq, CASE WHEN hit THEN coalesce(a, t0) WHEN gap < 1 THEN a END, CASE WHEN hit THEN b WHEN a IS NOT NULL AND gap < 1 THEN t0 END, CASE WHEN hit OR a IS NULL THEN 0 WHEN gap < 1 THEN gap + 1 ELSE 0 END,
+    CASE WHEN NOT hit AND a IS NOT NULL AND gap >= 1 THEN a END, CASE WHEN NOT hit AND a IS NOT NULL AND gap >= 1 THEN coalesce(b, -1.0) END
+  FROM run JOIN m ON m.bead = run.bead AND m.seq = run.seq + 1),
+ends AS (SELECT bead, ca AS t0, cb AS t1 FROM run WHERE ca IS NOT NULL UNION ALL SELECT run.bead, a, coalesce(b, m.t0) FROM run JOIN m ON m.bead = run.bead AND m.seq = run.seq AND m.seq = m.last WHERE a IS NOT NULL)
+SELECT bead, CAST(row_number() OVER (PARTITION BY bead ORDER BY t0) - 1 AS INT) AS region_id, round(t0, 6) AS t0, round(t1, 6) AS t1 FROM ends"""
+
+
 QUERIES = {
     "script_events": (lambda s, d: rounded(script(s, d)), _SCR + " SELECT bead, seq, round(t0, 6) AS t0, round(t1, 6) AS t1, round(mag_pos, 6) AS mag_pos, round(mag_speed, 6) AS mag_speed, round(mag_rot, 6) AS mag_rot, round(rot_speed, 6) AS rot_speed FROM script"),
     "interval_script": (
@@ -87,7 +99,7 @@ SELECT bead, seq, round(t0, 6) AS t0, round(t0 + CASE WHEN NOT abso AND len > 0
         _SCR + _FORCE + " SELECT bead, row_number() OVER (PARTITION BY bead ORDER BY seq) - 1 AS region_id, round(t0, 6) AS t0, round(t1, 6) AS t1 FROM f WHERE mag_pos < prev",
     ),
     "rotation_regions": (lambda s, d: rounded(op.rotation_regions(_rotation_script(s, d), B)), _SCR + _ROT + " SELECT bead, region_id, round(t0, 6) AS t0, round(t1, 6) AS t1 FROM rot"),
-    "relative_regions": (lambda s, d: rounded(op.relative_regions(script(s, d), B)), None),
+    "relative_regions": (lambda s, d: rounded(op.relative_regions(script(s, d), B)), _RELATIVE),
     "clipped_to_regions": (
         lambda s, d: rounded(_regions_joined(s, d).select("bead", "region_id", "rn", "frame", "z")),
         "WITH " + FRAMES + ", " + SCRIPT + ", " + _SPEED + " SELECT f.bead, region_id, row_number() OVER (PARTITION BY f.bead, region_id ORDER BY f.t, f.frame) - 1 AS rn, frame, round(z, 6) AS z FROM frames f JOIN fr ON fr.bead = f.bead AND f.t BETWEEN fr.t0 AND fr.t1",

@@ -120,7 +120,13 @@ pts AS (SELECT bead, rn AS k, 100.0::DOUBLE * (s / max(s) OVER (PARTITION BY bea
 want AS (SELECT DISTINCT exp_id, bead, CAST(i AS INT) AS pos, 0 + 100.0::DOUBLE * i / {N - 1}.0::DOUBLE AS g FROM ne, range({N}) r(i) WHERE bead IN (SELECT bead FROM pts)), {_INTERP}
 SELECT exp_id, bead, pos, round(v, 4) AS v FROM v""",
     ),
-    "representation_landmark_quartiles": (_rep("landmark_quartiles"), None),
+    "representation_landmark_quartiles": (
+        _rep("landmark_quartiles"),
+        _C + """, g AS (SELECT exp_id, bead, xs, es, fs, n, CAST(i AS INT) AS pos, ((i % 3) + 1) * 0.25::DOUBLE AS q FROM ne, range(6) r(i) WHERE list_max(es) > list_min(es) AND list_max(xs) > list_min(xs)),
+t AS (SELECT *, CASE WHEN pos < 3 THEN es ELSE xs END AS k, CASE WHEN pos < 3 THEN xs ELSE fs END AS v FROM g),
+u AS (SELECT *, list_min(k) + q * (list_max(k) - list_min(k)) AS goal FROM t), w AS (SELECT *, len(list_filter(k, lambda e: e <= u.goal)) AS i FROM u)
+SELECT exp_id, bead, pos, round(CASE WHEN i >= n THEN v[n] ELSE v[i] + (v[i + 1] - v[i]) * (w.goal - k[i]) / (k[i + 1] - k[i]) END, 6) AS v FROM w""",
+    ),
     "representation_no_partition": (
         _rep("no_partition"),
         _C + f", m AS (SELECT least(max(n), {N}) AS m FROM ne), q AS (SELECT exp_id, bead, es, n, m, CAST(i AS INT) AS pos, i * (n - 1) / greatest(m - 1, 1)::DOUBLE AS p FROM ne, m, range({N}) r(i) WHERE i < m) SELECT exp_id, bead, pos, round(CASE WHEN n <= m THEN CASE WHEN pos < n THEN es[pos + 1] END ELSE {_at('es', 'p', 'n')} END, 6) AS v FROM q",

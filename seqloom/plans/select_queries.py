@@ -494,11 +494,19 @@ def _windows(s, d):
     return rounded(windows.windowed(e, "6 hours").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "mean", "ptp"))
 
 
+_SCORED_RULES = "WITH " + TRACE + """,
+s AS (SELECT *, z - lag(z) OVER (PARTITION BY exp_id, bead ORDER BY frame) AS d FROM trace),
+r AS (SELECT *, sum(CASE WHEN coalesce(abs(d) <= 1e-6, false) THEN 0 ELSE 1 END) OVER (PARTITION BY exp_id, bead ORDER BY frame ROWS UNBOUNDED PRECEDING) AS run FROM s),
+l AS (SELECT *, count(*) FILTER (abs(d) <= 1e-6) OVER (PARTITION BY exp_id, bead, run) AS len FROM r),
+f AS (SELECT exp_id, bead, bead % 2 AS y, CASE WHEN stddev_pop(z) <= 1e-6 OR max(len) >= 3 OR coalesce(max(abs(d)) > 2.5 * CASE WHEN coalesce(stddev_pop(d), 0) <= 0 THEN 1e-10 ELSE stddev_pop(d) END, false) THEN 0 ELSE 1 END AS p FROM l GROUP BY 1, 2)
+SELECT exp_id, count(*) FILTER (y = 1 AND p = 1) AS tp, count(*) FILTER (y = 0 AND p = 0) AS tn, count(*) FILTER (y = 0 AND p = 1) AS fp, count(*) FILTER (y = 1 AND p = 0) AS fn, count(*) AS n, count(*) FILTER (y = p) AS correct, round(count(*) FILTER (y = p) / count(*), 6) AS accuracy, 'rules' AS method FROM f GROUP BY exp_id"""
+
+
 QUERIES |= {
     "evaluated_pipelines": (_evaluation, None),
     "ensemble_pipelines": (_ensemble, None),
     "result_rows": (_result_rows(-1), _result_sql(-1)),
     "result_rows_of_extension": (_result_rows(1), _result_sql(1)),
-    "scored_rules": (_scored_rules, None),
+    "scored_rules": (_scored_rules, _SCORED_RULES),
     "event_windows": (_windows, "SELECT strftime(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(max(value) - min(value), 6) AS ptp FROM events GROUP BY 1, 2"),
 }
