@@ -13,7 +13,10 @@ name-literal pairs among them: assignments in source code (``x = "…"``, ``x :=
 values and blocks on the next lines), INI and environment files (``X=…``), keyword arguments,
 arguments of a call that gives the value (``x = f("…")``), a call's first argument as a name for
 its second (``set("x", "…")``, ``environ.get("X", "…")``), command flags (``--x=…``,
-``--x …``), XML elements (``<x>…</x>``) and name-value attributes (``name="x" value="…"``).
+``--x …``), XML elements (``<x>…</x>``), name-value attributes (``name="x" value="…"``), objects
+with a value (``"x": {"value": "…"}``) and definitions (``#define X "…"``). A value may be a prefixed
+literal (``b"…"``), stand in parentheses or brackets, be a choice (``y or "…"``, ``y || "…"``,
+``y ? z : "…"``, ``"…" if y else "…"``) or go on in the next literal, across a continued line as well.
 
 Names that stand for other names are resolved: ``a = "…"`` followed by ``client_secret = a``
 scores the literal at ``a`` by the name ``client_secret``; joined literals (``"ab" + "cd"``)
@@ -65,7 +68,7 @@ _TOKEN = re.compile(
       (?P<long>\"{3}(?:[^"\\]|\\.|"(?!""))*"{3}|'{3}(?:[^'\\]|\\.|'(?!''))*'{3})
     | (?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
     | (?P<name>[A-Za-z_$][\w$-]*(?:\.[A-Za-z_$][\w$-]*)*)
-    | (?P<op>:=|=>|==+|!=|<=|>=|[=:+])
+    | (?P<op>\|\|=|\?\?=|<-(?=\s)|:=|=>|==+|!=|<=|>=|[=:+])
     | (?P<raw>[^\s"'`=:+,;(){}\[\]<>&|]+)
     | (?P<end>[\n,;(){}\[\]<>&|])
     """,
@@ -77,6 +80,8 @@ _CONSTANT = re.compile(r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: What a text must hold for any name in it to be sensitive, in lower case.
 _STEMS = sorted({next((t for t in SENSITIVE if t != s and t in s), s) for s in SENSITIVE})
+#: Signs between a name and its value; letters before a literal; words and signs between alternatives; words that define a name.
+_SIGNS, _PREFIXES, _OR, _DEFINES = ("=", ":", ":=", "=>", "||=", "??=", "<-"), {"b", "r", "u", "f", "br", "rb", "fr", "rf"}, {"or", "??", "?:"}, {"#define", "setenv"}
 #: Attributes that hold a name, and those that hold its value; words before a value.
 _NAMING, _VALUING, _BEFORE = {"name", "key", "id"}, {"value", "content", "default", "text"}, {"await", "new"}
 
@@ -111,13 +116,16 @@ def literal_weight(value: str) -> float:
     n = len(value)
     if n < 6 or value.lower() in PLACEHOLDERS or len(set(value)) < 4 or value.isspace() or value.startswith(("${", "{{", "<", "%(")):
         return 0.0
-    if value.count(" ") > 3:
+    if value.count(" ") > 3 or value.count(" ") == 1 and all(w.isalpha() and w.islower() for w in value.split()):
         return 0.1
     classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value)
     entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
     return min(1.0, 0.2 * classes + 0.12 * entropy + 0.01 * min(n, 40))
 
 
+_CLOSE = {"(": (")",), "[": ("]",)}
+
+
 class _Parser:
     """Name-literal pairs of a text: (name, operands), an operand being (kind, value, start, end)."""
 
@@ -141,6 +149,19 @@ class _Parser:
                     out[waiting.pop()] = k
         return out
 
+    def _prefix(self, k: int) -> bool:
+        """Whether token ``k`` is the prefix of a literal that touches it."""
+        kind, t, _, end = self.tokens[k]
+        return kind == "name" and t.lower() in _PREFIXES and k + 1 < len(self.tokens) and self.tokens[k + 1][0] == "str" and self.tokens[k + 1][2] == end
+
+    def _else(self, k: int) -> int | None:
+        """The token after the ``else`` of a condition that begins at ``k``, if it stands before any separator."""
+        while k < len(self.tokens) and self.tokens[k][0] not in ("end", "op"):
+            if self.tokens[k][1] == "else":
+                return k + 1
+            k += 1
+        return None
+
     def _is(self, k: int, *lexemes: str) -> bool:
         return 0 <= k < len(self.tokens) and self.tokens[k][1] in lexemes and self.tokens[k][0] in ("end", "op")
 
@@ -183,6 +204,7 @@ class _Parser:
         """What a call whose ``(`` is at ``k`` is given: literals and names that are whole arguments, but not names of settings."""
         tokens, stop, out, j, first = self.tokens, self.closing.get(k), [], k + 1, True
         while stop is not None and j < stop:
+            j += self._prefix(j)
             kind, t, start, end = tokens[j]
             whole = self._is(j + 1, ",", "\n") or j + 1 == stop
             if kind == "str" and whole:
@@ -200,11 +222,50 @@ class _Parser:
     def _value(self, j: int) -> tuple[list[tuple[str, str, int, int]], int]:
         """Operands of the value at token ``j``, and where to read on."""
         tokens, n, operands, want, resume = self.tokens, len(self.tokens), [], True, None
+        groups: list[str] = []  # open parentheses and brackets of the value
+        choice = False
         while j < n:
             kind, t, start, end = tokens[j]
+            if want and self._is(j, "(", "[") and not self._is(j + 1, ")", "]"):
+                groups.append(t)
+                j += 1
+                continue
+            if groups and (self._is(j, "\n") or want and self._is(j, *_CLOSE[groups[-1]])):
+                j += 1 if self._is(j, "\n") else 0
+                if self._is(j, *_CLOSE[groups[-1]]):
+                    groups.pop()
+                    j, want = j + 1, False
+                continue
+            if not want and groups and self._is(j, *_CLOSE[groups[-1]]):
+                groups.pop()
+                j += 1
+                continue
+            if not want and groups and groups[-1] == "[" and self._is(j, ","):
+                j, want = j + 1, True
+                continue
+            if not want:
+                after = None  # where a further operand of the same value begins
+                if t in _OR and kind in ("name", "raw"):
+                    after = j + 1
+                elif self._is(j, "|") and self._is(j + 1, "|"):
+                    after = j + 2
+                elif kind == "raw" and t == "?" or choice and self._is(j, ":"):
+                    after, choice = j + 1, kind == "raw"
+                elif kind == "name" and t == "if":
+                    after = self._else(j + 1)
+                elif kind == "str" or self._prefix(j):
+                    after = j if operands[-1][0] == "str" else None
+                elif kind == "raw" and t == "\\" and self._is(j + 1, "\n") and j + 2 < n and (tokens[j + 2][0] == "str" or self._prefix(j + 2)):
+                    after = j + 2
+                if after is not None:
+                    j, want = after, True
+                    continue
+            if want and self._prefix(j):
+                j += 1
+                continue
             if want and kind == "str":
                 operands.append(self._literal(j))
-            elif want and kind == "name" and self._is(j + 1, ":", "=", "=>"):
+            elif want and kind == "name" and self._is(j + 1, *_SIGNS) and not (choice and self._is(j + 1, ":")):
                 break  # the next pair begins
             elif want and kind == "name" and t in _BEFORE and j + 1 < n and tokens[j + 1][0] == "name":
                 j += 1
@@ -267,10 +328,16 @@ class _Parser:
 
     def _read(self) -> None:
         tokens, k, n, held = self.tokens, 0, len(self.tokens), None
+        owners: list[str | None] = []  # names whose value is the object around token k
+        owner: dict[int, str] = {}
         while k + 1 < n:
             kind, t, _, end = tokens[k]
             follows = tokens[k + 1]
-            name = self._named(k) if follows[0] == "op" and follows[1] in ("=", ":", ":=", "=>") else None
+            if self._is(k, "{"):
+                owners.append(owner.get(k))
+            elif self._is(k, "}") and owners:
+                owners.pop()
+            name = self._named(k) if follows[0] == "op" and follows[1] in _SIGNS else None
             if name is not None:
                 targets = self._targets(k) if kind == "name" and follows[1] == "=" else []
                 if targets:
@@ -288,8 +355,12 @@ class _Parser:
                 operands, j = self._value(at + 1)
                 if not operands and follows[1] == ":":
                     operands = self._below(k, k + 2)
+                if self._is(at + 1, "{"):
+                    owner[at + 1] = name
                 if operands:
                     self.pairs.append((name, operands))
+                    if owners and owners[-1] is not None and name.lower() in _VALUING:
+                        self.pairs.append((owners[-1], operands))
                     if held is not None and k - held[1] <= 3 and name.lower() in _VALUING:
                         self.pairs.append((held[0], operands))
                     single = name.lower() in _NAMING and len(operands) == 1 and operands[0][0] in ("str", "name") and _IDENTIFIER.fullmatch(operands[0][1])
@@ -297,7 +368,10 @@ class _Parser:
                 # what stands between the two signs of a declaration may be a name of the value, too
                 k = max(j, k + 2) if at == k + 1 else k + 2
                 continue
-            if kind == "raw" and t.startswith("-") and len(t) > 2 and follows[0] in ("str", "name", "raw") and not follows[1].startswith("-") and follows[2] > end and not self._is(k + 2, "=", ":"):
+            if t in _DEFINES and kind in ("raw", "name") and follows[0] == "name" and k + 2 < n and tokens[k + 2][0] in ("str", "name", "raw"):
+                operands, _ = self._value(k + 2)
+                self.pairs.append((follows[1], operands))
+            elif kind == "raw" and t.startswith("-") and len(t) > 2 and follows[0] in ("str", "name", "raw") and not follows[1].startswith("-") and follows[2] > end and not self._is(k + 2, "=", ":"):
                 operands, _ = self._value(k + 1)
                 self.pairs.append((t.lstrip("-"), operands))
             elif kind == "name" and self._is(k + 1, "(") and follows[2] == end and k + 3 < n and tokens[k + 2][0] == "str" and self._is(k + 3, ",") and _IDENTIFIER.fullmatch(tokens[k + 2][1][1:-1]):
@@ -309,7 +383,7 @@ class _Parser:
 def literal_spans(text: str, threshold: float = 0.45) -> list[tuple[int, int, str]]:
     """Spans of literals whose best name and own shape score ``threshold`` or more."""
     low = text.lower()
-    if not any(s in low for s in _STEMS) or not any(c in text for c in "=:(<-"):
+    if not any(s in low for s in _STEMS) or not any(c in text for c in "=:(<-#") and "setenv" not in low:
         return []
     # constants: each name holds literals or other names; sensitivity flows from a name to what it holds
     holds: dict[str, list[tuple[str, str, int, int]]] = {}

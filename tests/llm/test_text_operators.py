@@ -134,6 +134,8 @@ def literals(text):
         "db_pass:\n  V\n", "db_pass: |\n  V\nother: 1", 'db_pass = """V"""', "db_pass = '''V'''", '<property name="db_pass" value="V"/>', "<db_pass>V</db_pass>", 'user, db_pass = "me", "V"',
         'db_pass = os.environ.get("DB_PASS", "V")', 'x = os.environ.get("db_pass", "V")', '- name: DB_PASS\n  value: "V"', '{"name": "db_pass", "value": "V"}', 'connect(host="h", db_pass=decode("V"))',
         'k = "V"\nj = k\ndb_pass = j', 'db_pass = "V" + suffix',
+        'db_pass = b"V"', "db_pass = rb'V'", 'db_pass = f"V"', 'db_pass = r"V"', 'db_pass = ("V")', 'db_pass = (\n    "V"\n)', 'db_pass = ["V"]', 'db_pass ||= "V"', 'db_pass ??= "V"', 'db_pass = x or "V"', 'db_pass = x || "V"', 'db_pass = x ?? "V"',
+        'db_pass = a ? b : "V"', 'db_pass = "V" if a else b', 'db_pass = a if b else "V"', '#define DB_PASS "V"', 'db_pass <- "V"', '{"db_pass": {"value": "V"}}', '{"db_pass": {"type": "s", "value": "V"}, "x": {"value": "Zk29!qlm#77Q"}}', 'login(u, pass=b"V")',
     ],
 )
 def test_spellings_of_one_secret(form):
@@ -145,6 +147,38 @@ def test_what_is_no_secret(form):
     assert literals(form) == []
 
 
+def test_a_literal_may_go_on_in_the_next_one():
+    assert literals('db_pass = "Xk29!qlm#77Z" \\\n  "Pq82?wmn+31B"\nx = 1') == literals('db_pass = ("Xk29!qlm#77Z"\n "Pq82?wmn+31B")') == ["Xk29!qlm#77Z", "Pq82?wmn+31B"]
+    assert literals('db_pass = ["Xk29!qlm#77Z", "Pq82?wmn+31B"]') == ["Xk29!qlm#77Z", "Pq82?wmn+31B"]
+    assert literals('pass = "hello world"') == []
+
+
+def test_literals_of_generated_files():
+    """Lines are made with their spans, so what is expected comes from no parser."""
+    rng = random.Random(31)
+    names = {True: ["db_pass", "dbPassphrase", "CLIENT_SECRET_VALUE", "accessKey", "auth_credential"], False: ["title", "colour", "rowCount", "password_length", "publicKey"]}
+    ways = ['{n} = "{v}"', "{n}: '{v}'", '"{n}": "{v}",', 'f(a, {n}="{v}")', 'c["{n}"] = "{v}"', '{n} = b"{v}"', '{n} = ("{v}")', '{n} = a or "{v}"', '#define {n} "{v}"', '{n} <- "{v}"', "--{n} '{v}'", '<{n}>{v}</{n}>', 'set("{n}", "{v}")', '{n}: str = "{v}"']
+    for _ in range(200):
+        text, want = "", []
+        for _ in range(rng.randint(1, 12)):
+            secret = rng.random() < 0.5
+            value = "".join(rng.choice(string.ascii_letters + string.digits + "!%*+?") for _ in range(14)) + "aZ7!"
+            line = rng.choice(ways).replace("{n}", rng.choice(names[secret]))
+            if secret:
+                want.append((len(text) + line.index("{v}"), len(text) + line.index("{v}") + len(value)))
+            text += line.replace("{v}", value) + "\n"
+        covered = [(a, b) for a, b, k in secrets.all_spans(text)[1] if k != "literal"]
+        got = [(a, b) for a, b, k in secrets.all_spans(text)[1] if k == "literal"]
+        assert got == [(a, b) for a, b in want if not any(x <= a and b <= y for x, y in covered)], text
+
+
+@pytest.mark.parametrize("part", ["db_pass = (", "db_pass = a ? b : ", 'pass = "a" if ', '"pass": {', "pass = [", 'pass = "a" \\\n', "pass = x or ", 'pass = b"a" '])
+def test_repeated_forms_take_time_in_proportion(part):
+    began = time.process_time()
+    secrets.all_spans(part * 100_000 + '"Xk29!qlm#77Z"')
+    assert time.process_time() - began < 10
+
+
 def test_long_texts_take_time_in_proportion():
     chain = "\n".join(f"secret_{i} = secret_{i + 1}" for i in range(100_000)) + '\nsecret_100000 = "Xk29!qlm#77Z"'
     nested = "db_pass = " + "f(" * 50_000 + '"Xk29!qlm#77Z"' + ")" * 50_000
