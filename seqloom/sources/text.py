@@ -96,16 +96,16 @@ def normalised_samples(samples: DataFrame, config: DataFrame, key: str = "exp_id
 
     ``config`` has one row per key: framerate, reference (negative counts from the end), correction.
     """
-    from seqloom.operators.align import W
-
-    z = samples.where("axis = 2").join(F.broadcast(config.select(key, "framerate", "reference", "correction")), key)
-    value = F.col("v") if processed else -F.col("correction") * F.col("v") / 1000.0
-    z = z.withColumn("z", value)
-    n = F.max("bead").over(W.partitionBy(key)) + 1
-    ref = F.when(F.col("reference") < 0, n + F.col("reference")).otherwise(F.col("reference"))
-    use = ~F.lit(ref0_is_none) | (F.col("reference") != 0)
-    base = F.max(F.when(F.col("bead") == F.col("r"), F.col("z"))).over(W.partitionBy(key, "frame"))
-    z = z.withColumn("r", F.when(use & (ref < n), ref))
+    z = samples.where("axis = 2")
+    # one narrow row an experiment: its settings and number of beads
+    counts = z.groupBy(key).agg((F.max("bead") + 1).alias("n"))
+    told = config.select(key, "framerate", "reference", "correction").join(counts, key)
+    ref = F.when(F.col("reference") < 0, F.col("n") + F.col("reference")).otherwise(F.col("reference"))
+    use = (~F.lit(ref0_is_none) | (F.col("reference") != 0)) & (ref < F.col("n"))
+    z = z.join(told.select(key, "framerate", "correction", F.when(use, ref).alias("r")), key)
+    z = z.withColumn("z", F.col("v") if processed else -F.col("correction") * F.col("v") / 1000.0)
     if not processed:
-        z = z.withColumn("z", F.col("z") - F.coalesce(base, F.lit(0.0)))
+        # the reference bead is one trace an experiment, met frame by frame
+        base = z.where("bead = r").groupBy(key, "frame").agg(F.max("z").alias("base"))
+        z = z.join(base, [key, "frame"], "left").withColumn("z", F.col("z") - F.coalesce("base", F.lit(0.0)))
     return z.select(key, "bead", "frame", (F.col("frame") / F.col("framerate")).alias("t"), "z")
