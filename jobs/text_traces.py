@@ -23,7 +23,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from pyspark.sql import DataFrame, Observation, SparkSession  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from jobs.common import as_listing, command_line, config_of, exists, log, replace_partitions  # noqa: E402
@@ -52,12 +52,12 @@ def take_new(spark: SparkSession, documents: str, beads: str, checkpoint: str, o
     made = []
 
     def store(batch: DataFrame, number: int) -> None:
-        seen = Observation()
-        found = beads_of(batch.observe(seen, F.count(F.lit(1)).alias("rows")), options)
+        rows = batch.count()  # of the files' footers
+        found = beads_of(batch, options)
         # files by experiment; a large experiment is split by adaptive execution
         replace_partitions(found.withColumn("batch", F.lit(number).cast("long")).hint("rebalance", "experiment"), beads, "batch", "experiment")
         made.append(number)
-        log.info("batch %d: read %d documents, wrote %s", number, seen.get["rows"], beads)
+        log.info("batch %d: read %d documents, wrote %s", number, rows, beads)
 
     schema = spark.read.parquet(documents).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", options["max_files_per_batch"]).parquet(as_listing(spark, documents))

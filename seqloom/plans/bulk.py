@@ -14,7 +14,7 @@ import json
 import time
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.plans import jobs
@@ -85,18 +85,18 @@ def results(truth: DataFrame, keys: list[str], pipelines: list[Pipeline], path:
 def estimated(rows: DataFrame, truth: DataFrame, keys: list[str], pipelines: list[Pipeline], n_sample: int = 3) -> DataFrame:
     """(pipeline, n_groups, n_sample, rows, seconds, estimate): each pipeline is run over a few groups, and their time scaled to all.
 
-    The groups are those with the least hashes; ``rows`` are samples read, observed while they ran.
+    The groups are those with the least hashes; ``rows`` are their samples.
     """
     outer, spark = keys[:-1], rows.sparkSession
     groups = truth.select(*outer).distinct()
     total = groups.count()
     few = groups.orderBy(F.xxhash64(*outer), *outer).limit(n_sample)
     mine, own = truth.join(few, outer, "left_semi"), rows.join(few, outer, "left_semi")
-    n, out = min(n_sample, total), []
+    n, size, out = min(n_sample, total), own.count(), []
     for p in pipelines:
-        seen, began = Observation(), time.perf_counter()
+        began = time.perf_counter()
         if n:
-            jobs.evaluate(own.observe(seen, F.count(F.lit(1)).alias("rows")), mine, keys, [p]).write.format("noop").mode("overwrite").save()
+            jobs.evaluate(own, mine, keys, [p]).write.format("noop").mode("overwrite").save()
         seconds = time.perf_counter() - began
-        out.append((p.name, total, n, seen.get["rows"] if n else 0, seconds, seconds / n * total if n else 0.0))
+        out.append((p.name, total, n, size, seconds, seconds / n * total if n else 0.0))
     return spark.createDataFrame(out, "pipeline string, n_groups long, n_sample long, rows long, seconds double, estimate double")
