@@ -15,10 +15,13 @@ more than the corpus at large.
 Counts are exact (up to collisions of 63-bit hashes), cover every whole text and grow with the
 corpus, so no task and not the driver ever holds a model. Documents are packed into batches of
 about ``BATCH`` bytes, kept in the shared folder. Each batch sends its different words and
-bigrams, counted, to parts of the hash range; a part adds them up over all batches and answers
-each batch with the totals of just the entries that it sent. Batches meet their answers by a
-join on the batch and score their texts. A word in every document is one entry a batch, so a
-hot word, source or text doesn't make a hot part.
+bigrams, counted, to ``FAN`` cells of the hash range; a cell adds them up over all batches and
+answers each batch with the totals of just the entries that it sent. Where there are more than
+``FAN`` batches, groups of them merge their entries first, cell by cell, and the merged entries go
+to ``FAN`` times as many cells in the group's name, and so on, so that a batch sends ``FAN`` rows
+at most whatever the corpus, and a task never holds much more than one batch's entries. Batches
+meet their answers by a join on the batch and score their texts. A word in every document is one
+entry a batch, so a hot word, source or text doesn't make a hot cell.
 
 Target membership joins documents with labels by id (``marked``). Defined results: null and empty texts
 have only the end sign as token and get its score; a null id is never in the target set;
@@ -42,19 +45,23 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.shingles import mixed
-from seqloom.runtime import frugal, in_batches, materialized
+from seqloom.runtime import Scratch, frugal, in_batches, materialized
 
 SIZE = 257
 END = 256
 MASS = 8.0
 #: Bytes that a counting step holds before it sorts and adds up.
 CHUNK = 4 << 20
-#: Bytes of text after which a batch of documents is closed; parts of the hash range, at least.
-BATCH, PARTS = 8 << 20, 64
+#: Bytes of text after which a batch of documents is closed.
+BATCH = 8 << 20
+#: Cells of the hash range into which an entry is split, and owners whose entries one task adds up. Above 2; four levels reach 2**32 cells.
+FAN = 256
+#: Entries of one owner (a batch, later a group) in one cell.
+ENTRY = "cell long, owner long, keys binary, n binary, t binary"
 #: Ids of the target set that are broadcast, at most.
 MAX_BROADCAST_IDS = 1_000_000
 _ONE, _GOLD = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
@@ -266,10 +273,6 @@ class _Batch:
         each = None if weight is None else np.tile(weight[self.doc], 2)
         return np.bincount(np.concatenate([self.word, self.pair]), each, len(self.keys)).astype(np.int64)
 
-    def parts(self, parts: int) -> np.ndarray:
-        """Part of each key, rising with it."""
-        return (((self.keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-
     def losses(self, counts: np.ndarray, total: int, size: int) -> np.ndarray:
         """Mean loss of each document by the whole corpus's ``counts`` of the keys."""
         p1 = (counts[self.word] + 1.0) / (total + size + 1)
@@ -277,43 +280,81 @@ class _Batch:
         return np.bincount(self.doc, -np.log2(p2), len(self.n)) / self.n
 
 
-def _answers(batches: DataFrame, parts: int) -> DataFrame:
-    """(batch, part, n_all, n_target, size, all, target): corpus counts of a batch's keys; sizes and totals once a part."""
+def _split(owner: int, keys: np.ndarray, n: np.ndarray, t: np.ndarray, cells: int) -> list[tuple]:
+    """(cell, owner, keys, n, t) for each of ``cells`` equal ranges of the hash that hold some of the sorted keys."""
+    cell = (((keys >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(cell, prepend=-1, append=cells))
+    spans = zip(edges[:-1], edges[1:], strict=True)
+    return [(int(cell[lo]), owner, _packed(np.diff(keys[lo:hi], prepend=np.uint64(0))), _packed(n[lo:hi]), _packed(t[lo:hi])) for lo, hi in spans]
 
-    @frugal
-    def ask(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in found:
-            for batch, lengths, target, texts in zip(pdf["batch"], pdf["lengths"], pdf["target"], pdf["texts"], strict=True):
-                b = _Batch(lengths, texts)
-                n, t, part = b.counts(), b.counts(_unpacked(target).astype(np.float64)), b.parts(parts)
-                edges = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
-                rows = []
-                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                    steps = np.diff(b.keys[lo:hi], prepend=np.uint64(0))
-                    rows.append((int(part[lo]), batch, _packed(steps), _packed(n[lo:hi]), _packed(t[lo:hi])))
-                yield pd.DataFrame(rows, columns=["part", "batch", "keys", "n", "t"])
+
+def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Different keys of several entries, their summed counts, and the places of each entry's keys among them."""
+    keys = [np.cumsum(_unpacked(x)) for x in pdf["keys"]]
+    values, place = np.unique(np.concatenate(keys), return_inverse=True)
+    n, t = (np.bincount(place, np.concatenate([_unpacked(x) for x in pdf[c]]), len(values)).astype(np.int64) for c in "nt")
+    return values, n, t, np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+
+
+def _answers(asked: DataFrame, owners: int, level: int, fan: int, scratch: Scratch) -> tuple[DataFrame, Row]:
+    """(owner, cell, n, t): corpus counts of each entry of ``asked`` (cell, owner, keys, n, t), and the corpus's totals.
+
+    Entries lie in ``fan ** level`` cells. A few owners are added up at once. Of more, groups are
+    merged first: one task merges one group's entries of one cell, splits the different keys by the
+    next cells, asks for those in the name of the group, and hands the answers down.
+    """
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.cumsum(_unpacked(x)) for x in pdf["keys"]]
-        values, place = np.unique(np.concatenate(keys), return_inverse=True)
-        n, t = (np.bincount(place, np.concatenate([_unpacked(x) for x in pdf[c]]), len(values)).astype(np.int64) for c in "nt")
+        values, n, t, places = _merged(pdf)
         even = (values & _ONE) == 0
-        out, at = pdf[["batch", "part"]].copy(), np.cumsum([0, *map(len, keys)])
-        spans = [place[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        out["n"], out["t"] = [_packed(n[x]) for x in spans], [_packed(t[x]) for x in spans]
+        out = pdf[["owner", "cell"]].copy()
+        out["n"], out["t"] = [_packed(n[x]) for x in places], [_packed(t[x]) for x in places]
         out["size"], out["all"], out["target"] = 0, 0, 0
         out.iloc[0, -3:] = [int(even.sum()), int(n[even].sum()), int(t[even].sum())]
         return out
 
-    asked = batches.select("batch", "lengths", "target", "texts").mapInPandas(ask, "part long, batch long, keys binary, n binary, t binary")
-    return materialized(asked.groupBy("part").applyInPandas(add, "batch long, part long, n binary, t binary, size long, all long, target long"))
+    if owners <= fan:
+        told = scratch.keep(asked.groupBy("cell").applyInPandas(add, "owner long, cell long, n binary, t binary, size long, all long, target long"))
+        return told, told.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("size", "all", "target")]).first()
+
+    cells = fan ** (level + 1)
 
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        values, n, t, _ = _merged(pdf)
+        return pd.DataFrame(_split(key[1], values, n, t, cells), columns=["cell", "owner", "keys", "n", "t"])
 
-def score_words(docs: DataFrame, *, text_col: str = "text", target_col: str = "target", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    def hand_down(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        *_, places = _merged(own)
+        told = told.sort_values("cell")
+        n, t = (np.concatenate([_unpacked(x) for x in told[c]]) for c in "nt")
+        out = own[["owner", "cell"]].copy()
+        out["n"], out["t"] = [_packed(n[x]) for x in places], [_packed(t[x]) for x in places]
+        return out
+
+    # groups are half full on average, so that hashing hardly ever overfills one
+    groups = -(-2 * owners // fan)
+    entries = scratch.keep(asked.withColumn("group", F.pmod(F.xxhash64("owner"), F.lit(groups))))
+    told, totals = _answers(entries.groupBy("cell", "group").applyInPandas(merge, ENTRY), groups, level + 1, fan, scratch)
+    of_group = told.withColumn("upper", F.expr(f"cell div {fan}")).groupBy("upper", "owner")
+    out = scratch.keep(entries.groupBy("cell", "group").cogroup(of_group).applyInPandas(hand_down, "owner long, cell long, n binary, t binary"))
+    scratch.drop(entries, told)
+    return out, totals
+
+
+def score_words(docs: DataFrame, *, text_col: str = "text", target_col: str = "target", keep: tuple[str, ...] = ("doc_id",), fan: int = FAN) -> DataFrame:
     """Columns ``keep`` with n_tokens, target_loss, background_loss and ``score`` by word models of all rows of ``docs``."""
     batches = _batches(docs, text_col, target_col, keep)
-    answers = _answers(batches, max(PARTS, batches.count() // 2))
-    total = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("size", "all", "target")]).first()
+
+    @frugal
+    def ask(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in found:
+            for batch, lengths, target, texts in zip(pdf["batch"], pdf["lengths"], pdf["target"], pdf["texts"], strict=True):
+                b = _Batch(lengths, texts)
+                rows = _split(batch, b.keys, b.counts(), b.counts(_unpacked(target).astype(np.float64)), fan)
+                yield pd.DataFrame(rows, columns=["cell", "owner", "keys", "n", "t"])
+
+    asked = batches.select("batch", "lengths", "target", "texts").mapInPandas(ask, ENTRY)
+    answers, total = _answers(asked, batches.count(), 1, fan, Scratch(docs.sparkSession))
     size, n_all, n_target = total["size"], total["all"], total["target"]
 
     @frugal
@@ -330,7 +371,7 @@ def score_words(docs: DataFrame, *, text_col: str = "text", target_col: str = "t
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(b.n), *map(pa.array, (target, background, target - background))], names=[*keep, *measures])
 
     measures = ("n_tokens", "target_loss", "background_loss", "score")
-    by_batch = answers.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("part", "n", "t"))).alias("answers"))
+    by_batch = answers.groupBy(F.col("owner").alias("batch")).agg(F.array_sort(F.collect_list(F.struct("cell", "n", "t"))).alias("answers"))
     schema = "".join(f"`{c}` {docs.select(F.col(f'`{c}`')).schema[0].dataType.simpleString()}, " for c in keep)
     return batches.join(by_batch.hint("merge"), "batch").mapInArrow(run, f"{schema}n_tokens long, target_loss double, background_loss double, score double")
 
