@@ -68,6 +68,19 @@ run AS (
 ends AS (SELECT bead, ca AS t0, cb AS t1 FROM run WHERE ca IS NOT NULL UNION ALL SELECT run.bead, a, coalesce(b, m.t0) FROM run JOIN m ON m.bead = run.bead AND m.seq = run.seq AND m.seq = m.last WHERE a IS NOT NULL)
 SELECT bead, CAST(row_number() OVER (PARTITION BY bead ORDER BY t0) - 1 AS INT) AS region_id, round(t0, 6) AS t0, round(t1, 6) AS t1 FROM ends"""
 
+#: The same as a machine that reads one command after another.
+_COMMANDS = """WITH RECURSIVE c AS (SELECT o_custkey AS bead, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq, o_orderkey % 3 AS kind,
+  CAST(CASE o_orderkey % 3 WHEN 0 THEN o_orderkey % 7 WHEN 1 THEN o_orderkey % 13 ELSE o_orderkey % 50 END AS DOUBLE) AS v FROM orders),
+run(bead, seq, kind, began, clock, last, pos, speed, rot, rspeed) AS (
+  SELECT DISTINCT bead, CAST(-1 AS BIGINT), CAST(1 AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM c
+  UNION ALL
+  SELECT c.bead, c.seq, c.kind, clock,
+    CASE c.kind WHEN 0 THEN clock + abs(v - pos) / 0.5::DOUBLE WHEN 2 THEN clock + abs(v - rot) / 4.0::DOUBLE ELSE clock + greatest(0.0::DOUBLE, v - last) END,
+    CASE c.kind WHEN 0 THEN abs(v - pos) / 0.5::DOUBLE WHEN 2 THEN abs(v - rot) / 4.0::DOUBLE ELSE 0.0::DOUBLE END,
+    CASE WHEN c.kind = 0 THEN v ELSE pos END, CASE WHEN c.kind = 0 THEN 0.5::DOUBLE ELSE speed END, CASE WHEN c.kind = 2 THEN v ELSE rot END, CASE WHEN c.kind = 2 THEN 4.0::DOUBLE ELSE rspeed END
+  FROM run JOIN c ON c.bead = run.bead AND c.seq = run.seq + 1)
+SELECT bead, CAST(seq AS INT) AS seq, round(began, 6) AS t0, round(clock, 6) AS t1, pos AS mag_pos, speed AS mag_speed, rot AS mag_rot, rspeed AS rot_speed FROM run WHERE kind <> 1"""
+
 
 QUERIES = {
     "script_events": (lambda s, d: rounded(script(s, d)), _SCR + " SELECT bead, seq, round(t0, 6) AS t0, round(t1, 6) AS t1, round(mag_pos, 6) AS mag_pos, round(mag_speed, 6) AS mag_speed, round(mag_rot, 6) AS mag_rot, round(rot_speed, 6) AS rot_speed FROM script"),
@@ -79,7 +92,7 @@ p AS (SELECT *, abs(first_value(dt) OVER w) <= 1e-8 AS abso, greatest(dt, 0) AS
 t AS (SELECT *, CASE WHEN abso THEN dt ELSE cur END AS t0, CASE WHEN speed > 0 THEN abs(pos - was) / speed ELSE 0 END AS tr FROM p)
 SELECT bead, seq, round(t0, 6) AS t0, round(t0 + CASE WHEN NOT abso AND len > 0 THEN least(tr, len) ELSE tr END, 6) AS t1, round(pos, 6) AS mag_pos, round(speed, 6) AS mag_speed, 0.0::DOUBLE AS mag_rot, 1.0::DOUBLE AS rot_speed FROM t""",
     ),
-    "command_script": (lambda s, d: rounded(op.parse_command_script(_commands(s, d), B)), None),
+    "command_script": (lambda s, d: rounded(op.parse_command_script(_commands(s, d), B)), _COMMANDS),
     "actuator_positions": (lambda s, d: rounded(op.actuator_at(frames(s, d), script(s, d), B).select("bead", "frame", "mag_pos")), "WITH " + PLACED + " SELECT bead, frame, round(pos, 6) AS mag_pos FROM placed"),
     "actuator_rotations": (lambda s, d: rounded(op.actuator_at(frames(s, d), script(s, d), B, "mag_rot").select("bead", "frame", "mag_rot")), "WITH " + PLACED + " SELECT bead, frame, round(rot, 6) AS mag_rot FROM placed"),
     "actuator_forces": (

@@ -110,7 +110,7 @@ F8 = ["variance", "diff_std", "max_abs_diff", "median_abs_diff", "ptp", "p25", "
 
 def _density(s, d):
     e = _emb(s, d)
-    return group.density_clusters(group.within_reach(e, ["grp"], "id", 1.15), e, 5)
+    return group.density_clusters(group.within_reach(e, ["grp"], "id", 1.25), e, 5)
 
 
 def _kernels(s, d):
@@ -271,7 +271,11 @@ UNION ALL SELECT p_partkey, 'coilable_uncoilable_bad', CASE p_partkey % 4 WHEN 0
     ),
     "experiment_catalogue": (
         lambda s, d: discovery.catalogue(_catalogue_files(s, d)).select("folder", "layout", "experiment_id", "source"),
-        None,
+        "WITH " + _PATHS + """, own AS (SELECT path AS folder, regexp_replace(path, '/[^/]*$', '') AS up, c_custkey % 2 = 0 AS positions FROM paths),
+kids AS (SELECT up AS folder, count(*) FILTER (positions) AS whole, count(*) AS n FROM own GROUP BY 1),
+tops AS (SELECT folder, CASE WHEN whole = 2 THEN 'two_full_children' ELSE 'all_and_good_children' END AS layout FROM kids WHERE whole = 2 OR n = 2),
+found AS (SELECT * FROM tops UNION ALL SELECT folder, 'single' FROM own WHERE positions AND up NOT IN (SELECT folder FROM tops))
+SELECT folder, layout, string_split(folder, '/')[-1] AS experiment_id, split_part(folder, '/', 1) AS source FROM found""",
     ),
     "manifest": (
         _manifest,
@@ -358,7 +362,16 @@ SELECT draw, doc_id, quality, toxic FROM d JOIN r USING (i)""",
     "clusters_optics": (_grouped("optics", min_samples=3), None),
     "clusters_spectral": (_grouped("spectral", max_k=4), None),
     "clusters_dtw": (lambda s, d: group.clustered(_emb(s, d), ["grp"], "id", "dtw", max_k=3), None),
-    "density_clusters": (_density, None),
+    "density_clusters": (
+        _density,
+        """WITH RECURSIVE v AS (SELECT vec_id // 50 AS grp, vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+near AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.grp = y.grp AND x.id <> y.id WHERE list_distance(x.v, y.v) <= 1.25),
+core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 4),
+reach(id, label) AS (SELECT id, id FROM core UNION SELECT b, label FROM reach JOIN near ON a = reach.id WHERE b IN (SELECT id FROM core)),
+named AS (SELECT id, min(label) AS label FROM reach GROUP BY id),
+border AS (SELECT a AS id, min(label) AS edge FROM near JOIN named ON named.id = b GROUP BY a)
+SELECT v.id, coalesce(label, edge, -1) AS label FROM v LEFT JOIN named USING (id) LEFT JOIN border USING (id)""",
+    ),
     "reduction_fpca": (_reduced("fpca"), None),
     "reduction_isomap": (_reduced("isomap"), None),
     "reduction_lle": (_reduced("lle"), None),
