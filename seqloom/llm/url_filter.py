@@ -14,7 +14,8 @@ Only rows that pass a key are joined and grouped; all others keep their place.
 
 Defined results: null urls and urls without ``://`` have an empty host and path, no rule
 and the default verdict; repeated rows each get their own row; urls of any length are
-read whole; ids of any type, null or not, come through unchanged; extra columns are dropped
+read whole; of fitting rules the longest host wins, then the longest path, then "block"; ids of
+any type, null or not, come through unchanged; extra columns are dropped
 unless named in ``keep``, and none can clash with a working column; an empty table gives an
 empty result.
 """

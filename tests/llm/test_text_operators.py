@@ -485,6 +485,25 @@ def test_urls_against_all_rules(spark):
             assert got == want
 
 
+def test_urls_that_repeat_clash_or_are_long(spark):
+    big = 2**53 + 1
+    hot = [(big + i, f"http://www.hot.net/x{i % 3}") for i in range(3000)]  # one key in a third of the rows and more
+    odd = [(None, "http://hot.net/x1"), (big, "http://hot.net/x1"), (big, "http://hot.net/x1"), (None, None), (7, "http://hot.net/" + "y" * 2_000_000), (8, "http://" + "a." * 300_000 + "hot.net/x2"), (9, "http://hot.net/\u00e9?x")]
+    pages = spark.createDataFrame([(i, u, "a", 1, ["k"]) for i, u in hot + odd], "page_id long, url string, host string, row int, keys array<string>")
+    rules = [("net", "/", "allow"), ("hot.net", "/x", "allow"), ("hot.net", "/x", "block"), ("hot.net", "/x", "allow"), ("www.hot.net", "/x2", "allow")]
+    frame = spark.createDataFrame(rules, "host string, path string, verdict string")
+    key = lambda r: (r[0] is None, r[0] or 0, *map(str, r[1:]))
+    want = sorted(((i, *url_filter.split_url(u), *brute_verdict(u, rules)) for i, u in hot + odd), key=key)
+    assert {v for i, h, p, _, v in want if h == "hot.net" and p == "/x1"} == {"block"}  # of equal rules
+    for limit in (10**6, 0):
+        found = url_filter.judge_urls(pages, frame, keep=("row", "keys"), max_broadcast_rules=limit)
+        assert found.columns[:3] == ["page_id", "row", "keys"] and found.schema["page_id"].dataType.simpleString() == "bigint"
+        got = sorted(((r["page_id"], *r[3:]) for r in found.collect()), key=key)
+        assert got == want
+    text_ids = pages.withColumn("page_id", F.col("page_id").cast("string"))
+    assert {r["page_id"] for r in url_filter.judge_urls(text_ids, frame).collect()} == {None if i is None else str(i) for i, _ in hot + odd}
+
+
 def test_url_filter_on_empty_tables(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     rules = url_filter.rules_frame(spark)
