@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.numeric import ridge_classifier
 from seqloom.operators.group import interval_features, kernel_features
 from seqloom.operators.metrics import binary_metrics
-from seqloom.operators.select import hashed, stratified
+from seqloom.operators.select import least_drawn, stratified
 
 MODELS = {
     "tree": lambda seed: DecisionTreeClassifier(maxDepth=3, seed=seed),
@@ -79,7 +79,7 @@ def discriminator(real: DataFrame, synthetic: DataFrame, columns: list[str], see
     spark = real.sparkSession
     if n < 8:
         return spark.createDataFrame([], "n long, accuracy double, balanced_accuracy double, f1 double, mcc double")
-    draw = lambda df, y: df.orderBy(hashed("id", seed=seed), "id").limit(n).select("id", *columns, F.lit(y).alias("label"))
+    draw = lambda df, y: least_drawn(df, n, "id", seed=seed).select("id", *columns, F.lit(y).alias("label"))
     train, test = train_test(draw(real, 1).unionByName(draw(synthetic, 0)), 0.3, seed)
     scored = binary_metrics(predict(fit(train, columns, "forest", seed=seed), test).withColumnRenamed("label", "y"), [])
     return scored.select("n", "accuracy", "balanced_accuracy", "f1", "mcc")
@@ -224,7 +224,7 @@ def learning_curve(train: DataFrame, test: DataFrame, columns: list[str], name:
     """Metrics on nested shares of the training rows, in order of a hash."""
     n, out = train.count(), None
     for f in fractions:
-        part = train.orderBy(hashed("id", seed=seed), "id").limit(max(2, int(f * n)))
+        part = least_drawn(train, max(2, int(f * n)), "id", seed=seed)
         row = fit_evaluate(part, {"test": test}, columns, [name], seed).withColumn("fraction", F.lit(float(f)))
         out = row if out is None else out.unionByName(row)
     return out

@@ -91,6 +91,21 @@ def hashed(*columns: str, seed: int = 42) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def least_drawn(df: DataFrame, n: int, *ids: str, seed: int = 42, bins: int = 4096) -> DataFrame:
+    """Exactly n rows (or all, if fewer): those of least draws, ties by id, so that draws of more rows hold those of fewer.
+
+    Counts of equal ranges of draws tell in which one the n-th lies; only its rows are put in order.
+    """
+    drawn = df.withColumn("__u", hashed(*ids, seed=seed)).withColumn("__bin", F.floor(F.col("__u") * bins).cast("int"))
+    taken = 0
+    for r in sorted(drawn.groupBy("__bin").count().collect(), key=lambda r: r["__bin"]):
+        if taken + r["count"] > n:
+            edge = drawn.where(F.col("__bin") == r["__bin"]).orderBy("__u", *ids).limit(max(n - taken, 0))
+            return drawn.where(F.col("__bin") < r["__bin"]).unionByName(edge).select(df.columns)
+        taken += r["count"]
+    return df
+
+
 def numbered(df: DataFrame, *order: str, number: str = "__i") -> DataFrame:
     """``df`` with row numbers from 0 in ``order``: ranges are numbered on their own and offset by the rows before them."""
     columns = [F.col(c) for c in order]

@@ -101,12 +101,7 @@ def prepared(e: Experiments, form: Scaled | Segments, fold: DataFrame | None = N
         out = out.join(own, "exp_id").withColumn("z", F.transform("z", lambda v: (v - F.col("m")) / spread * F.lit(std) + F.lit(mean))).drop("m", "s")
     out = out.join(e.beads.select(*BEAD, F.col("is_good").cast("int").alias("label")), BEAD)
     if isinstance(form, Segments) and form.most is not None:
-        total = out.count()
-        if total > form.most:
-            # the least hashes: a threshold that leaves a few too many, then exactly the least of those
-            ids = [*BEAD, "segment"]
-            near = out.withColumn("__u", select.hashed(*ids)).where(F.col("__u") <= min(1.0, 1.1 * form.most / total + 20.0 / total))
-            out = near.orderBy("__u", *ids).limit(form.most).drop("__u") if near.count() >= form.most else out.orderBy(select.hashed(*ids), *ids).limit(form.most)
+        out = select.least_drawn(out, form.most, *BEAD, "segment")
     return out.select("exp_id", "bead", "segment", "z", "label")
 
 

@@ -345,6 +345,10 @@ SELECT p.source, c_custkey, CASE WHEN k <= greatest(1, least(CAST(round(0.8 * n)
         f"""WITH r AS (SELECT doc_id AS id, toxic AS label, row_number() OVER (PARTITION BY toxic ORDER BY {_draw(42, "doc_id")}, doc_id) AS k, count(*) OVER (PARTITION BY toxic) AS n FROM labels)
 SELECT id, label, CASE WHEN k <= round(0.25 * n) THEN 'test' ELSE 'train' END AS fold FROM r""",
     ),
+    "drawn_half": (
+        lambda s, d: op.least_drawn(table(s, d, "orders").select("o_orderkey", "o_custkey"), table(s, d, "orders").count() // 2, "o_orderkey", seed=3),
+        f"SELECT o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (ORDER BY {_draw(3, 'o_orderkey')}, o_orderkey) <= (SELECT count(*) // 2 FROM orders)",
+    ),
     "capped_groups": (
         lambda s, d: op.capped(trace(s, d).select("exp_id", "bead").distinct(), ["exp_id"], 5, "exp_id", "bead"),
         "WITH " + TRACE + f", b AS (SELECT DISTINCT exp_id, bead FROM trace) SELECT exp_id, bead FROM b QUALIFY row_number() OVER (PARTITION BY exp_id ORDER BY {_draw(42, 'exp_id', 'bead')}, exp_id, bead) <= 5",

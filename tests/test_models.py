@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import models
+from seqloom.operators import models, select
 from seqloom.plans import jobs
 
 
@@ -85,3 +85,21 @@ def test_a_failed_group_has_no_accuracy(spark):
     truth = spark.createDataFrame([(0, b, b % 2) for b in range(6)], "experiment int, bead int, y int")
     got = jobs.evaluate(rows, truth, ["experiment", "bead"], [jobs.Pipeline("bad", "percentile_grid", clustering="no_such", n_grid=5)]).first()
     assert got["accuracy"] is None and got["n_failed"] > 0
+
+
+def test_draws_are_exact_nested_and_bounded(spark):
+    df = spark.createDataFrame([(i // 2, str(i)) for i in range(500)], "id long, v string")  # ids repeat
+    rows = lambda n, bins: {(r["id"], r["v"]) for r in select.least_drawn(df, n, "id", "v", bins=bins).collect()}
+    order = [(r["id"], r["v"]) for r in df.orderBy(select.hashed("id", "v"), "id", "v").collect()]
+    for bins in (1, 7, 4096):
+        for n in (0, 1, 99, 499, 500, 900):
+            assert rows(n, bins) == set(order[:n])
+    assert select.least_drawn(df.where("false"), 5, "id").count() == 0
+    assert select.least_drawn(df, 3, "id").columns == ["id", "v"] and select.least_drawn(df, 3, "id").count() == 3
+
+
+def test_learning_curves_use_nested_shares(spark):
+    df = spark.createDataFrame([(i, float(i % 2) + (i % 7) / 10, i % 2) for i in range(120)], "id long, x double, label int")
+    train, test = models.train_test(df)
+    told = {r["fraction"]: r for r in models.learning_curve(train, test, ["x"], "tree", [0.2, 1.0]).collect()}
+    assert set(told) == {0.2, 1.0} and told[1.0]["accuracy"] == 1.0 and told[0.2]["test_set"] == "test"
