@@ -15,12 +15,12 @@ more than the corpus at large.
 Counts are exact (up to collisions of 63-bit hashes), cover every whole text and grow with the
 corpus, so no task and not the driver ever holds a model. Documents are packed into batches of
 about ``BATCH`` bytes, kept in the shared folder. Each batch sends its different words and
-bigrams, counted, to ``FAN`` cells of the hash range; a cell adds them up over all batches and
-answers each batch with the totals of just the entries that it sent. Where there are more than
-``FAN`` batches, groups of them merge their entries first, cell by cell, and the merged entries go
-to ``FAN`` times as many cells in the group's name, and so on, so that a batch sends ``FAN`` rows
-at most whatever the corpus, and a task never holds much more than one batch's entries. Batches
-meet their answers by a join on the batch and score their texts. A word in every document is one
+bigrams, counted, to cells of the hash range, half as many as there are batches; a cell adds them
+up over all batches and answers each batch with the totals of just the entries that it sent. Cells
+end at ``FAN``: where there are more than twice as many batches (34 GB of text), groups of some
+``FAN`` merge their entries first, cell by cell, and send what differs to finer cells in the group's
+name, and so on. So a batch sends ``FAN`` rows at most whatever the corpus, and a task holds two
+batches' entries or so. Batches meet their answers by a join on the batch and score their texts. A word in every document is one
 entry a batch, so a hot word, source or text doesn't make a hot cell.
 
 Target membership joins documents with labels by id (``marked``). Defined results: null and empty texts
@@ -58,8 +58,8 @@ MASS = 8.0
 CHUNK = 4 << 20
 #: Bytes of text after which a batch of documents is closed.
 BATCH = 8 << 20
-#: Cells of the hash range into which an entry is split, and owners whose entries one task adds up. Above 2; four levels reach 2**32 cells.
-FAN = 256
+#: Parts into which an entry's range of hashes is split, at least and at most; beyond twice as many batches as the most, groups merge first.
+PARTS, FAN = 64, 2048
 #: Entries of one owner (a batch, later a group) in one cell.
 ENTRY = "cell long, owner long, keys binary, n binary, t binary"
 #: Ids of the target set that are broadcast, at most.
@@ -280,6 +280,10 @@ class _Batch:
         return np.bincount(self.doc, -np.log2(p2), len(self.n)) / self.n
 
 
+def _parts(owners: int, fan: int) -> int:
+    return min(fan, max(PARTS, owners // 2))
+
+
 def _split(owner: int, keys: np.ndarray, n: np.ndarray, t: np.ndarray, cells: int) -> list[tuple]:
     """(cell, owner, keys, n, t) for each of ``cells`` equal ranges of the hash that hold some of the sorted keys."""
     cell = (((keys >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)).astype(np.int64)
@@ -288,24 +292,30 @@ def _split(owner: int, keys: np.ndarray, n: np.ndarray, t: np.ndarray, cells: in
     return [(int(cell[lo]), owner, _packed(np.diff(keys[lo:hi], prepend=np.uint64(0))), _packed(n[lo:hi]), _packed(t[lo:hi])) for lo, hi in spans]
 
 
-def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Different keys of several entries, their summed counts, and the places of each entry's keys among them."""
-    keys = [np.cumsum(_unpacked(x)) for x in pdf["keys"]]
+def _union(entries: pd.Series) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Different keys of several entries, and the places of each entry's keys among them."""
+    keys = [np.cumsum(_unpacked(x)) for x in entries]
     values, place = np.unique(np.concatenate(keys), return_inverse=True)
-    n, t = (np.bincount(place, np.concatenate([_unpacked(x) for x in pdf[c]]), len(values)).astype(np.int64) for c in "nt")
-    return values, n, t, np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+    return values, np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+
+
+def _summed(pdf: pd.DataFrame, places: list[np.ndarray], size: int) -> list[np.ndarray]:
+    """Both counts of each different key, over all entries."""
+    place = np.concatenate(places)
+    return [np.bincount(place, np.concatenate([_unpacked(x) for x in pdf[c]]), size).astype(np.int64) for c in "nt"]
 
 
-def _answers(asked: DataFrame, owners: int, level: int, fan: int, scratch: Scratch) -> tuple[DataFrame, Row]:
+def _answers(asked: DataFrame, owners: int, cells: int, fan: int, scratch: Scratch) -> tuple[DataFrame, Row]:
     """(owner, cell, n, t): corpus counts of each entry of ``asked`` (cell, owner, keys, n, t), and the corpus's totals.
 
-    Entries lie in ``fan ** level`` cells. A few owners are added up at once. Of more, groups are
-    merged first: one task merges one group's entries of one cell, splits the different keys by the
+    Entries lie in ``cells`` equal ranges. Up to ``2 * fan`` owners are added up at once. Of more, groups
+    are merged first: one task merges one group's entries of one cell, splits the different keys by the
     next cells, asks for those in the name of the group, and hands the answers down.
     """
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        values, n, t, places = _merged(pdf)
+        values, places = _union(pdf["keys"])
+        n, t = _summed(pdf, places, len(values))
         even = (values & _ONE) == 0
         out = pdf[["owner", "cell"]].copy()
         out["n"], out["t"] = [_packed(n[x]) for x in places], [_packed(t[x]) for x in places]
@@ -313,30 +323,29 @@ def _answers(asked: DataFrame, owners: int, level: int, fan: int, scratch: Scrat
         out.iloc[0, -3:] = [int(even.sum()), int(n[even].sum()), int(t[even].sum())]
         return out
 
-    if owners <= fan:
+    if owners <= 2 * fan:
         told = scratch.keep(asked.groupBy("cell").applyInPandas(add, "owner long, cell long, n binary, t binary, size long, all long, target long"))
         return told, told.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("size", "all", "target")]).first()
 
-    cells = fan ** (level + 1)
+    groups = -(-owners // fan)
+    finer = _parts(groups, fan)
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        values, n, t, _ = _merged(pdf)
-        return pd.DataFrame(_split(key[1], values, n, t, cells), columns=["cell", "owner", "keys", "n", "t"])
+        values, places = _union(pdf["keys"])
+        return pd.DataFrame(_split(key[1], values, *_summed(pdf, places, len(values)), cells * finer), columns=["cell", "owner", "keys", "n", "t"])
 
     def hand_down(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        *_, places = _merged(own)
+        _, places = _union(own["keys"])
         told = told.sort_values("cell")
         n, t = (np.concatenate([_unpacked(x) for x in told[c]]) for c in "nt")
         out = own[["owner", "cell"]].copy()
         out["n"], out["t"] = [_packed(n[x]) for x in places], [_packed(t[x]) for x in places]
         return out
 
-    # groups are half full on average, so that hashing hardly ever overfills one
-    groups = -(-2 * owners // fan)
     entries = scratch.keep(asked.withColumn("group", F.pmod(F.xxhash64("owner"), F.lit(groups))))
-    told, totals = _answers(entries.groupBy("cell", "group").applyInPandas(merge, ENTRY), groups, level + 1, fan, scratch)
-    of_group = told.withColumn("upper", F.expr(f"cell div {fan}")).groupBy("upper", "owner")
-    out = scratch.keep(entries.groupBy("cell", "group").cogroup(of_group).applyInPandas(hand_down, "owner long, cell long, n binary, t binary"))
+    told, totals = _answers(entries.groupBy("cell", "group").applyInPandas(merge, ENTRY), groups, cells * finer, fan, scratch)
+    of_group = told.withColumn("upper", F.expr(f"cell div {finer}")).groupBy("upper", "owner")
+    out = scratch.keep(entries.select("cell", "group", "owner", "keys").groupBy("cell", "group").cogroup(of_group).applyInPandas(hand_down, "owner long, cell long, n binary, t binary"))
     scratch.drop(entries, told)
     return out, totals
 
@@ -344,17 +353,19 @@ def _answers(asked: DataFrame, owners: int, level: int, fan: int, scratch: Scrat
 def score_words(docs: DataFrame, *, text_col: str = "text", target_col: str = "target", keep: tuple[str, ...] = ("doc_id",), fan: int = FAN) -> DataFrame:
     """Columns ``keep`` with n_tokens, target_loss, background_loss and ``score`` by word models of all rows of ``docs``."""
     batches = _batches(docs, text_col, target_col, keep)
+    owners = batches.count()
+    parts = _parts(owners, fan)
 
     @frugal
     def ask(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in found:
             for batch, lengths, target, texts in zip(pdf["batch"], pdf["lengths"], pdf["target"], pdf["texts"], strict=True):
                 b = _Batch(lengths, texts)
-                rows = _split(batch, b.keys, b.counts(), b.counts(_unpacked(target).astype(np.float64)), fan)
+                rows = _split(batch, b.keys, b.counts(), b.counts(_unpacked(target).astype(np.float64)), parts)
                 yield pd.DataFrame(rows, columns=["cell", "owner", "keys", "n", "t"])
 
     asked = batches.select("batch", "lengths", "target", "texts").mapInPandas(ask, ENTRY)
-    answers, total = _answers(asked, batches.count(), 1, fan, Scratch(docs.sparkSession))
+    answers, total = _answers(asked, owners, parts, fan, Scratch(docs.sparkSession))
     size, n_all, n_target = total["size"], total["all"], total["target"]
 
     @frugal
