@@ -5,6 +5,8 @@ They run inside grouped functions, one region's beads at a time; nothing here is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -30,12 +32,34 @@ def distances(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d[:, None] + d[None, :] - 2 * g, 0.0))
 
 
+def distance_rows(x: np.ndarray, entries: int = 4_000_000) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, distances of some rows to all points) in blocks of bounded size, so that no matrix of all pairs is held."""
+    sq, step = (x * x).sum(axis=1), max(1, entries // max(len(x), 1))
+    for at in range(0, len(x), step):
+        part = slice(at, at + step)
+        yield at, np.sqrt(np.maximum(sq[part, None] + sq[None, :] - 2 * (x[part] @ x.T), 0.0))
+
+
 def neighbours(d: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k nearest other points of each."""
     far = d + np.diag(np.full(len(d), np.inf))
     return np.argsort(far, axis=1, kind="stable")[:, :k]
 
 
+def nearest(x: np.ndarray, k: int) -> np.ndarray:
+    """``neighbours`` from points, in blocks of rows; of equal distances the least index comes first."""
+    out = np.empty((len(x), k), int)
+    for at, d in distance_rows(x):
+        rows = np.arange(len(d))
+        d[rows, at + rows] = np.inf
+        i, j = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1, None])
+        order = np.lexsort((j, d[i, j], i))
+        i, j = i[order], j[order]
+        first = np.searchsorted(i, rows)
+        out[at : at + len(d)] = j[first[:, None] + np.arange(k)]
+    return out
+
+
 # reductions
 
 
@@ -91,7 +115,7 @@ def isomap(x: np.ndarray, k: int, n_neighbors: int = 5) -> np.ndarray:
 def lle(x: np.ndarray, k: int, n_neighbors: int = 5, reg: float = 1e-3) -> np.ndarray:
     n = len(x)
     m = min(n_neighbors, n - 1)
-    near, w = neighbours(distances(x), m), np.zeros((n, n))
+    near, w = nearest(x, m), np.zeros((n, n))
     for i in range(n):
         z = x[near[i]] - x[i]
         c = z @ z.T
@@ -297,6 +321,25 @@ def silhouette(d: np.ndarray, labels: np.ndarray) -> float:
     return float(out.mean())
 
 
+def silhouette_of(x: np.ndarray, labels: np.ndarray) -> float:
+    """``silhouette`` by Euclidean distance, from points: sums to every cluster come from blocks of rows."""
+    ids, code, sizes = np.unique(labels, return_inverse=True, return_counts=True)
+    if len(ids) < 2 or len(ids) >= len(labels):
+        return float("nan")
+    member, total = np.eye(len(ids))[code], 0.0
+    for at, d in distance_rows(x):
+        rows = np.arange(len(d))
+        own = code[at + rows]
+        sums = d @ member
+        a = (sums[rows, own] - d[rows, at + rows]) / np.maximum(sizes[own] - 1, 1)
+        means = sums / sizes
+        means[rows, own] = np.inf
+        b = means.min(axis=1)
+        top = np.maximum(a, b)
+        total += float(np.where((sizes[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1.0), 0.0).sum())
+    return total / len(x)
+
+
 def gmm(x: np.ndarray, k: int, seed: int = 0, steps: int = 200, reg: float = 1e-6) -> tuple[np.ndarray, np.ndarray, float]:
     """Labels, memberships and BIC of a mixture with full covariances, started from k-means."""
     n, p = x.shape
@@ -349,6 +392,56 @@ def agglomerative(d: np.ndarray, k: int, linkage: str = "ward") -> np.ndarray:
     return _renumbered(label)
 
 
+def ward_merges(x: np.ndarray) -> list[tuple[float, int, int]]:
+    """(height, a point of one cluster, a point of the other) of all merges by Ward's criterion, lowest first.
+
+    Chains of nearest neighbours find the same tree as the greedy order. Clusters are kept as
+    means and sizes, so memory grows with the points and time with their square.
+    """
+    n = len(x)
+    mean, size, point = np.array(x, float), np.ones(n), np.arange(n)
+    sq = (mean * mean).sum(axis=1)
+    merges, chain, reach, m = [], [], [], n  # reach: of each link of the chain, shrinking
+    while m > 1:
+        chain = chain or [0]
+        while True:
+            i = chain[-1]
+            gap = np.maximum(sq[:m] + sq[i] - 2 * (mean[:m] @ mean[i]), 0.0)
+            gap *= 2 * size[i] * size[:m] / (size[:m] + size[i])
+            gap[i] = np.inf
+            j = int(gap.argmin())
+            # back, also where both directions differ by rounding only, so that no chain runs in a circle
+            if reach and (gap[chain[-2]] <= gap[j] or gap[j] >= reach[-1]):
+                j = chain[-2]
+                break
+            chain.append(j)
+            reach.append(gap[j])
+        del chain[-2:], reach[-2:]
+        merges.append((float(gap[j]), int(point[i]), int(point[j])))
+        whole = size[i] + size[j]
+        mean[i] = (size[i] * mean[i] + size[j] * mean[j]) / whole
+        size[i], sq[i] = whole, mean[i] @ mean[i]
+        m -= 1
+        mean[j], size[j], sq[j], point[j] = mean[m], size[m], sq[m], point[m]  # the last cluster takes the free place
+        chain = [j if c == m else c for c in chain]
+    return sorted(merges, key=lambda e: e[0])
+
+
+def cut(merges: list[tuple[float, int, int]], n: int, k: int) -> np.ndarray:
+    """Labels of the k clusters that all but the k - 1 highest merges make, in order of first member."""
+    parent = list(range(n))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for _, i, j in merges[: n - k]:
+        parent[find(i)] = find(j)
+    return _renumbered(np.array([find(i) for i in range(n)]))
+
+
 def _renumbered(label: np.ndarray) -> np.ndarray:
     order = {v: i for i, v in enumerate(dict.fromkeys(label[label >= 0].tolist()))}
     return np.array([order.get(v, -1) for v in label.tolist()])
@@ -378,6 +471,32 @@ def dbscan(d: np.ndarray, min_samples: int = 5, eps: float | None = None) -> np.
     return label
 
 
+def dbscan_of(x: np.ndarray, min_samples: int = 5, eps: float | None = None, entries: int = 2_000_000) -> np.ndarray:
+    """``dbscan`` from points: distances are formed in blocks of rows, one column at a time, so that each is the same in every block."""
+    n = len(x)
+    step = max(1, entries // n)
+
+    def rows(which: np.ndarray) -> np.ndarray:
+        return np.sqrt(sum((x[which, c, None] - x[None, :, c]) ** 2 for c in range(x.shape[1])))
+
+    blocks = [np.arange(at, min(at + step, n)) for at in range(0, n, step)]
+    if eps is None:
+        k = min(min_samples + 1, n) - 1
+        eps = float(np.percentile(np.concatenate([np.partition(rows(b), k, axis=1)[:, k].copy() for b in blocks]), 90)) or 1e-12
+    core = np.concatenate([(rows(b) <= eps).sum(axis=1) for b in blocks]) >= min_samples
+    label, c = np.full(n, -1), 0
+    for i in np.flatnonzero(core):
+        if label[i] >= 0:
+            continue
+        label[i], todo = c, np.array([i])
+        while len(todo):
+            found = (rows(todo[:step]) <= eps).any(axis=0) & (label < 0)
+            label[found] = c
+            todo = np.concatenate([todo[step:], np.flatnonzero(found & core)])
+        c += 1
+    return label
+
+
 def _spanning_tree(w: np.ndarray) -> list[tuple[float, int, int]]:
     n = len(w)
     inside, best, link, edges = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int), []
@@ -490,11 +609,13 @@ def spectral(x: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
 
 
 def best_k(x: np.ndarray, fit, max_k: int) -> np.ndarray:
-    """Labels of the number of clusters with the best silhouette."""
-    d, best = distances(x), None
-    for k in range(2, min(max_k, len(x) - 1) + 1):
+    """Labels of the number of clusters with the best silhouette; a single choice needs none."""
+    most, best = min(max_k, len(x) - 1), None
+    if most == 2:
+        return fit(2)
+    for k in range(2, most + 1):
         labels = fit(k)
-        s = silhouette(d, labels)
+        s = silhouette_of(x, labels)
         if best is None or (s == s and s > best[0]):
             best = (s if s == s else -2.0, labels)
     return best[1] if best else np.zeros(len(x), int)
@@ -508,29 +629,35 @@ def cluster(x: np.ndarray, method: str = "kmeans", *, n_clusters: int | None = N
         return np.empty(0, int)
     if n < 3:
         return np.zeros(n, int)
-    d = distances(x)
     pick = lambda fit: fit(min(n_clusters, n)) if n_clusters else best_k(x, fit, max_k)
     if method == "kmeans":
         labels = pick(lambda k: kmeans(x, k, seed, n_init)[0])
     elif method == "gmm":
         labels = gmm(x, n_clusters, seed)[0] if n_clusters else min((gmm(x, k, seed) for k in range(1, min(max_k, n - 1) + 1)), key=lambda r: r[2])[0]
     elif method in ("hierarchical", "agglomerative"):
-        labels = pick(lambda k: agglomerative(d, k, linkage))
+        if linkage == "ward":
+            merges = ward_merges(x)
+            labels = pick(lambda k: cut(merges, n, k))
+        else:
+            d = distances(x)
+            labels = pick(lambda k: agglomerative(d, k, linkage))
     elif method == "dtw":
         labels = pick(lambda k: agglomerative(dtw_distances(x), k, "average"))
     elif method == "dbscan":
-        labels = dbscan(d, min_samples, eps)
+        labels = dbscan_of(x, min_samples, eps)
     elif method == "hdbscan":
-        labels = hdbscan(d, max(2, min_samples))
+        labels = hdbscan(distances(x), max(2, min_samples))
     elif method == "optics":
-        labels = optics(d, min_samples)
+        labels = optics(distances(x), min_samples)
     elif method == "spectral":
         labels = pick(lambda k: spectral(x, k, seed))
     else:
         raise ValueError(f"unknown clustering: {method}")
     labels = np.array(labels)
     if outlier_z is not None:
-        dist = np.array([np.linalg.norm(x[i] - x[labels == labels[i]].mean(axis=0)) if labels[i] >= 0 else 0.0 for i in range(n)])
+        dist = np.zeros(n)
+        for c in np.unique(labels[labels >= 0]):
+            dist[labels == c] = np.linalg.norm(x[labels == c] - x[labels == c].mean(axis=0), axis=1)
         m = np.median(dist)
         mad = 1.4826 * np.median(np.abs(dist - m))
         if mad > 0:

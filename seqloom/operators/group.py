@@ -19,6 +19,11 @@ def _keys_schema(df: DataFrame, keys: list[str]) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name in keys)
 
 
+def spread(df: DataFrame, group: list[str]) -> DataFrame:
+    """Groups dealt over all shuffle partitions: vectors are few bytes but long work, so adaptive execution must not merge them into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group)
+
+
 def reduced(df: DataFrame, group: list[str], id_col: str, method: str = "fpca", n_components: int = 10, v: str = "v", **options) -> DataFrame:
     """(group, id, v): feature vectors of each group in fewer dimensions."""
 
@@ -43,14 +48,14 @@ def clustered(df: DataFrame, group: list[str], id_col: str, method: str = "kmean
             x = numeric.reduce_dimensions(np.stack(pdf[v].to_numpy()), reduction, n_components, **(reduction_options or {}))
             labels = numeric.cluster(x, method, **options)
             if measured:
-                s = numeric.silhouette(numeric.distances(numeric.standardised(numeric.column_filled(np.asarray(x, float)))), labels)
+                s = numeric.silhouette_of(numeric.standardised(numeric.column_filled(np.asarray(x, float))), labels)
                 silhouette = s if s == s else None
             out = out.assign(label=labels.astype("int32"), error=None)
         except Exception as e:  # errors of one group are data: the others go on
             out = out.assign(label=np.int32(-1), error=f"{type(e).__name__}: {e}")
         return out.assign(silhouette=silhouette) if measured else out
 
-    return df.groupBy(*group).applyInPandas(run, f"{_keys_schema(df, [*group, id_col])}label int, error string{', silhouette double' if measured else ''}")
+    return spread(df, group).groupBy(*group).applyInPandas(run, f"{_keys_schema(df, [*group, id_col])}label int, error string{', silhouette double' if measured else ''}")
 
 
 def pair_distances(df: DataFrame, group: list[str], id_col: str, v: str = "v", metric: str = "euclid") -> DataFrame:

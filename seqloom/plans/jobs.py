@@ -93,17 +93,18 @@ def features(rows: DataFrame, keys: list[str], pipeline: Pipeline) -> DataFrame:
     return curves.represented(rows, keys, pipeline.representation, pipeline.n_grid, z_thresh=pipeline.z_thresh, union=pipeline.use_full_extension_range)
 
 
-def clustered(rows: DataFrame, keys: list[str], pipeline: Pipeline, vectors: DataFrame | None = None) -> DataFrame:
-    """(keys, label, error, silhouette) of curves (keys..., frame, x, f) under a pipeline; the last key is the bead."""
+def clustered(rows: DataFrame, keys: list[str], pipeline: Pipeline, vectors: DataFrame | None = None, measured: bool = True) -> DataFrame:
+    """(keys, label, error, silhouette) of curves (keys..., frame, x, f) under a pipeline; the last key is the bead. Unmeasured silhouettes are null."""
     if pipeline.extra:
         raise ValueError(f"{pipeline.name}: unknown options {sorted(pipeline.extra)}")
     *outer, bead = keys
     options = {"n_neighbors": pipeline.n_neighbors} if pipeline.n_neighbors else {}
-    return group.clustered(
+    out = group.clustered(
         features(rows, keys, pipeline) if vectors is None else vectors, outer, bead, pipeline.clustering, reduction=pipeline.reduction, n_components=pipeline.n_components,
-        reduction_options=options, measured=True, n_clusters=pipeline.n_clusters, max_k=pipeline.max_k, seed=pipeline.seed, outlier_z=pipeline.outlier_z,
+        reduction_options=options, measured=measured, n_clusters=pipeline.n_clusters, max_k=pipeline.max_k, seed=pipeline.seed, outlier_z=pipeline.outlier_z,
         min_cluster_size=pipeline.min_cluster_size, min_samples=pipeline.min_samples, eps=pipeline.eps, linkage=pipeline.linkage, n_init=pipeline.n_init,
     )
+    return out if measured else out.withColumn("silhouette", F.lit(None).cast("double"))
 
 
 def good_by_group(labelled: DataFrame, outer: list[str], y: str = "y") -> DataFrame:
@@ -114,7 +115,7 @@ def good_by_group(labelled: DataFrame, outer: list[str], y: str = "y") -> DataFr
     return labelled.join(best, outer, "left").withColumn("p", F.when(F.col("label") == F.col("__best"), 1).otherwise(0)).drop("__best")
 
 
-def labelled(rows: DataFrame, keys: list[str], pipelines: list[Pipeline]) -> DataFrame:
+def labelled(rows: DataFrame, keys: list[str], pipelines: list[Pipeline], measured: bool = True) -> DataFrame:
     """(pipeline, keys, label, error, silhouette) of every pipeline: each set of vectors is made and stored once, as are the labels."""
     made: dict[tuple, DataFrame] = {}
     out = None
@@ -123,7 +124,7 @@ def labelled(rows: DataFrame, keys: list[str], pipelines: list[Pipeline]) -> Dat
         form = ("common_grid" if on_grid else p.representation, p.n_grid, *on_grid)
         if form not in made:
             made[form] = materialized(features(rows, keys, p))
-        part = clustered(rows, keys, p, made[form]).select(F.lit(p.name).alias("pipeline"), "*")
+        part = clustered(rows, keys, p, made[form], measured).select(F.lit(p.name).alias("pipeline"), "*")
         out = part if out is None else out.unionByName(part)
     return materialized(out)
 
@@ -139,13 +140,13 @@ def with_members(pipelines: list[Pipeline], known: dict[str, Pipeline] | None =
     return list(single.values()), votes
 
 
-def predicted(rows: DataFrame, truth: DataFrame, keys: list[str], pipelines: list[Pipeline], known: dict[str, Pipeline] | None = None) -> DataFrame:
+def predicted(rows: DataFrame, truth: DataFrame, keys: list[str], pipelines: list[Pipeline], known: dict[str, Pipeline] | None = None, measured: bool = True) -> DataFrame:
     """(pipeline, keys, y, label, p, error, silhouette) of every bead in ``truth`` under every pipeline.
 
     Of an ensemble, ``p`` and ``label`` (0 good, 1 not) are its members' vote; a bead that a member left out is not good.
     """
     single, votes = with_members(pipelines, known)
-    labels = labelled(rows, keys, single)
+    labels = labelled(rows, keys, single, measured)
     spark = rows.sparkSession
     names = spark.createDataFrame([(p.name,) for p in single], "pipeline string")
     every = truth.crossJoin(F.broadcast(names)).join(labels, ["pipeline", *keys], "left")
@@ -162,7 +163,7 @@ def predicted(rows: DataFrame, truth: DataFrame, keys: list[str], pipelines: lis
 
 def evaluate(rows: DataFrame, truth: DataFrame, keys: list[str], pipelines: list[Pipeline], known: dict[str, Pipeline] | None = None) -> DataFrame:
     """(pipeline, outer keys, counts, accuracy, n_failed): every pipeline and ensemble over every group; a group that failed has no accuracy."""
-    told, by = predicted(rows, truth, keys, pipelines, known), ["pipeline", *keys[:-1]]
+    told, by = predicted(rows, truth, keys, pipelines, known, measured=False), ["pipeline", *keys[:-1]]
     failed = told.groupBy(*by).agg(F.count("error").alias("n_failed"))
     scored = metrics.confusion(told, by).join(failed, by)
     return scored.withColumn("accuracy", F.when(F.col("n_failed") == 0, F.col("accuracy")))
@@ -247,7 +248,7 @@ def tuned(rows: DataFrame, truth: DataFrame, keys: list[str], bases: list[tuple[
 def ensemble(rows: DataFrame, truth: DataFrame, keys: list[str], members: list[Pipeline]) -> DataFrame:
     """(keys, y, p): the members' vote on each bead; beads that a member dropped get 0."""
     whole = Pipeline("vote", members=tuple(p.name for p in members))
-    return predicted(rows, truth, keys, [whole], {p.name: p for p in members}).select(*keys, "y", "p")
+    return predicted(rows, truth, keys, [whole], {p.name: p for p in members}, measured=False).select(*keys, "y", "p")
 
 
 def score_rules(traces: DataFrame, truth: DataFrame, keys: list[str], experiment: list[str], **thresholds) -> DataFrame:
