@@ -158,10 +158,16 @@ def with_default(truth: DataFrame, predictions: DataFrame, keys: list[str], defa
 
 
 def merged_replicates(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Mean accuracy (six decimals, as text) and half-even mean of correct per key; other columns of the first row."""
+    """Mean accuracy (six decimals, as text) and half-even mean of correct per key; other columns of the first row.
+
+    Accuracies are summed and divided as decimals, so that a mean halfway between two texts goes up whatever
+    the order of its rows; a key with values that aren't decimals of that size (NaN, say) takes the mean of doubles.
+    """
     rest = [c for c in df.columns if c not in (*keys, "accuracy", "correct", order)]
     first = [F.min_by(c, order).alias(c) for c in rest]
-    return df.groupBy(*keys).agg(F.format_string("%.6f", F.avg("accuracy")).alias("accuracy"), F.bround(F.avg("correct")).cast("long").alias("correct"), *first)
+    exact = F.col("accuracy").try_cast("decimal(28,18)")
+    mean = F.when(F.count(exact) == F.count("accuracy"), F.round(F.sum(exact) / F.count(exact), 6).cast("decimal(38,6)").cast("string")).otherwise(F.format_string("%.6f", F.avg("accuracy")))
+    return df.groupBy(*keys).agg(mean.alias("accuracy"), F.bround(F.avg("correct")).cast("long").alias("correct"), *first)
 
 
 def rolled_up(df: DataFrame, group: list[str], index: int, order: list[str], means: list[str], total: str, firsts: list[str]) -> DataFrame:

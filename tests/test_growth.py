@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from seqloom.functions import numeric
+from seqloom.operators import metrics, trace
 
 
 def spots(n, columns=4, seed=0):
@@ -40,3 +41,42 @@ def test_block_forms_equal_those_on_matrices():
     assert np.isclose(numeric.silhouette_of(x, labels), numeric.silhouette(d, labels))
     assert (numeric.dbscan_of(x, 4) == numeric.dbscan(d, 4)).all()
     assert (numeric.nearest(spots(120), 5) == numeric.neighbours(numeric.distances(spots(120)), 5)).all()
+
+
+def test_means_halfway_between_two_texts_do_not_hang_on_the_order_of_rows(spark):
+    # 0.99 / 32 = 0.0309375 and 0.98 / 64 = 0.0153125, which sums of doubles miss on either side
+    rows = []
+    for key in range(60):
+        n, hundredths = (32, 99) if key % 2 else (64, 98)
+        parts = [hundredths // n] * n
+        for i in range(hundredths % n):
+            parts[i] += 1
+        rng = np.random.default_rng(key)
+        moved = rng.permutation(n)
+        for a, b in zip(moved[::2], moved[1::2], strict=True):
+            shift = int(rng.integers(0, 6))
+            parts[a], parts[b] = parts[a] + shift, parts[b] - shift
+        rows += [(key, i, p / 100.0, 1.0) for i, p in enumerate(parts)]
+    df = spark.createDataFrame(rows, "k int, i int, accuracy double, correct double").repartition(16)
+    got = {r["k"]: r["accuracy"] for r in metrics.merged_replicates(df, ["k"], "i").collect()}
+    assert {got[k] for k in got if k % 2} == {"0.030938"} and {got[k] for k in got if not k % 2} == {"0.015313"}
+
+
+def test_means_of_values_that_are_no_decimals(spark):
+    df = spark.createDataFrame([(1, 1, float("nan"), 1.0), (1, 2, 0.5, 2.0), (2, 1, None, 1.0)], "k int, i int, accuracy double, correct double")
+    assert {r["k"]: r["accuracy"] for r in metrics.merged_replicates(df, ["k"], "i").collect()} == {1: "NaN", 2: None}
+
+
+def test_steps_at_the_bound_are_no_spikes_whatever_the_order(spark):
+    # eight steps of one unit among fifty: the deviation is 0.4 units, and 2.5 deviations are one unit exactly
+    rows = []
+    for bead in range(200):
+        rng = np.random.default_rng(bead)
+        steps = np.zeros(50)
+        steps[rng.choice(50, 8, replace=False)] = 100.0 * rng.permutation([1, -1] * 4)
+        rows += [(bead, i, float(z)) for i, z in enumerate(np.concatenate([[0.0], np.cumsum(steps)]))]
+    df = spark.createDataFrame(rows, "bead int, frame int, z double").repartition(16)
+    got = trace.rule_flags(df, ["bead"], n_sigma=2.5, gap_len=100)
+    assert got.where("spike").count() == 0 and got.count() == 200
+    assert trace.rule_flags(df, ["bead"], n_sigma=2.4999, gap_len=100).where("spike").count() == 200
+    assert trace.rule_flags(df.where("bead = 0"), ["bead"], n_sigma=2.5, gap_len=1).first()["dropout"]
