@@ -14,6 +14,8 @@ from seqloom.runtime import materialized
 
 UP_TO_HERE = (W.unboundedPreceding, W.currentRow)
 FROM_HERE = (W.currentRow, W.unboundedFollowing)
+#: Factor on the bounds of rules: deviations of long traces are rounded by less, whatever the order of their sums.
+ABOVE = 1 + 1e-12
 
 
 def _ordered(keys: list[str], order: str = "frame"):
@@ -247,21 +249,22 @@ def split_cleaned(df: DataFrame, keys: list[str], duration: float, overlap: floa
 def rule_flags(
     df: DataFrame, keys: list[str], variance_thresh: float | None = None, n_sigma: float = 5.0, min_jump: float | None = None, gap_len: int = 5, dropout_tol: float = 1e-6, flat_tol: float = 1e-6
 ) -> DataFrame:
-    """Rules on each trace: flat, dropout, spike, high variance, and their ladder ``usable`` (0 or 1)."""
+    """Rules on each trace: flat, dropout, spike, high variance, and their ladder ``usable`` (0 or 1).
+
+    A step or variance that equals its bound but for rounding is not beyond it.
+    """
     steps = with_steps(filled(df, keys, inf_in_mean=True), keys)
-    quiet = F.coalesce(F.abs("d") <= dropout_tol, F.lit(False))
-    w = _ordered(keys)
-    # runs of quiet steps: a run's id is the number of other rows before it
-    runs = steps.withColumn("q", quiet).withColumn("run", F.sum((~F.col("q")).cast("long")).over(w.rowsBetween(*UP_TO_HERE)))
-    runs = runs.withColumn("length", F.sum(F.col("q").cast("long")).over(W.partitionBy(*keys, "run")))
+    quiet = F.coalesce(F.abs("d") <= dropout_tol, F.lit(False)).cast("long")
+    # a run of gap_len quiet steps ends where the last gap_len rows are all quiet: one order of rows serves all rules
+    runs = steps.withColumn("length", F.sum(quiet).over(_ordered(keys).rowsBetween(-max(gap_len - 1, 0), 0)))
     jump = F.when(F.coalesce(F.stddev_pop("d"), F.lit(0.0)) <= 0, F.lit(1e-10)).otherwise(F.stddev_pop("d")) * n_sigma
     if min_jump is not None:
         jump = F.greatest(jump, F.lit(float(min_jump)))
     flags = runs.groupBy(*keys).agg(
         (F.stddev_pop("z") <= flat_tol).alias("flat"),
         (F.max("length") >= gap_len).alias("dropout"),
-        F.coalesce(F.max(F.abs("d")) > jump, F.lit(False)).alias("spike"),
-        (F.var_pop("z") > variance_thresh if variance_thresh is not None else F.lit(False)).alias("high_variance"),
+        F.coalesce(F.max(F.abs("d")) > jump * ABOVE, F.lit(False)).alias("spike"),
+        (F.var_pop("z") > variance_thresh * ABOVE if variance_thresh is not None else F.lit(False)).alias("high_variance"),
     )
     bad = F.col("flat") | F.col("dropout") | F.col("spike") | F.col("high_variance")
     return flags.withColumn("usable", F.when(bad, 0).otherwise(1))
