@@ -8,7 +8,7 @@ computed in Arrow batches and nothing but learned numbers reaches the driver:
   dilations; biases are quantiles of the convolutions of a bounded sample of training traces
   (the least hashes of their values), and a feature is the share of responses above its bias.
 * ``SymbolicWords``: windows become words of binned Fourier coefficients. Bins are equally deep,
-  by a quantile sketch over all training windows; word counts come from a shuffle by (trace, word),
+  by exact ranks over all training windows; word counts come from a shuffle by (trace, word),
   and words are chosen by chi-square against the class.
 * ``Ridge``: least squares on targets of -1 and 1 from normal equations summed by tasks.
 
@@ -29,15 +29,14 @@ from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.functions.numeric import clean
 from seqloom.operators.models import normal_equations, ridge_predict
-from seqloom.runtime import in_batches
+from seqloom.runtime import in_batches, materialized
 
 KERNELS = np.array(list(combinations(range(9), 3)))
-#: Coefficients whose quantiles are exact, at most; those of more come from a sketch (off by a rank in 10,000).
-EXACT_VALUES = 1_000_000
 GOLDEN = (np.sqrt(5) + 1) / 2
 
 
@@ -168,6 +167,24 @@ def window_values(z: np.ndarray, size: int, values: int, normed: bool) -> np.nda
     return np.round(np.stack([windows @ np.cos(angle), -(windows @ np.sin(angle))], axis=2).reshape(len(windows), values), 9)
 
 
+def split_points(df: DataFrame, group: list[str], value: str, parts: int) -> DataFrame:
+    """(group, q): of each group the values at ranks ceil(i * n / parts), i below ``parts``, exactly.
+
+    Equal values are counted first. Distinct ones are dealt out in ranges, whose counts tell in which
+    range a rank lies; only those ranges are put in order, so no task holds a group's values.
+    """
+    dealt = materialized(df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c")).repartitionByRange(*group, value).withColumn("__r", F.spark_partition_id()))
+    whole, before = W.partitionBy(*group), W.partitionBy(*group).orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
+    ranges = dealt.groupBy(*group, "__r").agg(F.sum("__c").alias("m"))
+    ranges = ranges.withColumn("n", F.sum("m").over(whole)).withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    wanted = ranges.withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(1, parts)]))).withColumn("rank", F.expr(f"(i * n + {parts - 1}) div {parts}"))
+    wanted = wanted.where("before < rank and rank <= before + m").select(*group, "__r", "i", "rank", "before")
+    upto = F.col("before") + F.sum("__c").over(W.partitionBy(*group, "__r", "i").orderBy(value))
+    near = dealt.join(F.broadcast(wanted), [*group, "__r"]).withColumn("upto", upto).where("upto >= rank")
+    ends = near.groupBy(*group, "i").agg(F.min(value).alias("x"))
+    return ends.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("q"))
+
+
 class _Words(_Columns):
     windows = Param(Params._dummy(), "windows", "window sizes", TypeConverters.toListInt)
     values = Param(Params._dummy(), "values", "Fourier values of a word, an even number", TypeConverters.toInt)
@@ -229,7 +246,7 @@ class SymbolicWords(_Words, Estimator, DefaultParamsReadable, DefaultParamsWrita
         self._columns(**self._input_kwargs)
 
     def learned_edges(self, df: DataFrame) -> list[float]:
-        """Equally deep bins of every window size and value; exact up to ``EXACT_VALUES`` values, a quantile sketch over all windows beyond."""
+        """Equally deep bins of every window size and value, by exact ranks over all windows."""
         sizes, values, letters, normed = (self.getOrDefault(p) for p in ("windows", "values", "letters", "normed"))
 
         def compute(traces: list) -> list[list]:
@@ -238,10 +255,7 @@ class SymbolicWords(_Words, Estimator, DefaultParamsReadable, DefaultParamsWrita
 
         rows = in_batches(df, [self.getOrDefault("inputCol")], [], "v array<array<double>>", compute)
         long = rows.select(F.posexplode("v").alias("size", "v")).select("size", F.posexplode("v").alias("k", "x")).withColumn("k", F.col("k") % values)
-        levels = [(k + 1) / letters for k in range(letters - 1)]
-        few = long.limit(EXACT_VALUES + 1).count() <= EXACT_VALUES
-        quantiles = F.array(*[F.expr(f"percentile_disc({q!r}) WITHIN GROUP (ORDER BY x)") for q in levels]) if few else F.percentile_approx("x", levels, 10_000)
-        found = {(r["size"], r["k"]): r["q"] for r in long.groupBy("size", "k").agg(quantiles.alias("q")).collect()}
+        found = {(r["size"], r["k"]): r["q"] for r in split_points(long, ["size", "k"], "x", letters).collect()}
         return [x for s in range(len(sizes)) for k in range(values) for x in found.get((s, k), [0.0] * (letters - 1))]
 
     def counts(self, df: DataFrame, keys: list[str], edges: list[float]) -> DataFrame:

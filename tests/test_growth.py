@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from seqloom.functions import numeric
-from seqloom.operators import metrics, trace
+from seqloom.operators import metrics, trace, traceml
 
 
 def spots(n, columns=4, seed=0):
@@ -80,3 +80,12 @@ def test_steps_at_the_bound_are_no_spikes_whatever_the_order(spark):
     assert got.where("spike").count() == 0 and got.count() == 200
     assert trace.rule_flags(df, ["bead"], n_sigma=2.4999, gap_len=100).where("spike").count() == 200
     assert trace.rule_flags(df.where("bead = 0"), ["bead"], n_sigma=2.5, gap_len=1).first()["dropout"]
+
+
+def test_split_points_are_exact_for_any_number_of_values(spark):
+    # more values than the sketch kept apart, in odd proportions, with many equal ones
+    df = spark.range(1_200_001).selectExpr("id % 2 AS g", "cast((id * 7919 % 1200001) * (id % 3) AS double) AS x")
+    got = {r["g"]: list(r["q"]) for r in traceml.split_points(df, ["g"], "x", 4).collect()}
+    for g, part in df.toPandas().groupby("g"):
+        ordered, n = np.sort(part["x"].to_numpy()), len(part)
+        assert got[g] == [float(ordered[-(-i * n // 4) - 1]) for i in (1, 2, 3)]
