@@ -8,7 +8,7 @@ from seqloom.operators import generate, group, models
 from seqloom.operators import select as op
 from seqloom.operators import trace as tr
 from seqloom.plans.fixtures import TRACE, rounded, trace
-from seqloom.runtime import table
+from seqloom.runtime import materialized, table
 from seqloom.sources import discovery, text
 
 
@@ -144,7 +144,7 @@ def _words(s, d):
 def _minirocket(s, d):
     from seqloom.operators.traceml import trace_pipeline
 
-    rows = _series(s, d).withColumn("label", (F.col("bead") % 2).cast("int"))
+    rows = materialized(_series(s, d).withColumn("label", (F.col("bead") % 2).cast("int")))  # a fit reads it several times
     told = trace_pipeline("minirocket", 504).fit(rows.where("bead % 4 < 2")).transform(rows)
     return rounded(told.select("bead", "label", "p", F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("total")))
 

@@ -89,3 +89,18 @@ def test_split_points_are_exact_for_any_number_of_values(spark):
     for g, part in df.toPandas().groupby("g"):
         ordered, n = np.sort(part["x"].to_numpy()), len(part)
         assert got[g] == [float(ordered[-(-i * n // 4) - 1]) for i in (1, 2, 3)]
+
+
+def test_kernel_shares_of_many_kernels_equal_those_one_by_one(monkeypatch):
+    rng = np.random.default_rng(3)
+    calls = []
+    monkeypatch.setattr(traceml, "responses", lambda *a, _own=traceml.responses: calls.append(a) or _own(*a))
+    for length in (1, 7, 40, 333):
+        z, own = rng.normal(size=length).round(1), rng.normal(size=(84, 3)).round(1)
+        for number, dilation in enumerate((1, 2, 9)):
+            one = [(r[:, None] > own[k]).mean(axis=0).tolist() for k, r in enumerate(traceml.responses(z, dilation, number))]
+            for entries in (10, 2_000_000):
+                assert traceml.shares_above(z, dilation, number, own, entries).tolist() == one
+    calls.clear()
+    traceml.MiniRocketModel()._set(dilations=[1, 2], shares=[1, 1], biases=[0.0] * 168).one()(rng.normal(size=50))
+    assert not calls  # a model forms no response kernel by kernel
