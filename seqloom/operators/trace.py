@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.functions.arrays import edge_padded, finite, missing_to_null, padded, resampled, segments
+from seqloom.functions.arrays import edge_padded, finite, let, missing_to_null, padded, resampled, segments
 from seqloom.runtime import materialized
 
 UP_TO_HERE = (W.unboundedPreceding, W.currentRow)
@@ -24,9 +24,13 @@ def _ordered(keys: list[str], order: str = "frame"):
 
 def word_lengths(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, frame, z): the lengths of a text's words as a trace; words stand between ASCII blanks. Texts without words have no rows."""
-    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    lengths = F.transform(words, lambda w: F.length(w).cast("double"))
-    return docs.select(*keys, F.posexplode(lengths).alias("frame", "z"))
+    return docs.select(*keys, F.posexplode(length_array(F.col(text))).alias("frame", "z"))
+
+
+def length_array(text: Column) -> Column:
+    """The trace of ``word_lengths`` as an array."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.length(w).cast("double"))
 
 
 def filled(df: DataFrame, keys: list[str], z: str = "z", inf_to_mean: bool = False, inf_in_mean: bool = False) -> DataFrame:
@@ -270,6 +274,34 @@ def rule_flags(
     return flags.withColumn("usable", F.when(bad, 0).otherwise(1))
 
 
+def array_rule_flags(z: Column, variance_thresh: float | None = None, n_sigma: float = 5.0, gap_len: int = 5, dropout_tol: float = 1e-6, flat_tol: float = 1e-6) -> Column:
+    """``rule_flags`` of one trace as an array of finite samples, as a struct; null if it has none. No rows move."""
+    total = lambda v, of=lambda x: x: F.aggregate(v, F.lit(0.0), lambda s, x: s + of(x))
+    mean = lambda v: total(v) / F.size(v)
+    variance = lambda v: let(mean(v), lambda m: total(v, lambda x: (x - m) * (x - m)) / F.size(v))
+
+    def run(s: Column, x: Column) -> Column:
+        now = F.when(F.abs(x) <= dropout_tol, s["now"] + 1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    def flags(v: Column, d: Column) -> Column:
+        spread = F.when(F.size(d) > 0, F.sqrt(variance(d)))
+        jump = F.when(F.coalesce(spread, F.lit(0.0)) <= 0, F.lit(1e-10)).otherwise(spread) * n_sigma * ABOVE
+        longest = F.aggregate(d, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), run, lambda s: s["most"])
+        spike = F.coalesce(F.array_max(F.transform(d, F.abs)) > jump, F.lit(False))
+
+        def told(var: Column) -> Column:
+            high = var > variance_thresh * ABOVE if variance_thresh is not None else F.lit(False)
+            return F.struct((F.sqrt(var) <= flat_tol).alias("flat"), (longest >= gap_len).alias("dropout"), spike.alias("spike"), high.alias("high_variance"))
+
+        return let(variance(v), told)
+
+    steps = lambda v: F.zip_with(F.slice(v, 2, F.size(v) - 1), F.slice(v, 1, F.size(v) - 1), lambda b, a: b - a)
+    whole = let(z, lambda v: F.when(F.size(v) > 0, let(steps(v), lambda d: flags(v, d))))
+    bad = lambda f: f["flat"] | f["dropout"] | f["spike"] | f["high_variance"]
+    return let(whole, lambda f: F.when(f.isNotNull(), F.struct(*[f[c].alias(c) for c in ("flat", "dropout", "spike", "high_variance")], F.when(bad(f), 0).otherwise(1).alias("usable"))))
+
+
 def training_stats(df: DataFrame) -> DataFrame:
     """Mean and deviation over all known samples."""
     z = missing_to_null(F.col("z"))

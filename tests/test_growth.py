@@ -104,3 +104,23 @@ def test_kernel_shares_of_many_kernels_equal_those_one_by_one(monkeypatch):
     calls.clear()
     traceml.MiniRocketModel()._set(dilations=[1, 2], shares=[1, 1], biases=[0.0] * 168).one()(rng.normal(size=50))
     assert not calls  # a model forms no response kernel by kernel
+
+
+def test_a_text_is_judged_without_moving_its_words(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from jobs import text_traces
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join("x" * int(k) for k in rng.integers(1, 5 + i % 30, rng.integers(1, 60))) for i in range(150)]
+    texts += ["", " \t ", "one", "aa bb", "a a a a a a a a", "a a a a a a a bbb", "x" * 90 + " a b c d e f g h"]
+    docs = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)] + [(900, "s", None)], "doc_id long, source string, text string")
+    found = text_traces.beads_of(docs, text_traces.OPTIONS)
+    rules = {k: text_traces.OPTIONS[k] for k in ("variance_thresh", "n_sigma", "gap_len", "flat_tol")}
+    long = trace.word_lengths(docs, ["doc_id"])
+    want = {r["doc_id"]: tuple(r[c] for c in (*text_traces.RULES, "usable")) for r in trace.rule_flags(long, ["doc_id"], **rules).collect()}
+    got = {r["doc_id"]: tuple(r[c] for c in (*text_traces.RULES, "usable")) for r in found.where("samples > 0").collect()}
+    assert got == want and len(want) > 150
+    assert found.where("samples = 0 AND usable = 0").count() == 3
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
