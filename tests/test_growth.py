@@ -124,3 +124,37 @@ def test_a_text_is_judged_without_moving_its_words(spark, tmp_path):
     assert found.where("samples = 0 AND usable = 0").count() == 3
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("seed", (0, 1, 3))  # planes without closed parts
+def test_locally_linear_embedding_by_elimination_equals_the_dense_one(seed):
+    x = np.random.default_rng(seed).uniform(size=(300, 2))  # one part: the directions are unique but for their signs
+    assert np.allclose(np.abs((numeric.lle(x, 3, dense=300) * numeric.lle(x, 3, dense=0)).sum(axis=0)), 1.0, atol=1e-4)
+    x = spots(300, seed=seed)  # several parts: directions without error are free against each other, the errors are not
+    near, w = numeric.neighbour_weights(x, 5)
+    a = np.eye(300)
+    a[np.arange(300)[:, None], near] -= w
+    got = numeric.lle(x, 8, dense=0)
+    assert np.allclose(got.T @ got, np.eye(8), atol=1e-8) and np.allclose(got.sum(axis=0), 0.0, atol=1e-6)
+    assert np.allclose(np.linalg.norm(a @ got, axis=0) ** 2, np.linalg.eigvalsh(a.T @ a)[1:9], rtol=1e-6, atol=1e-12)
+
+
+def test_locally_linear_embedding_of_copies_follows_the_points():
+    x = spots(150)
+    copies = np.repeat(x, 8, axis=0)
+    got = numeric.lle(copies, 2)
+    assert np.allclose(got.reshape(150, 8, 2), got[::8][:, None], atol=1e-8)
+    want = numeric.pca(x, 2)
+    assert np.allclose(np.abs((got[::8] * want).sum(axis=0)) * 8**0.5, np.linalg.norm(want, axis=0), atol=1e-6)
+    same = numeric.lle(np.ones((1100, 3)), 2)
+    assert np.allclose(same.T @ same, np.eye(2)) and np.isfinite(same).all()
+
+
+@pytest.mark.parametrize("copies", (1, 20))
+def test_locally_linear_embedding_holds_no_matrix_of_all_pairs(copies):
+    x = np.repeat(spots(5000 // copies, 2), copies, axis=0)
+    tracemalloc.start()
+    y = numeric.reduce_dimensions(x, "lle", 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert y.shape == (5000, 2) and np.isfinite(y).all() and peak < 5000 * 5000 * 8  # one matrix; four were held
