@@ -152,9 +152,16 @@ def sum_vote(df: DataFrame, keys: list[str], everyone: DataFrame | None = None,
     return out if everyone is None else everyone.join(out, keys, "left").withColumn("vote", F.coalesce("vote", F.lit(0)))
 
 
-def with_default(truth: DataFrame, predictions: DataFrame, keys: list[str], default: int = 0, p: str = "p") -> DataFrame:
-    """Every row of truth with its prediction, or the default class where it has none."""
-    return truth.join(predictions, keys, "left").withColumn(p, F.coalesce(p, F.lit(default)))
+def with_default(truth: DataFrame, predictions: DataFrame, keys: list[str], default: int = 0, p: str = "p", failed: DataFrame | None = None) -> DataFrame:
+    """Every row of truth with its prediction, or the default class where it has none.
+
+    ``failed`` (some of the keys, error) names what could not be predicted: its rows have that error and no prediction.
+    """
+    told = truth.join(predictions, keys, "left")
+    value = F.coalesce(p, F.lit(default))
+    if failed is None:
+        return told.withColumn(p, value)
+    return told.join(failed, [k for k in keys if k in failed.columns], "left").withColumn(p, F.when(F.col("error").isNull(), value))
 
 
 def merged_replicates(df: DataFrame, keys: list[str], order: str) -> DataFrame:

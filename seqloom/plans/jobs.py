@@ -144,6 +144,7 @@ def predicted(rows: DataFrame, truth: DataFrame, keys: list[str], pipelines: lis
     """(pipeline, keys, y, label, p, error, silhouette) of every bead in ``truth`` under every pipeline.
 
     Of an ensemble, ``p`` and ``label`` (0 good, 1 not) are its members' vote; a bead that a member left out is not good.
+    A group in which a member failed has no vote: its beads have the failed members' errors instead.
     """
     single, votes = with_members(pipelines, known)
     labels = labelled(rows, keys, single, measured)
@@ -154,19 +155,21 @@ def predicted(rows: DataFrame, truth: DataFrame, keys: list[str], pipelines: lis
     asked = [p.name for p in pipelines if not p.members]
     out = told.where(F.col("pipeline").isin(asked))
     for name, members in votes.items():
-        voted = metrics.votes(told.where(F.col("pipeline").isin(members) & F.col("label").isNotNull() & F.col("error").isNull()), keys, len(members)).withColumnRenamed("vote", "p")
-        own = metrics.with_default(truth, voted, keys)
-        none = F.lit(None)
-        out = out.unionByName(own.select(F.lit(name).alias("pipeline"), *keys, "y", (1 - F.col("p")).cast("int").alias("label"), "p", none.cast("string").alias("error"), none.cast("double").alias("silhouette")))
+        asked_of = told.where(F.col("pipeline").isin(members))
+        voted = metrics.votes(asked_of.where("label IS NOT NULL AND error IS NULL"), keys, len(members)).withColumnRenamed("vote", "p")
+        each = asked_of.where("error IS NOT NULL").groupBy(*keys[:-1], "pipeline").agg(F.min("error").alias("error"))
+        failed = each.groupBy(*keys[:-1]).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "pipeline", "error"))), "; ").alias("error"))
+        own = metrics.with_default(truth, voted, keys, failed=failed)
+        out = out.unionByName(own.select(F.lit(name).alias("pipeline"), *keys, "y", (1 - F.col("p")).cast("int").alias("label"), "p", "error", F.lit(None).cast("double").alias("silhouette")))
     return out
 
 
 def evaluate(rows: DataFrame, truth: DataFrame, keys: list[str], pipelines: list[Pipeline], known: dict[str, Pipeline] | None = None) -> DataFrame:
-    """(pipeline, outer keys, counts, accuracy, n_failed): every pipeline and ensemble over every group; a group that failed has no accuracy."""
+    """(pipeline, outer keys, counts, accuracy, n_failed): every pipeline and ensemble over every group; a group that failed has its size only."""
     told, by = predicted(rows, truth, keys, pipelines, known, measured=False), ["pipeline", *keys[:-1]]
     failed = told.groupBy(*by).agg(F.count("error").alias("n_failed"))
     scored = metrics.confusion(told, by).join(failed, by)
-    return scored.withColumn("accuracy", F.when(F.col("n_failed") == 0, F.col("accuracy")))
+    return scored.withColumns({c: F.when(F.col("n_failed") == 0, F.col(c)) for c in ("tp", "tn", "fp", "fn", "correct", "accuracy")})
 
 
 #: Columns of a result row, in order.
@@ -246,9 +249,9 @@ def tuned(rows: DataFrame, truth: DataFrame, keys: list[str], bases: list[tuple[
 
 
 def ensemble(rows: DataFrame, truth: DataFrame, keys: list[str], members: list[Pipeline]) -> DataFrame:
-    """(keys, y, p): the members' vote on each bead; beads that a member dropped get 0."""
+    """(keys, y, p, error): the members' vote on each bead; beads that a member dropped get 0, those of a group in which one failed get its error and no vote."""
     whole = Pipeline("vote", members=tuple(p.name for p in members))
-    return predicted(rows, truth, keys, [whole], {p.name: p for p in members}, measured=False).select(*keys, "y", "p")
+    return predicted(rows, truth, keys, [whole], {p.name: p for p in members}, measured=False).select(*keys, "y", "p", "error")
 
 
 def score_rules(traces: DataFrame, truth: DataFrame, keys: list[str], experiment: list[str], **thresholds) -> DataFrame:

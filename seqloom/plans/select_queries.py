@@ -445,7 +445,7 @@ def _evaluation(s, d):
 def _ensemble(s, d):
     rows, truth, keys, jobs = _jobs(s, d)
     members = [jobs.Pipeline("a", "percentile_grid", n_grid=21, n_clusters=2), jobs.Pipeline("b", "force_percentile_grid", n_grid=21, n_clusters=2), jobs.Pipeline("c", "percentile_grid_normalised", clustering="hierarchical", n_grid=21, n_clusters=2)]
-    return jobs.ensemble(rows, truth, keys, members).select(*keys, "y", "p")
+    return jobs.ensemble(rows, truth, keys, members)
 
 
 def _told(s, d):

@@ -87,6 +87,28 @@ def test_a_failed_group_has_no_accuracy(spark):
     assert got["accuracy"] is None and got["n_failed"] > 0
 
 
+def test_a_failed_member_is_no_vote(spark):
+    from seqloom.plans import jobs
+
+    rows = spark.createDataFrame([(e, b, k, float(k), float(k * b)) for e in range(2) for b in range(7) for k in range(9 if b < 6 else 1)], "experiment int, bead int, frame int, x double, f double")
+    # curves of experiment 1 differ in length, and one sorted by force can't be stacked with the others
+    rows = rows.where("experiment = 0 OR bead <> 2 OR frame < 5")
+    truth = spark.createDataFrame([(e, b, b % 2) for e in range(2) for b in range(7)], "experiment int, bead int, y int")
+    members = [jobs.Pipeline("fine", "percentile_grid", n_grid=5, n_clusters=2), jobs.Pipeline("odd", "raw_extension_sorted_by_force", n_clusters=2)]
+    got = {(r["experiment"], r["bead"]): r for r in jobs.ensemble(rows, truth, ["experiment", "bead"], members).collect()}
+    assert len(got) == 14
+    for (e, b), r in got.items():  # bead 6 has one sample and no curve: dropped where all went well, failed where its group did
+        assert (r["p"] in (0, 1) and r["error"] is None) if e == 0 else (r["p"] is None and r["error"].startswith("odd: ValueError")), (e, b, r)
+    assert got[0, 6]["p"] == 0
+    vote = jobs.Pipeline("vote", members=("fine", "odd"))
+    scored = {r["experiment"]: r for r in jobs.evaluate(rows, truth, ["experiment", "bead"], [vote], {p.name: p for p in members}).collect()}
+    assert scored[0]["accuracy"] is not None and scored[0]["n_failed"] == 0
+    assert scored[1]["n_failed"] == scored[1]["n"] == 7 and scored[1]["accuracy"] is None and scored[1]["tn"] is None
+    told = jobs.predicted(rows, truth, ["experiment", "bead"], [vote], {p.name: p for p in members})
+    row = jobs.result_rows(told.withColumn("ext", F.lit(0)), ["experiment"], "ext").where("experiment = 1").first()
+    assert row["accuracy"] is None and row["error"].startswith("odd: ")
+
+
 def test_draws_are_exact_nested_and_bounded(spark):
     df = spark.createDataFrame([(i // 2, str(i)) for i in range(500)], "id long, v string")  # ids repeat
     rows = lambda n, bins: {(r["id"], r["v"]) for r in select.least_drawn(df, n, "id", "v", bins=bins).collect()}
