@@ -43,6 +43,36 @@ def test_block_forms_equal_those_on_matrices():
     assert (numeric.nearest(spots(120), 5) == numeric.neighbours(numeric.distances(spots(120)), 5)).all()
 
 
+def test_copies_of_points_are_met_once(monkeypatch):
+    x = np.repeat(spots(100), 50, axis=0)[np.random.default_rng(1).permutation(5000)]
+    formed, sqrt = [0], np.sqrt
+
+    def counted(a, *more, **options):
+        formed[0] += np.size(a)
+        return sqrt(a, *more, **options)
+
+    monkeypatch.setattr(numeric.np, "sqrt", counted)
+    near, labels = numeric.nearest(x, 5), numeric.dbscan_of(x, 4, 1.0)
+    s = numeric.silhouette_of(x, labels % 3)
+    assert formed[0] < 5000 * 5000 / 2  # of 5 times 5000 * 5000
+    monkeypatch.undo()
+    d = sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert (near == numeric.neighbours(d, 5)).all() and (labels == numeric.dbscan(d, 4, 1.0)).all() and np.isclose(s, numeric.silhouette(d, labels % 3))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_density_clusters_by_strips_equal_those_on_a_matrix(seed):
+    rng = np.random.default_rng(seed)
+    x = spots(250, 1 + seed, seed)
+    x = np.concatenate([np.round(x, 1), x[rng.integers(0, 250, 60)]])
+    for eps in (None, 0.3):
+        assert (numeric.dbscan_of(x, 4, eps) == numeric.dbscan(sqrt_distances(x), 4, eps)).all()
+
+
+def sqrt_distances(x):
+    return np.sqrt(sum((x[:, None, c] - x[None, :, c]) ** 2 for c in range(x.shape[1])))
+
+
 def test_means_halfway_between_two_texts_do_not_hang_on_the_order_of_rows(spark):
     # 0.99 / 32 = 0.0309375 and 0.98 / 64 = 0.0153125, which sums of doubles miss on either side
     rows = []
