@@ -73,6 +73,20 @@ def sqrt_distances(x):
     return np.sqrt(sum((x[:, None, c] - x[None, :, c]) ** 2 for c in range(x.shape[1])))
 
 
+def test_curves_of_several_forms_are_made_once(spark, monkeypatch):
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    from seqloom.plans import jobs
+
+    rows = spark.range(60).select((F.col("id") % 6).alias("bead"), F.lit(0).alias("g"), (F.col("id") / 6).cast("long").alias("frame"), F.row_number().over(W.partitionBy(F.col("id") % 6).orderBy("id")).cast("double").alias("x"), (F.col("id") * 1.0).alias("f"))
+    plans = []
+    monkeypatch.setattr(jobs, "features", lambda r, *a, _own=jobs.features: plans.append(r._jdf.queryExecution().optimizedPlan().toString()) or _own(r, *a))
+    chosen = [jobs.Pipeline("a", "percentile_grid", n_grid=5), jobs.Pipeline("b", "force_percentile_grid", n_grid=5)]
+    assert jobs.labelled(rows, ["g", "bead"], chosen, measured=False).count() == 12
+    assert len(plans) == 2 and not any("Window" in p for p in plans)
+
+
 def test_means_halfway_between_two_texts_do_not_hang_on_the_order_of_rows(spark):
     # 0.99 / 32 = 0.0309375 and 0.98 / 64 = 0.0153125, which sums of doubles miss on either side
     rows = []
